@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tracefold.llm import decontaminate, fingerprint, hmm_lm, jaccard_join, mixing, url_filter
+from tracefold.llm import decontaminate, fingerprint, hmm_lm, jaccard_join, mixing, suffix_dedup, url_filter
 
-MODULES = (hmm_lm, decontaminate, fingerprint, mixing, jaccard_join, url_filter)
+MODULES = (hmm_lm, decontaminate, fingerprint, mixing, suffix_dedup, jaccard_join, url_filter)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in MODULES for name, s in m.SQL.items()}
