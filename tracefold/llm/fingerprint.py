@@ -42,7 +42,7 @@ def fingerprint(text: Column) -> Column:
 
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
     """The fingerprint after insertion (1) or deletion (-1) of what ``b`` stands for."""
-    return F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), lambda z: (z["0"] + F.lit(sign) * z["1"]).bitwiseAND(MASK))
+    return F.transform(F.arrays_zip(a.alias("a"), b.alias("b")), lambda z: (z["a"] + F.lit(sign) * z["b"]).bitwiseAND(MASK))
 
 
 def as_text(fp: Column) -> Column:
