@@ -49,10 +49,6 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int):
         yield rows, values, cuts, sizes, sid.view(np.int64)
 
 
-def prefix_length(n: int, threshold: int = THRESHOLD) -> int:
-    return n - -(-threshold * n // PARTS_OF) + 1
-
-
 def parity_bits(values: np.ndarray, size: int) -> np.ndarray:
     """The parity bitmap as longs; more bits for larger sets, always a power of two."""
     longs = max(1, 1 << int(max(0, (size * 6 // 10 - 1)).bit_length() - 6)) if size * 6 // 10 > 64 else 1
@@ -105,7 +101,7 @@ def _profile(width: int):
     return run
 
 
-def _postings(width: int, common_values, common_counts):
+def _postings(width: int, threshold: int, common_values, common_counts):
     schema = pa.schema([("token", pa.int64()), ("sid", pa.int64()), ("size", pa.int32())])
 
     def run(batches):
@@ -120,7 +116,7 @@ def _postings(width: int, common_values, common_counts):
             order = np.lexsort((values, rank, owner))
             # the position of each shingle in its document's order
             place = np.arange(len(values)) - np.repeat(cuts[:-1], sizes)
-            need = sizes - -(-THRESHOLD * sizes // PARTS_OF) + 1
+            need = sizes - -(-threshold * sizes // PARTS_OF) + 1
             new = np.zeros(rows.num_rows, dtype=bool)
             for i, (s, n) in enumerate(zip(sid.tolist(), sizes.tolist(), strict=True)):
                 if n and s not in seen:
@@ -148,7 +144,7 @@ def _runs(batches: Iterator[pa.RecordBatch], names: list[str], key: str):
         yield rest
 
 
-def _leaders():
+def _leaders(threshold: int):
     schema = pa.schema([("token", pa.int64()), ("sid", pa.int64()), ("size", pa.int32()), ("leader", pa.int64())])
 
     def run(batches):
@@ -162,11 +158,11 @@ def _leaders():
             first = np.repeat(starts, lengths)
             leader = first.copy()
             # a set too large for the list's first one follows the first set within its own tile
-            far = np.flatnonzero(THRESHOLD * size.astype(np.int64) > PARTS_OF * size[first].astype(np.int64))
+            far = np.flatnonzero(threshold * size.astype(np.int64) > PARTS_OF * size[first].astype(np.int64))
             if len(far):
                 head, current = -1, -1
                 for i in far.tolist():
-                    if first[i] != head or THRESHOLD * int(size[i]) > PARTS_OF * int(size[current]):
+                    if first[i] != head or threshold * int(size[i]) > PARTS_OF * int(size[current]):
                         head, current = first[i], i
                     leader[i] = current
             many = np.repeat(lengths > 1, lengths)
@@ -212,7 +208,7 @@ def wanted_members(docs: DataFrame, sids: DataFrame, width: int, sets: bool) ->
     return out.groupBy("sid").agg(F.first("members").alias("members"))
 
 
-def _intersect():
+def _intersect(threshold: int):
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
@@ -227,23 +223,23 @@ def _intersect():
                     p, q = q, p
                 at = np.searchsorted(q, p)
                 common = int((q[np.minimum(at, len(q) - 1)] == p).sum())
-                keep[i] = PARTS_OF * common >= THRESHOLD * (len(p) + len(q) - common)
+                keep[i] = PARTS_OF * common >= threshold * (len(p) + len(q) - common)
             if keep.any():
                 yield B.record(schema, a.to_numpy()[keep], b.to_numpy()[keep])
 
     return run
 
 
-def verified(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, width: int, threshold: int = THRESHOLD) -> DataFrame:
     """The pairs (a, b) of sids that link, by exact intersection of their sorted sets."""
     sids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
     sets = wanted_members(docs, sids, width, True)
     left = pairs.join(sets.select(F.col("sid").alias("a"), F.col("members").alias("x")), "a")
     both = left.join(sets.select(F.col("sid").alias("b"), F.col("members").alias("y")), "b").select("a", "b", "x", "y")
-    return stored(both.mapInArrow(_intersect(), "a long, b long"), "jaccard-links")
+    return stored(both.mapInArrow(_intersect(threshold), "a long, b long"), "jaccard-links")
 
 
-def _tiles():
+def _tiles(threshold: int):
     """Pairs of sets of one tile that are in different components and whose bitmaps allow a link."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -267,13 +263,13 @@ def _tiles():
                 for i in minor.tolist():
                     # against the main component both ways, against other minor ones once
                     other = (c != c[i]) & ((c == main) | (np.arange(e - s) < i))
-                    other &= (THRESHOLD * np.maximum(n, n[i]) <= PARTS_OF * np.minimum(n, n[i]))
+                    other &= threshold * np.maximum(n, n[i]) <= PARTS_OF * np.minimum(n, n[i])
                     js = np.flatnonzero(other)
                     if len(js):
                         apart = np.bitwise_count(folded[js] ^ folded[i]).sum(axis=1).astype(np.int64)
                         both = n[js] + n[i]
                         # overlap is at most (both - apart) / 2
-                        js = js[PARTS_OF * (both - apart) >= THRESHOLD * (both + apart)]
+                        js = js[PARTS_OF * (both - apart) >= threshold * (both + apart)]
                         mine = int(sid[s + i])
                         found.extend((min(mine, o), max(mine, o)) for o in sid[s + js].tolist())
             if found:
@@ -283,7 +279,7 @@ def _tiles():
     return run
 
 
-def jaccard_components(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+def jaccard_components(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
     """Per document: ``key, n_shingles, component`` (smallest key reachable by links)."""
     spark = docs.sparkSession
     docs = docs.select(F.col(key_col).cast("long").alias("key"), F.col(text_col).alias("text"))
@@ -294,12 +290,12 @@ def jaccard_components(docs: DataFrame, key_col: str = "doc_id", text_col: str =
     order = np.argsort(common["sid"].to_numpy(dtype=np.int64).view(U64))
     values = spark.sparkContext.broadcast(common["sid"].to_numpy(dtype=np.int64).view(U64)[order])
     counts = spark.sparkContext.broadcast(common["n"].to_numpy(dtype=np.int64)[order])
-    lists = docs.mapInArrow(_postings(width, values, counts), "token long, sid long, size int").repartition(int(parts), "token").sortWithinPartitions("token", "size", "sid")
-    lists = stored(lists.mapInArrow(_leaders(), "token long, sid long, size int, leader long"), "jaccard-lists")
+    lists = docs.mapInArrow(_postings(width, threshold, values, counts), "token long, sid long, size int").repartition(int(parts), "token").sortWithinPartitions("token", "size", "sid")
+    lists = stored(lists.mapInArrow(_leaders(threshold), "token long, sid long, size int, leader long"), "jaccard-lists")
     # each set with the leader that it shares most lists with
     led = lists.where("sid <> leader").groupBy("sid", "leader").agg(F.count("*").alias("n")).groupBy("sid").agg(F.max_by("leader", F.struct("n", "leader")).alias("leader"))
     first = stored(led.select(F.least("sid", "leader").alias("a"), F.greatest("sid", "leader").alias("b")).distinct(), "jaccard-first")
-    links = verified(docs, first, width)
+    links = verified(docs, first, width, threshold)
     joined = components(links)
     sids = lists.select("sid").distinct()
     bits = wanted_members(docs, sids, width, False)
@@ -307,8 +303,8 @@ def jaccard_components(docs: DataFrame, key_col: str = "doc_id", text_col: str =
     marked = stored(marked, "jaccard-bits")
     mixed = lists.join(marked.select("sid", "comp"), "sid").groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     tiles = lists.select("token", "size", "sid").join(mixed, "token").join(marked, "sid").repartition(int(parts), "token").sortWithinPartitions("token", "size", "sid")
-    pairs = tiles.mapInArrow(_tiles(), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
-    more = verified(docs, stored(pairs, "jaccard-pairs"), width)
+    pairs = tiles.mapInArrow(_tiles(threshold), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
+    more = verified(docs, stored(pairs, "jaccard-pairs"), width, threshold)
     every = links.unionByName(more)
     # from sets to documents: a set stands for the smallest key that has it
     least = keyed.where("size > 0").groupBy("sid").agg(F.min("key").alias("least"))
@@ -319,6 +315,17 @@ def jaccard_components(docs: DataFrame, key_col: str = "doc_id", text_col: str =
     return out.select("key", F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.coalesce("component", "key")).otherwise(F.col("key")).alias("component"))
 
 
+def one_of_each(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = 80) -> DataFrame:
+    """``docs`` without near duplicates: the smallest key of each component stays. Rows without a key stay; of rows that share a key, one."""
+    groups = jaccard_components(docs, key_col, text_col, width, threshold)
+    later = groups.where("key <> component").select(F.col("key").alias("_k")).distinct()
+    rows, keys = groups.agg(F.count("key"), F.count_distinct("key")).first()
+    out = docs.join(later, docs[key_col] == F.col("_k"), "left_anti")
+    if rows > keys:
+        out = out.where(F.col(key_col).isNotNull()).dropDuplicates([key_col]).unionByName(out.where(F.col(key_col).isNull()))
+    return out
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jaccard_components(table(spark, sf_dir, "documents"))
     return out.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))

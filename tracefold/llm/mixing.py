@@ -97,9 +97,9 @@ def round_block(block: pd.DataFrame) -> pd.DataFrame:
 
 
 def mix(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK) -> DataFrame:
-    """Per document: ``key, size, source_size, target, rate, copies``."""
+    """Per document: ``key, rank`` (hash of the text), ``size, source_size, target, rate, copies``."""
     spark = docs.sparkSession
-    keyed = docs.select(F.col(key_col).alias("key"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("rank"))
+    keyed = docs.select(F.col(key_col).alias("key"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("rank"))
     keyed = stored(keyed, "mix-sizes")
     sums = keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"), F.count_if(F.col("size") > 0).alias("filled"))
     found = sums.limit(MAX_SOURCES + 1).toPandas()
@@ -119,8 +119,8 @@ def mix(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", source
     tilt = F.col("lam") * F.col("size") / F.col("mean")
     rate = F.when(F.col("size") == 0, 0.0).when(F.col("target") >= cap * F.col("source_size") * (1 - 1e-12), float(cap)).otherwise(F.when(tilt >= float(np.log(cap)), float(cap)).otherwise(F.exp(tilt)))
     rated = tagged.join(F.broadcast(plan) if len(goals) <= 50_000 else plan, "gid").withColumn("rate", rate).withColumn("block", F.pmod(F.xxhash64("key", "rank"), F.col("blocks")))
-    out = "key long, gid long, size long, source_size long, target double, rate double, copies long"
-    fit = lambda pdf: round_block(pdf)[["key", "gid", "size", "source_size", "target", "rate", "copies"]]
+    out = "key long, rank long, gid long, size long, source_size long, target double, rate double, copies long"
+    fit = lambda pdf: round_block(pdf)[["key", "rank", "gid", "size", "source_size", "target", "rate", "copies"]]
     return rated.select("key", "rank", "gid", "block", "size", "source_size", "target", "rate").groupBy("gid", "block").applyInPandas(fit, out)
 
 
