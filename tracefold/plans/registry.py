@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from tracefold.plans import core
+
+MODULES = (core,)
+QUERIES: dict = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+SQL: dict[str, str] = {name: s for m in MODULES for name, s in m.SQL.items()}
