@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import ascii_lower, table
+from tracefold.llm.common import ascii_lower, stored, table
 
 DEPTH = 3
 #: The given rules: host, path, verdict.
@@ -44,6 +44,7 @@ def path_templates(paths: DataFrame, depth: int = DEPTH, max_children: int = 32,
     """``host, path, n, labelled, blocked`` plus ``parent`` and ``template``; rows are distinct paths."""
     parts = F.array_remove(F.split("path", "/"), "")
     df = paths.withColumn("segments", F.transform(parts, lambda s: F.when(s.rlike(VARIABLE), "*").otherwise(s))).withColumn("template", F.lit("")).withColumn("parent", F.lit(""))
+    df = stored(df, "url-paths")
     for level in range(1, depth + 1):
         df = df.withColumn("seg", F.get("segments", F.lit(level - 1)))
         counts = df.where(F.col("seg").isNotNull() & (F.col("seg") != "*")).groupBy("host", "template", "seg").agg(F.sum("n").alias("seg_n"))
@@ -53,6 +54,7 @@ def path_templates(paths: DataFrame, depth: int = DEPTH, max_children: int = 32,
         step = F.when(F.col("keep"), F.col("seg")).otherwise("*")
         here = F.col("seg").isNotNull()
         df = df.withColumns({"parent": F.when(here, F.col("template")).otherwise(F.col("parent")), "template": F.when(here, F.concat("template", F.lit("/"), step)).otherwise(F.col("template"))}).drop("keep", "seg")
+        df = stored(df, "url-paths")  # each level's counts read the last one's rows twice
     deeper = F.size("segments") > depth
     return df.withColumns({"parent": F.when(deeper, F.col("template")).otherwise(F.col("parent")), "template": F.when(deeper, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))}).drop("segments")
 
@@ -80,7 +82,8 @@ def filter_urls(pages: DataFrame, key_col: str = "page_id", url_col: str = "url"
     label = F.col("label") if label_col else F.col("ruled") == "block"
     paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.count(label).alias("labelled"), F.count_if(label).alias("blocked"))
     tree = path_templates(paths, depth)
-    judged = tree.select("host", "path", "template").join(template_purity(tree), ["host", "template"])
+    purity = stored(template_purity(tree), "url-purity")
+    judged = tree.select("host", "path", "template").join(purity, ["host", "template"])
     out = rows.join(judged, ["host", "path"], "left")
     reject = (F.col("labelled") >= min_labels) & (F.col("purity") >= threshold)
     verdict = F.coalesce("ruled", F.when(reject, "block").otherwise("allow"))
