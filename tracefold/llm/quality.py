@@ -7,7 +7,7 @@ reads whole texts of all documents and gives the expected grade and the tail pro
 
 Features of a text, each counted once: its lower-case words, its runs of symbols, and binned shares (symbols, word length,
 distinct words). Defined cases: null and empty text have only the binned features; labels that are null, or of unknown documents, are ignored;
-of several labels the worst counts; without labels of at least two grades everything is kept with the labels' frequencies; repeated rows score alike.
+of several labels the worst counts; without labels of at least two grades everything is kept; repeated rows score alike.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ SIZE = 1 << BITS
 GRADES = 3
 MAX_LABELLED = 16_000
 EPOCHS, BATCH, RATE, SPARSITY = 12, 128, 0.15, 2e-4
+#: Steps that small samples get at least, by more epochs.
+STEPS = 800
 MIN_DOCS = 4
 
 _WORDY = np.zeros(256, dtype=bool)
@@ -75,6 +77,10 @@ class Model:
     def __init__(self, weights: np.ndarray, thresholds: np.ndarray):
         self.weights, self.thresholds = weights, thresholds
 
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        """What a broadcast carries."""
+        return self.weights, self.thresholds
+
     def tails(self, ids: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """P(grade >= k) for k = 1 ..; one row a text."""
         sums = np.diff(np.r_[0.0, np.cumsum(self.weights[ids])][bounds])
@@ -88,14 +94,15 @@ def fit(ids: np.ndarray, bounds: np.ndarray, grade: np.ndarray, seed: int = 11)
     cuts = np.maximum.accumulate(-np.log(share / (1 - share)) + 1e-3 * np.arange(GRADES - 1))
     weights = np.zeros(SIZE)
     if len(np.unique(grade)) < 2:
-        return Model(weights, cuts)
+        return Model(weights, np.full(GRADES - 1, -35.0))
     usable = np.bincount(ids, minlength=SIZE) >= MIN_DOCS
     seen, cut_seen = np.full(SIZE, 1e-2), np.full(GRADES - 1, 1e-2)
     rng = np.random.default_rng(seed)
-    for _ in range(EPOCHS):
+    batch = int(np.clip(len(grade) // 16, 16, BATCH))
+    for _ in range(max(EPOCHS, min(100, STEPS * batch // len(grade)))):
         order = rng.permutation(len(grade))
-        for lo in range(0, len(order), BATCH):
-            docs = order[lo : lo + BATCH]
+        for lo in range(0, len(order), batch):
+            docs = order[lo : lo + batch]
             sizes = bounds[docs + 1] - bounds[docs]
             at = np.repeat(bounds[docs] - np.r_[0, np.cumsum(sizes)[:-1]], sizes) + np.arange(sizes.sum())
             f = ids[at]
@@ -137,7 +144,7 @@ def _score(model):
 
     def run(batches):
         for rows, raw, offs in B.chunks(batches, "text"):
-            tails = model.value.tails(*features(raw, offs))
+            tails = Model(*model.value).tails(*features(raw, offs))
             yield B.record(schema, rows.column(rows.schema.get_field_index("key")), rows.column(rows.schema.get_field_index("h")), tails.sum(axis=1), tails[:, -1])
 
     return run
@@ -158,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, key_col: str = "doc_id", text_col:
 def classify(docs: DataFrame, labels: DataFrame, key_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """Per row: ``key, h`` (hash of the text), ``expected_grade, tail, keep``."""
     model = train(docs, labels, key_col, text_col, max_labelled)
-    shown = docs.sparkSession.sparkContext.broadcast(model)
+    shown = docs.sparkSession.sparkContext.broadcast(model.arrays())
     rows = docs.select(F.col(key_col).cast("long").alias("key"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_score(shown), "key long, h long, expected_grade double, tail double").withColumn("keep", F.col("tail") >= threshold)
 
@@ -166,14 +173,14 @@ def classify(docs: DataFrame, labels: DataFrame, key_col: str = "doc_id", text_c
 def keep_good(docs: DataFrame, labels: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rejected documents, columns unchanged."""
     model = train(docs, labels, key_col, text_col)
-    shown = docs.sparkSession.sparkContext.broadcast(model)
+    shown = docs.sparkSession.sparkContext.broadcast(model.arrays())
 
     def run(batches):
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             kept = [np.empty(0, bool)]
             for _, raw, offs in B.chunks([batch], text_col):
-                kept.append(shown.value.tails(*features(raw, offs))[:, -1] >= 0.5)
+                kept.append(Model(*shown.value).tails(*features(raw, offs))[:, -1] >= 0.5)
             assert at >= 0
             yield batch.filter(pa.array(np.concatenate(kept)))
 
