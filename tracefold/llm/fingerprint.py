@@ -67,33 +67,30 @@ def likeness(a: Column, b: Column) -> Column:
     return F.round(F.coalesce(equal, empty, F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))), 6)
 
 
-def with_next(docs: DataFrame, key: str, text: str, chars_per_block: int = 1_000_000, max_blocks: int = 20_000) -> DataFrame:
-    """``docs`` with ``next_text``: the text of the next document in descending key order; the first follows the last.
+def with_next(docs: DataFrame, key: str, text: str, carried: list[str], chars_per_block: int = 1_000_000, max_blocks: int = 20_000) -> DataFrame:
+    """``docs`` with ``next``: a struct of the ``carried`` columns of the next document in descending key order; the first follows the last.
 
-    Documents are dealt into blocks of consecutive keys by quantiles, so the texts are shuffled once and no task sees all rows.
-    Only a block's last row needs another block's text; those few rows are joined.
+    Documents are dealt into blocks of consecutive keys by quantiles, so the texts are shuffled once and no task sees all rows. Only a
+    block's last row needs another block's first row; those few are joined by block, on the partitioning that is there.
     """
-    chars, rows, low, high = docs.agg(F.coalesce(F.sum(F.length(text)), F.lit(0)), F.count("*"), F.min(key), F.max(key)).first()
+    chars, rows = docs.agg(F.coalesce(F.sum(F.length(text)), F.lit(0)), F.count("*")).first()
     blocks = int(max(64, min(max_blocks, chars // chars_per_block)))
     cuts = []
     if rows > 1:
-        share = [i / blocks for i in range(1, blocks)]
-        cuts = sorted(set(docs.agg(F.percentile_approx(key, F.array(*(F.lit(x) for x in share)) if blocks <= 1000 else F.expr(f"transform(sequence(1, {blocks - 1}), i -> i / {blocks}.0D)"), F.lit(20 * blocks)).alias("q")).first().q or []))
+        shares = F.split(F.lit(",".join(str(i / blocks) for i in range(1, blocks))), ",").cast("array<double>")
+        cuts = sorted(set(docs.agg(F.percentile_approx(key, shares, F.lit(20 * blocks)).alias("q")).first().q or []))
     edges = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<long>") if cuts else F.array().cast("array<long>")
     # the number of edges at or above the key: descending keys have ascending blocks
     block = F.when(F.col(key).isNull(), F.lit(len(cuts) + 1)).otherwise(_upper(edges, F.col(key), len(cuts)))
-    order = [F.col(key).desc_nulls_last(), F.col(text)]
-    w = Window.partitionBy("block").orderBy(*order)
-    dealt = docs.select(F.col(key), F.col(text), block.alias("block"))
-    rowed = dealt.select("*", F.lead(F.struct(F.col(text).alias("t"))).over(w).alias("nx"))
-    firsts = dealt.groupBy("block").agg(F.min_by(text, F.struct((-F.col(key)).alias("k"), F.col(text).alias("t"))).alias("next_first"))
-    ids = sorted(r.block for r in firsts.select("block").collect())  # at most max_blocks numbers
-    following = {b: ids[(i + 1) % len(ids)] for i, b in enumerate(ids)}
-    link = docs.sparkSession.createDataFrame(list(following.items()) or [(0, 0)], "block int, after int")
-    heads = link.join(firsts.withColumnRenamed("block", "after"), "after").select("block", "next_first")
-    inner = rowed.where(F.col("nx").isNotNull()).select(key, text, F.col("nx.t").alias("next_text"))
-    edge = rowed.where(F.col("nx").isNull()).join(heads, "block").select(key, text, F.col("next_first").alias("next_text"))
-    return inner.unionByName(edge)
+    w = Window.partitionBy("block").orderBy(F.col(key).desc_nulls_last(), F.col(text))
+    dealt = docs.withColumn("block", block)
+    rowed = dealt.withColumn("_next", F.lead(F.struct(*carried)).over(w))
+    firsts = dealt.groupBy("block").agg(F.min_by(F.struct(*carried), F.struct((-F.col(key)).alias("k"), F.col(text).alias("t"))).alias("_first"))
+    ids = sorted(r.block for r in docs.select(block.alias("block")).distinct().collect())  # at most max_blocks + 2 numbers
+    before = [(ids[(i + 1) % len(ids)], b) for i, b in enumerate(ids)]
+    link = docs.sparkSession.createDataFrame(before or [(0, 0)], "block int, before int")
+    heads = firsts.join(F.broadcast(link), "block").select(F.col("before").alias("block"), "_first")  # link: two numbers a block
+    return rowed.join(heads, "block", "left").withColumn("next", F.coalesce("_next", "_first")).drop("_next", "_first", "block")
 
 
 def _upper(edges: Column, value: Column, count: int) -> Column:
@@ -118,11 +115,12 @@ def edited(text: Column, next_text: Column) -> Column:
 
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    df = with_next(docs, "doc_id", "text")
-    df = df.select("doc_id", F.length("text").cast("long").alias("n_chars"), let(F.struct(F.col("text").alias("t"), edited(F.col("text"), F.col("next_text")).alias("e"), F.col("next_text").alias("n")), lambda s: F.struct(F.sha2(s["e"], 256).alias("sha"), fingerprint(s["t"]).alias("a"), fingerprint(s["e"]).alias("e"), fingerprint(s["n"]).alias("n"))).alias("s"))
-    return df.select("doc_id", "n_chars", let(F.col("s"), lambda s: F.struct(
-        s["sha"].alias("edited_sha256"), as_text(s["a"]).alias("fingerprint"), as_text(s["e"]).alias("edited_fingerprint"),
-        likeness(s["a"], s["e"]).alias("near_edited"), likeness(s["a"], s["n"]).alias("near_next"))).alias("o")).select("doc_id", "n_chars", "o.*")
+    df = with_next(docs.withColumn("fp", fingerprint(F.col("text"))), "doc_id", "text", ["text", "fp"])
+    changed = let(edited(F.col("text"), F.col("next.text")), lambda e: F.struct(F.sha2(e, 256).alias("sha"), fingerprint(e).alias("fp")))
+    df = df.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.col("fp"), F.col("next.fp").alias("next_fp"), changed.alias("e"))
+    return df.select("doc_id", "n_chars", let(F.struct("fp", "next_fp", "e"), lambda s: F.struct(
+        s["e"]["sha"].alias("edited_sha256"), as_text(s["fp"]).alias("fingerprint"), as_text(s["e"]["fp"]).alias("edited_fingerprint"),
+        likeness(s["fp"], s["e"]["fp"]).alias("near_edited"), likeness(s["fp"], s["next_fp"]).alias("near_next"))).alias("o")).select("doc_id", "n_chars", "o.*")
 
 
 QUERIES = {"op4_fingerprint": op4_fingerprint}
