@@ -37,6 +37,21 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def most_frequent(counts: DataFrame, limit: int, n: str = "n") -> DataFrame:
+    """The rows of ``counts`` from the lowest count on that at most ``limit`` rows reach.
+
+    The cut comes from the counts' own histogram, so the rows themselves are never ranked in one place.
+    """
+    histogram = counts.groupBy(n).agg(F.count("*").alias("rows")).orderBy(F.desc(n)).limit(limit).collect()  # distinct counts
+    cut, total = None, 0
+    for row in histogram:
+        total += row["rows"]
+        if total > limit:
+            break
+        cut = row[n]
+    return counts.where(F.col(n) >= cut) if cut is not None else counts.limit(0)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

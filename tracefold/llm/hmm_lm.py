@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracefold.llm import bytes as B
-from tracefold.llm.common import stored, table
+from tracefold.llm.common import most_frequent, stored, table
 
 U64 = np.uint64
 STATES = 8
@@ -33,7 +33,7 @@ STATES = 8
 OWN, HASHED = 16_383, 16_384
 CLASSES = 1 + OWN + HASHED
 #: Words whose counts are broadcast (16 bytes each); the rest are joined.
-KNOWN = 1 << 19
+KNOWN = 1 << 18
 PIECE = 128
 ROUNDS = 5
 SEED_PIECES = 4_096
@@ -86,14 +86,18 @@ def _count():
 class Vocabulary:
     """The ``KNOWN`` most frequent words, sorted by hash: counts and classes. Classes: 0 end, then own words, then hashed ones."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, mass: np.ndarray):
+    def __init__(self, words: np.ndarray, counts: np.ndarray, own: np.ndarray, log_mass: np.ndarray):
+        self.words, self.counts, self.own, self.log_mass = words, counts, own, log_mass
+
+    @staticmethod
+    def arrays(words: np.ndarray, counts: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, ...]:
+        """What a broadcast carries."""
         rank = np.lexsort((words, -counts))
         words, counts = words[rank], counts[rank]
         ids = np.arange(1, len(words) + 1)
         ids[ids > OWN] = 0
         order = np.argsort(words)
-        self.words, self.counts, self.own = words[order], counts[order], ids[order].astype(np.int32)
-        self.log_mass = np.log10(np.maximum(mass, 1e-300))
+        return words[order], counts[order], ids[order].astype(np.int32), np.log10(np.maximum(mass, 1e-300))
 
     def look_up(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Class, count, and whether the word is here."""
@@ -116,7 +120,7 @@ def _encode(vocabulary):
     schema = pa.schema([("kind", pa.int32()), ("rid", pa.int64()), ("key", pa.int64()), ("held", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("inner", pa.float64()), ("ids", pa.binary()), ("w", pa.int64()), ("tf", pa.int64())])
 
     def run(batches):
-        v: Vocabulary = vocabulary.value
+        v = Vocabulary(*vocabulary.value)
         for rows, raw, offs in B.chunks(batches, "text"):
             words, bounds = _tokens(raw, offs)
             n, n_rows = np.diff(bounds), rows.num_rows
@@ -149,6 +153,9 @@ class Model:
     def __init__(self, start: np.ndarray, step: np.ndarray, emit: np.ndarray):
         self.start, self.step, self.emit = start, step, emit
 
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        return self.start, self.step, self.emit
+
 
 def _classes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     raw, offs = B.text_bytes(batch.column(batch.schema.get_field_index("ids")))
@@ -218,7 +225,7 @@ def _expectation(model, k: int):
     def run(batches):
         sums = None
         for _, ids, offs in _blocks(batches):
-            new = expect(model.value, ids, offs)
+            new = expect(Model(*model.value), ids, offs)
             sums = new if sums is None else tuple(a + b for a, b in zip(sums, new, strict=True))
         if sums is None:
             return
@@ -291,7 +298,7 @@ def _score(model):
             t = pa.concat_tables(held).combine_chunks()
             held.clear()
             ids, offs = _classes(t.to_batches()[0])
-            got = t.column("inner").to_numpy() + forward(model.value, ids, offs)
+            got = t.column("inner").to_numpy() + forward(Model(*model.value), ids, offs)
             yield B.record(schema, *(t.column(c).combine_chunks() for c in names[:-1]), got)
 
         for rows, ids, _ in _blocks(batches):
@@ -313,8 +320,9 @@ def lm_scores(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key_col).cast("long").alias("key"), held_out(F.col(key_col)).alias("held"), F.col(text_col).alias("text"))
     counts = stored(rows.where("not held").select("text").mapInArrow(_count(), "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "lm-counts")
     tokens, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.where(F.col("w") != np.array([END], dtype=U64).view(np.int64)[0].item()).orderBy(F.desc("n"), "w").limit(KNOWN).toPandas()
-    ends = counts.where(F.col("w") == np.array([END], dtype=U64).view(np.int64)[0].item()).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    end_key = np.array([END], dtype=U64).view(np.int64)[0].item()
+    top = most_frequent(counts.where(F.col("w") != end_key), KNOWN).toPandas()
+    ends = counts.where(F.col("w") == end_key).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     words, n = top["w"].to_numpy(dtype=np.int64).view(U64), top["n"].to_numpy(dtype=np.int64)
     # mass of a class: its counts and half a token for each type, shared classes with one unknown type
     mass = np.full(CLASSES, 0.5)
@@ -323,19 +331,18 @@ def lm_scores(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text",
     mass[1 : len(own) + 1] += n[own]
     half = F.struct(F.sum("n").alias("n"), F.count("*").alias("k"))
     unsigned = F.pmod(F.col("w"), F.lit(HASHED))  # HASHED divides 2^64
-    shared = counts.where(F.col("w") != np.array([END], dtype=U64).view(np.int64)[0].item()).groupBy(unsigned.alias("m")).agg(half.alias("s")).select("m", "s.*").toPandas()
+    shared = counts.where(F.col("w") != end_key).groupBy(unsigned.alias("m")).agg(half.alias("s")).select("m", "s.*").toPandas()
     at = 1 + OWN + shared["m"].to_numpy(dtype=np.int64)
     mass[at] += shared["n"].to_numpy(dtype=np.int64) + 0.5 * shared["k"].to_numpy(dtype=np.int64)
     np.subtract.at(mass, 1 + OWN + (words[own] % U64(HASHED)).astype(np.int64), n[own] + 0.5)
-    vocabulary = Vocabulary(words, n, mass)
-    # END is looked up apart; its count enters the base score below
-    known = sc.broadcast(vocabulary)
+    # the end is looked up apart; its count enters the base score below
+    known = sc.broadcast(Vocabulary.arrays(words, n, mass))
     encoded = stored(rows.mapInArrow(_encode(known), ENCODED), "lm-tokens")
     texts = encoded.where("kind = 0")
     train = texts.where("not held").select("ids")
     model = seed_model(mass, _sample(train), states)
     for _ in range(rounds if tokens else 0):
-        shown = sc.broadcast(model)
+        shown = sc.broadcast(model.arrays())
         sums = train.mapInArrow(_expectation(shown, states), "what int, at int, " + ", ".join(f"s{j} double" for j in range(states)))
         got = sums.groupBy("what", "at").agg(*(F.sum(f"s{j}").alias(f"s{j}") for j in range(states))).toPandas()  # CLASSES rows at most
         parts = []
@@ -345,7 +352,7 @@ def lm_scores(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text",
             part[mine["at"].to_numpy(dtype=np.int64)] = mine[[f"s{j}" for j in range(states)]].to_numpy()
             parts.append(part)
         model = maximise(mass, *parts)
-    scored = texts.select("rid", "key", "held", "n_tokens", "n_known", "base", "inner", "ids").mapInArrow(_score(sc.broadcast(model)), "rid long, key long, held boolean, n_tokens long, n_known long, base double, inner double")
+    scored = texts.select("rid", "key", "held", "n_tokens", "n_known", "base", "inner", "ids").mapInArrow(_score(sc.broadcast(model.arrays())), "rid long, key long, held boolean, n_tokens long, n_known long, base double, inner double")
     rare = encoded.where("kind = 1").select("rid", "w", "tf").join(counts, "w", "left").groupBy("rid").agg(F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("logs"), F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("found"))
     logs = F.coalesce("logs", F.lit(0.0))
     log_all = float(np.log10(tokens + 0.5 * (types + 1)))
