@@ -247,25 +247,32 @@ def maximise(mass: np.ndarray, starts: np.ndarray, steps: np.ndarray, emits: np.
     return Model(start, step, emit)
 
 
-def seed_model(mass: np.ndarray, sample: list[np.ndarray], k: int, rounds: int = 8) -> Model:
-    """From a clustering of sample pieces: each state starts as the class counts of a cluster, with steps that rather stay."""
+def seed_model(mass: np.ndarray, sample: list[np.ndarray], k: int, rounds: int = 8, starts: int = 6) -> Model:
+    """From a clustering of sample pieces, the best of several: each state starts as the class counts of a cluster, with steps that rather stay."""
     counts = np.zeros((k, CLASSES))
+    sample = [p for p in sample if len(p)]
     if sample:
-        rng = np.random.default_rng(7)
-        unit = np.log(mass / mass.sum() + 1e-12)
-        chosen = [sample[int(rng.integers(len(sample)))]]
-        score = lambda c: np.log((np.bincount(c, minlength=CLASSES) + 0.0) + 50 * mass / mass.sum()) - np.log(len(c) + 50)
-        best = np.full(len(sample), -np.inf)
-        for _ in range(k - 1):
-            table_ = score(chosen[-1])
-            best = np.maximum(best, [float((table_[p] - unit[p]).mean()) for p in sample])
-            chosen.append(sample[int(np.argmin(best))])
-        tables = [score(c) for c in chosen]
-        for _ in range(rounds):
-            of = np.argmax([[float(t[p].sum()) for t in tables] for p in sample], axis=1)
-            groups = [np.concatenate([p for p, g in zip(sample, of, strict=True) if g == j] or [np.zeros(0, np.int64)]).astype(np.int64) for j in range(k)]
-            tables = [score(g) if len(g) else score(sample[int(rng.integers(len(sample)))]) for g in groups]
-        counts = np.stack([np.bincount(g, minlength=CLASSES) for g in groups]).astype(float)
+        rng, unit = np.random.default_rng(7), mass / mass.sum()
+        flat = np.concatenate(sample)
+        offs = np.cumsum([0, *map(len, sample)])
+        size, owner = np.diff(offs), np.repeat(np.arange(len(sample)), np.diff(offs))
+        table_of = lambda c: np.log(np.bincount(c, minlength=CLASSES) + 50 * unit) - np.log(len(c) + 50)
+        score = lambda t: np.add.reduceat(t[flat], offs[:-1])
+        base, best_total = score(np.log(unit + 1e-12)), -np.inf
+        for _ in range(starts):
+            # far apart pieces first, as each one's gain over the class frequencies tells
+            tables, gain = [table_of(sample[int(rng.integers(len(sample)))])], np.full(len(sample), -np.inf)
+            while len(tables) < k:
+                gain = np.maximum(gain, (score(tables[-1]) - base) / size)
+                tables.append(table_of(sample[int(np.argmin(gain + rng.normal(0, 0.05, len(gain))))]))
+            for _ in range(rounds):
+                scores = np.stack([score(t) for t in tables])
+                of = scores.argmax(axis=0)
+                groups = [flat[of[owner] == j] for j in range(k)]
+                tables = [table_of(g) if len(g) else table_of(sample[int(rng.integers(len(sample)))]) for g in groups]
+            total = scores.max(axis=0).sum()
+            if total > best_total:
+                best_total, counts = total, np.stack([np.bincount(g, minlength=CLASSES) for g in groups]).astype(float)
     return maximise(mass, np.ones((2, k)), np.eye(k) * 90.0 * k, counts.T)
 
 
@@ -364,8 +371,10 @@ def lm_scores(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text",
 
 
 def _sample(train: DataFrame) -> list[np.ndarray]:
-    """At most ``SEED_PIECES`` pieces, the first of as many texts."""
-    got = train.orderBy(F.xxhash64("ids"), "ids").limit(SEED_PIECES).select(F.substring("ids", 1, 2 * PIECE).alias("ids")).toPandas()
+    """At most ``SEED_PIECES`` pieces, the first of about as many different texts, chosen by their hash."""
+    step = max(1, train.count() // SEED_PIECES)
+    chosen = train.where(F.pmod(F.xxhash64("ids"), F.lit(step)) == 0).select(F.substring("ids", 1, 2 * PIECE).alias("ids")).distinct()
+    got = chosen.orderBy(F.xxhash64("ids"), "ids").limit(SEED_PIECES).toPandas()
     return [np.frombuffer(x, dtype="<u2").astype(np.int64) for x in got["ids"]]
 
 
