@@ -106,18 +106,22 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
         return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
 
 
-def word_shingles(hashes: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of each row's distinct runs of ``width`` words, sorted by row and hash, and the rows' bounds. Fewer words: one run of all."""
+def word_shingles(hashes: np.ndarray, bounds: np.ndarray, width: int, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of each row's distinct runs of ``width`` words, sorted by row and hash, the rows' bounds, and the runs' lengths as sums of ``lengths``.
+
+    A row of fewer words has one run of all of them.
+    """
     n, rows = len(hashes), len(bounds) - 1
     counts = np.diff(bounds)
+    upto = np.r_[0, np.cumsum(lengths)]
     with np.errstate(over="ignore"):
         acc = np.zeros(max(n - width + 1, 0), dtype=U64)
         for i in range(width):
             acc = mix(acc * U64(0x2545F4914F6CDD1D) + hashes[i : i + len(acc)] + U64(width))
         owner = np.repeat(np.arange(rows), counts)
         at = np.arange(len(acc))
-        whole = at + width <= bounds[owner[: len(acc)] + 1] if len(acc) else np.empty(0, bool)
-        values, rows_of = acc[whole], owner[: len(acc)][whole]
+        whole = np.flatnonzero(at + width <= bounds[owner[: len(acc)] + 1]) if len(acc) else np.empty(0, np.int64)
+        values, rows_of, long = acc[whole], owner[whole], upto[whole + width] - upto[whole]
         short = np.flatnonzero((counts > 0) & (counts < width))
         if len(short):
             extra = np.zeros(len(short), dtype=U64)
@@ -125,13 +129,14 @@ def word_shingles(hashes: np.ndarray, bounds: np.ndarray, width: int) -> tuple[n
                 here = counts[short] > i
                 extra[here] = mix(extra[here] * U64(0x2545F4914F6CDD1D) + hashes[bounds[short[here]] + i] + U64(1000 + width))
             values, rows_of = np.concatenate([values, mix(extra + counts[short].astype(U64))]), np.concatenate([rows_of, short])
+            long = np.concatenate([long, upto[bounds[short + 1]] - upto[bounds[short]]])
     order = np.lexsort((values, rows_of))
-    values, rows_of = values[order], rows_of[order]
+    values, rows_of, long = values[order], rows_of[order], long[order]
     if len(values):
         new = np.ones(len(values), dtype=bool)
         new[1:] = (values[1:] != values[:-1]) | (rows_of[1:] != rows_of[:-1])
-        values, rows_of = values[new], rows_of[new]
-    return values, np.searchsorted(rows_of, np.arange(rows + 1))
+        values, rows_of, long = values[new], rows_of[new], long[new]
+    return values, np.searchsorted(rows_of, np.arange(rows + 1)), long
 
 
 def record(schema: pa.Schema, *columns) -> pa.RecordBatch:

@@ -2,8 +2,9 @@
 
 Equal sets fall together by their hash. Of the other sets each emits only the prefix of its shingles (rare ones first) that any partner must share one of,
 so every link has a common posting list. A list sorted by set size is cut into size-banded tiles: partners of a set lie
-within a factor of the threshold below it. First each set is paired with the leader of its tile that it shares most lists with, which merges groups of near
-copies along a line of links. Then each pair of sets in a tile that are not yet in one component is tested: parity bitmaps (bit i: the
+within a factor of the threshold below it. First each set is paired with the leader of its tile that it shares most lists with, which merges groups of near copies
+(the leader of a set is the member of its tile with most shared lists: in a group of edited copies that is the text they were made from). Then pairs
+of sets in a tile that are not yet in one component are tested, the nearest ones first, then all: parity bitmaps (bit i: the
 parity of the shingles hashed to i) bound the symmetric difference from below, hence the overlap from above, and what passes is
 intersected exactly as sorted arrays. No link between two components is skipped; links inside a component change nothing.
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracefold.llm import bytes as B
-from tracefold.llm.common import stored, table
+from tracefold.llm.common import most_frequent, stored, table
 from tracefold.llm.components import components
 
 WIDTH = 4
@@ -31,6 +32,10 @@ THRESHOLD, PARTS_OF = 85, 100
 LOCAL_COMMON = 3
 #: Common shingles that are broadcast for the order (the most frequent ones; any order gives all links).
 MAX_COMMON = 200_000
+#: Bits of a parity bitmap for each member of the set, rounded up to a power of two.
+BITS_PER_MEMBER = 4
+#: Pairs of a set that the first round between components tests.
+NEAREST = 2
 #: Longs of the broadcast bitmap of wanted sets.
 WANTED_LONGS = 1 << 18
 
@@ -40,19 +45,18 @@ U64 = np.uint64
 def _sets(batches: Iterator[pa.RecordBatch], width: int):
     for rows, raw, offs in B.chunks(batches, "text"):
         starts, ends, bounds = B.word_spans(raw, offs)
-        values, cuts = B.word_shingles(B.span_hashes(raw, starts, ends), bounds, width)
+        values, cuts, long = B.word_shingles(B.span_hashes(raw, starts, ends), bounds, width, ends - starts)
         # the set's identity: an order-free sum of scrambled members, together with its size
         with np.errstate(over="ignore"):
             sums = np.concatenate([[U64(0)], np.cumsum(B.mix(values ^ U64(0xA5A5A5A55A5A5A5A)))])
             sizes = np.diff(cuts)
             sid = B.mix((sums[cuts[1:]] - sums[cuts[:-1]]) ^ B.mix(sizes.astype(U64)))
-        yield rows, values, cuts, sizes, sid.view(np.int64)
+        yield rows, values, cuts, sizes, sid.view(np.int64), long
 
 
 def parity_bits(values: np.ndarray, size: int) -> np.ndarray:
     """The parity bitmap as longs; more bits for larger sets, always a power of two."""
-    longs = max(1, 1 << int(max(0, (size * 6 // 10 - 1)).bit_length() - 6)) if size * 6 // 10 > 64 else 1
-    longs = max(longs, 2)
+    longs = max(2, 1 << max(0, (BITS_PER_MEMBER * size - 1).bit_length() - 6))
     at = B.mix(values ^ U64(0x5851F42D4C957F2D))
     odd = np.bincount((at & U64(64 * longs - 1)).astype(np.int64), minlength=64 * longs) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(U64)
@@ -84,7 +88,7 @@ def _profile(width: int):
             if k:
                 yield B.record(schema, np.ones(k, np.int32), np.zeros(k, np.int64), values[keep].view(np.int64), np.zeros(k, np.int64), counts[keep])
 
-        for rows, values, cuts, sizes, sid in _sets(batches, width):
+        for rows, values, cuts, sizes, sid, long in _sets(batches, width):
             yield B.record(schema, np.zeros(rows.num_rows, np.int32), rows.column(0), sid, sizes, np.zeros(rows.num_rows, np.int64))
             new = np.zeros(rows.num_rows, dtype=bool)
             for i, s in enumerate(sid.tolist()):
@@ -107,13 +111,14 @@ def _postings(width: int, threshold: int, common_values, common_counts):
     def run(batches):
         known, counts = common_values.value, common_counts.value
         seen: set[int] = set()
-        for rows, values, cuts, sizes, sid in _sets(batches, width):
+        for rows, values, cuts, sizes, sid, long in _sets(batches, width):
             rank = np.zeros(len(values), dtype=np.int64)
             if len(known) and len(values):
                 at = np.minimum(np.searchsorted(known, values), len(known) - 1)
                 rank = np.where(known[at] == values, counts[at], 0)
             owner = np.repeat(np.arange(rows.num_rows), sizes)
-            order = np.lexsort((values, rank, owner))
+            # common ones last, long ones first: long words are rare, so chance meetings are few
+            order = np.lexsort((values, -long, rank, owner))
             # the position of each shingle in its document's order
             place = np.arange(len(values)) - np.repeat(cuts[:-1], sizes)
             need = sizes - -(-threshold * sizes // PARTS_OF) + 1
@@ -144,8 +149,9 @@ def _runs(batches: Iterator[pa.RecordBatch], names: list[str], key: str):
         yield rest
 
 
-def _leaders(threshold: int):
-    schema = pa.schema([("token", pa.int64()), ("sid", pa.int64()), ("size", pa.int32()), ("leader", pa.int64())])
+def _shared():
+    """Rows of the lists of two sets or more, each set once."""
+    schema = pa.schema([("token", pa.int64()), ("sid", pa.int64()), ("size", pa.int32())])
 
     def run(batches):
         for t in _runs(batches, ["token", "size", "sid"], "token"):
@@ -155,18 +161,39 @@ def _leaders(threshold: int):
             token, size, sid = token[fresh], size[fresh], sid[fresh]
             starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
             lengths = np.diff(np.r_[starts, len(token)])
-            first = np.repeat(starts, lengths)
-            leader = first.copy()
-            # a set too large for the list's first one follows the first set within its own tile
-            far = np.flatnonzero(threshold * size.astype(np.int64) > PARTS_OF * size[first].astype(np.int64))
-            if len(far):
-                head, current = -1, -1
-                for i in far.tolist():
-                    if first[i] != head or threshold * int(size[i]) > PARTS_OF * int(size[current]):
-                        head, current = first[i], i
-                    leader[i] = current
             many = np.repeat(lengths > 1, lengths)
-            yield B.record(schema, token[many], sid[many], size[many], sid[leader][many])
+            yield B.record(schema, token[many], sid[many], size[many])
+
+    return run
+
+
+def _leaders(threshold: int):
+    """For each row of a list the set of highest degree among those of compatible size (the row's tile)."""
+    schema = pa.schema([("sid", pa.int64()), ("leader", pa.int64()), ("degree", pa.int64())])
+
+    def run(batches):
+        for t in _runs(batches, ["token", "size", "sid", "degree"], "token"):
+            token, size, sid, degree = (t[c].to_numpy() for c in ("token", "size", "sid", "degree"))
+            n = len(token)
+            # token runs and sizes ascend, so each row's tile is a range; the range maximum by a sparse table over ranks
+            run_of = np.cumsum(np.r_[0, token[1:] != token[:-1]])
+            key = run_of.astype(np.float64) * 2.0**32 + size
+            low = np.searchsorted(key, run_of * 2.0**32 + np.ceil(threshold * size / PARTS_OF), "left")
+            high = np.searchsorted(key, run_of * 2.0**32 + np.floor(PARTS_OF * size / threshold), "right")
+            value = np.lexsort((sid, degree)).argsort()  # rank by degree, then set
+            levels, width = [value], 1
+            longest = int((high - low).max()) if n else 0
+            while 2 * width <= longest:
+                levels.append(np.maximum(levels[-1][:-width], levels[-1][width:]))
+                width *= 2
+            step = np.log2(np.maximum(high - low, 1)).astype(np.int64)
+            best = np.zeros(n, dtype=np.int64)
+            for j, level in enumerate(levels):
+                at = np.flatnonzero(step == j)
+                best[at] = np.maximum(level[low[at]], level[high[at] - (1 << j)])
+            leader = value.argsort()[best]
+            other = sid[leader] != sid
+            yield B.record(schema, sid[other], sid[leader][other], degree[leader][other])
 
     return run
 
@@ -178,7 +205,7 @@ def _wanted(schema_sets: bool, width: int, cells):
     def run(batches):
         bits = cells.value
         seen: set[int] = set()
-        for rows, values, cuts, sizes, sid in _sets(batches, width):
+        for rows, values, cuts, sizes, sid, long in _sets(batches, width):
             u = sid.view(U64)
             hit = (bits[((u >> U64(6)) & U64(len(bits) - 1)).astype(np.int64)] >> (u & U64(63))) & U64(1) == 1
             ids, lists = [], []
@@ -239,9 +266,9 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, threshold: int = THR
     return stored(both.mapInArrow(_intersect(threshold), "a long, b long"), "jaccard-links")
 
 
-def _tiles(threshold: int):
-    """Pairs of sets of one tile that are in different components and whose bitmaps allow a link."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _tiles(threshold: int, nearest: int):
+    """Pairs of sets of one tile that are in different components and whose bitmaps allow a link; with ``nearest``, so many for each set at most."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("apart", pa.float32())])
 
     def run(batches):
         for t in _runs(batches, ["token", "size", "sid", "comp", "bits"], "token"):
@@ -251,61 +278,74 @@ def _tiles(threshold: int):
             low, high = np.minimum.reduceat(comp, starts), np.maximum.reduceat(comp, starts)
             bits = t["bits"].combine_chunks()
             flat, offs = bits.values.to_numpy().view(U64), bits.offsets.to_numpy()
-            found: list[tuple[int, int]] = []
+            mine, theirs, far = [], [], []
             for s, e in zip(starts[low != high].tolist(), stops[low != high].tolist(), strict=True):
                 n, c = size[s:e].astype(np.int64), comp[s:e]
                 values, counts = np.unique(c, return_counts=True)
                 main = values[np.argmax(counts)]
-                longs = offs[s + 1 : e + 1] - offs[s:e]
-                few = int(longs.min())
+                few = int((offs[s + 1 : e + 1] - offs[s:e]).min())
                 folded = np.stack([fold(flat[offs[j] : offs[j + 1]], few) for j in range(s, e)])
-                minor = np.flatnonzero(c != main)
-                for i in minor.tolist():
+                for i in np.flatnonzero(c != main).tolist():
                     # against the main component both ways, against other minor ones once
                     other = (c != c[i]) & ((c == main) | (np.arange(e - s) < i))
                     other &= threshold * np.maximum(n, n[i]) <= PARTS_OF * np.minimum(n, n[i])
                     js = np.flatnonzero(other)
-                    if len(js):
-                        apart = np.bitwise_count(folded[js] ^ folded[i]).sum(axis=1).astype(np.int64)
-                        both = n[js] + n[i]
-                        # overlap is at most (both - apart) / 2
-                        js = js[PARTS_OF * (both - apart) >= threshold * (both + apart)]
-                        mine = int(sid[s + i])
-                        found.extend((min(mine, o), max(mine, o)) for o in sid[s + js].tolist())
-            if found:
-                pairs = np.unique(np.array(found, dtype=np.int64), axis=0)
-                yield B.record(schema, pairs[:, 0], pairs[:, 1])
+                    if not len(js):
+                        continue
+                    apart = np.bitwise_count(folded[js] ^ folded[i]).sum(axis=1).astype(np.int64)
+                    both = n[js] + n[i]
+                    ok = PARTS_OF * (both - apart) >= threshold * (both + apart)  # overlap is at most (both - apart) / 2
+                    js, ratio = js[ok], (apart / both)[ok]
+                    if nearest and len(js) > nearest:
+                        best = np.argpartition(ratio, nearest - 1)[:nearest]
+                        js, ratio = js[best], ratio[best]
+                    mine.append(np.full(len(js), sid[s + i]))
+                    theirs.append(sid[s + js])
+                    far.append(ratio)
+            if mine:
+                yield B.record(schema, np.concatenate(mine), np.concatenate(theirs), np.concatenate(far).astype(np.float32))
 
     return run
 
 
+def _crossing(lists: DataFrame, bits: DataFrame, joined: DataFrame, threshold: int, nearest: int, parts: int) -> DataFrame:
+    """``a, b``: candidate pairs between components; with ``nearest``, for each set only its nearest ones over all lists."""
+    marked = bits.join(joined.select(F.col("node").alias("sid"), "component"), "sid", "left").select("sid", F.coalesce("component", "sid").alias("comp"), F.col("members").alias("bits"))
+    marked = stored(marked, "jaccard-bits")
+    mixed = lists.join(marked.select("sid", "comp"), "sid").groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    tiles = lists.join(mixed, "token").join(marked, "sid").repartition(parts, "token").sortWithinPartitions("token", "size", "sid")
+    found = tiles.mapInArrow(_tiles(threshold, nearest), "a long, b long, apart float")
+    if nearest:
+        # the pairs of a set are at most ``nearest`` a list, and its lists at most its prefix
+        found = found.groupBy("a").agg(F.slice(F.array_sort(F.collect_set(F.struct("apart", "b"))), 1, nearest).alias("c")).select("a", F.explode("c.b").alias("b"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def jaccard_components(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, threshold: int = THRESHOLD) -> DataFrame:
     """Per document: ``key, n_shingles, component`` (smallest key reachable by links)."""
     spark = docs.sparkSession
     docs = docs.select(F.col(key_col).cast("long").alias("key"), F.col(text_col).alias("text"))
-    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = stored(docs.mapInArrow(_profile(width), "kind int, key long, sid long, size long, n long"), "jaccard-sets")
     keyed = rows.where("kind = 0").select("key", "sid", "size")
-    common = rows.where("kind = 1").groupBy("sid").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "sid").limit(MAX_COMMON).toPandas()
+    common = most_frequent(rows.where("kind = 1").groupBy("sid").agg(F.sum("n").alias("n")), MAX_COMMON).toPandas()
     order = np.argsort(common["sid"].to_numpy(dtype=np.int64).view(U64))
     values = spark.sparkContext.broadcast(common["sid"].to_numpy(dtype=np.int64).view(U64)[order])
     counts = spark.sparkContext.broadcast(common["n"].to_numpy(dtype=np.int64)[order])
-    lists = docs.mapInArrow(_postings(width, threshold, values, counts), "token long, sid long, size int").repartition(int(parts), "token").sortWithinPartitions("token", "size", "sid")
-    lists = stored(lists.mapInArrow(_leaders(threshold), "token long, sid long, size int, leader long"), "jaccard-lists")
+    lists = docs.mapInArrow(_postings(width, threshold, values, counts), "token long, sid long, size int").repartition(parts, "token").sortWithinPartitions("token", "size", "sid")
+    lists = stored(lists.mapInArrow(_shared(), "token long, sid long, size int"), "jaccard-lists")
+    degrees = lists.groupBy("sid").agg(F.count("*").alias("degree"))
+    ranked = lists.join(degrees, "sid").repartition(parts, "token").sortWithinPartitions("token", "size", "sid")
     # each set with the leader that it shares most lists with
-    led = lists.where("sid <> leader").groupBy("sid", "leader").agg(F.count("*").alias("n")).groupBy("sid").agg(F.max_by("leader", F.struct("n", "leader")).alias("leader"))
-    first = stored(led.select(F.least("sid", "leader").alias("a"), F.greatest("sid", "leader").alias("b")).distinct(), "jaccard-first")
-    links = verified(docs, first, width, threshold)
-    joined = components(links)
-    sids = lists.select("sid").distinct()
-    bits = wanted_members(docs, sids, width, False)
-    marked = sids.join(bits, "sid").join(joined.select(F.col("node").alias("sid"), "component"), "sid", "left").select("sid", F.coalesce("component", "sid").alias("comp"), F.col("members").alias("bits"))
-    marked = stored(marked, "jaccard-bits")
-    mixed = lists.join(marked.select("sid", "comp"), "sid").groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    tiles = lists.select("token", "size", "sid").join(mixed, "token").join(marked, "sid").repartition(int(parts), "token").sortWithinPartitions("token", "size", "sid")
-    pairs = tiles.mapInArrow(_tiles(threshold), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
-    more = verified(docs, stored(pairs, "jaccard-pairs"), width, threshold)
-    every = links.unionByName(more)
+    led = ranked.mapInArrow(_leaders(threshold), "sid long, leader long, degree long").groupBy("sid", "leader").agg(F.count("*").alias("n"), F.max("degree").alias("degree"))
+    led = led.groupBy("sid").agg(F.max_by("leader", F.struct("n", "degree", "leader")).alias("leader"))
+    tried = stored(led.select(F.least("sid", "leader").alias("a"), F.greatest("sid", "leader").alias("b")).distinct(), "jaccard-pairs")
+    every = verified(docs, tried, width, threshold)
+    bits = stored(wanted_members(docs, lists.select("sid").distinct(), width, False).join(degrees.select("sid"), "sid", "left_semi"), "jaccard-bits")
+    # the nearest sets of other components, then all that are left
+    for nearest in (NEAREST, 0):
+        pairs = stored(_crossing(lists, bits, components(every), threshold, nearest, parts).join(tried, ["a", "b"], "left_anti"), "jaccard-pairs")
+        every, tried = every.unionByName(verified(docs, pairs, width, threshold)), tried.unionByName(pairs)
     # from sets to documents: a set stands for the smallest key that has it
     least = keyed.where("size > 0").groupBy("sid").agg(F.min("key").alias("least"))
     named = every.join(least.select(F.col("sid").alias("a"), F.col("least").alias("u")), "a").join(least.select(F.col("sid").alias("b"), F.col("least").alias("v")), "b").select("u", "v")
