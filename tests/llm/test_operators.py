@@ -177,6 +177,24 @@ def test_pages(spark):
     assert html_main.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_repeated_runs_inside_articles(spark):
+    offer, own = "Get our daily letter with the best stories of the week", [" ".join(words(20, 50 + i)) for i in range(4)]
+    page = "<body><nav>a b</nav><article><p>{}</p><p>{}</p></article></body>"
+    rows = [*((i, f"http://h/{i}", page.format(own[i], offer)) for i in range(4)), *((i, f"http://copies/{i}", page.format(own[0], own[1])) for i in range(10, 14)), (20, "http://other/", page.format(own[0], offer))]
+    got = {r.key: r.text for r in html_main.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(4)] == own
+    assert all(got[i] == f"{own[0]}\n{own[1]}" for i in range(10, 14))  # a repeated article is a copy
+    assert got[20] == f"{own[0]}\n{offer}"  # runs count by host
+
+
+def test_articles_in_marked_wrappers():
+    main = lambda page: [t for z, t in html_main.page_blocks(page) if z == html_main.MAIN]
+    assert main("<div class='layout with-sidebar'><div class='sidebar'>x</div><article><header>h</header><p>y</p></article></div>") == ["h", "y"]
+    assert main("<main>m<div class='with-sidebar'><article>y<section class='comments'><article>z</article></section></article></div></main>") == ["m", "y"]
+    assert main("<article>y</article><div class='related'><article>z</article></div>") == ["y"]
+    assert main("<aside><article>z</article></aside><nav class='menu'><article>z</article></nav>") == []
+
+
 def test_run_ranks_order_suffixes():
     token, block = np.array([5, 3, 5, 3, 9, 5, 3], dtype=np.uint64), np.array([0, 0, 1, 1, 1, 2, 2])
     order, rank = html_main.run_ranks(token, block, 8)

@@ -1,10 +1,14 @@
 """HTML extraction: the main text of pages.
 
 Pages are cut into blocks of text, each with a zone: main (inside an article), boilerplate (inside navigation, headers, footers, asides, forms, or elements whose
-class, id or role says so), or open. Long token runs that repeat across pages of a host are boilerplate as well: each task builds the suffix array of
-its pages' open and boilerplate token streams (prefix doubling to ``RUN`` tokens, streams concatenated with separators, the host part of each token) and
+class, id or role says so), or open. A class or id marks weakly: an article inside such an element is main all the same, unless it lies in another article or the page
+has an article outside. Long token runs that repeat across pages of a host are boilerplate as well: each task builds the suffix array of
+its pages' token streams (all zones; prefix doubling to ``RUN`` tokens, streams concatenated with separators, the host part of each token) and
 reports its intervals with the number of pages they occur on; Spark sums them by host and run, so the host with a third of all pages is never
-in one task. Pages with an article keep exactly its blocks; on others, open blocks mostly covered by repeated runs are removed and the unique ones kept.
+in one task. So that few runs are shuffled whole, ``PREFIX`` bits of each are counted first, packed, and a bitmap of those on enough pages is tested
+before the exact sums. The zone is where a page starts from (its main blocks, or the open ones where it has none); of these, the blocks mostly covered by repeated
+runs are removed. An article that is itself mostly repeated is a copy, not boilerplate, and stays; whole blocks too short for a run are evidence against
+open blocks only.
 
 Defined cases: null and empty html give an empty text; malformed markup is read as browsers do (unclosed elements end with
 their parents); character references are decoded, also those cut short; repeated rows are pages of their own; a null url is a host of its own.
@@ -26,9 +30,17 @@ from tracefold.llm.common import stored, table
 U64 = np.uint64
 #: Tokens of the repeated runs (a shorter block is a run of its own), and pages of a host that make a run boilerplate.
 RUN, MIN_PAGES = 8, 3
-#: Share of an open block's tokens that repeated runs must cover for its removal.
+#: Share of a block's tokens that repeated runs must cover for its removal; an article of which they cover as much is a copy.
 COVERED = 0.5
+#: Bytes of block text whose streams are worked on at once.
+PIECE = 4 * B.CHUNK
+#: Bits of a run's name that choose its packet, and with the 32 after them are counted before the exact sums; most bits of the bitmap (beyond, more runs pass).
+PACKET, PREFIX, MOST_BITS = 10, 42, 28
 OPEN, MAIN, BOILERPLATE = 0, 1, 2
+#: Pages with removed blocks up to which these are broadcast; more are shuffled.
+MAX_BROADCAST = 200_000
+#: While a page is parsed: boilerplate by class or id only, and an article inside it.
+MARKED, NESTED = 3, 4
 
 # Element names and the words of class, id and role that mark boilerplate.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -44,18 +56,20 @@ _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _PART = re.compile(r"[^a-z0-9]+")
 
 
-def _marked(name: str, attrs: str, inside_main: bool) -> bool:
+def _marked(name: str, attrs: str, inside_main: bool) -> int:
+    """BOILERPLATE, MARKED where only a class or id says so, or OPEN."""
     if name in ASIDES or (name == "header" and not inside_main):
-        return True
+        return BOILERPLATE
     if not attrs:
-        return False
+        return OPEN
+    mark = OPEN
     for key, value in _ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'").lower()
         if key in ("class", "id") and not MARKS.isdisjoint(_PART.split(value)) and name not in ("html", "body"):
-            return True
+            mark = MARKED
         if key == "role" and value in ROLES or key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
-    return False
+            return BOILERPLATE
+    return mark
 
 
 def page_blocks(page: str | None) -> list[tuple[int, str]]:
@@ -65,15 +79,18 @@ def page_blocks(page: str | None) -> list[tuple[int, str]]:
     out: list[tuple[int, str]] = []
     stack: list[tuple[str, int, bool]] = []  # name, zone, hidden
     zone, hidden = OPEN, False
+    outside = False  # an article that no marked element holds has text
     parts: list[str] = []
     pos, n = 0, len(page)
 
     def close() -> None:
+        nonlocal outside
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             parts.clear()
             if text:
                 out.append((zone, text))
+                outside = outside or (zone == MAIN and any(s[0] == "article" for s in stack))
 
     def pop(to: int) -> None:
         nonlocal zone, hidden
@@ -125,38 +142,35 @@ def page_blocks(page: str | None) -> list[tuple[int, str]]:
         is_hidden = hidden or name in HIDDEN
         inner = zone
         if zone != BOILERPLATE:
-            if _marked(name, m[3], zone == MAIN):
-                inner = BOILERPLATE
+            mark = _marked(name, m[3], zone in (MAIN, NESTED))
+            if mark == MARKED and any(s[0] == "article" for s in stack):
+                mark = BOILERPLATE
+            if mark:
+                inner = mark
             elif name in ("article", "main"):
-                inner = MAIN
+                inner = NESTED if zone in (MARKED, NESTED) else MAIN
         if name in BLOCKS or is_hidden or inner != zone:
             if inner != zone:
                 close()
             stack.append((name, inner, is_hidden))
             zone, hidden = inner, is_hidden
     close()
-    return out
+    final = {MARKED: BOILERPLATE, NESTED: BOILERPLATE if outside else MAIN}
+    return [(final.get(z, z), t) for z, t in out]
 
 
-PARSED = "rid long, host string, main string, has_main boolean, zones array<int>, texts array<string>"
+PARSED = "rid long, host string, zones array<int>, texts array<string>"
 
 
 def _parse():
-    schema = pa.schema([("rid", pa.int64()), ("host", pa.string()), ("main", pa.string()), ("has_main", pa.bool_()), ("zones", pa.list_(pa.int32())), ("texts", pa.list_(pa.string()))])
+    schema = pa.schema([("rid", pa.int64()), ("host", pa.string()), ("zones", pa.list_(pa.int32())), ("texts", pa.list_(pa.string()))])
 
     def run(batches):
         for rows, _, _ in B.chunks(batches, "html"):
             col = lambda c: rows.column(rows.schema.get_field_index(c))  # noqa: B023, E731
-            main, has, zones, texts = [], [], [], []
-            for page in col("html").to_pylist():
-                blocks = page_blocks(page)
-                mine = [t for z, t in blocks if z == MAIN]
-                rest = [(z, t) for z, t in blocks if z != MAIN]
-                main.append("\n".join(mine))
-                has.append(bool(mine))
-                zones.append([z for z, _ in rest])
-                texts.append([t for _, t in rest])
-            yield B.record(schema, col("rid"), col("host"), pa.array(main, pa.string()), np.array(has), pa.array(zones, schema.field("zones").type), pa.array(texts, schema.field("texts").type))
+            pages = [page_blocks(page) for page in col("html").to_pylist()]
+            zones, texts = [[z for z, _ in p] for p in pages], [[t for _, t in p] for p in pages]
+            yield B.record(schema, col("rid"), col("host"), pa.array(zones, schema.field("zones").type), pa.array(texts, schema.field("texts").type))
 
     return run
 
@@ -208,11 +222,26 @@ def _names(token: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, length[starts], name
 
 
-def _intervals():
-    schema = pa.schema([("run", pa.int64()), ("pages", pa.int64())])
+def _pieces(batches):
+    """The batches cut after about ``PIECE`` bytes of text (one larger page is worked on alone)."""
+    for batch in batches:
+        sizes = [sum(map(len, page)) for page in batch.column(batch.schema.get_field_index("texts")).to_pylist()]
+        begin = held = 0
+        for i, size in enumerate(sizes):
+            if i > begin and held + size > PIECE:
+                yield batch.slice(begin, i - begin)
+                begin, held = i, 0
+            held += size
+        if begin < batch.num_rows:
+            yield batch.slice(begin)
+
+
+def _packets(min_pages: int):
+    """Per piece and packet: the prefixes of its intervals, each as often as it has pages (at most ``min_pages`` times), sorted, byte by byte."""
+    schema = pa.schema([("packet", pa.int32()), ("prefixes", pa.binary())])
 
     def run(batches):
-        for batch in batches:
+        for batch in _pieces(batches):
             hosts = [h or "" for h in batch.column(batch.schema.get_field_index("host")).to_pylist()]
             token, page, block = stream(hosts, batch.column(batch.schema.get_field_index("texts")).to_pylist())
             if not len(token):
@@ -220,20 +249,70 @@ def _intervals():
             starts, _, name = _names(token, block)
             _, rank = run_ranks(token, block)
             # pages of each interval: distinct (rank, page) pairs
-            pairs = np.unique(np.stack([rank[starts], page[starts]], axis=1), axis=0)
-            ranks, pages = np.unique(pairs[:, 0], return_counts=True)
+            pairs = np.unique(rank[starts] * batch.num_rows + page[starts])
+            ranks, pages = np.unique(pairs // batch.num_rows, return_counts=True)
             some = np.zeros(int(rank.max()) + 1, dtype=U64)
             some[rank[starts]] = name
-            yield B.record(schema, some[ranks].view(np.int64), pages)
+            prefix = np.sort(np.repeat(some[ranks] >> U64(64 - PREFIX), np.minimum(pages, min_pages)))
+            packet = (prefix >> U64(32)).astype(np.int64)
+            cuts = np.searchsorted(packet, np.arange((1 << PACKET) + 1))
+            some_in = np.flatnonzero(np.diff(cuts))
+            yield B.record(schema, some_in.astype(np.int32), pa.array([prefix[cuts[i] : cuts[i + 1]].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes() for i in some_in], pa.binary()))
+
+    return run
+
+
+def _frequent(min_pages: int):
+    """The prefixes of a packet that pieces name ``min_pages`` times."""
+
+    def run(part: pa.Table) -> pa.Table:
+        values = [np.frombuffer(x, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel() for x in part.column("prefixes").to_pylist()]
+        value, times = np.unique(np.concatenate(values), return_counts=True)
+        packet = part.column("packet")[0].as_py()
+        return pa.table({"prefix": pa.array((packet << 32) + value[times >= min_pages].astype(np.int64), pa.int64())})
+
+    return run
+
+
+def _bitmap(prefixes: DataFrame):
+    """A broadcast bitmap of the prefixes' leading bits, some 32 for each prefix up to ``MOST_BITS``, and the number of leading bits."""
+    bits = min(MOST_BITS, max(10, (32 * prefixes.count()).bit_length()))
+    at = F.shiftright("prefix", PREFIX - bits)
+    words = prefixes.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(shiftright(prefix, {PREFIX - bits}) & 63 AS INT))")).alias("cell")).toArrow()
+    cells = np.zeros(1 << (bits - 6), dtype=np.int64)
+    cells[words.column("word").to_numpy()] = words.column("cell").to_numpy()
+    return prefixes.sparkSession.sparkContext.broadcast(cells), bits
+
+
+def _passes(name: np.ndarray, cells: np.ndarray, bits: int) -> np.ndarray:
+    at = name >> U64(64 - bits)
+    return (cells.view(U64)[(at >> U64(6)).astype(np.int64)] >> (at & U64(63))) & U64(1) == 1
+
+
+def _intervals(cells, bits: int):
+    schema = pa.schema([("run", pa.int64()), ("pages", pa.int64())])
+
+    def run(batches):
+        for batch in _pieces(batches):
+            hosts = [h or "" for h in batch.column(batch.schema.get_field_index("host")).to_pylist()]
+            token, page, block = stream(hosts, batch.column(batch.schema.get_field_index("texts")).to_pylist())
+            if not len(token):
+                continue
+            starts, _, name = _names(token, block)
+            use = _passes(name, cells.value, bits)
+            name, runs = np.unique(name[use], return_inverse=True)
+            pairs = np.unique(runs * batch.num_rows + page[starts[use]])
+            runs, pages = np.unique(pairs // batch.num_rows, return_counts=True)
+            yield B.record(schema, name[runs].view(np.int64), pages)
 
     return run
 
 
-def _windows():
-    schema = pa.schema([("rid", pa.int64()), ("block", pa.int32()), ("at", pa.int32()), ("len", pa.int32()), ("size", pa.int32()), ("run", pa.int64())])
+def _windows(cells, bits: int):
+    schema = pa.schema([("rid", pa.int64()), ("block", pa.int32()), ("at", pa.int32()), ("len", pa.int32()), ("size", pa.int32()), ("article", pa.int32()), ("run", pa.int64())])
 
     def run(batches):
-        for batch in batches:
+        for batch in _pieces(batches):
             col = lambda c: batch.column(batch.schema.get_field_index(c)).to_pylist()  # noqa: B023, E731
             texts, zones, rid = col("texts"), col("zones"), np.array(col("rid"), dtype=np.int64)
             token, page, block = stream([h or "" for h in col("host")], texts)
@@ -244,9 +323,12 @@ def _windows():
             number = np.concatenate([np.arange(len(p)) for p in texts])
             begin = np.searchsorted(block, block[starts])
             size = np.bincount(block, minlength=len(zone))
-            use = zone[block[starts]] == OPEN
+            # tokens of each page's article; a page that has one is judged by its main blocks, another by its open ones
+            article = np.bincount(page[zone[block] == MAIN], minlength=len(texts))
+            at = zone[block[starts]]
+            use = np.where(article[page[starts]] > 0, (at == MAIN) & (length == RUN), at == OPEN) & _passes(name, cells.value, bits)
             b = block[starts][use]
-            yield B.record(schema, rid[page[starts]][use], number[b].astype(np.int32), (starts - begin)[use].astype(np.int32), length[use].astype(np.int32), size[b].astype(np.int32), name[use].view(np.int64))
+            yield B.record(schema, rid[page[starts]][use], number[b].astype(np.int32), (starts - begin)[use].astype(np.int32), length[use].astype(np.int32), size[b].astype(np.int32), article[page[starts]][use].astype(np.int32), name[use].view(np.int64))
 
     return run
 
@@ -258,16 +340,22 @@ def main_text(pages: DataFrame, key_col: str = "page_id", url_col: str = "url",
     # the key and url ride along in the stored rows: rid only names rows within them
     schema = "key {}, url string, ".format(rows.schema["key"].dataType.simpleString()) + PARSED
     keep = stored(rows.mapInArrow(_with(_parse()), schema), "html-blocks")
-    runs = keep.select("host", "texts").mapInArrow(_intervals(), "run long, pages long").groupBy("run").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= min_pages).select("run")
-    bare = keep.where(~F.col("has_main"))
-    seen = bare.select("rid", "host", "zones", "texts").mapInArrow(_windows(), "rid long, block int, at int, len int, size int, run long").join(runs, "run")
+    pieces = keep.select("host", "texts")
+    prefixes = stored(pieces.mapInArrow(_packets(min_pages), "packet int, prefixes binary").groupBy("packet").applyInArrow(_frequent(min_pages), "prefix long"), "html-prefixes")
+    cells, bits = _bitmap(prefixes)
+    runs = pieces.mapInArrow(_intervals(cells, bits), "run long, pages long").groupBy("run").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= min_pages).select("run")
+    seen = keep.select("rid", "host", "zones", "texts").mapInArrow(_windows(cells, bits), "rid long, block int, at int, len int, size int, article int, run long").join(runs, "run")
     places = F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("len") - 1))))
-    covered = seen.groupBy("rid", "block", "size").agg(F.size(places).alias("n")).where(F.col("n") >= COVERED * F.col("size")).groupBy("rid").agg(F.collect_set("block").alias("gone"))
+    covered = seen.groupBy("rid", "block", "size", "article").agg(F.size(places).alias("n"))
+    found = covered.groupBy("rid", "article").agg(F.collect_set(F.when(F.col("n") >= COVERED * F.col("size"), F.col("block"))).alias("gone"), F.sum("n").alias("n"))
+    found = stored(found.where((F.col("article") == 0) | (F.col("n") < COVERED * F.col("article"))).where(F.size("gone") > 0).select("rid", "gone"), "html-gone")
+    if found.count() <= MAX_BROADCAST:
+        found = F.broadcast(found)
     blocks = F.arrays_zip(F.col("zones").alias("zone"), F.col("texts").alias("text"))
     numbered = F.transform(blocks, lambda b, i: F.struct(b["zone"].alias("z"), b["text"].alias("t"), i.alias("i")))
-    left = F.filter(numbered, lambda b: (b["z"] == OPEN) & ~F.array_contains(F.coalesce(F.col("gone"), F.array().cast("array<int>")), b["i"]))
-    rest = bare.join(covered, "rid", "left").select("key", "url", F.array_join(F.transform(left, lambda b: b["t"]), "\n").alias("text"))
-    return keep.where("has_main").select("key", "url", F.col("main").alias("text")).unionByName(rest)
+    mine = F.when(F.array_contains("zones", MAIN), MAIN).otherwise(OPEN)
+    left = F.filter(numbered, lambda b: (b["z"] == mine) & ~F.array_contains(F.coalesce(F.col("gone"), F.array().cast("array<int>")), b["i"]))
+    return keep.join(found, "rid", "left").select("key", "url", F.array_join(F.transform(left, lambda b: b["t"]), "\n").alias("text"))
 
 
 def _with(parse):
