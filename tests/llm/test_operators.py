@@ -58,6 +58,13 @@ def test_line_runs(spark):
     assert got[3] == big and got[4] == "before\nafter" and got[5] == ""
 
 
+def test_line_runs_are_deleted_whole(spark):
+    run = [" ".join(words(n, 70 + i)) for i, n in enumerate((20, 20, 10))]
+    table = docs(spark, "\n".join([*run, "one"]), "\n".join([*run, "two"]), "\n".join([*run[:2], "three"]))
+    got = {r.doc_id: r.text for r in line_dedup.delete_repeated_lines(table).collect()}
+    assert got == {0: "\n".join([*run, "one"]), 1: "two", 2: "three"}
+
+
 def test_line_dedup_of_odd_rows(spark):
     out = line_dedup.delete_repeated_lines(odd(spark))
     assert out.count() == 10 and out.where("n_removed > 0").count() == 0

@@ -4,8 +4,10 @@ The corpus is a sequence of line IDs, one sequence a document (blank lines are l
 distributed prefix doubling: the ranks of the first h lines at p and at p + h, as a pair, are sorted by range partitions and numbered, which gives the
 ranks of the first 2h lines in suffix-array order. Suffixes of equal rank form an interval whose common prefix is at least h lines; an interval of one
 suffix is dropped at once, so only repeated lines take part after the first round. A run counts once it has ``min_words`` words, or else
-``min_lines`` lines; the windows of that least length that an earlier document or place has too are deleted, and
-their unions are the maximal repeated runs. DataFrame functions only; a class of lines is only ever counted, never gathered.
+``min_lines`` lines. A start's window of that least length is deleted if an earlier document or place has it too, and so is each longer prefix up to
+``min_lines`` lines: a start further on in the same run has fewer lines left than that or its own window, so the union is every repeated run as a whole.
+With ``whole_runs`` off only the least windows go, which leaves up to ``min_lines - 1`` last lines of a run; the SQL of ``op1_line_dedup`` is stated so.
+DataFrame functions only; a class of lines is only ever counted, never gathered.
 
 Defined cases: null and empty texts have no lines; lines compare by their text without spaces at the ends; rows that repeat key and text are one
 document and get one result each; null keys come last; no rows give no rows; other columns pass through ``delete_repeated_lines``.
@@ -53,7 +55,7 @@ def _ahead(column: str, lines: int) -> Column:
     return F.max(column).over(Window.partitionBy("key", "th").orderBy("pos").rangeBetween(lines, lines))
 
 
-def repeated_windows(docs: DataFrame, key_col: str, text_col: str, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_windows(docs: DataFrame, key_col: str, text_col: str, min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, whole_runs: bool = True) -> DataFrame:
     """``key, th, idx, until``: line index ranges (inclusive) that an earlier place has too."""
     ids = line_ids(docs, key_col, text_col)
     level, h = "r1", 1
@@ -75,21 +77,21 @@ def repeated_windows(docs: DataFrame, key_col: str, text_col: str, min_lines: in
     for i in reversed(range(min_lines - 1)):
         length = F.when(upto[i] >= min_words, i + 1).otherwise(length)
     df = df.withColumn("len", length)
-    first, second, last = F.lit(None).cast("long"), F.lit(None).cast("long"), F.lit(None).cast("int")
+    prefixes = []
     for k in range(1, min_lines + 1):
         j = max(x for x in levels if x <= k)
-        first = F.when(F.col("len") == k, F.col(levels[j])).otherwise(first)
-        second = F.when(F.col("len") == k, _ahead(levels[j], k - j)).otherwise(second)
-        last = F.when(F.col("len") == k, _ahead("idx", k - 1)).otherwise(last)
-    windows = df.select("key", "th", "pos", "idx", "len", first.alias("a"), second.alias("b"), last.alias("until")).where("a IS NOT NULL AND b IS NOT NULL AND until IS NOT NULL")
+        df = df.withColumns({f"a{k}": F.col(levels[j]), f"b{k}": _ahead(levels[j], k - j), f"until{k}": _ahead("idx", k - 1)})
+        prefixes.append(F.struct(F.lit(k).alias("lines"), F.col(f"a{k}").alias("a"), F.col(f"b{k}").alias("b"), F.col(f"until{k}").alias("until")))
+    wanted = F.filter(F.array(*prefixes), lambda x: (x["lines"] >= F.col("len")) if whole_runs else (x["lines"] == F.col("len")))
+    windows = df.select("key", "th", "pos", "idx", F.explode(wanted).alias("x")).select("key", "th", "pos", "idx", F.col("x.lines").alias("len"), "x.a", "x.b", "x.until").where("a IS NOT NULL AND b IS NOT NULL AND until IS NOT NULL")
     windows = stored(windows, "line-windows")
     firsts = windows.groupBy("len", "a", "b").agg(F.min(_place()).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c")
     return windows.join(firsts, ["len", "a", "b"]).where(F.col("first") < _place()).select("key", "th", "idx", "until")
 
 
-def delete_repeated_lines(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
+def delete_repeated_lines(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, whole_runs: bool = True) -> DataFrame:
     """``docs`` with ``text`` cut, and ``n_lines, n_removed``."""
-    gone = repeated_windows(docs, key_col, text_col, min_lines, min_words).groupBy("key", "th").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("idx", "until")))).alias("_gone"))
+    gone = repeated_windows(docs, key_col, text_col, min_lines, min_words, whole_runs).groupBy("key", "th").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence("idx", "until")))).alias("_gone"))
     hashed = docs.withColumn("_h", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     gone = gone.select(F.col("key").alias("_k"), F.col("th").alias("_h"), "_gone")
     joined = hashed.join(gone, (hashed["_h"] == gone["_h"]) & hashed[key_col].eqNullSafe(gone["_k"]), "left").drop("_k", "_h")
@@ -105,7 +107,7 @@ def delete_repeated_lines(docs: DataFrame, key_col: str = "doc_id", text_col: st
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = delete_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = delete_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), whole_runs=False)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
