@@ -127,3 +127,21 @@ def test_association_extremes(spark):
     df = spark.createDataFrame(rows, "case_id string, variant string, attribute string, value string")
     got = {r.attribute: r for r in attributes.associations(df).collect()}
     assert got["same"].ner == pytest.approx(1) and got["free"].er == pytest.approx(0) and got["one"].status == "not_applicable"
+
+
+def test_registered_bootstraps_are_whole(spark, monkeypatch):
+    from tracefold.plans import behaviour, core, outcomes
+
+    seen = []
+    gof = powerlaw.goodness_of_fit
+
+    def few(freqs, fits, by, replicates=1000, **_):
+        seen.append((replicates, sorted(r.log for r in freqs.select("log").distinct().collect())))
+        return gof(freqs, fits, by, replicates=2)
+
+    monkeypatch.setattr(powerlaw, "goodness_of_fit", few)
+    monkeypatch.setattr(attributes, "permutation_p", lambda rows, replicates=200: seen.append(replicates))
+    assert outcomes.powerlaw_gof(spark, "/root/testdata/sf0.001").count() > 0
+    outcomes.powerlaw_outcomes(spark, "/root/testdata/sf0.001")
+    behaviour.attribute_permutation(spark, "/root/testdata/sf0.001")
+    assert seen == [(1000, sorted(core.LOGS))] * 2 + [200]

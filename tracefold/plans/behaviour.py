@@ -114,7 +114,7 @@ def attribute_bins(method: str):
 
 def attribute_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return at.permutation_p(at.long_form(orders, "o_orderkey", ["o_orderpriority"], "o_orderstatus"), replicates=20)
+    return at.permutation_p(at.long_form(orders, "o_orderkey", ["o_orderpriority"], "o_orderstatus"))
 
 
 def collisions(spark: SparkSession, sf_dir: str) -> DataFrame:

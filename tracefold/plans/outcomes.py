@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracefold.operators import decision, paired, powerlaw, sensitivity
 from tracefold.operators import traces as tr
+from tracefold.plans.core import LOGS as ALL_LOGS
 from tracefold.plans.core import log_traces
 
 LOGS = 24
@@ -117,9 +118,9 @@ def sensitivity_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 7) for c in ("difference_min", "difference_max")})
 
 
-def _log_frequencies(spark: SparkSession, sf_dir: str, concepts=("variants", "n3")) -> DataFrame:
+def _log_frequencies(spark: SparkSession, sf_dir: str, concepts=("variants", "n3"), logs=("events_by_day", "lineitem")) -> DataFrame:
     out = None
-    for log in ("events_by_day", "lineitem"):
+    for log in logs:
         rows = log_traces(spark, sf_dir, log)
         for c in concepts:
             part = tr.frequencies(rows, c)
@@ -132,9 +133,9 @@ def powerlaw_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def powerlaw_gof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    freqs = _log_frequencies(spark, sf_dir, ("variants",))
+    freqs = _log_frequencies(spark, sf_dir, ("variants",), ALL_LOGS)
     fits = powerlaw.fits(freqs, ["log", "concept"], ("lower_bounded_power_law",))
-    return powerlaw.goodness_of_fit(freqs, fits, ["log", "concept"], replicates=40, block=10)
+    return powerlaw.goodness_of_fit(freqs, fits, ["log", "concept"])
 
 
 def powerlaw_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,10 +145,10 @@ def powerlaw_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def powerlaw_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole chain on the logs: fit, bootstrap, comparison, code."""
-    freqs = _log_frequencies(spark, sf_dir, ("variants",))
+    freqs = _log_frequencies(spark, sf_dir, ("variants",), ALL_LOGS)
     by = ["log", "concept"]
     fits = powerlaw.fits(freqs, by, ("lower_bounded_power_law",))
-    gof = powerlaw.goodness_of_fit(freqs, fits, by, replicates=20, block=5)
+    gof = powerlaw.goodness_of_fit(freqs, fits, by)
     return decision.classified(fits.join(gof.drop("model"), by, "left"), powerlaw.comparisons(freqs, fits, by)).select(*by, "n_fitted", "gof_p", "code")
 
 
