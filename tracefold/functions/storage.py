@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a folder of our own where it is unset (as in tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.path.join(tempfile.gettempdir(), 'tracefold-shared')}"
+    """``spark.checkpoint.dir``; where it is unset, a folder of our own, if driver and executors are one process (as in tests)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return folder or f"file://{os.path.join(tempfile.gettempdir(), 'tracefold-shared')}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
