@@ -106,6 +106,20 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
         return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
 
 
+def order_within(group: np.ndarray, values: np.ndarray, groups: int, score: np.ndarray | None = None, score_bits: int = 0) -> np.ndarray:
+    """The order by group, then score (under ``2 ** score_bits``), then value; equal triples in any order."""
+    bits = max(groups - 1, 1).bit_length() + score_bits
+    key = (group.astype(U64) << U64(64 - bits + score_bits)) | (values >> U64(bits))
+    if score is not None:
+        key |= score.astype(U64) << U64(64 - bits)
+    order = np.argsort(key)
+    key, sorted_values = key[order], values[order]
+    # the last bits of a value aren't in the key: where they would decide, sort in full
+    if len(key) > 1 and ((key[1:] == key[:-1]) & (sorted_values[1:] != sorted_values[:-1])).any():
+        return np.lexsort((values, group) if score is None else (values, score, group))
+    return order
+
+
 def word_shingles(hashes: np.ndarray, bounds: np.ndarray, width: int, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of each row's distinct runs of ``width`` words, sorted by row and hash, the rows' bounds, and the runs' lengths as sums of ``lengths``.
 
@@ -130,7 +144,7 @@ def word_shingles(hashes: np.ndarray, bounds: np.ndarray, width: int, lengths: n
                 extra[here] = mix(extra[here] * U64(0x2545F4914F6CDD1D) + hashes[bounds[short[here]] + i] + U64(1000 + width))
             values, rows_of = np.concatenate([values, mix(extra + counts[short].astype(U64))]), np.concatenate([rows_of, short])
             long = np.concatenate([long, upto[bounds[short + 1]] - upto[bounds[short]]])
-    order = np.lexsort((values, rows_of))
+    order = order_within(rows_of, values, rows)
     values, rows_of, long = values[order], rows_of[order], long[order]
     if len(values):
         new = np.ones(len(values), dtype=bool)

@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, NullType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -20,6 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_key(df: DataFrame, name: str) -> Column:
+    """The key column as a long; a key of another kind is refused rather than turned into nulls."""
+    kind = df.schema[name].dataType
+    if not isinstance(kind, IntegralType | NullType):
+        raise TypeError(f"the key {name} must hold whole numbers, not {kind.simpleString()}")
+    return F.col(name).cast("long")
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once a row.
 
@@ -53,9 +62,11 @@ def most_frequent(counts: DataFrame, limit: int, n: str = "n") -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, one of our own, if driver and executors are one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{os.path.join(tempfile.gettempdir(), 'tracefold-checkpoints')}"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
