@@ -332,3 +332,17 @@ def test_url_templates_learn(spark):
     got = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, bad boolean"), label_col="bad").collect()
     assert all(r.verdict == ("block" if r.page_id % 2 else "allow") for r in got)
     assert url_filter.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_urls_without_a_rule_are_judged_by_the_tree(spark):
+    # s.net: what the rules say is blocked; t.org: nothing is known; deep paths differ in their last segments only
+    urls = [f"http://s.net/es/{i}" for i in range(20)] + ["http://s.net/de/1", "http://www.s.net/x", "http://t.org/de/1"]
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.filter_urls(rows).collect()}
+    assert got[20].rule is None and got[20].verdict == "block" and got[20].purity >= 0.75  # its host's labels
+    assert got[21].verdict == "block" and got[21].evidence == 20  # its sibling host's labels
+    assert (got[22].verdict, got[22].evidence, got[22].purity) == ("allow", 0, 0.5)
+    deep = "/".join(["a"] * 20)
+    rows = spark.createDataFrame([(i, f"http://h.org/{deep}/{'bad' if i % 2 else 'good'}/x", i % 2 == 1) for i in range(40)] * 2, "page_id long, url string, label boolean")
+    got = url_filter.filter_urls(rows, label_col="label").collect()
+    assert len(got) == 80 and all(r.verdict == ("block" if r.page_id % 2 else "allow") for r in got)

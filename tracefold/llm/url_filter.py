@@ -1,13 +1,18 @@
 """URL filters: explicit host and path rules, then a tree of path templates judged by labelled purity.
 
-Per host, path segments that vary are generalised into ``*``: by their shape (digits, long hexadecimal, dates) and by
-statistics (more than ``max_children`` siblings, or a share under ``min_share`` of them). Sibling branches whose labelled rates do
-not differ significantly from their pooled rate are merged. A template with at least ``min_labels`` labels whose smoothed
-share of blocked labels reaches ``threshold`` is rejected. Labels are given as a column, or come from the rules' own verdicts.
-Every step is a grouped count, so a host with a third of all rows is summed before it is shuffled. DataFrame functions only.
-
-Defined cases: a null url or one without ``://`` has an empty host and path and matches no rule; a path deeper than ``depth``
-continues as one ``**`` segment; repeated rows are each judged alike; without labels everything unmatched is allowed.
+Per host, path segments that vary are generalised into ``*``: by their shape (digits, long hexadecimal, long text) and by statistics (more
+than ``max_children`` siblings, or a share under ``min_share`` of them). The tree goes as deep as the paths; statistics are taken for the first
+``LEVELS`` segments, later ones are generalised by their shape alone. Sibling branches whose labelled rates do not differ significantly from
+their pooled rate are merged and share their figures.
+
+Labels are given as a column, or come from the rules' own verdicts. A template's purity (the share of blocked labels) is smoothed along its
+way down the tree: from the host's domain over its sibling hosts, to the host, to each branch, every node pulls the estimate towards its own labels,
+so a template with few labels or none takes the purity of its nearest ancestors. It is rejected if that reaches ``threshold`` and some node on
+the way has ``min_labels`` labels. Every step is a grouped count, so a host with a third of all rows is summed before it is shuffled.
+DataFrame functions only.
+
+Defined cases: a null url or one without ``://`` has an empty host and path and matches no rule; repeated rows are each judged alike; without
+labels everything unmatched is allowed; other columns are ignored; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -17,10 +22,21 @@ from pyspark.sql import functions as F
 
 from tracefold.llm.common import ascii_lower, stored, table
 
-DEPTH = 3
-#: The given rules: host, path, verdict.
-RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+#: Path segments whose siblings are counted; deeper ones are generalised by shape.
+LEVELS = 16
+# Fixed values, the given rules: host, path, verdict.
+RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
 VARIABLE = r"^(?:.*[0-9].*|[0-9a-fA-F-]{12,}|.{40,})$"
+#: Weight of what lies above a node, in labels; the purity without any label; the significance bound of merging.
+STRENGTH, PRIOR, Z = 2.0, 0.5, 1.96
+#: Marks of a domain's node, and of what lies above a host's root.
+DOMAIN, ABOVE = "domain:", "^"
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -40,59 +56,111 @@ def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return name, verdict
 
 
-def path_templates(paths: DataFrame, depth: int = DEPTH, max_children: int = 32, min_share: float = 0.01) -> DataFrame:
-    """``host, path, n, labelled, blocked`` plus ``parent`` and ``template``; rows are distinct paths."""
+def path_templates(paths: DataFrame, max_children: int = 32, min_share: float = 0.01, levels: int = LEVELS) -> DataFrame:
+    """Distinct paths (``host, path, n, labelled, blocked``) with their ``template``, an array of segments."""
     parts = F.array_remove(F.split("path", "/"), "")
-    df = paths.withColumn("segments", F.transform(parts, lambda s: F.when(s.rlike(VARIABLE), "*").otherwise(s))).withColumn("template", F.lit("")).withColumn("parent", F.lit(""))
-    df = stored(df, "url-paths")
-    for level in range(1, depth + 1):
-        df = df.withColumn("seg", F.get("segments", F.lit(level - 1)))
-        counts = df.where(F.col("seg").isNotNull() & (F.col("seg") != "*")).groupBy("host", "template", "seg").agg(F.sum("n").alias("seg_n"))
+    shaped = F.transform(parts, lambda s: F.when(s.rlike(VARIABLE), "*").otherwise(s))
+    df = stored(paths.withColumn("segments", shaped).withColumn("template", F.array().cast("array<string>")), "url-paths")
+    done = None
+    deepest = df.agg(F.coalesce(F.max(F.size("segments")), F.lit(0))).first()[0]
+    for level in range(min(deepest, levels)):
+        # paths that end here are finished; only deeper ones go on
+        ended = df.where(F.size("segments") <= level).drop("segments")
+        done = ended if done is None else done.unionByName(ended)
+        df = df.where(F.size("segments") > level).withColumn("seg", F.get("segments", F.lit(level)))
+        counts = df.where(F.col("seg") != "*").groupBy("host", "template", "seg").agg(F.sum("n").alias("seg_n"))
         sums = counts.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("seg_n").alias("all_n"))
-        kept = counts.join(sums, ["host", "template"]).where((F.col("children") <= max_children) & (F.col("seg_n") >= min_share * F.col("all_n"))).select("host", "template", "seg", F.lit(True).alias("keep"))
+        often = (F.col("children") <= max_children) & (F.col("seg_n") >= min_share * F.col("all_n"))
+        kept = counts.join(sums, ["host", "template"]).where(often).select("host", "template", "seg", F.lit(True).alias("keep"))
         df = df.join(kept, ["host", "template", "seg"], "left")
-        step = F.when(F.col("keep"), F.col("seg")).otherwise("*")
-        here = F.col("seg").isNotNull()
-        df = df.withColumns({"parent": F.when(here, F.col("template")).otherwise(F.col("parent")), "template": F.when(here, F.concat("template", F.lit("/"), step)).otherwise(F.col("template"))}).drop("keep", "seg")
+        df = df.withColumn("template", F.concat("template", F.array(F.when(F.col("keep"), F.col("seg")).otherwise("*")))).drop("keep", "seg")
         df = stored(df, "url-paths")  # each level's counts read the last one's rows twice
-    deeper = F.size("segments") > depth
-    return df.withColumns({"parent": F.when(deeper, F.col("template")).otherwise(F.col("parent")), "template": F.when(deeper, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))}).drop("segments")
+    rest = df.withColumn("template", F.concat("template", F.slice("segments", F.size("template") + 1, F.greatest(F.size("segments"), F.lit(1))))).drop("segments")
+    return rest if done is None else done.unionByName(rest)
 
 
-def template_purity(templates: DataFrame, strength: float = 2.0, z: float = 1.96) -> DataFrame:
-    """``host, template, branch, labelled, blocked, purity``: similar labelled siblings share one branch and its figures."""
-    leaf = templates.groupBy("host", "parent", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-    pooled = leaf.groupBy("host", "parent").agg(F.sum("labelled").alias("pool_n"), F.sum("blocked").alias("pool_b"))
-    rate = (F.col("pool_b") + 0.5) / (F.col("pool_n") + 1.0)
-    away = F.abs(F.col("blocked") / F.col("labelled") - rate)
-    similar = (F.col("labelled") > 0) & (away <= z * F.sqrt(rate * (1 - rate) / F.greatest("labelled", F.lit(1))))
-    marked = leaf.join(pooled, ["host", "parent"]).withColumn("branch", F.when(similar, F.concat("parent", F.lit("/~"))).otherwise(F.col("template")))
-    branches = marked.groupBy("host", "parent", "branch").agg(F.sum("labelled").alias("b_labelled"), F.sum("blocked").alias("b_blocked"))
-    out = marked.select("host", "parent", "template", "branch").join(branches, ["host", "parent", "branch"])
-    prior = F.lit(0.5)
-    return out.select("host", "template", "branch", F.col("b_labelled").alias("labelled"), F.col("b_blocked").alias("blocked"), ((F.col("b_blocked") + strength * prior) / (F.col("b_labelled") + strength)).alias("purity"))
+def _name(segments: Column) -> Column:
+    return F.concat_ws("", F.transform(segments, lambda s: F.concat(F.lit("/"), s)))
+
+
+def _domain(host: Column) -> Column:
+    """The host's last two labels, which sibling hosts share."""
+    return F.concat(F.lit(DOMAIN), F.array_join(F.slice(F.reverse(F.split(host, r"\.")), 1, 2), "."))
 
 
-def filter_urls(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", rules=RULES, label_col: str | None = None, threshold: float = 0.75, min_labels: int = 5, depth: int = DEPTH) -> DataFrame:
-    """Per row: ``host, path, rule, verdict, template, labelled, purity``. ``label_col``: true for blocked; null, unlabelled."""
+def tree_nodes(leaves: DataFrame) -> DataFrame:
+    """``owner, node, labelled, blocked``: the figures of every branch of the tree, similar labelled siblings sharing theirs.
+
+    Nodes are a domain's, over all its hosts (``owner`` is the domain), a host's root and all prefixes of its templates.
+    """
+    prefixes = F.transform(F.sequence(F.lit(0), F.size("template")), lambda i: F.struct(_name(F.slice("template", 1, i)).alias("node"), F.when(i > 0, _name(F.slice("template", 1, i - 1))).otherwise(ABOVE).alias("parent")))
+    rows = leaves.where("labelled > 0").select("host", "labelled", "blocked", F.explode(prefixes).alias("p"))
+    nodes = rows.groupBy("host", "p.node", "p.parent").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+    pooled = nodes.where(F.col("parent") != ABOVE).groupBy("host", "parent").agg(F.sum("labelled").alias("pool_n"), F.sum("blocked").alias("pool_b"))
+    rate = (F.col("pool_b") + 0.5) / (F.col("pool_n") + 1.0)
+    similar = F.abs(F.col("blocked") / F.col("labelled") - rate) <= Z * F.sqrt(rate * (1 - rate) / F.col("labelled"))
+    marked = nodes.join(pooled, ["host", "parent"], "left").withColumn("branch", F.when(F.coalesce(similar, F.lit(False)), "~").otherwise(F.col("node")))
+    branches = marked.groupBy("host", "parent", "branch").agg(F.sum("labelled").alias("b_labelled"), F.sum("blocked").alias("b_blocked"))
+    figures = [F.col("b_labelled").alias("labelled"), F.col("b_blocked").alias("blocked")]
+    own = marked.select("host", "parent", "branch", "node").join(branches, ["host", "parent", "branch"]).select(F.col("host").alias("owner"), "node", *figures)
+    domains = nodes.where("node = ''").groupBy(_domain(F.col("host")).alias("owner")).agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+    return own.unionByName(domains.select("owner", F.lit("").alias("node"), "labelled", "blocked"))
+
+
+def template_purity(templates: DataFrame, min_labels: int) -> DataFrame:
+    """``host, template, labelled, evidence, purity`` for each template: its own labels, the most labels of a node on its way, and its smoothed purity."""
+    leaves = stored(templates.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")), "url-templates")
+    nodes = stored(tree_nodes(leaves), "url-nodes")
+    way = F.concat(
+        F.array(F.struct(_domain(F.col("host")).alias("owner"), F.lit("").alias("node"), F.lit(-1).alias("at"))),
+        F.transform(F.sequence(F.lit(0), F.size("template")), lambda i: F.struct(F.col("host").alias("owner"), _name(F.slice("template", 1, i)).alias("node"), i.alias("at"))),
+    )
+    steps = leaves.select("host", "template", F.col("labelled").alias("own"), F.explode(way).alias("w")).select("host", "template", "own", "w.*")
+    met = steps.join(nodes, ["owner", "node"], "left").groupBy("host", "template", "own").agg(
+        F.array_sort(F.collect_list(F.when(F.col("labelled") > 0, F.struct("at", "labelled", "blocked")))).alias("chain"))
+    down = F.aggregate("chain", F.lit(PRIOR), lambda p, s: (s["blocked"] + STRENGTH * p) / (s["labelled"] + STRENGTH))
+    evidence = F.coalesce(F.array_max(F.transform("chain", lambda s: s["labelled"])), F.lit(0))
+    return met.select("host", "template", F.col("own").alias("labelled"), evidence.alias("evidence"), down.alias("purity"))
+
+
+def filter_urls(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", rules=RULES, label_col: str | None = None, threshold: float = 0.75, min_labels: int = 5) -> DataFrame:
+    """Per row: ``host, path, rule, verdict, template, labelled, evidence, purity``. ``label_col``: true for blocked; null, unlabelled."""
     host, path = split_url(F.col(url_col))
-    rows = pages.select(F.col(key_col), host.alias("host"), path.alias("path"), (F.col(label_col).cast("boolean") if label_col else F.lit(None).cast("boolean")).alias("label"))
+    label = F.col(label_col).cast("boolean") if label_col else F.lit(None).cast("boolean")
+    rows = pages.select(F.col(key_col), host.alias("host"), path.alias("path"), label.alias("label"))
     name, ruled = rule_columns(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": name, "ruled": ruled})
     label = F.col("label") if label_col else F.col("ruled") == "block"
     paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.count(label).alias("labelled"), F.count_if(label).alias("blocked"))
-    tree = path_templates(paths, depth)
-    purity = stored(template_purity(tree), "url-purity")
-    judged = tree.select("host", "path", "template").join(purity, ["host", "template"])
+    tree = path_templates(paths)
+    purity = template_purity(tree, min_labels)
+    judged = stored(tree.select("host", "path", "template").join(purity, ["host", "template"]).withColumn("template", _name(F.col("template"))), "url-judged")
     out = rows.join(judged, ["host", "path"], "left")
-    reject = (F.col("labelled") >= min_labels) & (F.col("purity") >= threshold)
+    reject = (F.col("evidence") >= min_labels) & (F.col("purity") >= threshold)
     verdict = F.coalesce("ruled", F.when(reject, "block").otherwise("allow"))
-    return out.select(key_col, "host", "path", "rule", verdict.alias("verdict"), "template", "labelled", F.round("purity", 9).alias("purity"))
+    return out.select(key_col, "host", "path", "rule", verdict.alias("verdict"), "template", "labelled", "evidence", F.round("purity", 9).alias("purity"))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op10_url_filter": op10_url_filter}
-SQL: dict[str, str] = {}
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rules alone say, which has SQL: ``page_id, host, path, rule, ruled``."""
+    return op10_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("ruled"))
+
+
+QUERIES = {"op10_url_filter": op10_url_filter, "url_rules": url_rules}
+_FITTING = "\n UNION ALL ".join(
+    f"SELECT u, '{h}{p}' AS rule, '{v}' AS ruled FROM s WHERE (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for h, p, v in RULES
+)
+SQL = {
+    "url_rules": rf"""
+WITH d AS (SELECT DISTINCT url AS u FROM pages),
+r AS (SELECT u, CASE WHEN instr(u, '://') > 0 THEN substr(u, instr(u, '://') + 3) ELSE '' END AS rest FROM d),
+s AS (SELECT u, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+f AS ({_FITTING}),
+b AS (SELECT u, arg_max(rule, len(rule)) AS rule, arg_max(ruled, len(rule)) AS ruled FROM f GROUP BY u)
+SELECT page_id, host, path, rule, ruled FROM pages JOIN s ON s.u IS NOT DISTINCT FROM pages.url LEFT JOIN b ON b.u = s.u
+""",
+}
