@@ -41,12 +41,14 @@ def test_preferences(spark):
     rows = [("any", "lognormal", -1.0, 0.05), ("any", "exponential", 5.0, 0.01), ("all", "lognormal", 1.0, 0.05), ("all", "exponential", 2.0, 0.01), ("all", "stretched_exponential", 1.0, 0.02), ("one", "exponential", 2.0, 0.01), ("tpl", "truncated_power_law", -9.0, 0.0), ("tpl", "exponential", 1.0, 0.5)]
     df = spark.createDataFrame(rows, "log string, model_2 string, R double, p double")
     assert {r.log: r.preference for r in decision.preferences(df, ["log"]).collect()} == {"any": "alternative", "all": "power_law", "one": "inconclusive", "tpl": "inconclusive"}
-    best = {r.log: r.best for r in decision.best_distributions(df, ["log"]).collect()}
-    assert best == {"any": "lognormal", "all": "power_law", "one": "exponential", "tpl": "exponential"}
+    best = {r.log: (r.best, r.best_R, r.best_p, r.significant) for r in decision.best_distributions(df, ["log"]).collect()}
+    assert best == {"any": ("lognormal", -1.0, 0.05, True), "all": ("power_law", None, None, True), "one": ("exponential", 2.0, 0.01, True), "tpl": ("exponential", 1.0, 0.5, False)}
+    strict = {r.log: r.significant for r in decision.best_distributions(df, ["log"], 0.02).collect()}
+    assert strict["all"] is False
 
 
 def test_codes(spark):
-    rows = [(60, 0.5, True, "alternative", "C"), (60, 0.5, True, "power_law", "E"), (60, 0.5, True, None, "D"), (60, 0.09, True, "power_law", "B"), (49, 0.5, True, "power_law", "A"), (60, None, True, "power_law", "A"), (60, 0.5, False, "power_law", "A")]
+    rows = [(60, 0.5, True, "alternative", "C"), (60, 0.5, True, "power_law", "D"), (60, 0.5, True, None, "E"), (60, 0.09, True, "power_law", "B"), (49, 0.5, True, "power_law", "A"), (60, None, True, "power_law", "A"), (60, 0.5, False, "power_law", "A")]
     df = spark.createDataFrame(rows, "n int, p double, v boolean, pref string, want string")
     for r in df.select(decision.code(F.col("n"), F.col("p"), F.col("v"), F.coalesce("pref", F.lit("inconclusive"))).alias("got"), "want").collect():
         assert r.got == r.want
@@ -70,7 +72,7 @@ def test_sensitivity_has_all_settings(spark):
     fits = spark.createDataFrame([("x", c, n, p, True) for c, n, p in (("n1", 60, 0.099), ("variants", 20, 0.5))], "log string, concept string, n_fitted int, gof_p double, fit_valid boolean")
     comps = spark.createDataFrame([("x", "variants", "exponential", 1.0, 0.01)], "log string, concept string, model_2 string, R double, p double")
     got = {r.setting: r for r in sensitivity.category_table(sensitivity.coded(fits, comps)).collect()}
-    assert len(got) == 8 and got["baseline"].A == 1 and got["min_types_15"].D == 1 and got["min_types_15"].changed == 1
+    assert len(got) == 8 and got["baseline"].A == 1 and got["min_types_15"].E == 1 and got["min_types_15"].changed == 1
 
 
 GOLDEN = (np.array([1, 2, 3, 4, 6, 8.0]), np.array([1155, 10, 2, 1, 1, 1]))
@@ -108,11 +110,53 @@ def test_bad_frequencies_raise(spark):
 
 
 def test_attribute_types(spark):
-    rows = [(str(i), "v", a, v) for i in range(40) for a, v in (("flag", str(i % 2)), ("amount", f"{1000 + i * 7919 % 97 * 3}"), ("order_id", f"X{i}"), ("day", f"2020-01-{i % 28 + 1:02d}"), ("kind", "abc"[i % 3]), ("none", ""), ("same", "x"))]
+    rows = [(str(i), "v", a, v) for i in range(40) for a, v in (("flag", str(i % 2)), ("amount", f"{1000 + i * 7919 % 97 * 3}"), ("price", f"{i // 2 * 10 + 3}.5"), ("half", f"{i % 2}.0"), ("order_id", f"X{i}"), ("day", f"2020-01-{i % 28 + 1:02d}"), ("kind", "abc"[i % 3]), ("none", ""), ("same", "x"))]
     df = spark.createDataFrame(rows, "case_id string, variant string, attribute string, value string")
     got = {r.attribute: (r.inferred_type, r.reason_suggested) for r in attributes.recommend(attributes.inventory(df)).collect()}
-    assert {k: v[0] for k, v in got.items()} == {"flag": "boolean", "amount": "continuous", "order_id": "identifier", "day": "datetime", "kind": "categorical", "none": "unsupported", "same": "categorical"}
-    assert got["same"][1] == "single value" and got["kind"][1] == "usable"
+    assert {k: v[0] for k, v in got.items()} == {"flag": "boolean", "amount": "identifier-like", "price": "continuous", "half": "categorical", "order_id": "identifier-like", "day": "datetime", "kind": "categorical", "none": "unsupported", "same": "categorical"}
+    assert got["same"][1] == "constant or near constant" and got["kind"][1] == "categorical case attribute"
+
+
+def test_attributes_left_out_by_default(spark):
+    names = [("org:resource", "case"), ("cost__last", "event"), ("cost__first", "event"), ("cost", "event"), ("kind", "case"), ("variant", "case")]
+    rows = [(str(i), "v", a, level, "abcd"[i % 4]) for i in range(40) for a, level in names]
+    df = spark.createDataFrame(rows, "case_id string, variant string, attribute string, level string, value string")
+    got = {r.attribute: r.reason_suggested for r in attributes.recommend(attributes.inventory(df)).collect()}
+    assert got == {
+        "org:resource": "resource", "cost__last": "not a first-value aggregate", "cost__first": "categorical aggregate of an event attribute",
+        "cost": "event attribute without an aggregate", "kind": "categorical case attribute"}
+    assert [r.attribute for r in attributes.candidates(df).collect()] == ["cost", "cost__first", "cost__last", "kind", "org:resource"]
+
+
+def test_every_planned_order_is_tested(spark):
+    fits = spark.createDataFrame([("x", "n1", 60, 0.5, True), ("x", "variants", 60, 0.01, True), ("y", "variants", 5, 0.5, True)], "log string, concept string, n_fitted int, gof_p double, fit_valid boolean")
+    audit = paired.paired_audit(fits, min_types=(50,), gofs=(0.1,))
+    got = {(r.log, r.k): (r.reasons_k, r.reasons_variants, r.included) for r in audit.collect()}
+    assert len(got) == 10 and got["x", 1] == ("", "", True) and got["y", 1] == ("missing_result", "below_min_fitted_types", False)
+    grid = {r.k: r for r in paired.paired_grid(audit).collect()}
+    assert sorted(grid) == [1, 2, 3, 4, 20] and grid[1].status == "ok" and grid[1].holm_p == 1.0
+    assert grid[20].status == "unavailable" and grid[20].p_value is None and grid[20].excluded_k == "missing_result=2" and grid[1].excluded_variants == "below_min_fitted_types=1"
+
+
+def test_codes_of_labels(spark):
+    from tracefold.functions import text
+
+    rows = [(None, "A"), ("", "A"), ("C", "C"), ("?", "?"), ("PL plausible and favored over alternatives", "D"), ("model invalid (x)", "A"), ("(1) < 30 fitted types; plausible", "A"), ("(2) not plausible (p<0.1)", "B"), ("plausible; alternative preferred", "C"), ("plausible; PL preferred", "D"), ("plausible; inconclusive", "E"), ("nonsense", "A")]
+    df = spark.createDataFrame(rows, "label string, want string").select(text.code_of_label(F.col("label")).alias("got"), "want")
+    assert all(r.got == r.want for r in df.collect())
+    errors = spark.createDataFrame([("Cannot fit this",), ("division",), ("",)], "m string").select(text.error_class(F.col("m"), "KeyError").alias("c"))
+    assert [r.c for r in errors.collect()] == ["insufficient observations (Cannot fit this)", "error during fitting (division)", "error during fitting (KeyError)"]
+
+
+def test_published_order_of_outcomes(spark):
+    """The published outcomes of variants, A to E: 6, 3, 1, 0 and 14 of 24 logs."""
+    wanted = {"A": 6, "B": 3, "C": 1, "D": 0, "E": 14}
+    fits = [(f"{c}{i}", "variants", 10 if c == "A" else 60, 0.01 if c == "B" else 0.5, True) for c, n in wanted.items() for i in range(n)]
+    comps = [("C0", "variants", "lognormal", -2.0, 0.01)] + [(f"E{i}", "variants", "exponential", 2.0, 0.01) for i in range(14)]
+    f = spark.createDataFrame(fits, "log string, concept string, n_fitted int, gof_p double, fit_valid boolean")
+    c = spark.createDataFrame(comps, "log string, concept string, model_2 string, R double, p double")
+    row = decision.outcome_counts(decision.classified(f, c, min_types=30)).first()
+    assert {k: row[k] for k in "ABCDE"} == wanted
 
 
 def test_bins_are_right_closed(spark):

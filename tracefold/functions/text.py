@@ -75,21 +75,38 @@ def grouped_number(value: Column, integer: bool = True) -> Column:
     return F.format_number(value, 0 if integer else 1)
 
 
+# The codes and their names, and the words of messages that mean too few observations.
+CODE_NAMES = {
+    "A": "Ineligible for assessment",
+    "B": "PL rejected",
+    "C": "PL plausible but alternative favored",
+    "D": "PL plausible and favored over alternatives",
+    "E": "PL plausible and alternatives inconclusive",
+}
+TOO_FEW = ("not enough", "too few", "no valid", "insufficient", "cannot fit", "xmin")
+
+
 def code_of_label(label: Column) -> Column:
-    """A legacy free-text classification as A-E, by the first rule that fits; ``?`` for none."""
-    t = F.lower(F.trim(label))
-    has = t.contains
-    rules = [(t.rlike("^[a-e]( |=|:|$)"), F.upper(F.substring(t, 1, 1))), (has("insufficient") | has("too few") | has("invalid"), F.lit("A")), (has("reject") & ~has("not reject"), F.lit("B")), (has("alternative"), F.lit("C")), (has("inconclusive"), F.lit("D")), (has("power law") | has("power-law"), F.lit("E"))]
-    out = F.lit("?")
-    for cond, value in reversed(rules):
-        out = F.when(cond, value).otherwise(out)
-    return F.when(label.isNull(), "?").otherwise(out)
-
-
-def error_class(message: Column) -> Column:
-    """An error text as missing_input, empty_input, invalid_input, fit_failure or error."""
-    t = F.lower(message)
-    return F.when(t.rlike("no such file|not found|missing"), "missing_input").when(t.rlike("empty|no rows|no columns"), "empty_input").when(t.rlike("positive|integer|finite|invalid"), "invalid_input").when(t.rlike("fit|converge|optimi"), "fit_failure").otherwise("error")
+    """A stored classification (a code, ``?``, a code's name or a free text) as A-E; what says nothing is A."""
+    text = F.trim(label)
+    low = F.lower(text)
+    has = lambda *words: F.lit(False) if not words else low.contains(words[0]) | has(*words[1:])
+    plausible = has("plausible")
+    out = F.when(label.isNull() | (text == ""), "A").when(text.isin(*CODE_NAMES, "?"), text)
+    for code, name in CODE_NAMES.items():
+        out = out.when(text == name, code)
+    out = out.when(has("invalid", "gof unavailable", "unresolved", "error", "ineligible") | (has("< 30") & has("fitted types")), "A")
+    out = out.when(has("not plausible"), "B").when(plausible & has("alternative preferred", "other preferred"), "C")
+    return out.when(plausible & has("pl best", "pl preferred", "preferred over alternatives"), "D").when(plausible, "E").otherwise("A")
+
+
+def error_class(message: Column, name: Column | str = "error") -> Column:
+    """An error text (or, where it is blank, the error's ``name``) as one of two classes with the text in brackets."""
+    text = F.coalesce(F.nullif(F.trim(message), F.lit("")), F.lit(name) if isinstance(name, str) else name)
+    few = F.lit(False)
+    for word in TOO_FEW:
+        few = few | F.lower(text).contains(word)
+    return F.concat(F.when(few, "insufficient observations (").otherwise("error during fitting ("), text, F.lit(")"))
 
 
 _TEX = {"\\": r"\textbackslash{}", "&": r"\&", "%": r"\%", "$": r"\$", "#": r"\#", "_": r"\_", "{": r"\{", "}": r"\}", "~": r"\textasciitilde{}", "^": r"\textasciicircum{}"}

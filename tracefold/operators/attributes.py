@@ -11,7 +11,10 @@ MISSING, NONPOSITIVE = "__MISSING__", "__NONPOSITIVE__"
 RESERVED = frozenset(("case_id", "variant"))
 NOISE_EVENT_KEYS = frozenset(("concept:name", "time:timestamp", "lifecycle:transition"))
 DATE_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "dd.MM.yyyy", "dd.MM.yyyy HH:mm")
-ID_NAME = r"(?i)(^|[^a-z])(id|uuid|guid|key|number|no|nr|code)([^a-z]|$)"
+# Names that suggest identifiers, and suffixes of event aggregates that are left out unless asked for.
+ID_NAME = r"(?i)((^|[_:])id($|[_:])|uuid|case|concept:name|\bkey\b)"
+EVENT_AGGREGATE = "__first"
+EXCLUDED_SUFFIXES = ("__constant", "__last", "__mode", "__n_unique")
 
 
 def case_table(traces: DataFrame, variant: Column | None = None) -> DataFrame:
@@ -47,39 +50,60 @@ def moment(value: Column) -> Column:
     return F.coalesce(*(F.try_to_timestamp(value, F.lit(f)) for f in DATE_FORMATS))
 
 
+def candidates(rows: DataFrame) -> DataFrame:
+    """The attributes' names, without the reserved columns, in order."""
+    return rows.select("attribute").where(~F.col("attribute").isin(*RESERVED)).distinct().orderBy("attribute")
+
+
 def inventory(rows: DataFrame) -> DataFrame:
     """Per attribute: cases, missing, distinct values, the largest value's share of all cases, numeric summary, and the inferred type.
 
     ``value`` counts come first, so an attribute with one dominant value is summed before it is shuffled.
     """
     value = F.when(~is_missing(F.col("value")), F.col("value"))
-    counts = rows.select("attribute", value.alias("value")).groupBy("attribute", "value").agg(F.count("*").alias("n"))
+    by = ["attribute", *(["level"] if "level" in rows.columns else [])]
+    counts = rows.where(~F.col("attribute").isin(*RESERVED)).select(*by, value.alias("value")).groupBy(*by, "value").agg(F.count("*").alias("n"))
     num = number(F.col("value"))
     here = F.col("value").isNotNull()
+    truth = F.lower(F.trim("value")).isin("true", "false", "0", "1")
     weigh = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
-    out = counts.groupBy("attribute").agg(
+    out = counts.groupBy(*by).agg(
         F.sum("n").alias("n_cases"), weigh(~here).alias("n_missing"), F.count("value").alias("n_distinct"),
         F.max(F.when(here, F.col("n"))).alias("largest"), F.max_by(F.col("value"), F.when(here, F.struct(F.col("n"), F.col("value")))).alias("mode"),
-        weigh(here & F.lower("value").isin("0", "1", "true", "false", "0.0", "1.0")).alias("n_bool"), F.count_distinct(F.when(F.lower("value").isin("0", "1", "true", "false", "0.0", "1.0"), F.lower("value"))).alias("bool_kinds"),
-        weigh(here & num.isNotNull()).alias("n_numeric"), F.count_distinct(num).alias("numeric_kinds"), weigh(here & num.isNull() & moment(F.col("value")).isNotNull()).alias("n_dates"),
+        weigh(here & truth).alias("n_bool"), weigh(here & num.isNotNull()).alias("n_numeric"),
+        weigh(here & num.isNull() & moment(F.col("value")).isNotNull()).alias("n_dates"), F.bool_and(F.when(num.isNotNull(), F.abs(num - F.rint(num)) <= 1e-9)).alias("whole_numbers"),
         F.min(num).alias("minimum"), F.max(num).alias("maximum"), (F.sum(num * F.col("n")) / F.sum(F.when(num.isNotNull(), F.col("n")))).alias("average"), F.percentile(num, 0.5, F.col("n")).alias("median"))
     present = F.col("n_cases") - F.col("n_missing")
     share = F.col("n_distinct") / present
-    named = F.col("attribute").rlike(ID_NAME) & (F.col("n_distinct") >= F.greatest(F.lit(10), present * 0.5))
-    kind = (F.when(present == 0, "unsupported").when((F.col("n_bool") == present) & (F.col("bool_kinds") <= 2), "boolean").when(F.col("n_dates") >= 0.8 * present, "datetime")
-            .when((F.col("n_distinct") > 1) & ((share >= 0.95) | ((share >= 0.90) & (F.col("n_distinct") >= 1000)) | named) & ~((F.col("n_numeric") == present) & (F.col("numeric_kinds") >= 20) & ~F.col("attribute").rlike(ID_NAME) & (share < 0.95)), "identifier")
-            .when((F.col("n_numeric") == present) & (F.col("numeric_kinds") >= 20), "continuous").otherwise("categorical"))
-    return out.withColumns({"inferred_type": kind, "missing_share": F.col("n_missing") / F.col("n_cases"), "distinct_share": F.col("n_distinct") / F.col("n_cases"), "largest_share": F.coalesce(F.col("largest") / F.col("n_cases"), F.lit(0.0))}).drop("n_bool", "bool_kinds", "n_dates", "largest")
+    by_share = (share >= 0.95) | ((share >= 0.90) & (F.col("n_distinct") >= 1000))
+    named = F.col("attribute").rlike(ID_NAME) & (F.col("n_distinct") >= F.greatest(F.lit(10), F.floor(present * 0.5)))
+    numeric = (F.col("n_numeric") == present) & (F.col("n_distinct") >= 20)
+    kind = (
+        F.when(present == 0, "unsupported").when(F.col("n_bool") == present, "boolean").when(F.col("n_dates") >= 0.8 * present, "datetime")
+        .when(by_share | named, "identifier-like").when(numeric, "continuous").otherwise("categorical")
+    )
+    largest = F.coalesce(F.col("largest") / F.col("n_cases"), F.lit(0.0))
+    out = out.withColumns({"inferred_type": kind, "missing_share": F.col("n_missing") / F.col("n_cases"), "distinct_share": F.col("n_distinct") / F.col("n_cases"), "largest_share": largest})
+    return out.withColumns({"is_constant": F.col("n_distinct") <= 1, "is_near_constant": F.col("largest_share") >= 0.98}).drop("n_bool", "n_dates", "largest")
 
 
 def recommend(inv: DataFrame) -> DataFrame:
-    """``include_suggested, type_suggested, binning_suggested, reason_suggested``."""
-    kind = F.col("inferred_type")
-    rules = [(kind == "unsupported", "unsupported"), (kind == "datetime", "datetime"), (kind == "identifier", "identifier"), (F.col("missing_share") >= 0.5, "mostly missing"), (F.col("n_distinct") < 2, "single value"), (F.col("largest_share") >= 0.98, "near constant")]
-    reason = F.lit("usable")
-    for cond, text in reversed(rules):
-        reason = F.when(cond, text).otherwise(reason)
-    return inv.withColumn("reason_suggested", reason).withColumns({"include_suggested": F.col("reason_suggested") == "usable", "type_suggested": kind, "binning_suggested": F.when(kind == "continuous", "log:10")})
+    """``include_suggested, type_suggested, binning_suggested, reason_suggested``; the first rule that holds decides. A ``level`` column tells case from event attributes."""
+    kind, name = F.col("inferred_type"), F.col("attribute")
+    event = (F.col("level") == "event") if "level" in inv.columns else F.lit(False)
+    resource = name.startswith("org:resource")
+    other_suffix = F.lit(False)
+    for suffix in EXCLUDED_SUFFIXES:
+        other_suffix = other_suffix | name.endswith(suffix)
+    aggregate = name.endswith(EVENT_AGGREGATE)
+    excluded = (
+        F.when(kind == "unsupported", "unsupported values").when(kind == "datetime", "datetime without a transformation").when(kind == "identifier-like", "identifier")
+        .when(F.col("is_constant") | F.col("is_near_constant"), "constant or near constant").when(resource, "resource").when(other_suffix, "not a first-value aggregate")
+        .when(event & ~aggregate, "event attribute without an aggregate").when(F.col("missing_share") >= 0.5, "mostly missing")
+    )
+    usable = F.concat(kind, F.when(event & aggregate, " aggregate of an event attribute").otherwise(" case attribute"))
+    out = inv.withColumns({"include_suggested": excluded.isNull(), "reason_suggested": F.coalesce(excluded, usable), "type_suggested": kind})
+    return out.withColumn("binning_suggested", F.when(F.col("include_suggested") & (kind == "continuous"), "log:10"))
 
 
 def resolved(suggested: Column, override: Column, default: Column | None = None) -> Column:
@@ -168,9 +192,17 @@ def permutation_p(rows: DataFrame, replicates: int = 200, seed: int = 42) -> Dat
 
 
 def recommend_powerlaw(joined: DataFrame, min_observations: int = 50, min_distinct: int = 50) -> DataFrame:
-    """Step two, on inventory joined with associations: is the attribute worth a power-law test, and why not."""
-    rules = [(~F.col("include_suggested"), F.lit("excluded before")), (F.col("n_cases") < min_observations, F.lit("too few observations")), (F.col("n_distinct") < min_distinct, F.lit("too few values")), (F.col("ner") < 0.05, F.lit("usable, weak association")), (F.col("ner") > 0.99, F.lit("usable, determines variants"))]
-    reason = F.lit("usable")
-    for cond, text in reversed(rules):
-        reason = F.when(cond, text).otherwise(reason)
-    return joined.withColumn("powerlaw_reason", reason).withColumn("powerlaw_include", F.col("powerlaw_reason").startswith("usable")).withColumn("powerlaw_discrete", F.col("inferred_type") != "continuous")
+    """Step two, on inventory joined with associations: is the attribute worth a power-law test, and why not.
+
+    Continuous attributes need observations, others need distinct values; whole-numbered magnitudes are fitted as discrete.
+    """
+    kind = F.col("inferred_type")
+    relevance = F.when(F.col("ner") >= 0.99, "may encode the variant; ").when(F.col("ner") >= 0.05, "relevant to variants; ").otherwise("")
+    enough = F.when(kind == "continuous", F.col("n_cases") - F.col("n_missing") >= min_observations).otherwise(F.col("n_distinct") >= min_distinct)
+    barred = (
+        F.when(~F.col("include_suggested"), "not included in the first step").when(kind.isin("datetime", "identifier-like", "unsupported"), "unsuitable type")
+        .when(F.col("is_near_constant"), "near constant").when(~enough & (kind == "continuous"), "too few observations").when(~enough, "too few values")
+    )
+    discrete = F.when(kind == "continuous", F.coalesce("whole_numbers", F.lit(False))).otherwise(True)
+    reason = F.coalesce(barred, F.concat(relevance, F.when(kind == "continuous", "magnitudes").otherwise("frequencies")))
+    return joined.withColumns({"powerlaw_reason": reason, "powerlaw_include": barred.isNull(), "powerlaw_discrete": discrete})

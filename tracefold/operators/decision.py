@@ -27,16 +27,23 @@ def preferences(comparisons: DataFrame, by: list[str], significance: float | Col
 
 
 def best_distributions(comparisons: DataFrame, by: list[str], significance: float = 0.1) -> DataFrame:
-    """``best, best_R, best_p, significant``: power_law if all three R are positive, else the alternative of least R (also when that is positive)."""
-    rows = usable(comparisons).groupBy(*by).agg(F.bool_and(F.col("R") > 0).alias("won"), F.count_distinct("model_2").alias("k"), F.min(F.struct("R", "model_2", "p")).alias("least"))
+    """``best, best_R, best_p, significant``: power_law if all three R are positive, else the alternative of least R (also when that is positive).
+
+    The power law isn't compared with itself, so it has no R and p; it is significant if all three comparisons are.
+    """
+    rows = usable(comparisons).groupBy(*by).agg(
+        F.bool_and(F.col("R") > 0).alias("won"), F.count_distinct("model_2").alias("k"),
+        F.min(F.struct("R", "model_2", "p")).alias("least"), F.bool_and(F.col("p") < significance).alias("sure"))
     all_three = F.col("won") & (F.col("k") == len(COUNTED))
-    return rows.select(*by, F.when(all_three, "power_law").otherwise(F.col("least.model_2")).alias("best"), F.col("least.R").alias("best_R"), F.col("least.p").alias("best_p"), (F.col("least.p") < significance).alias("significant"))
+    other = lambda c: F.when(~all_three, F.col(f"least.{c}"))
+    significant = F.when(all_three, F.col("sure")).otherwise(F.col("least.p") < significance)
+    return rows.select(*by, F.when(all_three, "power_law").otherwise(F.col("least.model_2")).alias("best"), other("R").alias("best_R"), other("p").alias("best_p"), significant.alias("significant"))
 
 
 def code(n_fitted: Column, gof_p: Column, fit_valid: Column, preference: Column, min_types: Column | int = 50, gof: Column | float = 0.1) -> Column:
-    """A: no sound fit; B: rejected; C: an alternative is better; D: inconclusive; E: the power law is better."""
+    """A: no sound fit; B: rejected; C: an alternative is better; D: the power law is better; E: inconclusive."""
     weak = ~F.coalesce(fit_valid, F.lit(True)) | (F.coalesce(n_fitted, F.lit(0)) < min_types) | gof_p.isNull() | F.isnan(gof_p)
-    return F.when(weak, "A").when(gof_p < gof, "B").when(preference == "alternative", "C").when(preference == "power_law", "E").otherwise("D")
+    return F.when(weak, "A").when(gof_p < gof, "B").when(preference == "alternative", "C").when(preference == "power_law", "D").otherwise("E")
 
 
 def classified(fits: DataFrame, comparisons: DataFrame, min_types: int = 50, gof: float = 0.1, significance: float = 0.1) -> DataFrame:

@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Z = 1.959963984540054
-#: Exclusion reasons, in the order in which tallies show them.
-REASONS = ("missing_result", "duplicate_results", "incompatible_run_configuration", "incompatible_xmin_configuration", "invalid_fit", "n_fitted_types_missing", "below_min_fitted_types", "gof_p_out_of_range", "gof_p_unavailable")
+# Exclusion reasons by priority; an endpoint's first one is its primary reason.
+REASONS = (
+    "duplicate_results",
+    "incompatible_run_configuration",
+    "incompatible_xmin_configuration",
+    "missing_result",
+    "invalid_fit",
+    "n_fitted_types_missing",
+    "below_min_fitted_types",
+    "gof_p_out_of_range",
+    "gof_p_unavailable",
+)
+# The planned orders of the comparison and of the paper's table, and the thresholds of the grid.
+COMPARISON_KS = (1, 2, 3, 4, 20)
+PAPER_KS = tuple(range(1, 21))
+MIN_TYPES_GRID = (15, 30, 50)
+GOF_GRID = (0.05, 0.10)
 
 
 def wilson(successes: Column, n: Column, z: float = Z) -> tuple[Column, Column]:
@@ -50,16 +67,25 @@ def holm(df: DataFrame, p: str, family: list[str], order: str, name: str = "holm
     return ranked.withColumn(name, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), upto))).drop("_step")
 
 
+def planned(fits: DataFrame, by: list[str], ks: Sequence[int] = PAPER_KS) -> DataFrame:
+    """A row for each log of ``fits`` and each planned concept; ``missing`` marks those that ``fits`` has no row for."""
+    concepts = F.array(*(F.lit(f"n{k}") for k in ks), F.lit("variants"))
+    wanted = fits.select(*by, "log").distinct().withColumn("concept", F.explode(concepts))
+    found = fits.withColumn("_found", F.lit(True))
+    return wanted.join(found, [*by, "log", "concept"], "left").withColumn("missing", F.col("_found").isNull()).drop("_found")
+
+
 def endpoints(fits: DataFrame, min_types: Column | int = 50, gof: Column | float = 0.1, fixed_xmin: float | None = None) -> DataFrame:
-    """``reasons, eligible, outcome`` (1: not rejected) of each ``log, concept`` row; optional columns ``disagrees, repeated``."""
+    """``reasons, eligible, outcome`` (1: not rejected) of each ``log, concept`` row; optional columns ``disagrees, repeated, missing``."""
     has = fits.columns
     no = F.lit(False)
     disagrees = F.coalesce("disagrees", no) if "disagrees" in has else no
     repeated = F.coalesce("repeated", no) if "repeated" in has else no
-    clash = disagrees | repeated
+    missing = F.coalesce("missing", no) if "missing" in has else no
+    clash = disagrees | repeated | missing
     p = F.col("gof_p")
     flags = {
-        "duplicate_results": repeated, "incompatible_run_configuration": disagrees,
+        "duplicate_results": repeated, "incompatible_run_configuration": disagrees, "missing_result": missing & ~disagrees & ~repeated,
         "incompatible_xmin_configuration": no if fixed_xmin is None else ~clash & ((F.abs(F.col("xmin") - fixed_xmin) > 1e-6) | (F.coalesce("fit_valid", no) & F.col("xmin").isNull())),
         "invalid_fit": ~clash & ~F.coalesce("fit_valid", no), "n_fitted_types_missing": ~clash & F.col("n_fitted").isNull(), "below_min_fitted_types": ~clash & (F.col("n_fitted") < min_types),
         "gof_p_out_of_range": ~clash & ((p < 0) | (p > 1)), "gof_p_unavailable": ~clash & (p.isNull() | F.isnan(p))}
@@ -68,14 +94,54 @@ def endpoints(fits: DataFrame, min_types: Column | int = 50, gof: Column | float
     return out.withColumn("outcome", F.when(F.col("eligible"), (p >= gof).cast("int")))
 
 
-def paired_cells(assessed: DataFrame, by: list[str]) -> DataFrame:
-    """``by, k, n00, n01, n10, n11``: logs eligible at both ends; the first digit is the outcome at k, the second at variants."""
+def paired_cells(assessed: DataFrame, by: list[str], ks: Sequence[int] = PAPER_KS) -> DataFrame:
+    """``by, k, n00, n01, n10, n11``: logs eligible at both ends; the first digit is the outcome at k, the second at variants.
+
+    Every planned ``k`` has a row, also without an eligible log, so that Holm's family keeps its size.
+    """
     side = lambda cond, name: assessed.where(cond).select(*by, "log", "concept", F.col("outcome").alias(name))
     k_side = side(F.col("eligible") & F.col("concept").rlike("^n[0-9]+$"), "at_k").withColumn("k", F.substring("concept", 2, 9).cast("int")).drop("concept")
     v_side = side(F.col("eligible") & (F.col("concept") == "variants"), "at_v").drop("concept")
     both = k_side.join(v_side, [*by, "log"], "left")
     cell = lambda a, b: F.count_if((F.col("at_k") == a) & (F.col("at_v") == b)).alias(f"n{a}{b}")
-    return both.groupBy(*by, "k").agg(cell(0, 0), cell(0, 1), cell(1, 0), cell(1, 1))
+    cells = both.groupBy(*by, "k").agg(cell(0, 0), cell(0, 1), cell(1, 0), cell(1, 1))
+    groups = assessed.select(*by).distinct() if by else assessed.sparkSession.range(1).select()
+    wanted = groups.withColumn("k", F.explode(F.array(*(F.lit(k) for k in ks))))
+    return wanted.join(cells, [*by, "k"], "left").na.fill(0, ["n00", "n01", "n10", "n11"])
+
+
+def paired_audit(fits: DataFrame, ks: Sequence[int] = COMPARISON_KS, min_types: Sequence[int] = MIN_TYPES_GRID, gofs: Sequence[float] = GOF_GRID, fixed_xmin: float | None = None) -> DataFrame:
+    """A row for each setting of the grid, planned k and log: both endpoints' figures, reasons and outcomes, and whether the pair counts."""
+    grid = F.array(*(F.struct(F.lit(m).alias("min_types"), F.lit(g).alias("gof")) for m in min_types for g in gofs))
+    rows = planned(fits, [], ks).withColumn("s", F.explode(grid)).select("*", "s.*").drop("s")
+    rows = endpoints(rows, F.col("min_types"), F.col("gof"), fixed_xmin)
+    setting = ["min_types", "gof", "log"]
+
+    def side(df: DataFrame, suffix: str, *more: str) -> DataFrame:
+        first = F.when(F.size("reasons") > 0, F.element_at("reasons", 1))
+        figures = [F.col(c).alias(f"{c}_{suffix}") for c in ("n_fitted", "gof_p", "fit_valid", "eligible", "outcome")]
+        return df.select(*setting, *more, *figures, F.array_join("reasons", ";").alias(f"reasons_{suffix}"), first.alias(f"primary_{suffix}"))
+
+    orders = rows.where(F.col("concept") != "variants").withColumn("k", F.substring("concept", 2, 9).cast("int"))
+    both = side(orders, "k", "k").join(side(rows.where(F.col("concept") == "variants"), "variants"), setting)
+    return both.withColumn("included", F.col("eligible_k") & F.col("eligible_variants"))
+
+
+def paired_grid(audit: DataFrame) -> DataFrame:
+    """The summary of ``paired_audit``: per setting and k the eligible logs, cells, effects, Holm's p within the setting, and tallies of primary reasons."""
+    by = ["min_types", "gof", "k"]
+    cell = lambda a, b: F.count_if(F.col("included") & (F.col("outcome_k") == a) & (F.col("outcome_variants") == b)).alias(f"n{a}{b}")
+    cells = audit.groupBy(*by).agg(
+        F.count("*").alias("n_logs"), F.count_if("eligible_k").alias("n_eligible_k"), F.count_if("eligible_variants").alias("n_eligible_variants"),
+        cell(0, 0), cell(0, 1), cell(1, 0), cell(1, 1),
+        _tallied("primary_k").alias("excluded_k"), _tallied("primary_variants").alias("excluded_variants"))
+    return holm(paired_effects(cells), "p_value", ["min_types", "gof"], "k")
+
+
+def _tallied(reason: str) -> Column:
+    """``reason=count`` of the rows' reasons by priority, or ``none``."""
+    shown = [F.when(F.count_if(F.col(reason) == r) > 0, F.concat(F.lit(f"{r}="), F.count_if(F.col(reason) == r).cast("string"))) for r in REASONS]
+    return F.coalesce(F.nullif(F.concat_ws(", ", *shown), F.lit("")), F.lit("none"))
 
 
 def paired_effects(cells: DataFrame) -> DataFrame:
@@ -98,8 +164,6 @@ def paper_table(effects: DataFrame, families: tuple[int, ...] = (20, 10, 3)) ->
 
 
 def reason_tally(assessed: DataFrame, by: list[str]) -> DataFrame:
-    """``tally``: excluded endpoints by reason, in fixed order, as ``reason=count`` text."""
-    counts = assessed.select(*by, F.explode("reasons").alias("reason")).groupBy(*by, "reason").agg(F.count("*").alias("n"))
-    at = F.array_position(F.array(*(F.lit(r) for r in REASONS)), F.col("reason"))
-    rows = counts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), F.concat("reason", F.lit("="), F.col("n").cast("string")).alias("t")))).alias("r"))
-    return rows.select(*by, F.array_join("r.t", ", ").alias("tally"))
+    """``tally``: excluded endpoints by their primary reason, as ``reason=count`` text by priority; ``none`` where all are eligible."""
+    primary = F.when(F.size("reasons") > 0, F.element_at("reasons", 1))
+    return assessed.withColumn("_primary", primary).groupBy(*by).agg(_tallied("_primary").alias("tally"))

@@ -77,7 +77,8 @@ p AS (SELECT CAST(row_number() OVER (ORDER BY freq DESC) AS DOUBLE) AS x, CAST(f
 c AS (SELECT regr_slope(y, x) AS lin_a, regr_intercept(y, x) AS lin_b, CASE WHEN count(*) >= 2 THEN exp(regr_intercept(ln(y), x)) END AS exp_c, CASE WHEN count(*) >= 2 THEN regr_slope(ln(y), x) END AS exp_r,
  CASE WHEN count(*) >= 2 THEN exp(regr_intercept(ln(y), ln(x))) END AS pl_c, CASE WHEN count(*) >= 2 THEN -regr_slope(ln(y), ln(x)) END AS pl_alpha,
  CASE WHEN count(*) FILTER (y >= 2) >= 2 THEN exp(regr_intercept(ln(y), ln(x)) FILTER (y >= 2)) END AS bpl_c, CASE WHEN count(*) FILTER (y >= 2) >= 2 THEN -(regr_slope(ln(y), ln(x)) FILTER (y >= 2)) END AS bpl_alpha FROM p),
-q AS (SELECT y, greatest(lin_a * x + lin_b, 1e-12) AS a, greatest(exp_c * exp(exp_r * x), 1e-12) AS b, greatest(pl_c * pow(x, -pl_alpha), 1e-12) AS d, greatest(bpl_c * pow(x, -bpl_alpha), 1e-12) AS e FROM p, c),
+q AS (SELECT y, CASE WHEN lin_a IS NOT NULL THEN greatest(lin_a * x + lin_b, 1e-12) END AS a, CASE WHEN exp_c IS NOT NULL THEN greatest(exp_c * exp(exp_r * x), 1e-12) END AS b,
+ CASE WHEN pl_c IS NOT NULL THEN greatest(pl_c * pow(x, -pl_alpha), 1e-12) END AS d, CASE WHEN bpl_c IS NOT NULL THEN greatest(bpl_c * pow(x, -bpl_alpha), 1e-12) END AS e FROM p, c),
 s AS (SELECT sum(a) AS sa, sum(b) AS sb, sum(d) AS sd, sum(e) AS se FROM q),
 n AS (SELECT -sum(y * ln(a / sa + 1e-12)) AS nll_linear, -sum(y * ln(b / sb + 1e-12)) AS nll_exponential, -sum(y * ln(d / sd + 1e-12)) AS nll_power_law, -sum(y * ln(e / se + 1e-12)) AS nll_bounded_power_law FROM q, s)
 SELECT round(lin_a, 5) + 0 AS lin_a, round(lin_b, 5) + 0 AS lin_b, round(exp_c, 5) + 0 AS exp_c, round(exp_r, 5) + 0 AS exp_r, round(pl_c, 5) + 0 AS pl_c, round(pl_alpha, 5) + 0 AS pl_alpha, round(bpl_c, 5) + 0 AS bpl_c, round(bpl_alpha, 5) + 0 AS bpl_alpha,

@@ -38,9 +38,14 @@ u AS (SELECT * FROM c WHERE model_2 <> 'truncated_power_law')"""
 def _coded_sql(settings: str = "SELECT 'baseline' AS setting, 50 AS min_types, 0.10 AS p_gof, 0.10 AS p_comp") -> str:
     return _FITS + f""", s AS ({settings}),
 pr AS (SELECT setting, log, concept, bool_or(p < p_comp AND R < 0) AS lost, bool_and(p < p_comp AND R > 0) AND count(DISTINCT model_2) = 3 AS won FROM u, s GROUP BY 1, 2, 3),
-k AS (SELECT f.*, s.*, CASE WHEN NOT fit_valid OR n_fitted < min_types THEN 'A' WHEN gof_p < p_gof THEN 'B' WHEN lost THEN 'C' WHEN won THEN 'E' ELSE 'D' END AS code FROM f, s LEFT JOIN pr ON pr.setting = s.setting AND pr.log = f.log AND pr.concept = f.concept)"""
+k AS (SELECT f.*, s.*, CASE WHEN NOT fit_valid OR n_fitted < min_types THEN 'A' WHEN gof_p < p_gof THEN 'B' WHEN lost THEN 'C' WHEN won THEN 'D' ELSE 'E' END AS code FROM f, s LEFT JOIN pr ON pr.setting = s.setting AND pr.log = f.log AND pr.concept = f.concept)"""
 
 
+#: The best distribution of each log and concept of ``u``; the power law has no R and p of its own.
+_BEST = """SELECT log, concept, CASE WHEN won THEN 'power_law' ELSE model END AS best, CASE WHEN NOT won THEN R END AS best_R,
+ CASE WHEN NOT won THEN round(p, 9) END AS best_p, CASE WHEN won THEN sure ELSE p < 0.1 END AS significant
+FROM (SELECT log, concept, bool_and(R > 0) AND count(DISTINCT model_2) = 3 AS won, bool_and(p < 0.1) AS sure,
+ arg_min(model_2, row(R, model_2)) AS model, min(R) AS R, arg_min(p, row(R, model_2)) AS p FROM u GROUP BY 1, 2)"""
 _SETTINGS = " UNION ALL ".join(f"SELECT '{s}' AS setting, {m} AS min_types, CAST({g} AS DOUBLE) AS p_gof, CAST({c} AS DOUBLE) AS p_comp" for s, m, g, c in sensitivity.CONFIGURATIONS)
 _BASE_SETTING = _SETTINGS.split(" UNION ALL ")[0]
 
@@ -82,7 +87,8 @@ def paired_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CELLS = _FITS + """, e AS (SELECT log, concept, CASE WHEN gof_p >= 0.1 THEN 1 ELSE 0 END AS y FROM f WHERE fit_valid AND n_fitted >= 50),
-cells AS (SELECT CAST(substr(a.concept, 2) AS INTEGER) AS k, count(*) FILTER (a.y = 0 AND v.y = 0) AS n00, count(*) FILTER (a.y = 0 AND v.y = 1) AS n01, count(*) FILTER (a.y = 1 AND v.y = 0) AS n10, count(*) FILTER (a.y = 1 AND v.y = 1) AS n11 FROM e a LEFT JOIN e v ON v.log = a.log AND v.concept = 'variants' WHERE a.concept <> 'variants' GROUP BY 1)"""
+c0 AS (SELECT CAST(substr(a.concept, 2) AS INTEGER) AS k, count(*) FILTER (a.y = 0 AND v.y = 0) AS n00, count(*) FILTER (a.y = 0 AND v.y = 1) AS n01, count(*) FILTER (a.y = 1 AND v.y = 0) AS n10, count(*) FILTER (a.y = 1 AND v.y = 1) AS n11 FROM e a LEFT JOIN e v ON v.log = a.log AND v.concept = 'variants' WHERE a.concept <> 'variants' GROUP BY 1),
+cells AS (SELECT k, coalesce(n00, 0) AS n00, coalesce(n01, 0) AS n01, coalesce(n10, 0) AS n10, coalesce(n11, 0) AS n11 FROM (SELECT CAST(unnest(range(1, 21)) AS INTEGER) AS k) LEFT JOIN c0 USING (k))"""
 _EFFECTS = _CELLS + """, n AS (SELECT *, n00 + n01 + n10 + n11 AS n, CAST(n11 AS DOUBLE) AS e, CAST(n01 AS DOUBLE) AS f, CAST(n10 AS DOUBLE) AS g, CAST(n00 AS DOUBLE) AS h, 1.959963984540054::DOUBLE AS z FROM cells),
 w AS (SELECT *, (e + f) / n AS p1, (e + g) / n AS p2, (((e + f) / n + z * z / (2 * n)) - z * sqrt((e + f) / n * (1 - (e + f) / n) / n + z * z / (4.0 * n * n))) / (1 + z * z / n) AS l1, (((e + f) / n + z * z / (2 * n)) + z * sqrt((e + f) / n * (1 - (e + f) / n) / n + z * z / (4.0 * n * n))) / (1 + z * z / n) AS u1,
  (((e + g) / n + z * z / (2 * n)) - z * sqrt((e + g) / n * (1 - (e + g) / n) / n + z * z / (4.0 * n * n))) / (1 + z * z / n) AS l2, (((e + g) / n + z * z / (2 * n)) + z * sqrt((e + g) / n * (1 - (e + g) / n) / n + z * z / (4.0 * n * n))) / (1 + z * z / n) AS u2,
@@ -95,6 +101,36 @@ h2 AS (SELECT k, CASE WHEN p_value IS NOT NULL THEN least(1.0, max((size - i + 1
 SELECT mc.k, mc.n, round(p_k, 7) AS p_k, round(p_variants, 7) AS p_variants, round(difference, 7) AS difference, round(lower, 7) AS lower, round(upper, 7) AS upper, round(p_value, 7) AS p_value, round(holm_p, 7) AS holm_p, CASE WHEN mc.n = 0 THEN 'unavailable' WHEN d = 0 THEN 'no_discordance' ELSE 'ok' END AS status FROM mc LEFT JOIN r USING (k) JOIN h2 USING (k)"""
 
 
+_REASON = "CASE WHEN NOT fit_valid THEN 'invalid_fit' WHEN n_fitted < 50 THEN 'below_min_fitted_types' END"
+
+
+def _tally_sql(column: str) -> str:
+    parts = ", ".join(f"CASE WHEN count(*) FILTER ({column} = '{r}') > 0 THEN concat('{r}=', count(*) FILTER ({column} = '{r}')) END" for r in paired.REASONS)
+    return f"coalesce(nullif(concat_ws(', ', {parts}), ''), 'none')"
+
+
+_AUDIT = _FITS + """, st AS (SELECT m AS min_types, g AS gof FROM (SELECT unnest([15, 30, 50]) AS m), (SELECT unnest([0.05::DOUBLE, 0.10::DOUBLE]) AS g)),
+pl AS (SELECT log, c AS concept FROM (SELECT DISTINCT log FROM f), (SELECT unnest(['n1', 'n2', 'n3', 'n4', 'n20', 'variants']) AS c)),
+q AS (SELECT min_types, gof, pl.log, pl.concept, n_fitted, gof_p, array_to_string(list_filter([CASE WHEN f.log IS NULL THEN 'missing_result' END,
+ CASE WHEN NOT fit_valid THEN 'invalid_fit' END, CASE WHEN n_fitted < min_types THEN 'below_min_fitted_types' END], lambda x: x IS NOT NULL), ';') AS reasons
+ FROM pl CROSS JOIN st LEFT JOIN f ON f.log = pl.log AND f.concept = pl.concept),
+e AS (SELECT *, CASE WHEN reasons = '' THEN CASE WHEN gof_p >= gof THEN 1 ELSE 0 END END AS outcome, nullif(split_part(reasons, ';', 1), '') AS prime FROM q),
+a AS (SELECT x.min_types, x.gof, x.log, CAST(substr(x.concept, 2) AS INTEGER) AS k, x.n_fitted AS n_fitted_k, x.gof_p AS gof_p_k, x.reasons AS reasons_k, x.outcome AS outcome_k, x.prime AS primary_k,
+ v.n_fitted AS n_fitted_variants, v.gof_p AS gof_p_variants, v.reasons AS reasons_variants, v.outcome AS outcome_variants, v.prime AS primary_variants
+ FROM e x JOIN e v ON v.log = x.log AND v.min_types = x.min_types AND v.gof = x.gof AND v.concept = 'variants' WHERE x.concept <> 'variants')"""
+
+
+def paired_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = paired.paired_audit(derived_fits(spark, sf_dir))
+    rounded = {c: F.round(c, 9) for c in ("gof_p_k", "gof_p_variants")}
+    return out.withColumns(rounded).drop("fit_valid_k", "fit_valid_variants", "eligible_k", "eligible_variants", "primary_k", "primary_variants")
+
+
+def paired_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = paired.paired_grid(paired.paired_audit(derived_fits(spark, sf_dir)))
+    return out.select("min_types", "gof", "k", "n_logs", "n_eligible_k", "n_eligible_variants", "n00", "n01", "n10", "n11", "excluded_k", "excluded_variants", "status")
+
+
 def paper_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paired.paper_table(paired.paired_effects(paired_cells(spark, sf_dir)))
 
@@ -152,17 +188,19 @@ def powerlaw_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision.classified(fits.join(gof.drop("model"), by, "left"), powerlaw.comparisons(freqs, fits, by)).select(*by, "n_fitted", "gof_p", "code")
 
 
-QUERIES = {f.__name__: f for f in (outcome_codes, scaling_table, outcome_counts, best_distributions, comparison_counts, paired_cells, paired_effects, paper_table, reason_tally, sensitivity_categories, sensitivity_changes, sensitivity_paired, powerlaw_fits, powerlaw_gof, powerlaw_comparisons, powerlaw_outcomes)}
+QUERIES = {f.__name__: f for f in (outcome_codes, scaling_table, outcome_counts, best_distributions, comparison_counts, paired_cells, paired_effects, paired_audit, paired_grid, paper_table, reason_tally, sensitivity_categories, sensitivity_changes, sensitivity_paired, powerlaw_fits, powerlaw_gof, powerlaw_comparisons, powerlaw_outcomes)}
 _V = _coded_sql(_SETTINGS) + ", v AS (SELECT k.setting, k.log, k.code, b.code AS base FROM k JOIN (SELECT log, code FROM k WHERE setting = 'baseline' AND concept = 'variants') b ON b.log = k.log WHERE concept = 'variants')"
 SQL = {
     "outcome_codes": _coded_sql(_BASE_SETTING) + " SELECT log, concept, code FROM k",
     "scaling_table": _coded_sql(_BASE_SETTING) + " SELECT log, " + ", ".join(f"coalesce(max(code) FILTER (concept = '{s}'), '?') AS {s}" for s in decision.SCALES) + " FROM k GROUP BY log",
     "outcome_counts": _coded_sql(_BASE_SETTING) + " SELECT concept, " + ", ".join(f"count(*) FILTER (code = '{c}') AS {c}" for c in "ABCDE") + ", count(*) AS total FROM k GROUP BY concept",
-    "best_distributions": _FITS + " SELECT log, concept, CASE WHEN bool_and(R > 0) AND count(DISTINCT model_2) = 3 THEN 'power_law' ELSE arg_min(model_2, row(R, model_2)) END AS best, min(R) AS best_R, round(arg_min(p, row(R, model_2)), 9) AS best_p, arg_min(p, row(R, model_2)) < 0.1 AS significant FROM u GROUP BY 1, 2",
+    "best_distributions": _FITS + " " + _BEST,
     "comparison_counts": _coded_sql(_BASE_SETTING) + " SELECT model_2, count(*) FILTER (p < 0.1 AND R < 0) AS other, count(*) FILTER (p >= 0.1 OR R = 0) AS inconclusive, count(*) FILTER (p < 0.1 AND R > 0) AS power_law FROM u JOIN k USING (log, concept) WHERE concept = 'variants' AND code NOT IN ('A', 'B') GROUP BY 1",
     "paired_cells": _CELLS + " SELECT * FROM cells",
     "paired_effects": _EFFECTS,
-    "reason_tally": _FITS + ", r AS (SELECT concept, unnest(list_filter([CASE WHEN NOT fit_valid THEN 'invalid_fit' END, CASE WHEN n_fitted < 50 THEN 'below_min_fitted_types' END], lambda x: x IS NOT NULL)) AS reason FROM f), t AS (SELECT concept, reason, count(*) AS n FROM r GROUP BY 1, 2) SELECT concept, string_agg(concat(reason, '=', n), ', ' ORDER BY CASE reason WHEN 'invalid_fit' THEN 0 ELSE 1 END) AS tally FROM t GROUP BY 1",
+    "reason_tally": _FITS + f", r AS (SELECT concept, {_REASON} AS reason FROM f) SELECT concept, {_tally_sql('reason')} AS tally FROM r GROUP BY 1",
+    "paired_audit": _AUDIT + " SELECT min_types, gof, log, k, n_fitted_k, round(gof_p_k, 9) AS gof_p_k, reasons_k, outcome_k, n_fitted_variants, round(gof_p_variants, 9) AS gof_p_variants, reasons_variants, outcome_variants, outcome_k IS NOT NULL AND outcome_variants IS NOT NULL AS included FROM a",
+    "paired_grid": _AUDIT + ", g AS (SELECT min_types, gof, k, count(*) AS n_logs, count(outcome_k) AS n_eligible_k, count(outcome_variants) AS n_eligible_variants, " + ", ".join(f"count(*) FILTER (outcome_k = {x} AND outcome_variants = {y}) AS n{x}{y}" for x in (0, 1) for y in (0, 1)) + f", {_tally_sql('primary_k')} AS excluded_k, {_tally_sql('primary_variants')} AS excluded_variants FROM a GROUP BY 1, 2, 3) SELECT *, CASE WHEN n00 + n01 + n10 + n11 = 0 THEN 'unavailable' WHEN n01 + n10 = 0 THEN 'no_discordance' ELSE 'ok' END AS status FROM g",
     "sensitivity_categories": _V + " SELECT setting, " + ", ".join(f"count(*) FILTER (code = '{c}') AS {c}" for c in "ABCDE") + ", count(*) FILTER (code <> 'A') AS eligible, count(*) FILTER (code NOT IN ('A', 'B')) AS not_rejected, count(*) FILTER (code <> base) AS changed FROM v GROUP BY setting",
     "sensitivity_changes": _V + " SELECT setting, coalesce(string_agg(log, ', ' ORDER BY log) FILTER (base = 'A' AND code <> 'A'), '') AS added, coalesce(string_agg(log, ', ' ORDER BY log) FILTER (base <> 'A' AND code = 'A'), '') AS removed, coalesce(string_agg(concat(log, ':', base, '>', code), ', ' ORDER BY log) FILTER (base <> code), '') AS transitions FROM v WHERE setting <> 'baseline' GROUP BY setting",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracefold.operators import decision, reports
 from tracefold.operators import traces as tr
 from tracefold.plans.core import _BASE, _nodes_sql, log_traces
-from tracefold.plans.outcomes import _BASE_SETTING, _FITS, _coded, _coded_sql, derived_comparisons, derived_fits
+from tracefold.plans.outcomes import _BASE_SETTING, _BEST, _FITS, _coded, _coded_sql, derived_comparisons, derived_fits
 
 
 def variant_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +48,6 @@ def experiment_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (variant_table, fitted_types_table, best_alternative_table, gof_by_order, outcome_shares, outcome_stack, experiment_overview)}
 _CODED = _coded_sql(_BASE_SETTING)
 _COUNTS = _CODED + ", o AS (SELECT concept, " + ", ".join(f"count(*) FILTER (code = '{c}') AS {c}" for c in "ABCDE") + ", count(*) AS total FROM k GROUP BY concept)"
-_BEST = "SELECT log, concept, CASE WHEN bool_and(R > 0) AND count(DISTINCT model_2) = 3 THEN 'power_law' ELSE arg_min(model_2, row(R, model_2)) END AS best, min(R) AS best_R, round(arg_min(p, row(R, model_2)), 9) AS best_p, arg_min(p, row(R, model_2)) < 0.1 AS significant FROM u GROUP BY 1, 2"
 SQL = {
     "variant_table": _CODED + f", b AS ({_BEST}) SELECT l.log, n_fitted, round(gof_p, 9) AS gof_p, fit_valid, coalesce(code, '?') AS code, best, best_R, best_p, significant FROM (SELECT DISTINCT log FROM f) l LEFT JOIN k ON k.log = l.log AND k.concept = 'variants' LEFT JOIN b ON b.log = l.log AND b.concept = 'variants'",
     "fitted_types_table": _FITS + " SELECT log, " + ", ".join(f"coalesce(max(CAST(n_fitted AS VARCHAR)) FILTER (concept = '{s}'), '?') AS {s}" for s in decision.SCALES) + " FROM f GROUP BY log",
