@@ -65,6 +65,17 @@ def test_line_runs_are_deleted_whole(spark):
     assert got == {0: "\n".join([*run, "one"]), 1: "two", 2: "three"}
 
 
+def test_long_runs_are_one(spark):
+    """Runs of any length: 100 common lines inside different texts, with blank lines, and a run that ends at the text's end."""
+    run = [" ".join(words(4, 900 + i)) for i in range(100)]
+    table = docs(spark, "\n".join(["own a", *run, "own b"]), "\n".join(["own c", *run[:60], "", *run[60:], "own d"]), "\n".join(["own e", *run[90:]]))
+    got = {r.doc_id: r for r in line_dedup.delete_repeated_lines(table).collect()}
+    assert got[1].text == "own c\nown d" and got[1].n_removed == 101 and got[1].longest_run == 100
+    assert got[2].text == "own e" and got[2].longest_run == 10 and got[0].n_removed == 0
+    prefixes = {r.pos: r.lines for r in line_dedup.repeated_prefixes(table, "doc_id", "text").where("key = 1").collect()}
+    assert prefixes[1] == 96 and prefixes[98] == 3 and 99 not in prefixes  # the rounds rank 3, 6, .. 96 lines
+
+
 def test_line_dedup_of_odd_rows(spark):
     out = line_dedup.delete_repeated_lines(odd(spark))
     assert out.count() == 10 and out.where("n_removed > 0").count() == 0
@@ -80,16 +91,17 @@ def test_language_model_base(spark, texts):
         r = got[k]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(k).encode()) % 5 == 1, len(ws), sum(count[w] > 0 for w in ws), total)
         assert r.base_score == pytest.approx(sum(math.log10((count[w] + 0.5) / (total + 0.5 * (kinds + 1))) for w in ws))
-    held = [r for r in got.values() if r.held_out]
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    for folder in (FOLDER, FOLDER.replace("0.001", "0.01")):
+        score, base = QUERIES["op2_hmm_lm"](spark, folder).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
+        assert score > base
 
 
 def test_forward_is_exact():
     rng = np.random.default_rng(5)
-    k, c = 3, hmm_lm.CLASSES
+    k, c = 3, 1 << 15
     soft = lambda a: a / a.sum(axis=-1, keepdims=True)
     model = hmm_lm.Model(soft(rng.random((2, k))), soft(rng.random((k, k))), soft(rng.random((k, c))).T.copy())
-    ids, offs = rng.integers(0, c, 12).astype("<u2"), np.array([0, 4, 4 + 7, 12])
+    ids, offs = rng.integers(0, c, 12).astype("<u4"), np.array([0, 4, 4 + 7, 12])
     for i, got in enumerate(hmm_lm.forward(model, ids, offs)):
         a = model.start[0]
         for t, x in enumerate(ids[offs[i] : offs[i + 1]]):
@@ -99,17 +111,44 @@ def test_forward_is_exact():
 
 def test_training_raises_the_likelihood():
     rng = np.random.default_rng(6)
-    offs = np.arange(0, 4001, 40)
-    ids = np.concatenate([rng.integers(1 + 50 * (i % 2), 51 + 50 * (i % 2), 40) for i in range(100)]).astype("<u2")
-    mass = np.full(hmm_lm.CLASSES, 0.5) + np.bincount(ids, minlength=hmm_lm.CLASSES)
-    model = hmm_lm.seed_model(mass, [ids[o : o + 40].astype(np.int64) for o in offs[:-1]], 2, rounds=1)
+    offs = np.arange(0, 4001, 400)
+    ids = np.concatenate([rng.integers(1 + 50 * (i % 2), 51 + 50 * (i % 2), 400) for i in range(10)]).astype("<u4")
+    mass = np.full(1 << 15, 0.5) + np.bincount(ids, minlength=1 << 15)
+    model = hmm_lm.seed_model(mass, hmm_lm.meetings(ids, offs), 2)
     seen = []
     for _ in range(4):
         s, a, e, total = hmm_lm.expect(model, ids, offs)
         seen.append(total)
-        assert e.sum() == pytest.approx(len(ids), rel=1e-4)
-        model = hmm_lm.maximise(mass, s, a, e)
+        # every token is counted once, and so is every step between two tokens of a text, also across pieces
+        assert e.sum() == pytest.approx(len(ids), rel=1e-4) and a.sum() == pytest.approx(len(ids) - 10, rel=1e-4)
+        model = hmm_lm.maximise(mass, s, a, e, prior=1.0)
     assert all(b >= a - abs(a) * 1e-4 for a, b in zip(seen, seen[1:]))
+    assert np.abs(model.emit[1:51].sum(axis=0) - model.emit[51:101].sum(axis=0)).min() > 0.9  # a state for each kind of text
+
+
+def test_margins_stand_in_for_whole_texts():
+    rng = np.random.default_rng(8)
+    k, c = 3, 64
+    soft = lambda a: a / a.sum(axis=-1, keepdims=True)
+    model = hmm_lm.Model(soft(rng.random((2, k))), soft(rng.random((k, k)) + np.eye(k)), soft(rng.random((k, c)) ** 3).T.copy())
+    ids, offs = rng.integers(0, c, 1000).astype("<u4"), np.array([0, 700, 1000])
+    whole = [np.zeros((k, k)), np.zeros((c, k)), 0.0]
+    for i, j in zip(offs, offs[1:]):
+        x = ids[i:j]
+        a, z = [], []
+        for t, w in enumerate(x):
+            v = (model.start[0] if t == 0 else a[-1] @ model.step) * model.emit[w]
+            z.append(v.sum()), a.append(v / v.sum())
+        b = np.ones(k)
+        for t in range(len(x) - 1, -1, -1):
+            whole[1][x[t]] += a[t] * b / (a[t] * b).sum()
+            if t:
+                on = b * model.emit[x[t]] / z[t]
+                whole[0] += np.outer(a[t - 1], on) * model.step
+                b = model.step @ on
+        whole[2] += np.log(z).sum()
+    _, steps, emits, total = hmm_lm.expect(model, ids, offs)
+    assert np.abs(steps - whole[0]).max() < 0.05 and np.abs(emits - whole[1]).max() < 0.05 and total == pytest.approx(whole[2], rel=1e-4)
 
 
 def test_language_model_of_odd_rows(spark):
