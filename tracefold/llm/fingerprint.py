@@ -1,13 +1,15 @@
 """Document fingerprints: a homomorphic multiset hash that also measures likeness.
 
-A document is the multiset of its paragraphs' pieces (lines, cut into runs of ``PIECE`` words). Each piece hashes to a wide vector of
-bits; a fingerprint is the sum of those vectors modulo powers of two, held as lanes of 20 bits, three to a 60-bit number. Order doesn't
-matter; inserting or deleting a paragraph adds or subtracts its vector (``combine``), so fingerprints are kept up to date without
-the text. With n pieces a lane counts the pieces that have its bit, so 2 * count - n is the sum of independent signs: the
-cosine of two such vectors estimates the cosine of the two multisets. DataFrame functions only, all within a row.
+A document is the multiset of its paragraphs' pieces (lines, cut into runs of ``PIECE`` words). Each piece hashes to a wide vector: two lanes of the
+full 60 bits, and 120 lanes of one bit. A fingerprint is the sum of those vectors modulo powers of two: the full lanes modulo 2^60, the others in lanes of 20
+bits, three to a 60-bit number. Order doesn't matter; inserting or deleting a paragraph adds or subtracts its vector (``combine``), so fingerprints
+are kept up to date without the text. The full lanes make unequal multisets differ; with n pieces a narrow lane counts the pieces that have its bit, so
+2 * count - n is the sum of independent signs, and the cosine of two such vectors estimates the cosine of the two multisets. DataFrame
+functions only, all within a row.
 
 Defined cases: null and empty text have the fingerprint of the empty multiset; two empty ones are alike (1), an empty and another
-are not (0); lanes wrap beyond 2^20 pieces (equality holds on, likeness is then lost).
+are not (0); lanes wrap beyond 2^20 pieces (equality holds on, likeness is then lost); rows of equal key come in the order of their texts;
+null keys come last; a single row is its own next one; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -29,13 +31,14 @@ MASK = (1 << MODULUS_BITS) - 1
 
 
 def fingerprint(text: Column) -> Column:
-    """Array of longs: the number of pieces, then the lane sums."""
+    """Array of longs: the number of pieces, the sums of the narrow lanes, those of the full ones."""
     pieces = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECES), F.lit(0))
     hashed = F.transform(pieces, lambda p: F.struct(*(F.xxhash64(p, F.lit(s)).alias(f"h{s}") for s in SEEDS)))
 
     def sums(h: Column) -> Column:
         lane = lambda seed, i: F.aggregate(h, F.lit(0).cast("long"), lambda a, x: (a + F.shiftrightunsigned(x[f"h{seed}"], i).bitwiseAND(ONES)).bitwiseAND(MASK))
-        return F.array(F.size(h).cast("long"), *(lane(s, i) for s in SEEDS for i in range(LANE)))
+        full = lambda seed: F.aggregate(h, F.lit(0).cast("long"), lambda a, x: (a + x[f"h{seed}"].bitwiseAND(MASK)).bitwiseAND(MASK))
+        return F.array(F.size(h).cast("long"), *(lane(s, i) for s in SEEDS for i in range(LANE)), *(full(s) for s in SEEDS))
 
     return let(hashed, sums)
 
@@ -67,14 +70,17 @@ def likeness(a: Column, b: Column) -> Column:
     return F.round(F.coalesce(equal, empty, F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))), 6)
 
 
-def with_next(docs: DataFrame, key: str, text: str, carried: list[str], chars_per_block: int = 1_000_000, max_blocks: int = 20_000) -> DataFrame:
-    """``docs`` with ``next``: a struct of the ``carried`` columns of the next document in descending key order; the first follows the last.
+def with_next(docs: DataFrame, key: str, text: str, derived: dict[str, Column], chars_per_block: int = 1_000_000, max_edges: int = 20_000) -> DataFrame:
+    """``docs`` with the ``derived`` columns and ``next``: a struct of the text and its derived columns of the next document in descending key order; the first follows the last.
 
-    Documents are dealt into blocks of consecutive keys by quantiles, so the texts are shuffled once and no task sees all rows. Only a
-    block's last row needs another block's first row; those few are joined by block, on the partitioning that is there.
+    Documents are dealt into blocks of consecutive keys, so the texts are shuffled once and no task sees all rows: by at most ``max_edges`` quantiles, and
+    between those in equal steps of the key, as many as keep a block at about ``chars_per_block``. Only a block's last row needs another block's first row;
+    those few are joined by block, on the partitioning that is there. Derived columns are made before the shuffle, and once more for those first rows only.
     """
-    chars, rows = docs.agg(F.coalesce(F.sum(F.length(text)), F.lit(0)), F.count("*")).first()
-    blocks = int(max(64, min(max_blocks, chars // chars_per_block)))
+    chars, rows, low, high = docs.agg(F.coalesce(F.sum(F.length(text)), F.lit(0)), F.count("*"), F.min(key), F.max(key)).first()
+    blocks = max(64, chars // chars_per_block)
+    steps = -(-blocks // max_edges)
+    blocks = int(min(blocks, max_edges))
     cuts = []
     if rows > 1:
         shares = F.split(F.lit(",".join(str(i / blocks) for i in range(1, blocks))), ",").cast("array<double>")
@@ -82,15 +88,27 @@ def with_next(docs: DataFrame, key: str, text: str, carried: list[str], chars_pe
     edges = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<long>") if cuts else F.array().cast("array<long>")
     # the number of edges at or above the key: descending keys have ascending blocks
     block = F.when(F.col(key).isNull(), F.lit(len(cuts) + 1)).otherwise(_upper(edges, F.col(key), len(cuts)))
-    w = Window.partitionBy("block").orderBy(F.col(key).desc_nulls_last(), F.col(text))
     dealt = docs.withColumn("block", block)
-    rowed = dealt.withColumn("_next", F.lead(F.struct(*carried)).over(w))
-    firsts = dealt.groupBy("block").agg(F.min_by(F.struct(*carried), F.struct((-F.col(key)).alias("k"), F.col(text).alias("t"))).alias("_first"))
-    ids = sorted(r.block for r in docs.select(block.alias("block")).distinct().collect())  # at most max_blocks + 2 numbers
+    step = F.lit(0)
+    if steps > 1:
+        # keys of block b are at most edges[n - b] and above edges[n - b - 1]
+        top = F.coalesce(F.get(edges, len(cuts) - F.col("block")), F.lit(high)).cast("double")
+        bottom = F.coalesce(F.get(edges, len(cuts) - F.col("block") - 1), F.lit(low)).cast("double")
+        step = F.coalesce(F.floor((top - F.col(key)) * steps / (top - bottom + 1)), F.lit(0)).cast("int")
+    dealt = dealt.withColumn("step", step)
+    w = Window.partitionBy("block", "step").orderBy(F.col(key).desc_nulls_last(), F.col(text))
+    carried = F.struct(text, *derived)
+    rowed = dealt.withColumns(derived).withColumn("_next", F.lead(carried).over(w))
+    first = F.min_by(F.col(text), F.struct((-F.col(key)).alias("k"), F.col(text).alias("t"))).alias(text)
+    firsts = dealt.groupBy("block", "step").agg(first).withColumns(derived).select("block", "step", carried.alias("_first"))
+    # a step is followed by the next one of its block, the last one by the first of the next block
+    after = firsts.withColumn("_after", F.lead("_first").over(Window.partitionBy("block").orderBy("step")))
+    ids = sorted(r.block for r in docs.select(block.alias("block")).distinct().collect())  # at most max_edges + 2 numbers
     before = [(ids[(i + 1) % len(ids)], b) for i, b in enumerate(ids)]
     link = docs.sparkSession.createDataFrame(before or [(0, 0)], "block int, before int")
-    heads = firsts.join(F.broadcast(link), "block").select(F.col("before").alias("block"), "_first")  # link: two numbers a block
-    return rowed.join(heads, "block", "left").withColumn("next", F.coalesce("_next", "_first")).drop("_next", "_first", "block")
+    heads = firsts.groupBy("block").agg(F.min_by("_first", "step").alias("_head")).join(F.broadcast(link), "block")  # link: two numbers a block
+    ends = after.join(heads.select(F.col("before").alias("block"), "_head"), "block").select("block", "step", F.coalesce("_after", "_head").alias("_first"))
+    return rowed.join(ends, ["block", "step"], "left").withColumn("next", F.coalesce("_next", "_first")).drop("_next", "_first", "block", "step")
 
 
 def _upper(edges: Column, value: Column, count: int) -> Column:
@@ -115,7 +133,7 @@ def edited(text: Column, next_text: Column) -> Column:
 
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    df = with_next(docs.withColumn("fp", fingerprint(F.col("text"))), "doc_id", "text", ["text", "fp"])
+    df = with_next(docs, "doc_id", "text", {"fp": fingerprint(F.col("text"))})
     changed = let(edited(F.col("text"), F.col("next.text")), lambda e: F.struct(F.sha2(e, 256).alias("sha"), fingerprint(e).alias("fp")))
     df = df.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.col("fp"), F.col("next.fp").alias("next_fp"), changed.alias("e"))
     return df.select("doc_id", "n_chars", let(F.struct("fp", "next_fp", "e"), lambda s: F.struct(
@@ -123,5 +141,18 @@ def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
         likeness(s["fp"], s["e"]["fp"]).alias("near_edited"), likeness(s["fp"], s["next_fp"]).alias("near_next"))).alias("o")).select("doc_id", "n_chars", "o.*")
 
 
-QUERIES = {"op4_fingerprint": op4_fingerprint}
-SQL: dict[str, str] = {}
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``op4_fingerprint`` says of the texts themselves, which has SQL."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    df = with_next(docs, "doc_id", "text", {})
+    return df.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(edited(F.col("text"), F.col("next.text")), 256).alias("edited_sha256"))
+
+
+QUERIES = {"op4_fingerprint": op4_fingerprint, "edited_texts": edited_texts}
+SQL = {
+    "edited_texts": """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT *, coalesce(lead(t) OVER w, first_value(t) OVER w) AS nx FROM d WINDOW w AS (ORDER BY doc_id DESC NULLS LAST, t))
+SELECT doc_id, length(t) AS n_chars, sha256(concat(substr(t, 1, length(t) - length(t) // 3), substr(nx, 1, length(t) // 3))) AS edited_sha256 FROM n
+""",
+}
