@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracefold.llm import bytes as B
-from tracefold.llm.common import table
+from tracefold.llm.common import table, whole_key
 
 U64 = np.uint64
 WIDTH, SEED = 50, 16
@@ -109,9 +109,17 @@ def _bucket(seeds: np.ndarray, buckets: int) -> np.ndarray:
     return (B.mix(seeds ^ U64(0x1234567)) % U64(buckets)).astype(np.int64)
 
 
-def _cut(order_by: np.ndarray, buckets: int):
+def _cut(order_by: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order by bucket, the buckets that occur, and where each begins (one more at the end). Work grows with the items, not with the buckets."""
     order = np.argsort(order_by, kind="stable")
-    return order, np.searchsorted(order_by[order], np.arange(buckets + 1))
+    sorted_by = order_by[order]
+    first = np.flatnonzero(np.r_[True, sorted_by[1:] != sorted_by[:-1]]) if len(order) else np.empty(0, np.int64)
+    return order, sorted_by[first], np.r_[first, len(order)]
+
+
+def _of_bucket(order: np.ndarray, names: np.ndarray, cut: np.ndarray, bucket: int) -> np.ndarray:
+    i = int(np.searchsorted(names, bucket))
+    return order[cut[i] : cut[i + 1]]
 
 
 SENT = pa.schema([("cid", pa.int64()), ("bucket", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())])
@@ -137,13 +145,12 @@ def _send_seeds(buckets: int):
     def run(t: pa.Table) -> pa.Table:
         g = Group(t)
         seeds, many = g.seeds()
-        order, cut = _cut(_bucket(seeds, buckets), buckets)
+        order, names, cut = _cut(_bucket(seeds, buckets))
         cid = t.column("cid")[0].as_py()
         rows = []
-        for b in range(buckets):
-            o = order[cut[b] : cut[b + 1]]
-            if len(o):
-                rows.append((cid, b, _pack(seeds[o]), np.packbits(many[o]).tobytes(), b"", b""))
+        for i, b in enumerate(names.tolist()):
+            o = order[cut[i] : cut[i + 1]]
+            rows.append((cid, b, _pack(seeds[o]), np.packbits(many[o]).tobytes(), b"", b""))
         return _sent(rows)
 
     return run
@@ -162,10 +169,10 @@ def _answer_seeds(t: pa.Table) -> pa.Table:
 
 def _shared_seeds(g: Group, answers: pa.Table, buckets: int) -> np.ndarray:
     seeds, _ = g.seeds()
-    order, cut = _cut(_bucket(seeds, buckets), buckets)
+    placed = _cut(_bucket(seeds, buckets))
     kept = [np.empty(0, U64)]
     for b, a in zip(answers.column("bucket").to_pylist(), answers.column("a").to_pylist(), strict=True):
-        o = order[cut[b] : cut[b + 1]]
+        o = _of_bucket(*placed, b)
         kept.append(seeds[o][np.unpackbits(np.frombuffer(a, dtype=np.uint8), count=len(o)).astype(bool)])
     return np.sort(np.concatenate(kept))
 
@@ -178,12 +185,10 @@ def _send_strings(buckets: int):
         shared = _shared_seeds(g, answers, buckets)
         pick, first, least = g.strings(shared)
         lead = pick[first]
-        order, cut = _cut(_bucket(g.seed[lead], buckets), buckets)
+        order, names, cut = _cut(_bucket(g.seed[lead], buckets))
         cid, rows = t.column("cid")[0].as_py(), []
-        for b in range(buckets):
-            o = order[cut[b] : cut[b + 1]]
-            if not len(o):
-                continue
+        for j, b in enumerate(names.tolist()):
+            o = order[cut[j] : cut[j + 1]]
             i = lead[o]
             size = g.windows[i] + WIDTH - 1
             at = np.repeat(g.start[i] - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
@@ -316,13 +321,13 @@ def _apply(buckets: int, with_text: bool):
             if len(pick):
                 many = np.diff(np.r_[first, len(pick)])
                 string = np.repeat(np.arange(len(first)), many)
-                order, cut = _cut(_bucket(g.seed[pick[first]], buckets), buckets)
+                placed = _cut(_bucket(g.seed[pick[first]], buckets))
                 whole = least.copy()
                 parts = [np.zeros((0, 3), np.int64)]
                 for b, a, w, k in zip(kinds, *(answers.column(c).to_pylist() for c in "abc"), strict=True):
                     if b < 0:
                         continue
-                    number = order[cut[b] : cut[b + 1]][np.frombuffer(a, dtype=np.int32)]
+                    number = _of_bucket(*placed, b)[np.frombuffer(a, dtype=np.int32)]
                     window, keys = np.frombuffer(w, dtype=np.uint8), np.frombuffer(k, dtype=np.int64)
                     all_of = window == 255
                     whole[number[all_of]] = keys[all_of]
@@ -365,8 +370,10 @@ def remove_repeats(docs: DataFrame, key_col: str = "doc_id", text_col: str = "te
     """Per row: ``key, n_bytes, n_removed, n_spans, kept_sha256, kept`` (the remaining bytes, null without ``with_text``)."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     groups, buckets = int(max(64, size // GROUP_BYTES)), int(max(64, size // BUCKET_BYTES))
-    key = F.col(key_col).cast("long")
-    dealt = docs.select(key.alias("key"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(key), F.lit(groups)).cast("long").alias("cid"))
+    key = whole_key(docs, key_col)
+    # the text takes part in the hash, so that rows without a key, or with one key, are spread as well
+    group = F.pmod(F.xxhash64(key, F.col(text_col)), F.lit(groups)).cast("long")
+    dealt = docs.select(key.alias("key"), F.col(text_col).alias("text"), group.alias("cid"))
     by = lambda df: df.groupBy("cid")
     seeds = by(dealt).applyInArrow(_send_seeds(buckets), SENT_SQL)
     shared = seeds.groupBy("bucket").applyInArrow(_answer_seeds, SENT_SQL)
