@@ -47,7 +47,7 @@ BITS_PER_MEMBER = 1
 #: Sets of each other component that a probe goes on with in the first round.
 NEAREST = 2
 #: Rows of a block of a tile, and pairs that are looked at together.
-TILE_ROWS, TOGETHER = 2_048, 1 << 20
+TILE_ROWS, TOGETHER = 512, 1 << 20
 #: Rows of a list of common shingles, and pairs of one set, that one task takes at most, about.
 SPREAD = 4_096
 #: Longs of the broadcast bitmap of wanted sets, at least and at most.
