@@ -33,7 +33,7 @@ from tracefold.llm.common import most_frequent, stored, table, whole_key
 U64 = np.uint64
 STATES = 8
 #: Words with a class of their own, as a power of two: one for so many distinct words, at least and at most (the model has twice as many classes).
-WORDS_PER_CLASS, OWN_BITS = 16, (14, 17)
+WORDS_PER_CLASS, OWN_BITS = 64, (13, 16)
 #: Words whose counts are broadcast (16 bytes each); the rest are joined.
 KNOWN = 1 << 18
 PIECE, MARGIN = 128, 16
@@ -46,6 +46,8 @@ PRIORS = tuple(float(250 * 2**i) for i in range(14))
 #: The end of a text, as a word.
 END = int(B.mix(np.array([0xE4D0], dtype=U64))[0])
 BLOCK_TOKENS = 2_000_000
+#: Training tokens of a task, about, where there are more tasks than twice the cores: each task sends a row a class and round.
+TASK_TOKENS = 20_000_000
 
 
 def held_out(key: Column) -> Column:
@@ -234,8 +236,8 @@ def expect(model: Model, ids: np.ndarray, offs: np.ndarray, block: int = 4096):
 
 
 def _expectation(model, k: int):
-    """Rows (what, at, K sums): what 0 emissions by class, 1 steps, 2 starts, 3 log-likelihood."""
-    schema = pa.schema([("what", pa.int32()), ("at", pa.int32()), *((f"s{j}", pa.float64()) for j in range(k))])
+    """Rows (what, at, K sums): what 0 emissions by class, 1 steps, 2 starts, 3 log-likelihood. Sums of one task fit in 32 bits."""
+    schema = pa.schema([("what", pa.int32()), ("at", pa.int32()), *((f"s{j}", pa.float32()) for j in range(k))])
 
     def run(batches):
         sums = None
@@ -249,17 +251,19 @@ def _expectation(model, k: int):
         values = np.concatenate([emits[at], steps, starts, np.eye(1, k) * total])
         what = np.repeat([0, 1, 2, 3], [len(at), k, 2, 1])
         where = np.concatenate([at, np.arange(k), np.arange(2), [0]])
-        yield B.record(schema, what.astype(np.int32), where.astype(np.int32), *values.T)
+        yield B.record(schema, what.astype(np.int32), where.astype(np.int32), *values.T.astype(np.float32))
 
     return run
 
 
 def shrinkage(mass: np.ndarray, emits: np.ndarray) -> float:
     """The weight of the class frequencies by which tokens that are left out, one at a time, are predicted best."""
-    at, state = np.nonzero(emits > 0)
-    n, of_state = emits[at, state], emits.sum(axis=0)[state]
-    others, left = np.maximum(mass[at] - 1, 0.5) / mass.sum(), np.maximum(n - 1, 0)
-    fits = [(n * np.log((left + w * others) / (np.maximum(of_state - 1, 0) + w))).sum() for w in PRIORS]
+    fits, total = np.zeros(len(PRIORS)), mass.sum()
+    for column in emits.T:  # state by state, to hold little
+        at = np.flatnonzero(column)
+        n, others = column[at], np.maximum(mass[at] - 1, 0.5) / total
+        left, size = np.maximum(n - 1, 0), max(column.sum() - 1, 0.0)
+        fits += [(n * np.log((left + w * others) / (size + w))).sum() for w in PRIORS]
     return PRIORS[int(np.argmax(fits))]
 
 
@@ -398,14 +402,14 @@ def lm_scores(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text",
     known = sc.broadcast(Vocabulary.arrays(words, n, mass))
     encoded = stored(rows.mapInArrow(_encode(known), ENCODED), "lm-tokens")
     texts = encoded.where("kind = 0")
-    train = texts.where("not held").select("ids")
+    train = texts.where("not held").select("ids").coalesce(max(2 * sc.defaultParallelism, -(-int(tokens) // TASK_TOKENS)))
     met = np.zeros((ANCHORS, ANCHORS))
     pairs = train.mapInArrow(_meetings(), "a int, b int, n double").groupBy("a", "b").agg(F.sum("n").alias("n")).toPandas()  # ANCHORS squared at most
     met[pairs["a"].to_numpy(dtype=np.int64), pairs["b"].to_numpy(dtype=np.int64)] = pairs["n"].to_numpy(dtype=float)
     model, before = seed_model(mass, met, states), None
     for _ in range(rounds if tokens else 0):
         shown = sc.broadcast(model.arrays())
-        sums = train.mapInArrow(_expectation(shown, states), "what int, at int, " + ", ".join(f"s{j} double" for j in range(states)))
+        sums = train.mapInArrow(_expectation(shown, states), "what int, at int, " + ", ".join(f"s{j} float" for j in range(states)))
         got = sums.groupBy("what", "at").agg(*(F.sum(f"s{j}").alias(f"s{j}") for j in range(states))).toPandas()  # a row a class
         parts = []
         for what, size in ((2, 2), (1, states), (0, classes)):
@@ -413,6 +417,7 @@ def lm_scores(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text",
             mine = got[got["what"] == what]
             part[mine["at"].to_numpy(dtype=np.int64)] = mine[[f"s{j}" for j in range(states)]].to_numpy()
             parts.append(part)
+        shown.unpersist()
         model = maximise(mass, *parts)
         reached = float(got.loc[got["what"] == 3, "s0"].sum())
         if before is not None and reached - before < SETTLED * abs(before):
