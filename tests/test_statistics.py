@@ -104,9 +104,30 @@ def test_bootstrap_is_independent_of_blocks(spark):
     assert (a.gof_p, a.n_success, a.n_failed) == (b.gof_p, b.n_success, b.n_failed)
 
 
-def test_bad_frequencies_raise(spark):
+@pytest.mark.parametrize("bad", [0.0, -1.0, 2.5, float("nan"), float("inf"), None])
+def test_bad_frequencies_raise(spark, bad):
     with pytest.raises(Exception, match="positive"):
-        powerlaw.histograms(spark.createDataFrame([("l", 0)], "log string, freq long"), ["log"]).collect()
+        powerlaw.histograms(spark.createDataFrame([("l", bad)], "log string, freq double"), ["log"]).collect()
+
+
+def test_draws_follow_the_law():
+    rng = np.random.default_rng(3)
+    for alpha, xmin, xmax in ((2.5, 2.0, None), (1.3, 1.0, None), (0.7, 3.0, 50.0)):
+        v, c = powerlaw.draw(200_000, alpha, xmin, xmax, rng)
+        assert c.sum() == 200_000 and v.min() >= xmin and (xmax is None or v.max() <= xmax)
+        z = powerlaw.power_sum(alpha, xmin, xmax)
+        for x in (xmin, xmin + 1, xmin + 7):
+            assert c[v >= x].sum() / 200_000 == pytest.approx(float(powerlaw.power_sum(alpha, x, xmax) / z), abs=0.005)
+
+
+def test_fits_together_are_fits_alone():
+    rng = np.random.default_rng(9)
+    samples = [np.unique(rng.zipf(2.1, size), return_counts=True) for size in (50, 300, 1000)] + [(np.array([1.0]), np.array([1]))]
+    for model in powerlaw.MODELS:
+        together = powerlaw.fit_many([(v.astype(float), n) for v, n in samples], model)
+        assert together[3] is None
+        for (v, n), got in zip(samples[:3], together):
+            assert got == powerlaw.fit(v.astype(float), n, model)
 
 
 def test_attribute_types(spark):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracefold.functions.storage import stored
+
 MODELS = ("linear", "exponential", "power_law", "bounded_power_law")
 TINY = 1e-12
 
@@ -32,6 +34,7 @@ def curve_fits(points: DataFrame, by: list[str], bounded_min: int = 2) -> DataFr
 
     A model's probabilities are its predictions, at least ``TINY``, over their sum; the sum is a second aggregate joined by ``by``.
     """
+    points = stored(points.select(*by, "rank", "freq"), "curve-points")  # read three times
     fits = coefficients(points, by, bounded_min)
     rows = points.join(fits, by)
     shown = {m: F.when(p.isNotNull() & ~F.isnan(p), F.greatest(p, F.lit(TINY))) for m, p in predictions().items()}

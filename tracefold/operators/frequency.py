@@ -6,12 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranks that one row is expanded to at most.
+RANKS = 1 << 16
+
+
 def rank_frequency(freqs: DataFrame, by: list[str]) -> DataFrame:
     """``by, rank, freq``: the rank-frequency curve. Equal frequencies are counted before they are ranked, so the window sees distinct values only."""
+    placed = rank_ranges(freqs, by)
+    # ranks of one frequency are made in blocks, dealt anew, so that a million singletons aren't one row's work
+    blocks = placed.withColumn("from", F.explode(F.sequence("first", "last", F.lit(RANKS)))).withColumn("to", F.least("last", F.col("from") + RANKS - 1))
+    return blocks.repartition(*by, "from").select(*by, F.explode(F.sequence("from", "to")).alias("rank"), "freq")
+
+
+def rank_ranges(freqs: DataFrame, by: list[str]) -> DataFrame:
+    """``by, freq, types, first, last``: each frequency's types and the ranks that they have; a row for each distinct frequency."""
     values = freqs.where(F.col("freq") > 0).groupBy(*by, "freq").agg(F.count("*").alias("types"))
     before = F.sum("types").over(Window.partitionBy(*by).orderBy(F.desc("freq")).rowsBetween(Window.unboundedPreceding, -1))
-    placed = values.withColumn("first", F.coalesce(before, F.lit(0)) + 1)
-    return placed.select(*by, F.explode(F.sequence("first", F.col("first") + F.col("types") - 1)).alias("rank"), "freq")
+    first = F.coalesce(before, F.lit(0)) + 1
+    return values.select(*by, "freq", "types", first.alias("first"), (first + F.col("types") - 1).alias("last"))
 
 
 def describe(freqs: DataFrame, by: list[str]) -> DataFrame:
@@ -51,11 +63,9 @@ def length_cdf(traces: DataFrame) -> DataFrame:
 
 def xmax_candidates(freqs: DataFrame, by: list[str], exclude: tuple[int, ...] = (0, 1, 2, 3, 5, 10)) -> DataFrame:
     """``exclude_k, xmax, excluded``: the value at each position of the descending frequencies; repeats keep the first; excluded: types strictly above."""
-    ranks = rank_frequency(freqs, by).where(F.col("rank").isin([k + 1 for k in exclude]))
-    first = ranks.groupBy(*by, F.col("freq").alias("xmax")).agg((F.min("rank") - 1).alias("exclude_k"))
-    values = freqs.groupBy(*by, "freq").agg(F.count("*").alias("t")).withColumn("above", F.coalesce(F.sum("t").over(Window.partitionBy(*by).orderBy(F.desc("freq")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    above = values.select(*by, F.col("freq").alias("xmax"), F.col("above").alias("excluded"))
-    return first.join(above, [*by, "xmax"]).select(*by, "exclude_k", "xmax", "excluded")
+    ranges = rank_ranges(freqs, by)
+    wanted = F.filter(F.array(*(F.lit(k) for k in exclude)), lambda k: (k + 1 >= F.col("first")) & (k + 1 <= F.col("last")))
+    return ranges.where(F.size(wanted) > 0).select(*by, F.array_min(wanted).alias("exclude_k"), F.col("freq").alias("xmax"), (F.col("first") - 1).alias("excluded"))
 
 
 def next_activity_map(edges: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def power_sum(alpha, low, high=None, head: int = 12) -> np.ndarray:
     return total + np.where(more, tail, 0.0)
 
 
-def _golden(cost, low: np.ndarray, high: np.ndarray, rounds: int = 70) -> np.ndarray:
+def _golden(cost, low: np.ndarray, high: np.ndarray, rounds: int = 50) -> np.ndarray:
     """Minimisers of independent unimodal functions, all at once."""
     g = (math.sqrt(5) - 1) / 2
     c, d = high - g * (high - low), low + g * (high - low)
@@ -63,36 +63,67 @@ def _golden(cost, low: np.ndarray, high: np.ndarray, rounds: int = 70) -> np.nda
     return (low + high) / 2
 
 
-def fit_alpha(x: np.ndarray, n: np.ndarray, xmin: np.ndarray, xmax: float | None) -> tuple[np.ndarray, np.ndarray]:
-    """Maximum-likelihood alpha and KS distance for each xmin, on values ``x`` (ascending) that occur ``n`` times."""
-    upper = np.inf if xmax is None else xmax
-    inside = x <= upper
-    x, n = x[inside], n[inside]
-    logs = n * np.log(x)
-    at = np.searchsorted(x, xmin)
-    count = n.sum() - np.r_[0, np.cumsum(n)][at]
-    total = logs.sum() - np.r_[0, np.cumsum(logs)][at]
-    top = None if xmax is None else upper
+#: Pairs of a candidate and a value whose model probabilities are held at once.
+PAIRS = 1 << 18
+
+
+def _distances(x, cum, alpha, xmin, top, count, z, at, end) -> np.ndarray:
+    """KS distance of each candidate: its values are ``x[at:end]``, ``cum`` the counts before each value. A bounded number of pairs at a time."""
+    size = end - at
+    upto = np.r_[0, np.cumsum(size)]
+    out = np.empty(len(at))
+    lo = 0
+    while lo < len(at):
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + PAIRS, "right")) - 1)
+        who = np.repeat(np.arange(lo, hi), size[lo:hi])
+        j = np.arange(len(who)) - np.repeat(upto[lo:hi] - upto[lo], size[lo:hi]) + at[who]
+        survive = power_sum(alpha[who], x[j], top[who], head=6) / z[who]
+        apart = np.abs((cum[j] - cum[at[who]]) / count[who] - (1 - survive))
+        out[lo:hi] = np.maximum.reduceat(apart, upto[lo:hi] - upto[lo])
+        lo = hi
+    return out
+
+
+def fit_problems(problems: list[tuple[np.ndarray, np.ndarray, np.ndarray, float | None]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Maximum-likelihood alpha and KS distance for each candidate xmin of each problem: values ``x`` (ascending), their counts, candidates, xmax.
+
+    All candidates of all problems are solved together. A problem with d distinct values has at most d * d / 2 pairs to look at, and d distinct frequencies
+    stand for at least d * d / 2 occurrences.
+    """
+    if not problems:
+        return []
+    cut = [x <= (np.inf if xmax is None else xmax) for x, _, _, xmax in problems]
+    xs, ns = [p[0][c] for p, c in zip(problems, cut, strict=True)], [p[1][c] for p, c in zip(problems, cut, strict=True)]
+    base = np.r_[0, np.cumsum([len(x) for x in xs])]
+    x, n = np.concatenate(xs), np.concatenate(ns).astype(float)
+    many = [len(p[2]) for p in problems]
+    of = np.repeat(np.arange(len(problems)), many)
+    xmin = np.concatenate([p[2] for p in problems]).astype(float)
+    bounded = np.array([p[3] is not None for p in problems])[of]
+    top = np.array([np.inf if p[3] is None else p[3] for p in problems])[of]
+    at = np.concatenate([b + np.searchsorted(v, p[2]) for b, v, p in zip(base, xs, problems, strict=False)])
+    end = base[1:][of]
+    cum, logs = np.r_[0, np.cumsum(n)], np.r_[0, np.cumsum(n * np.log(x))]
+    count, total = cum[end] - cum[at], logs[end] - logs[at]
     cost = lambda a: a * total + count * np.log(power_sum(a, xmin, top))
-    low = np.full(len(xmin), 1.0 + 1e-9 if xmax is None else 0.0)
-    alpha = _golden(cost, low, np.full(len(xmin), ALPHA_MAX))
+    alpha = _golden(cost, np.where(bounded, 0.0, 1.0 + 1e-9), np.full(len(xmin), ALPHA_MAX))
     alpha = np.where(ALPHA_MAX - alpha < 1e-6, ALPHA_MAX, alpha)
-    ks = np.empty(len(xmin))
-    for i, (a, lo, k) in enumerate(zip(alpha, xmin, at, strict=True)):
-        if ALPHA_MAX - a <= BOUNDARY:
-            ks[i] = 1 - 1 / max(count[i], 1)
-            continue
-        z = power_sum(a, lo, top)
-        below = np.r_[0, np.cumsum(n[k:])[:-1]] / count[i]
-        model = 1 - power_sum(np.full(len(x) - k, a), x[k:], top) / z
-        ks[i] = np.abs(below - model).max()
-    return alpha, ks
+    ks = 1 - 1 / np.maximum(count, 1)
+    use = np.flatnonzero(ALPHA_MAX - alpha > BOUNDARY)
+    if len(use):
+        z = power_sum(alpha[use], xmin[use], top[use])
+        ks[use] = _distances(x, cum, alpha[use], xmin[use], top[use], count[use], z, at[use], end[use])
+    edges = np.r_[0, np.cumsum(many)]
+    return [(alpha[i:j], ks[i:j]) for i, j in zip(edges[:-1], edges[1:], strict=True)]
 
 
-def fit(x: np.ndarray, n: np.ndarray, model: str, fixed_xmin: int | None = None) -> dict | None:
-    """The model's best fit: least KS over the free bounds; None where nothing can be fitted."""
-    if len(x) == 0 or n.sum() < 2:
-        return None
+def fit_alpha(x: np.ndarray, n: np.ndarray, xmin: np.ndarray, xmax: float | None) -> tuple[np.ndarray, np.ndarray]:
+    """Maximum-likelihood alpha and KS distance for each xmin, on values ``x`` (ascending) that occur ``n`` times."""
+    return fit_problems([(x, n, xmin, xmax)])[0]
+
+
+def _choices(x: np.ndarray, n: np.ndarray, model: str, fixed_xmin: int | None) -> list[tuple[np.ndarray, float | None, int | None]]:
+    """Candidate xmins for each xmax that the model allows, with the size of the head that the xmax leaves out."""
     bounds: list[tuple[float | None, int | None]] = [(None, None)]
     if model == "doubly_bounded_power_law":
         rank, bounds, seen = np.cumsum(n[::-1]), [], set()
@@ -102,45 +133,71 @@ def fit(x: np.ndarray, n: np.ndarray, model: str, fixed_xmin: int | None = None)
                 if v not in seen:
                     seen.add(v)
                     bounds.append((v, k))
-    best = None
+    out = []
     for xmax, k in bounds:
+        last = x[-1] if xmax is None else xmax
         if model == "full_range_power_law":
             lows = np.array([1.0 if fixed_xmin is None else fixed_xmin])
-        elif fixed_xmin is not None:
-            lows = np.array([float(fixed_xmin)])
         else:
-            lows = x[x < (x[-1] if xmax is None else xmax)].astype(float)
-        lows = lows[[((x >= lo) & (x <= (xmax or np.inf))).sum() > 0 for lo in lows]]
-        if not len(lows):
-            continue
-        alpha, ks = fit_alpha(x, n, lows, xmax)
+            lows = x[x < last].astype(float) if fixed_xmin is None else np.array([float(fixed_xmin)])
+        # a candidate needs a value from it up to xmax
+        lows = lows[lows <= x[np.searchsorted(x, last, "right") - 1]]
+        if len(lows):
+            out.append((lows, xmax, k))
+    return out
+
+
+def fit_many(samples: list[tuple[np.ndarray, np.ndarray]], model: str, fixed_xmin: int | None = None) -> list[dict | None]:
+    """Each sample's best fit (least KS over the free bounds), all solved together; None where nothing can be fitted."""
+    problems, owner = [], []
+    for i, (x, n) in enumerate(samples):
+        if len(x) and n.sum() >= 2:
+            for lows, xmax, k in _choices(x, n, model, fixed_xmin):
+                problems.append((x, n, lows, xmax))
+                owner.append((i, k))
+    out: list[dict | None] = [None] * len(samples)
+    # a head of 0 sorts last among equal distances, then more fitted types win
+    rank_of = lambda f: (f["ks"], (f["exclude_k"] or 10**9), -f["n_fitted"])
+    for (x, n, lows, xmax), (s, k), (alpha, ks) in zip(problems, owner, fit_problems(problems), strict=True):
         i = int(np.argmin(ks))
         tail = (x >= lows[i]) & (x <= (xmax or np.inf))
         found = {"xmin": float(lows[i]), "xmax": xmax, "exclude_k": k, "alpha": float(alpha[i]), "ks": float(ks[i]), "n_fitted": int(n[tail].sum()), "excluded": int(n[x > xmax].sum()) if xmax else 0, "top": float(x[tail].max())}
-        # a head of 0 sorts last among equal distances, then more fitted types win
-        rank_of = lambda f: (f["ks"], (f["exclude_k"] or 10**9), -f["n_fitted"])
-        if np.isfinite(found["ks"]) and (best is None or rank_of(found) < rank_of(best)):
-            best = found
-    if best:
-        tail = (x >= best["xmin"]) & (x <= (best["xmax"] or np.inf))
-        best |= {"type_share": best["n_fitted"] / n.sum(), "occurrence_share": float((x * n)[tail].sum() / (x * n).sum()), "log_range": math.log10(best["top"] / best["xmin"]), "fit_valid": bool(ALPHA_MAX - best["alpha"] > BOUNDARY)}
-    return best
-
-
-def draw(size: int, alpha: float, xmin: float, xmax: float | None, rng: np.random.Generator) -> np.ndarray:
-    """Draws of the fitted law by its inverse distribution function: a table first, then doubling and bisection for the far tail."""
-    u = rng.random(size)
+        if np.isfinite(found["ks"]) and (out[s] is None or rank_of(found) < rank_of(out[s])):
+            out[s] = found
+    for (x, n), best in zip(samples, out, strict=True):
+        if best:
+            tail = (x >= best["xmin"]) & (x <= (best["xmax"] or np.inf))
+            best |= {"type_share": best["n_fitted"] / n.sum(), "occurrence_share": float((x * n)[tail].sum() / (x * n).sum()), "log_range": math.log10(best["top"] / best["xmin"]), "fit_valid": bool(ALPHA_MAX - best["alpha"] > BOUNDARY)}
+    return out
+
+
+def fit(x: np.ndarray, n: np.ndarray, model: str, fixed_xmin: int | None = None) -> dict | None:
+    """The model's best fit: least KS over the free bounds; None where nothing can be fitted."""
+    return fit_many([(x, n)], model, fixed_xmin)[0]
+
+
+#: Values whose probabilities are tabled, and draws of the far tail that are held at once.
+TABLE, FAR = 4096, 1 << 18
+
+
+def draw(size: int, alpha: float, xmin: float, xmax: float | None, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """A sample of the fitted law as values and counts: a multinomial over a table of masses, and the far tail by inversion, piece by piece."""
     z = float(power_sum(alpha, xmin, xmax))
-    width = int(min(4096, (xmax - xmin + 1) if xmax else 4096))
+    width = int(min(TABLE, (xmax - xmin + 1) if xmax else TABLE))
     grid = xmin + np.arange(width + 1)
     survive = power_sum(np.full(width + 1, alpha), grid, xmax) / z  # P(X >= x)
     survive[grid > (xmax or np.inf)] = 0
-    out = xmin + np.searchsorted(-survive, -(1 - u), "right") - 1.0
-    far = (1 - u) <= survive[-1]
-    if far.any() and not (xmax and xmax <= grid[-1]):
-        want = 1 - u[far]
-        low, high = np.full(far.sum(), grid[-1]), np.full(far.sum(), 2 * grid[-1])
-        above = lambda x: power_sum(np.full(len(x), alpha), x, xmax) / z
+    survive[0] = 1.0
+    masses = np.r_[np.maximum(-np.diff(survive), 0), survive[-1]]
+    counts = rng.multinomial(size, masses / masses.sum())
+    values, numbers = [grid[:-1][counts[:-1] > 0]], [counts[:-1][counts[:-1] > 0]]
+    above = lambda x: power_sum(np.full(len(x), alpha), x, xmax) / z
+    left = int(counts[-1])
+    while left:
+        many = min(left, FAR)
+        left -= many
+        want = survive[-1] * (1 - rng.random(many))
+        low, high = np.full(many, grid[-1]), np.full(many, 2 * grid[-1])
         for _ in range(60):
             open_ = above(high) > want
             if not open_.any() or high.max() > 1e15:
@@ -148,24 +205,39 @@ def draw(size: int, alpha: float, xmin: float, xmax: float | None, rng: np.rando
             low, high = np.where(open_, high, low), np.where(open_, high * 2, high)
         for _ in range(60):
             mid = np.floor((low + high) / 2)
+            if (mid == low).all():
+                break
             up = above(mid) >= want
             low, high = np.where(up, mid, low), np.where(up, high, mid)
-        out[far] = low
-    return np.minimum(out, xmax) if xmax else out
+        v, c = np.unique(np.minimum(low, xmax) if xmax else low, return_counts=True)
+        values.append(v), numbers.append(c)
+    return _summed(np.concatenate(values), np.concatenate(numbers))
 
 
-def replicate(x: np.ndarray, n: np.ndarray, best: dict, model: str, rng: np.random.Generator, fixed_xmin: int | None = None) -> float | None:
-    """KS distance of one semiparametric sample, refitted; None where it can't be fitted."""
-    tail = (x >= best["xmin"]) & (x <= (best["xmax"] or np.inf))
-    below, above = x < best["xmin"], x > (best["xmax"] or np.inf)
+def _summed(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values ascending, with the sums of their counts."""
+    v, at = np.unique(values, return_inverse=True)
+    return v, np.bincount(at, weights=counts, minlength=len(v)).astype(np.int64)
+
+
+def resample(x: np.ndarray, n: np.ndarray, best: dict, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """A semiparametric sample as a histogram: the fitted law inside its bounds, the observed values outside."""
+    top = best["xmax"] or np.inf
+    tail = (x >= best["xmin"]) & (x <= top)
+    below, above = x < best["xmin"], x > top
     sizes = rng.multinomial(int(n.sum()), [n[below].sum() / n.sum(), n[tail].sum() / n.sum(), n[above].sum() / n.sum()])
-    part = lambda m, k: rng.choice(x[m], size=k, p=n[m] / n[m].sum()) if k else np.empty(0)
-    sample = np.concatenate([part(below, sizes[0]), draw(sizes[1], best["alpha"], best["xmin"], best["xmax"], rng), part(above, sizes[2])])
-    v, c = np.unique(sample, return_counts=True)
-    if c.sum() < 2:
-        return None
-    got = fit(v, c, model, fixed_xmin)
-    return got["ks"] if got and got["fit_valid"] and got["n_fitted"] >= 2 else None
+    parts = [draw(int(sizes[1]), best["alpha"], best["xmin"], best["xmax"], rng)] if sizes[1] else []
+    for mask, size in ((below, sizes[0]), (above, sizes[2])):
+        if size:
+            counts = rng.multinomial(size, n[mask] / n[mask].sum())
+            parts.append((x[mask][counts > 0], counts[counts > 0]))
+    return _summed(np.concatenate([v for v, _ in parts]), np.concatenate([c for _, c in parts]))
+
+
+def replicates_of(x: np.ndarray, n: np.ndarray, best: dict, model: str, rngs: list[np.random.Generator], fixed_xmin: int | None = None) -> list[float | None]:
+    """KS distances of samples, each refitted; None where one can't be fitted."""
+    fitted = fit_many([resample(x, n, best, rng) for rng in rngs], model, fixed_xmin)
+    return [got["ks"] if got and got["fit_valid"] and got["n_fitted"] >= 2 else None for got in fitted]
 
 
 def _normal_cdf(z: np.ndarray) -> np.ndarray:
@@ -258,9 +330,10 @@ FIT_COLUMNS = "xmin double, xmax double, exclude_k int, alpha double, ks double,
 
 
 def histograms(freqs: DataFrame, by: list[str]) -> DataFrame:
-    """``by, values, counts``: a unit's distinct frequencies, ascending, as arrays. Invalid frequencies raise."""
-    ok = F.col("freq").isNotNull() & (F.col("freq") > 0)
-    checked = freqs.withColumn("freq", F.when(ok, F.col("freq")).otherwise(F.raise_error(F.lit("frequencies must be positive whole numbers"))))
+    """``by, values, counts``: a unit's distinct frequencies, ascending, as arrays. Missing, infinite, fractional and non-positive frequencies raise."""
+    number = F.col("freq").cast("double")
+    ok = number.isNotNull() & ~F.isnan(number) & (number > 0) & (number < float("inf")) & (F.abs(number - F.rint(number)) <= 1e-8 + 1e-5 * number)
+    checked = freqs.withColumn("freq", F.when(ok, F.rint(number).cast("long")).otherwise(F.raise_error(F.lit("frequencies must be positive whole numbers"))))
     counts = checked.groupBy(*by, "freq").agg(F.count("*").alias("types"))
     cells = F.array_sort(F.collect_list(F.struct("freq", "types")))
     return counts.groupBy(*by).agg(cells.alias("c")).select(*by, F.col("c.freq").cast("array<double>").alias("values"), F.col("c.types").alias("counts"))
@@ -300,8 +373,9 @@ def goodness_of_fit(freqs: DataFrame, fitted: DataFrame, by: list[str], replicat
             for r in pdf.itertuples(index=False):
                 best = {"xmin": r.xmin, "xmax": None if pd.isna(r.xmax) else r.xmax, "alpha": r.alpha, "exclude_k": None}
                 x, n = np.asarray(r.values, float), np.asarray(r.counts, np.int64)
-                for i in range(r.block * block, min((r.block + 1) * block, replicates)):
-                    d = replicate(x, n, best, r.model, np.random.default_rng([seed, r.unit & 0x7FFFFFFFFFFFFFFF, i]), fixed_xmin)
+                mine = range(r.block * block, min((r.block + 1) * block, replicates))
+                rngs = [np.random.default_rng([seed, r.unit & 0x7FFFFFFFFFFFFFFF, i]) for i in mine]
+                for d in replicates_of(x, n, best, r.model, rngs, fixed_xmin):
                     rows.append([*(getattr(r, c) for c in by), r.model, None if d is None else bool(d >= r.ks)])
             yield pd.DataFrame(rows, columns=[*by, "model", "hit"]).astype({"hit": "boolean"})
 

@@ -77,4 +77,17 @@ def extracted_totals(occurrence_counts: DataFrame, diagnosed: DataFrame) -> Data
     return joined.withColumn("agrees", F.col("n_occurrences").eqNullSafe(F.col("extracted")))
 
 
-__all__ = ["histogram", "diagnose", "with_status", "cross_log", "order_table", "violations", "extracted_totals", "occurrence_weight", "shown_percent"]
+def checked_totals(occurrence_counts: DataFrame, diagnosed: DataFrame) -> DataFrame:
+    """``extracted_totals``; a row that disagrees raises when it is computed."""
+    rows = extracted_totals(occurrence_counts, diagnosed)
+    said = F.format_string("occurrences of %s at k=%s disagree: %s computed, %s extracted", "log", F.col("k").cast("string"), F.col("n_occurrences").cast("string"), F.col("extracted").cast("string"))
+    return rows.withColumn("agrees", F.when(F.col("agrees"), True).otherwise(F.raise_error(said).cast("boolean")))
+
+
+def with_median(table: DataFrame, ks: Sequence[int] = KS) -> DataFrame:
+    """The log x k table with a last row ``median``: each order's median over the logs that have a value."""
+    median = table.agg(*(F.median(str(k)).alias(str(k)) for k in ks)).select(F.lit("median").alias("log"), *(F.col(str(k)) for k in ks))
+    return table.select("log", *(F.col(str(k)) for k in ks)).unionByName(median)
+
+
+__all__ = ["histogram", "diagnose", "with_status", "cross_log", "order_table", "violations", "extracted_totals", "checked_totals", "with_median", "occurrence_weight", "shown_percent"]

@@ -5,19 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracefold.operators.traces import occurrences
+from tracefold.operators.traces import concept_nodes, occurrences
 
 
 def links(traces: DataFrame, k: int) -> DataFrame:
-    """``case_id, parent, child, parent_complete, child_complete, introduced``: each child occurrence with its parent by position.
+    """``log, case_id, at, child, child_complete, introduced, parent, parent_complete``: each child occurrence with its parent by position.
 
     From order 1 to 2 the child at position p (padded) ends in activity p and has parent p - 1; the one that starts with the padding is introduced.
-    From order 2 on child p has parent p; a whole-trace child has the parent at 0. Both sides have the case and position as key, so this is one equi-join.
+    From order 2 on child p has parent p; a whole-trace child has the parent at 0. Both lists are made from the trace's own row, so nothing is shuffled.
     """
-    source = occurrences(traces, f"n{k}").select("log", "case_id", F.col("pos").alias("at"), F.col("node").alias("parent"), F.col("is_complete").alias("parent_complete"))
-    target = occurrences(traces, f"n{k + 1}").select("log", "case_id", F.when(F.col("is_complete"), 0).otherwise(F.col("pos") - (1 if k == 1 else 0)).cast("long").alias("at"), F.col("node").alias("child"), F.col("is_complete").alias("child_complete"), (F.lit(k == 1) & (F.col("pos") == 0)).alias("introduced"))
-    joined = target.join(source, ["log", "case_id", "at"], "left")
-    return joined.withColumns({"parent": F.when(~F.col("introduced"), F.col("parent")), "parent_complete": F.when(~F.col("introduced"), F.col("parent_complete"))})
+    size = F.size("seq") + 2
+    parent_complete, child_complete = (size <= k) if k >= 2 else F.lit(False), size <= k + 1
+
+    def linked(parents, children):
+        def one(child, p):
+            introduced = (p == 0) if k == 1 else F.lit(False)
+            at = F.when(child_complete, 0).otherwise(p - (1 if k == 1 else 0))
+            parent = F.when(~introduced, F.get(parents, at))
+            return F.struct(
+                at.cast("long").alias("at"), child.alias("child"), child_complete.alias("child_complete"), introduced.alias("introduced"),
+                parent.alias("parent"), F.when(parent.isNotNull(), parent_complete).alias("parent_complete"))
+
+        return F.transform(children, one)
+
+    both = F.array(F.struct(concept_nodes(F.col("seq"), f"n{k}").alias("p"), concept_nodes(F.col("seq"), f"n{k + 1}").alias("c")))
+    pairs = F.element_at(F.transform(both, lambda s: linked(s["p"], s["c"])), 1)
+    return traces.where(F.size("seq") > 0).select("log", "case_id", F.explode(pairs).alias("l")).select("log", "case_id", "l.*")
 
 
 def summary(traces: DataFrame, k: int) -> DataFrame:

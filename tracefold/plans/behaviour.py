@@ -42,7 +42,7 @@ def extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k in sa.KS:
         part = tr.occurrences(rows, f"n{k}").groupBy("log").agg(F.count("*").alias("extracted")).withColumn("k", F.lit(k))
         counted = part if counted is None else counted.unionByName(part)
-    out = sa.extracted_totals(counted, sa.diagnose(sa.histogram(rows)))
+    out = sa.checked_totals(counted, sa.diagnose(sa.histogram(rows)))
     return out.select(F.col("k").cast("long").alias("k"), "n_occurrences", "extracted", "agrees")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tracefold.operators import decision, paired, powerlaw, sensitivity
 from tracefold.operators import traces as tr
 from tracefold.plans.core import LOGS as ALL_LOGS
-from tracefold.plans.core import log_traces
+from tracefold.plans.core import _BASE, _nodes_sql, log_traces
 
 LOGS = 24
 
@@ -168,6 +168,44 @@ def powerlaw_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return powerlaw.fits(_log_frequencies(spark, sf_dir), ["log", "concept"])
 
 
+FIXED_XMIN = 2
+
+
+def powerlaw_fixed_xmin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximum-likelihood fits of all logs' variants and triples from a fixed xmin, which have SQL."""
+    out = powerlaw.fits(_log_frequencies(spark, sf_dir, ("variants", "n3"), ALL_LOGS), ["log", "concept"], ("lower_bounded_power_law",), FIXED_XMIN)
+    return out.where("n_fitted >= 2").select("log", "concept", "n_fitted", F.round("alpha", 4).alias("alpha"), F.round("ks", 4).alias("ks"), "fit_valid")
+
+
+def _zeta_sql(alpha: str, low: str) -> str:
+    """The sum of x^-alpha from ``low`` on: twelve terms, then Euler and Maclaurin's formula."""
+    terms = " + ".join(f"pow({low} + {i}, -({alpha}))" for i in range(12))
+    a = f"({low} + 12)"
+    rest = f"pow({a}, 1 - ({alpha})) / (({alpha}) - 1) + pow({a}, -({alpha})) / 2 + ({alpha}) * pow({a}, -({alpha}) - 1) / 12"
+    third = f"({alpha}) * (({alpha}) + 1) * (({alpha}) + 2) * pow({a}, -({alpha}) - 3) / 720"
+    fifth = f"({alpha}) * (({alpha}) + 1) * (({alpha}) + 2) * (({alpha}) + 3) * (({alpha}) + 4) * pow({a}, -({alpha}) - 5) / 30240"
+    return f"({terms} + {rest} - {third} + {fifth})"
+
+
+def _fixed_fit_sql() -> str:
+    """Ternary search of alpha over the likelihood, then the distance of the two distribution functions."""
+    logs = " UNION ALL ".join(f"SELECT '{k}' AS log, seq FROM ({_BASE[k]})" for k in ALL_LOGS)
+    cost = lambda a: f"({a}) * total + n * ln({_zeta_sql(a, str(FIXED_XMIN) + '.0')})"
+    left, right = "lo + (hi - lo) / 3", "hi - (hi - lo) / 3"
+    return f"""WITH RECURSIVE t AS ({logs}),
+o AS (SELECT log, 'variants' AS concept, seq AS node FROM t WHERE len(seq) > 0 UNION ALL SELECT log, 'n3' AS concept, unnest({_nodes_sql("n3")}) AS node FROM t WHERE len(seq) > 0),
+f AS (SELECT log, concept, count(*) AS freq FROM o GROUP BY log, concept, array_to_string(node, '|')),
+v AS (SELECT log, concept, CAST(freq AS DOUBLE) AS x, CAST(count(*) AS DOUBLE) AS c FROM f WHERE freq >= {FIXED_XMIN} GROUP BY 1, 2, 3),
+s AS (SELECT log, concept, sum(c) AS n, sum(c * ln(x)) AS total FROM v GROUP BY 1, 2),
+b AS (SELECT log, concept, n, total, 1.0::DOUBLE + 1e-9 AS lo, 4.0::DOUBLE AS hi, 0 AS i FROM s
+ UNION ALL SELECT log, concept, n, total, CASE WHEN {cost(left)} < {cost(right)} THEN lo ELSE {left} END, CASE WHEN {cost(left)} < {cost(right)} THEN {right} ELSE hi END, i + 1 FROM b WHERE i < 50),
+a AS (SELECT log, concept, n, CASE WHEN 4 - (lo + hi) / 2 < 1e-5 THEN 4.0 ELSE (lo + hi) / 2 END AS alpha FROM b WHERE i = 50),
+d AS (SELECT log, concept, n, alpha, abs(coalesce(sum(c) OVER (PARTITION BY log, concept ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / n
+ - (1 - {_zeta_sql("alpha", "x")} / {_zeta_sql("alpha", str(FIXED_XMIN) + ".0")})) AS apart FROM v JOIN a USING (log, concept))
+SELECT log, concept, CAST(n AS BIGINT) AS n_fitted, round(alpha, 4) AS alpha, round(CASE WHEN alpha >= 4 THEN 1 - 1 / n ELSE max(apart) END, 4) AS ks, alpha < 4 AS fit_valid
+FROM d WHERE n >= 2 GROUP BY log, concept, n, alpha"""
+
+
 def powerlaw_gof(spark: SparkSession, sf_dir: str) -> DataFrame:
     freqs = _log_frequencies(spark, sf_dir, ("variants",), ALL_LOGS)
     fits = powerlaw.fits(freqs, ["log", "concept"], ("lower_bounded_power_law",))
@@ -188,9 +226,10 @@ def powerlaw_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision.classified(fits.join(gof.drop("model"), by, "left"), powerlaw.comparisons(freqs, fits, by)).select(*by, "n_fitted", "gof_p", "code")
 
 
-QUERIES = {f.__name__: f for f in (outcome_codes, scaling_table, outcome_counts, best_distributions, comparison_counts, paired_cells, paired_effects, paired_audit, paired_grid, paper_table, reason_tally, sensitivity_categories, sensitivity_changes, sensitivity_paired, powerlaw_fits, powerlaw_gof, powerlaw_comparisons, powerlaw_outcomes)}
+QUERIES = {f.__name__: f for f in (outcome_codes, scaling_table, outcome_counts, best_distributions, comparison_counts, paired_cells, paired_effects, paired_audit, paired_grid, paper_table, reason_tally, sensitivity_categories, sensitivity_changes, sensitivity_paired, powerlaw_fits, powerlaw_fixed_xmin, powerlaw_gof, powerlaw_comparisons, powerlaw_outcomes)}
 _V = _coded_sql(_SETTINGS) + ", v AS (SELECT k.setting, k.log, k.code, b.code AS base FROM k JOIN (SELECT log, code FROM k WHERE setting = 'baseline' AND concept = 'variants') b ON b.log = k.log WHERE concept = 'variants')"
 SQL = {
+    "powerlaw_fixed_xmin": _fixed_fit_sql(),
     "outcome_codes": _coded_sql(_BASE_SETTING) + " SELECT log, concept, code FROM k",
     "scaling_table": _coded_sql(_BASE_SETTING) + " SELECT log, " + ", ".join(f"coalesce(max(code) FILTER (concept = '{s}'), '?') AS {s}" for s in decision.SCALES) + " FROM k GROUP BY log",
     "outcome_counts": _coded_sql(_BASE_SETTING) + " SELECT concept, " + ", ".join(f"count(*) FILTER (code = '{c}') AS {c}" for c in "ABCDE") + ", count(*) AS total FROM k GROUP BY concept",
@@ -200,7 +239,7 @@ SQL = {
     "paired_effects": _EFFECTS,
     "reason_tally": _FITS + f", r AS (SELECT concept, {_REASON} AS reason FROM f) SELECT concept, {_tally_sql('reason')} AS tally FROM r GROUP BY 1",
     "paired_audit": _AUDIT + " SELECT min_types, gof, log, k, n_fitted_k, round(gof_p_k, 9) AS gof_p_k, reasons_k, outcome_k, n_fitted_variants, round(gof_p_variants, 9) AS gof_p_variants, reasons_variants, outcome_variants, outcome_k IS NOT NULL AND outcome_variants IS NOT NULL AS included FROM a",
-    "paired_grid": _AUDIT + ", g AS (SELECT min_types, gof, k, count(*) AS n_logs, count(outcome_k) AS n_eligible_k, count(outcome_variants) AS n_eligible_variants, " + ", ".join(f"count(*) FILTER (outcome_k = {x} AND outcome_variants = {y}) AS n{x}{y}" for x in (0, 1) for y in (0, 1)) + f", {_tally_sql('primary_k')} AS excluded_k, {_tally_sql('primary_variants')} AS excluded_variants FROM a GROUP BY 1, 2, 3) SELECT *, CASE WHEN n00 + n01 + n10 + n11 = 0 THEN 'unavailable' WHEN n01 + n10 = 0 THEN 'no_discordance' ELSE 'ok' END AS status FROM g",
+    "paired_grid": _AUDIT + ", gr AS (SELECT min_types, gof, k, count(*) AS n_logs, count(outcome_k) AS n_eligible_k, count(outcome_variants) AS n_eligible_variants, " + ", ".join(f"count(*) FILTER (outcome_k = {x} AND outcome_variants = {y}) AS n{x}{y}" for x in (0, 1) for y in (0, 1)) + f", {_tally_sql('primary_k')} AS excluded_k, {_tally_sql('primary_variants')} AS excluded_variants FROM a GROUP BY 1, 2, 3) SELECT *, CASE WHEN n00 + n01 + n10 + n11 = 0 THEN 'unavailable' WHEN n01 + n10 = 0 THEN 'no_discordance' ELSE 'ok' END AS status FROM gr",
     "sensitivity_categories": _V + " SELECT setting, " + ", ".join(f"count(*) FILTER (code = '{c}') AS {c}" for c in "ABCDE") + ", count(*) FILTER (code <> 'A') AS eligible, count(*) FILTER (code NOT IN ('A', 'B')) AS not_rejected, count(*) FILTER (code <> base) AS changed FROM v GROUP BY setting",
     "sensitivity_changes": _V + " SELECT setting, coalesce(string_agg(log, ', ' ORDER BY log) FILTER (base = 'A' AND code <> 'A'), '') AS added, coalesce(string_agg(log, ', ' ORDER BY log) FILTER (base <> 'A' AND code = 'A'), '') AS removed, coalesce(string_agg(concat(log, ':', base, '>', code), ', ' ORDER BY log) FILTER (base <> code), '') AS transitions FROM v WHERE setting <> 'baseline' GROUP BY setting",
 }
