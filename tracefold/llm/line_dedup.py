@@ -84,6 +84,8 @@ def delete_repeated_lines(docs: DataFrame, key_col: str = "doc_id", text_col: st
     runs = repeated_runs(docs, key_col, text_col, min_lines, min_words).groupBy("key", "th").agg(F.collect_set(F.struct("start", "lines")).alias("_line_runs"))
     runs = stored(runs.select(F.col("key").alias("_line_key"), F.col("th").alias("_line_hash"), "_line_runs"), "line-runs")
     hashed = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    # runs grow with the corpus, so texts and runs meet by a shuffle at every size
+    runs = runs.hint("merge")
     joined = hashed.join(runs, (hashed["_text_hash"] == runs["_line_hash"]) & hashed[key_col].eqNullSafe(runs["_line_key"]), "left").drop("_line_key", "_line_hash", "_text_hash")
     pieces = lines_of(F.col(text_col))
 
