@@ -204,10 +204,14 @@ def test_mix(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
 
-def test_water_level():
-    caps, weights = np.array([10.0, 100.0, 4.0]), np.array([3.0, 1.0, 2.0])
-    got = mixing.water_fill(caps, weights, 40.0)
-    assert got == pytest.approx([10.0, 26.0, 4.0]) and got.sum() == pytest.approx(40)
+def test_water_level(spark):
+    """Sources a, b and null weigh 3, 1 and 2; with limits of 10, 100 and 4 the full ones are passed over."""
+    sizes = spark.createDataFrame([("b", 50), (None, 2), ("a", 5)], "source string, source_size long")
+    got = {r.source: (r.gid, r.target) for r in mixing.targets(sizes, share=40 / 57).collect()}
+    assert got == {"a": (0, pytest.approx(10.0)), "b": (1, pytest.approx(26.0)), None: (2, pytest.approx(4.0))}
+    # more budget than the limits hold, and none at all
+    assert sum(r.target for r in mixing.targets(sizes, share=9.0).collect()) == pytest.approx(114.0)
+    assert sum(r.target for r in mixing.targets(sizes.withColumn("source_size", F.lit(0).cast("long"))).collect()) == 0
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header>Top</header><nav><a>Home</a></nav><div class="ad">Buy now</div>
