@@ -18,33 +18,35 @@ from tracefold.llm.quality import keep_good
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go. Null and empty texts are judged by their shape alone; without labels all stay; repeated rows fare alike."""
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs are cut; a document of nothing else goes. ``n_chars`` follows the text."""
-    out = delete_repeated_lines(docs)
-    left = (F.col("n_removed") == 0) | (F.trim("text") != "")
-    counted = {"n_chars": F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
-    return out.where(left).withColumns(counted).select(docs.columns)
+    """Later copies of repeated line runs are cut; a document of nothing else goes. ``n_chars`` follows the text. Null and empty texts stay."""
+    out = delete_repeated_lines(docs, names=("_lines", "_removed", "_longest"))
+    left = (F.col("_removed") == 0) | (F.trim("text") != "")
+    if "n_chars" in docs.columns:
+        n_chars = F.when(F.col("_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        out = out.withColumn("n_chars", n_chars.cast(docs.schema["n_chars"].dataType))
+    return out.where(left).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays (five-word shingles, similarity 0.8)."""
+    """One document of each group stays (five-word shingles, similarity 0.8): the smallest key. Texts without words and rows without a key stay."""
     return one_of_each(docs, width=5, threshold=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold passages of the benchmark go."""
+    """Documents that hold passages of the benchmark go. Null and empty texts, and all documents where the benchmark is empty, stay."""
     return remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents taken, with ``size, target`` (of the source), ``copies`` and ``taken`` (words)."""
-    plan = mix(docs).where("copies > 0").select(F.col("key").alias("_k"), F.col("rank").alias("_h"), "size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
-    hashed = docs.withColumn("_t", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return hashed.join(plan, hashed["doc_id"].eqNullSafe(plan["_k"]) & (hashed["_t"] == plan["_h"])).drop("_k", "_h", "_t")
+    """The documents taken, with ``size, target`` (of the source), ``copies`` and ``taken`` (words); these replace columns of the same names."""
+    plan = mix(docs).where("copies > 0").select(F.col("key").alias("_mix_key"), F.col("rank").alias("_mix_hash"), "size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    hashed = docs.drop("size", "target", "copies", "taken").withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return hashed.join(plan, hashed["doc_id"].eqNullSafe(plan["_mix_key"]) & (hashed["_text_hash"] == plan["_mix_hash"])).drop("_mix_key", "_mix_hash", "_text_hash")
 
 
 STAGES = [("quality classifier", quality), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontaminate), ("mixing to target weights", mixture)]
