@@ -107,8 +107,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key_cols=("doc_id",), t
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the contaminated documents."""
-    bad = decontaminate(docs, benchmark, (key_col,), text_col).where("contaminated").select(F.col(key_col).alias("_k"), F.col("text_hash").alias("_h"))
-    same = docs[key_col].eqNullSafe(F.col("_k")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("_h"))
+    bad = decontaminate(docs, benchmark, (key_col,), text_col).where("contaminated").select(F.col(key_col).alias("_bad_key"), F.col("text_hash").alias("_bad_hash"))
+    same = docs[key_col].eqNullSafe(bad["_bad_key"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == bad["_bad_hash"])
     return docs.join(bad, same, "left_anti")
 
 

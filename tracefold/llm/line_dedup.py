@@ -9,8 +9,8 @@ place's lines; it counts once the common prefix has ``min_words`` words, or else
 repeated runs, and these are deleted. DataFrame functions only; a class of lines is only ever counted, never gathered.
 
 Defined cases: null and empty texts have no lines; lines compare by their text without spaces at the ends; rows that repeat key and text are one
-document and get one result each; null keys come last; no rows give no rows; other columns pass through ``delete_repeated_lines``, but for columns named
-``n_lines``, ``n_removed`` or ``longest_run``, which the result's own replace.
+document and get one result each; null keys come last; no rows give no rows; other columns pass through ``delete_repeated_lines``, but for those
+called like its results, whose names can be chosen.
 """
 
 from __future__ import annotations
@@ -79,8 +79,8 @@ def repeated_runs(docs: DataFrame, key_col: str, text_col: str, min_lines: int =
     return runs.groupBy("key", "th", "run").agg(F.min("pos").alias("start"), (F.max(F.col("pos") + F.col("lines")) - F.min("pos")).alias("lines")).drop("run")
 
 
-def delete_repeated_lines(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with ``text`` cut, and ``n_lines, n_removed, longest_run`` (lines without blank ones). Blank lines inside a run go with it."""
+def delete_repeated_lines(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", min_lines: int = MIN_LINES, min_words: int = MIN_WORDS, names: tuple[str, str, str] = ("n_lines", "n_removed", "longest_run")) -> DataFrame:
+    """``docs`` with ``text`` cut, and, as ``names`` says, its lines, the removed ones, and those of the longest repeated run (without blank ones). Blank lines inside a run go with it."""
     runs = repeated_runs(docs, key_col, text_col, min_lines, min_words).groupBy("key", "th").agg(F.collect_set(F.struct("start", "lines")).alias("_line_runs"))
     runs = stored(runs.select(F.col("key").alias("_line_key"), F.col("th").alias("_line_hash"), "_line_runs"), "line-runs")
     hashed = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
@@ -98,9 +98,9 @@ def delete_repeated_lines(docs: DataFrame, key_col: str = "doc_id", text_col: st
     done = F.when(F.col("_line_runs").isNotNull(), let(pieces, cut))
     n_lines = F.when(F.coalesce(F.col(text_col), F.lit("")) == "", 0).otherwise(F.size(pieces)).cast("long")
     longest = F.coalesce(F.array_max(F.transform("_line_runs", lambda r: r["lines"])), F.lit(0)).cast("long")
-    out = joined.withColumns({"n_lines": n_lines, "longest_run": longest, "_line_cut": done}).drop("_line_runs")
+    out = joined.withColumns({names[0]: n_lines, names[2]: longest, "_line_cut": done}).drop("_line_runs")
     text = F.when(F.col("_line_cut").isNull(), F.col(text_col)).otherwise(F.col("_line_cut.text"))
-    return out.withColumns({"n_removed": F.coalesce("_line_cut.n", F.lit(0)).cast("long"), text_col: text}).drop("_line_cut")
+    return out.withColumns({names[1]: F.coalesce("_line_cut.n", F.lit(0)).cast("long"), text_col: text}).drop("_line_cut")
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
