@@ -194,6 +194,26 @@ def test_association_extremes(spark):
     assert got["same"].ner == pytest.approx(1) and got["free"].er == pytest.approx(0) and got["one"].status == "not_applicable"
 
 
+def test_permutations(spark):
+    rng = np.random.default_rng(4)
+    variants = rng.choice(list("abc"), 200)
+    rows = [(str(i), v, a, x) for i, v in enumerate(variants) for a, x in (("same", v), ("free", rng.choice(list("xyz"))), ("one", "z"))]
+    df = spark.createDataFrame([tuple(map(str, r)) for r in rows], "case_id string, variant string, attribute string, value string")
+    got = {r.attribute: r.p_value for r in attributes.permutation_p(df, 99).collect()}
+    assert got["same"] == pytest.approx(0.01) and got["free"] > 0.02 and got["one"] == 1.0
+    # the drawn tables have the reductions that real shuffles have
+    free = np.array([r[3] for r in rows if r[2] == "free"])
+    shuffled = []
+    for _ in range(300):
+        mixed = rng.permutation(variants)
+        table = np.array([[((free == x) & (mixed == v)).sum() for v in "abc"] for x in "xyz"], float)
+        p = table / table.sum()
+        shuffled.append((p * np.log2(np.where(p > 0, p, 1) / (p.sum(1, keepdims=True) * p.sum(0)))).sum())
+    a, b = np.unique(free, return_counts=True)[1], np.unique(variants, return_counts=True)[1]
+    drawn = [attributes._drawn_reduction(a, b, rng) for _ in range(300)]
+    assert np.mean(drawn) == pytest.approx(np.mean(shuffled), rel=0.2)
+
+
 def test_registered_bootstraps_are_whole(spark, monkeypatch):
     from tracefold.plans import behaviour, core, outcomes
 

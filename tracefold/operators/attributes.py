@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MISSING, NONPOSITIVE = "__MISSING__", "__NONPOSITIVE__"
@@ -175,20 +177,49 @@ def associations(rows: DataFrame, handling: str = "separate_category") -> DataFr
     return out.withColumns({"status": F.when(ok, "ok").otherwise("not_applicable"), "er": er}).withColumns({"ner": F.when(ok & (F.col("h_variant") > 0), F.col("er") / F.col("h_variant")), "nmi": F.when(ok & (F.col("h_variant") + F.col("h_attribute") > 0), 2 * F.col("er") / (F.col("h_variant") + F.col("h_attribute")))}).drop("has_missing")
 
 
-def permutation_p(rows: DataFrame, replicates: int = 200, seed: int = 42) -> DataFrame:
-    """``attribute, er, p_value`` = (1 + #(ER >= observed)) / (1 + replicates), the attribute's values shuffled over its cases by seeded hashes.
+def permutation_p(rows: DataFrame, replicates: int = 200, seed: int = 42, block: int = 20) -> DataFrame:
+    """``attribute, er, p_value`` = (1 + #(ER >= observed)) / (1 + replicates), the attribute's values shuffled over its cases.
 
-    Each replicate ranks the cases twice within its own partition key (attribute, replicate) and joins the ranks; replicates run side by side.
+    A shuffle only matters by its contingency table, so tables are drawn from the two margins, value by value: what goes to a task is the counts of an
+    attribute's values and variants, never its cases (of which there may be 10^9). Replicates are dealt in blocks with seeds of their own.
     """
     base = rows.withColumn("value", F.when(is_missing(F.col("value")), MISSING).otherwise(F.col("value")))
-    rep = base.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    part = Window.partitionBy("attribute", "rep")
-    left = rep.select("attribute", "rep", "variant", F.row_number().over(part.orderBy("case_id")).alias("i"))
-    right = rep.select("attribute", "rep", "value", F.row_number().over(part.orderBy(F.xxhash64(F.lit(seed), F.col("rep"), F.col("case_id")), F.col("case_id"))).alias("i"))
-    mixed = left.join(right, ["attribute", "rep", "i"]).select(F.concat_ws("\u0001", "attribute", F.col("rep").cast("string")).alias("attribute"), "variant", "value")
-    null = associations(mixed).select(F.split("attribute", "\u0001")[0].alias("attribute"), F.col("er").alias("er_null"))
+    margin = lambda c: base.groupBy("attribute", c).agg(F.count("*").alias("n")).groupBy("attribute").agg(F.array_sort(F.collect_list("n")).alias(c))
     seen = associations(base).select("attribute", "er")
-    return null.join(F.broadcast(seen), "attribute").groupBy("attribute", "er").agg(((1 + F.count_if(F.col("er_null") >= F.col("er") - 1e-12)) / (1 + F.count("*"))).alias("p_value"))
+    units = margin("value").join(margin("variant"), "attribute").join(seen, "attribute")
+    blocks = F.sequence(F.lit(0), F.lit(-(-replicates // block) - 1))
+    dealt = units.withColumns({"block": F.explode(blocks), "unit": F.xxhash64("attribute")}).repartition("attribute", "block")
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                size = min(block, replicates - r.block * block)
+                rng = np.random.default_rng([seed, r.unit & 0x7FFFFFFFFFFFFFFF, r.block])
+                drawn = [_drawn_reduction(np.asarray(r.value, np.int64), np.asarray(r.variant, np.int64), rng) for _ in range(size)]
+                out.append([r.attribute, r.er, sum(x >= r.er - 1e-12 for x in drawn), size])
+            yield pd.DataFrame(out, columns=["attribute", "er", "hits", "n"])
+
+    hits = dealt.mapInPandas(run, "attribute string, er double, hits long, n long")
+    return hits.groupBy("attribute", "er").agg(((1 + F.sum("hits")) / (1 + F.sum("n"))).alias("p_value"))
+
+
+def _drawn_reduction(values: np.ndarray, variants: np.ndarray, rng: np.random.Generator) -> float:
+    """The entropy reduction of a random contingency table with these margins."""
+    def weight(n: np.ndarray) -> float:
+        n = n[n > 0]
+        return float((n * np.log2(n)).sum())
+
+    if min(len(values), len(variants), values.sum()) < 2:
+        return 0.0
+    left, inner = variants.copy(), 0.0
+    for n in values[::-1]:
+        row = rng.multivariate_hypergeometric(left, int(n), method="marginals")
+        left -= row
+        inner += weight(row)
+    total = float(values.sum())
+    h_variant = np.log2(total) - weight(variants) / total
+    return max(0.0, h_variant - (weight(values) - inner) / total)
 
 
 def recommend_powerlaw(joined: DataFrame, min_observations: int = 50, min_distinct: int = 50) -> DataFrame:
