@@ -193,6 +193,21 @@ def test_fingerprint_query(spark, texts):
     assert all(len(v) == 1 for v in same.values())
 
 
+def test_next_rows(spark):
+    """Nulls, repeated keys, ties, one row and none; and blocks that are cut in steps, which change nothing."""
+    def pairs(rows, **more):
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        return sorted((r.doc_id if r.doc_id is not None else -99, r.text, r.next.text) for r in fingerprint.with_next(df, "doc_id", "text", {}, **more).collect())
+
+    rows = [(5, "e"), (5, "d"), (9, "i"), (None, "z"), (1, "a"), (5, "d")]
+    assert pairs(rows) == [(-99, "z", "i"), (1, "a", "z"), (5, "d", "d"), (5, "d", "e"), (5, "e", "a"), (9, "i", "d")]
+    assert pairs([(3, "x")]) == [(3, "x", "x")] and pairs([]) == []
+    many = [(i * i, f"t{i}") for i in range(500)]
+    whole = pairs(many)
+    assert [n for _, _, n in whole] == ["t499"] + [f"t{i}" for i in range(499)]
+    assert pairs(many, chars_per_block=10, max_edges=7) == whole
+
+
 def test_mix(spark):
     rows = [(i, " ".join(["w"] * (1 + i * 37 % 90)), ["a", "b", None][i % 3 if i % 7 else 0]) for i in range(600)] + [(None, None, "z"), (1, None, "a")]
     out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()

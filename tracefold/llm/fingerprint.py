@@ -14,6 +14,8 @@ null keys come last; a single row is its own next one; no rows give no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -70,12 +72,12 @@ def likeness(a: Column, b: Column) -> Column:
     return F.round(F.coalesce(equal, empty, F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))), 6)
 
 
-def with_next(docs: DataFrame, key: str, text: str, derived: dict[str, Column], chars_per_block: int = 1_000_000, max_edges: int = 20_000) -> DataFrame:
+def with_next(docs: DataFrame, key: str, text: str, derived: dict[str, Callable[[Column], Column]], chars_per_block: int = 1_000_000, max_edges: int = 20_000) -> DataFrame:
     """``docs`` with the ``derived`` columns and ``next``: a struct of the text and its derived columns of the next document in descending key order; the first follows the last.
 
     Documents are dealt into blocks of consecutive keys, so the texts are shuffled once and no task sees all rows: by at most ``max_edges`` quantiles, and
     between those in equal steps of the key, as many as keep a block at about ``chars_per_block``. Only a block's last row needs another block's first row;
-    those few are joined by block, on the partitioning that is there. Derived columns are made before the shuffle, and once more for those first rows only.
+    those few are joined by block, on the partitioning that is there. Derived columns (functions of the text) are made before the shuffle, and once more for those first rows only.
     """
     chars, rows, low, high = docs.agg(F.coalesce(F.sum(F.length(text)), F.lit(0)), F.count("*"), F.min(key), F.max(key)).first()
     blocks = max(64, chars // chars_per_block)
@@ -97,10 +99,10 @@ def with_next(docs: DataFrame, key: str, text: str, derived: dict[str, Column],
         step = F.coalesce(F.floor((top - F.col(key)) * steps / (top - bottom + 1)), F.lit(0)).cast("int")
     dealt = dealt.withColumn("step", step)
     w = Window.partitionBy("block", "step").orderBy(F.col(key).desc_nulls_last(), F.col(text))
-    carried = F.struct(text, *derived)
-    rowed = dealt.withColumns(derived).withColumn("_next", F.lead(carried).over(w))
-    first = F.min_by(F.col(text), F.struct((-F.col(key)).alias("k"), F.col(text).alias("t"))).alias(text)
-    firsts = dealt.groupBy("block", "step").agg(first).withColumns(derived).select("block", "step", carried.alias("_first"))
+    made = {name: of(F.col(text)) for name, of in derived.items()}
+    rowed = dealt.withColumns(made).withColumn("_next", F.lead(F.struct(text, *derived)).over(w))
+    first = F.min_by(F.col(text), F.struct((-F.col(key)).alias("k"), F.col(text).alias("t"))).alias("_first")
+    firsts = dealt.groupBy("block", "step").agg(first)
     # a step is followed by the next one of its block, the last one by the first of the next block
     after = firsts.withColumn("_after", F.lead("_first").over(Window.partitionBy("block").orderBy("step")))
     ids = sorted(r.block for r in docs.select(block.alias("block")).distinct().collect())  # at most max_edges + 2 numbers
@@ -108,7 +110,8 @@ def with_next(docs: DataFrame, key: str, text: str, derived: dict[str, Column],
     link = docs.sparkSession.createDataFrame(before or [(0, 0)], "block int, before int")
     heads = firsts.groupBy("block").agg(F.min_by("_first", "step").alias("_head")).join(F.broadcast(link), "block")  # link: two numbers a block
     ends = after.join(heads.select(F.col("before").alias("block"), "_head"), "block").select("block", "step", F.coalesce("_after", "_head").alias("_first"))
-    return rowed.join(ends, ["block", "step"], "left").withColumn("next", F.coalesce("_next", "_first")).drop("_next", "_first", "block", "step")
+    late = F.struct(F.col("_first").alias(text), *(of(F.col("_first")).alias(name) for name, of in derived.items()))
+    return rowed.join(ends, ["block", "step"], "left").withColumn("next", F.coalesce("_next", late)).drop("_next", "_first", "block", "step")
 
 
 def _upper(edges: Column, value: Column, count: int) -> Column:
@@ -133,7 +136,7 @@ def edited(text: Column, next_text: Column) -> Column:
 
 def op4_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    df = with_next(docs, "doc_id", "text", {"fp": fingerprint(F.col("text"))})
+    df = with_next(docs, "doc_id", "text", {"fp": fingerprint})
     changed = let(edited(F.col("text"), F.col("next.text")), lambda e: F.struct(F.sha2(e, 256).alias("sha"), fingerprint(e).alias("fp")))
     df = df.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.col("fp"), F.col("next.fp").alias("next_fp"), changed.alias("e"))
     return df.select("doc_id", "n_chars", let(F.struct("fp", "next_fp", "e"), lambda s: F.struct(
