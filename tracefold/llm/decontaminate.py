@@ -2,8 +2,8 @@
 
 The windows of the benchmark (``width`` consecutive words; shorter items are one window) become a hash set. Each document's
 windows are hashed in their row, tested against a bitmap of that set, and the few that pass are joined to the windows' words,
-so that every reported hit is an equality of words. The benchmark is broadcast only below ``max_windows`` windows; beyond
-that, all document windows are shuffled to it. DataFrame functions only.
+so that every reported hit is an equality of words. The benchmark is broadcast only up to ``max_windows`` windows; beyond
+that, the windows that pass the bitmap (of bounded size) are shuffled to it. DataFrame functions only.
 
 Defined cases: null or empty text has no words and no hits; a null item or one without words has no window; rows that repeat
 both key and text are one document; an empty benchmark leaves every document clean; other columns are ignored.
@@ -57,12 +57,13 @@ def window_hits(docs: DataFrame, windows: DataFrame, key_cols: list[str], text_c
     count, lengths = windows.agg(F.count("*"), F.array_sort(F.collect_set("len"))).first()
     text = F.coalesce(F.col(text_col), F.lit(""))
     small = count <= max_windows
-    bits, longs = bitmap(windows, max(count, 1)) if small else (None, 0)
+    # the bitmap has a bounded size: with more windows more candidates pass it, and the join decides
+    bits, longs = bitmap(windows, max(min(count, MAX_WINDOWS), 1))
 
     def candidates(w: Column) -> Column:
         def of_length(h: Column, length: int) -> Column:
             at = F.when(F.size(h) >= length, F.sequence(F.lit(1), F.size(h) - length + 1)).otherwise(F.array().cast("array<int>"))
-            tested = F.filter(at, lambda i: passes(gram_hash(F.slice(h, i, length)))) if small else at
+            tested = F.filter(at, lambda i: passes(gram_hash(F.slice(h, i, length))))
             return F.transform(tested, lambda i: F.struct(i.alias("start"), F.lit(length).alias("len"), F.array_join(F.slice(w, i, length), " ").alias("gram")))
 
         def passes(k: Column) -> Column:
