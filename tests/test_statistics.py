@@ -214,6 +214,61 @@ def test_permutations(spark):
     assert np.mean(drawn) == pytest.approx(np.mean(shuffled), rel=0.2)
 
 
+def test_broken_tables_are_found(spark):
+    fits = spark.createDataFrame([(log, c, 60, 0.5 if log == "x" else 0.01, True) for log in "xyz" for c in ("n1", "n2", "variants")], "log string, concept string, n_fitted int, gof_p double, fit_valid boolean")
+    audit = paired.paired_audit(fits)
+    grid = paired.paired_grid(audit)
+    assert paired.violations(grid, audit).count() == 0
+    off = {"difference": F.col("difference") + 0.1, "n_eligible_k": F.col("n_eligible_k") + F.when(F.col("min_types") == 50, 1).otherwise(0), "holm_p": F.col("holm_p") / 2}
+    rules = lambda g, a: {r.rule for r in paired.violations(g, a).collect()}
+    assert rules(grid.withColumn("difference", off["difference"]), audit) == {"difference"}
+    assert rules(grid.withColumn("n_eligible_k", off["n_eligible_k"]), audit) == {"more eligible by a higher bound", "audit and summary differ"}
+    assert rules(grid.withColumn("holm_p", off["holm_p"]), audit) == {"adjusted p"}
+    assert rules(grid, audit.where("log <> 'x' OR k <> 1")) == {"audit and summary differ"}
+
+
+def test_records_of_a_run(spark):
+    from tracefold.operators import records
+
+    rng = np.random.default_rng(2)
+    rows = [("good", float(f)) for f in rng.zipf(2.0, 200)] + [("flat", 1.0)] * 30 + [("bad", 2.5), ("bad", 1.0)]
+    out = records.run(spark.createDataFrame(rows, "log string, freq double"), ["log"], ("lower_bounded_power_law", "full_range_power_law"), replicates=4)
+    summary = {(r.log, r.model): r for r in out["summary"].collect()}
+    assert len(summary) == 6
+    good, bad = summary["good", "lower_bounded_power_law"], summary["bad", "full_range_power_law"]
+    assert good.fit_valid and good.alpha > 1 and good.gof_kind == "refit_all_parameters" and good.n_types == 200 and good.best_other and good.error is None
+    assert bad.alpha is None and bad.code == "A" and bad.error.startswith("error during fitting (")
+    flat, raw = summary["flat", "full_range_power_law"], {(r.log, r.model): r for r in out["gof"].collect()}["flat", "full_range_power_law"]
+    assert not flat.fit_valid and flat.alpha is None and flat.ks is None and flat.gof_kind == "skipped_invalid_fit" and flat.n_singletons == 30
+    assert raw.alpha == 4.0 and raw.ks is not None and raw.gof_p is None and raw.n_success == 0  # blank in the summary only
+    assert {r.log for r in out["comparisons"].collect()} == {"good"}
+
+
+def test_inventory_rows(spark):
+    rows = spark.createDataFrame([(f"{i:02d}", "v", "kind", "case" if i else "event", "cabd"[i % 4]) for i in range(9)] + [("00", "v", "cost", "event", "")], "case_id string, variant string, attribute string, level string, value string")
+    flat = {r.attribute: r for r in attributes.flat_inventory(attributes.inventory(rows.drop("level")), attributes.examples(rows)).collect()}
+    assert flat["kind"].example_values == "c|a|b|d" and flat["cost"].example_values is None
+    keys = spark.createDataFrame([("org:role",)], "attribute string")
+    assert {r.attribute: r.level for r in attributes.source_levels(rows, keys).collect()} == {"kind": "case", "cost": "event", "org:role": "event"}
+    whole = spark.createDataFrame([("a", 1.0), ("a", float("nan")), ("b", 1.5), ("c", None)], "g string, x double").groupBy("g").agg(attributes.whole_valued(F.col("x")).alias("w"))
+    assert {r.g: r.w for r in whole.collect()} == {"a": True, "b": False, "c": False}
+
+
+def test_extracted_totals_must_agree(spark):
+    from tracefold.operators import saturation
+
+    lengths = spark.createDataFrame([("l", 3, 2, 1), ("l", 5, 1, 1)], "log string, length long, cases long, variants long")
+    diagnosed = saturation.diagnose(lengths, (1, 2))
+    counts = lambda n: spark.createDataFrame([("l", 1, 11), ("l", 2, n)], "log string, k int, extracted long")
+    assert saturation.checked_totals(counts(14), diagnosed).where("agrees").count() == 2
+    with pytest.raises(Exception, match="disagree"):
+        saturation.checked_totals(counts(15), diagnosed).collect()
+    broken = diagnosed.withColumn("excess", F.lit(-1))
+    assert saturation.violations(broken).count() == 2 and saturation.violations(diagnosed).count() == 0
+    table = saturation.order_table(diagnosed.unionByName(diagnosed.withColumn("log", F.lit("m"))), ks=(1, 2))
+    assert [r.log for r in saturation.with_median(table, (1, 2)).collect()][-1] == "median"
+
+
 def test_registered_bootstraps_are_whole(spark, monkeypatch):
     from tracefold.plans import behaviour, core, outcomes
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MISSING, NONPOSITIVE = "__MISSING__", "__NONPOSITIVE__"
@@ -57,6 +57,43 @@ def candidates(rows: DataFrame) -> DataFrame:
     return rows.select("attribute").where(~F.col("attribute").isin(*RESERVED)).distinct().orderBy("attribute")
 
 
+def source_levels(rows: DataFrame, event_keys: DataFrame | None = None) -> DataFrame:
+    """``attribute, level``: case wins over event, anything else is unknown; ``event_keys`` adds event attributes that have no column of their own."""
+    found = rows.select("attribute", "level")
+    if event_keys is not None:
+        found = found.unionByName(event_keys.select("attribute", F.lit("event").alias("level")))
+    known = F.when(F.bool_or(F.col("level") == "case"), "case").when(F.bool_or(F.col("level") == "event"), "event").otherwise("unknown")
+    return found.where(~F.col("attribute").isin(*RESERVED)).groupBy("attribute").agg(known.alias("level"))
+
+
+def whole_valued(value: Column, tolerance: float = 1e-9) -> Column:
+    """Aggregate: whether all finite values are whole; false where there is none."""
+    finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
+    return F.coalesce(F.bool_and(F.when(finite, F.abs(value - F.rint(value)) <= tolerance)), F.lit(False))
+
+
+def examples(rows: DataFrame, position: str = "case_id", many: int = 5) -> DataFrame:
+    """``attribute, example_values``: each attribute's first different values, by the least position that has them."""
+    firsts = rows.where(~is_missing(F.col("value"))).groupBy("attribute", "value").agg(F.min(position).alias("at"))
+    ranked = firsts.withColumn("i", F.row_number().over(Window.partitionBy("attribute").orderBy("at", "value"))).where(F.col("i") <= many)
+    return ranked.groupBy("attribute").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "value"))), lambda s: s["value"]).alias("example_values"))
+
+
+def flat_inventory(inv: DataFrame, shown: DataFrame) -> DataFrame:
+    """The inventory as flat text-friendly rows: example values joined by ``|``."""
+    return inv.join(shown, "attribute", "left").withColumn("example_values", F.array_join("example_values", "|"))
+
+
+def value_counts(values: DataFrame, column: str) -> DataFrame:
+    """``value, n``: how often each value occurs, as text, most frequent first."""
+    return values.groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value")
+
+
+def missing_share(value: Column) -> Column:
+    """Aggregate: the share of rows labelled missing."""
+    return F.avg(F.when(value == MISSING, 1.0).otherwise(0.0))
+
+
 def inventory(rows: DataFrame) -> DataFrame:
     """Per attribute: cases, missing, distinct values, the largest value's share of all cases, numeric summary, and the inferred type.
 
@@ -73,7 +110,7 @@ def inventory(rows: DataFrame) -> DataFrame:
         F.sum("n").alias("n_cases"), weigh(~here).alias("n_missing"), F.count("value").alias("n_distinct"),
         F.max(F.when(here, F.col("n"))).alias("largest"), F.max_by(F.col("value"), F.when(here, F.struct(F.col("n"), F.col("value")))).alias("mode"),
         weigh(here & truth).alias("n_bool"), weigh(here & num.isNotNull()).alias("n_numeric"),
-        weigh(here & num.isNull() & moment(F.col("value")).isNotNull()).alias("n_dates"), F.bool_and(F.when(num.isNotNull(), F.abs(num - F.rint(num)) <= 1e-9)).alias("whole_numbers"),
+        weigh(here & num.isNull() & moment(F.col("value")).isNotNull()).alias("n_dates"), whole_valued(num).alias("whole_numbers"),
         F.min(num).alias("minimum"), F.max(num).alias("maximum"), (F.sum(num * F.col("n")) / F.sum(F.when(num.isNotNull(), F.col("n")))).alias("average"), F.percentile(num, 0.5, F.col("n")).alias("median"))
     present = F.col("n_cases") - F.col("n_missing")
     share = F.col("n_distinct") / present

@@ -163,6 +163,51 @@ def paper_table(effects: DataFrame, families: tuple[int, ...] = (20, 10, 3)) ->
     return long.groupBy("statistic").pivot("k", list(range(1, 21))).agg(F.first("value"))
 
 
+def violations(grid: DataFrame, audit: DataFrame) -> DataFrame:
+    """``rule, min_types, gof, k``: rows of a grid that break an identity, alone, against the grid's other rows, or against the audit. None if all is well.
+
+    Holm's p is made anew from the raw p of the family; swapping the endpoints must mirror the interval; raising the least number of types can't
+    make more logs eligible, and the goodness-of-fit threshold can't change who is eligible.
+    """
+    key = ["min_types", "gof", "k"]
+    n = F.col("n00") + F.col("n01") + F.col("n10") + F.col("n11")
+    near = lambda a, b: F.coalesce(F.abs(a - b) <= 1e-9, a.isNull() & b.isNull())
+    lower, upper = newcombe(F.col("n11"), F.col("n01"), F.col("n10"), F.col("n00"))
+    swapped_lower, swapped_upper = newcombe(F.col("n11"), F.col("n10"), F.col("n01"), F.col("n00"))
+    some = n > 0
+    result = ["p_k", "p_variants", "difference", "lower", "upper", "p_value"]
+    empty = F.lit(True)
+    for c in result:
+        empty = empty & F.col(c).isNull()
+    again = holm(grid.drop("holm_p"), "p_value", ["min_types", "gof"], "k", "holm_again").select(*key, "holm_again")
+    wider = Window.partitionBy("gof", "k").orderBy("min_types")
+    others = Window.partitionBy("min_types", "k")
+    rows = grid.join(again, key)
+    grows, moves = F.lit(False), F.lit(False)
+    for c in ("n", "n_eligible_k", "n_eligible_variants"):
+        rows = rows.withColumns({f"_before_{c}": F.lag(c).over(wider), f"_least_{c}": F.min(c).over(others), f"_most_{c}": F.max(c).over(others)})
+        grows = grows | F.coalesce(F.col(c) > F.col(f"_before_{c}"), F.lit(False))
+        moves = moves | (F.col(f"_least_{c}") != F.col(f"_most_{c}"))
+    rules = {
+        "cells do not sum to n": F.col("n") != n,
+        "figures without pairs": ~some & (~empty | (F.col("status") != "unavailable")),
+        "difference": some & ~(near(F.col("difference"), (F.col("n01") - F.col("n10")) / n) & near(F.col("difference"), F.col("p_variants") - F.col("p_k"))),
+        "interval": some & ~(near(F.col("lower"), lower) & near(F.col("upper"), upper) & near(swapped_lower, -upper) & near(swapped_upper, -lower)),
+        "exact p": some & ~near(F.col("p_value"), mcnemar(F.col("n01"), F.col("n10"))),
+        "no discordance": some & (F.col("n01") + F.col("n10") == 0) & ((F.col("status") != "no_discordance") | (F.col("p_value") != 1)),
+        "adjusted p": ~near(F.col("holm_p"), F.col("holm_again")),
+        "more eligible by a higher bound": grows,
+        "threshold changes eligibility": moves,
+    }
+    found = rows.withColumn("rule", F.explode(F.array_compact(F.array(*(F.when(cond, name) for name, cond in rules.items())))))
+    counted = audit.groupBy(*key).agg(
+        F.count("*").alias("a_logs"), F.count_if("included").alias("a_n"), F.count_if("eligible_k").alias("a_k"), F.count_if("eligible_variants").alias("a_v"),
+        F.count_if(F.col("included") != (F.col("eligible_k") & F.col("eligible_variants"))).alias("a_odd"))
+    same = (F.col("a_logs") == F.col("n_logs")) & (F.col("a_n") == F.col("n")) & (F.col("a_k") == F.col("n_eligible_k")) & (F.col("a_v") == F.col("n_eligible_variants")) & (F.col("a_odd") == 0)
+    unlike = grid.join(counted, key, "full").where(~F.coalesce(same, F.lit(False)))
+    return found.select("rule", *key).unionByName(unlike.select(F.lit("audit and summary differ").alias("rule"), *key))
+
+
 def reason_tally(assessed: DataFrame, by: list[str]) -> DataFrame:
     """``tally``: excluded endpoints by their primary reason, as ``reason=count`` text by priority; ``none`` where all are eligible."""
     primary = F.when(F.size("reasons") > 0, F.element_at("reasons", 1))

@@ -84,6 +84,12 @@ def checked_totals(occurrence_counts: DataFrame, diagnosed: DataFrame) -> DataFr
     return rows.withColumn("agrees", F.when(F.col("agrees"), True).otherwise(F.raise_error(said).cast("boolean")))
 
 
+def log_order(rows: DataFrame, position: str) -> DataFrame:
+    """``log, place``: logs by their first appearance, from 0."""
+    firsts = rows.groupBy("log").agg(F.min(position).alias("at"))
+    return firsts.select("log", (F.row_number().over(Window.orderBy("at", "log")) - 1).alias("place"))  # one row a log
+
+
 def with_median(table: DataFrame, ks: Sequence[int] = KS) -> DataFrame:
     """The log x k table with a last row ``median``: each order's median over the logs that have a value."""
     median = table.agg(*(F.median(str(k)).alias(str(k)) for k in ks)).select(F.lit("median").alias("log"), *(F.col(str(k)) for k in ks))

@@ -52,12 +52,14 @@ def summary(traces: DataFrame, k: int) -> DataFrame:
     return parents.join(target, "log").join(newly, "log", "left").withColumn("newly_complete_types", F.coalesce("newly_complete_types", F.lit(0))).withColumn("k", F.lit(k))
 
 
-def overview(traces: DataFrame, ks: list[int]) -> DataFrame:
-    """``log, metric`` x k: the transition figures of all orders in one table."""
+def overview(traces: DataFrame, ks: list[int], xmins: DataFrame | None = None) -> DataFrame:
+    """``log, metric`` x k: the transition figures of all orders in one table; ``xmins`` (log, k, xmin) adds the fitted xmin of each source order."""
     out = None
     for k in ks:
         part = summary(traces, k)
         names = [c for c in part.columns if c not in ("log", "k")]
         part = part.unpivot(["log", "k"], names, "metric", "value")
         out = part if out is None else out.unionByName(part)
+    if xmins is not None:
+        out = out.unionByName(xmins.select("log", "k", F.lit("xmin").alias("metric"), F.col("xmin").cast("long").alias("value")))
     return out.groupBy("log", "metric").pivot("k", ks).agg(F.first("value"))

@@ -55,9 +55,15 @@ def combine(parts: list[DataFrame], order: list[str]) -> DataFrame:
     return out.orderBy(*[c for c in order if c in out.columns])
 
 
-def save_report(df: DataFrame, path: str) -> None:
-    """A small report as one CSV file, missing values written ``NA``."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).option("nullValue", "NA").csv(path)
+def save_report(df: DataFrame, path: str, missing: str = "NA") -> None:
+    """A small report as one CSV file, missing values (also not-a-numbers) written as ``missing``: ``NA`` or ``NaN``."""
+    shown = {c: F.when(~F.isnan(c), F.col(c)) for c, kind in df.dtypes if kind in ("double", "float")}
+    df.withColumns(shown).coalesce(1).write.mode("overwrite").option("header", True).option("nullValue", missing).csv(path)
+
+
+def save_seed(spark: SparkSession, path: str, seed: int) -> None:
+    """The seed of an experiment beside its results."""
+    spark.createDataFrame([(seed,)], "seed long").coalesce(1).write.mode("overwrite").json(path)
 
 
 def register_dataset(spark: SparkSession, path: str, key: str, name: str, short_name: str, kind: str, source: str) -> DataFrame:
