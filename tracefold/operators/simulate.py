@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TRACE = "case_id string, seq array<string>"
@@ -106,10 +106,11 @@ def alphabet(n: int) -> list[str]:
     return [chr(97 + i) for i in range(n)] if n <= 26 else [f"a{i}" for i in range(n)]
 
 
-def uniform_traces(cases: DataFrame, activities: list[str], length: int, seed: int = 42) -> DataFrame:
-    """Independent uniform activities, all within the JVM: the choice is a hash of seed, case and position."""
+def uniform_traces(cases: DataFrame, activities: list[str], length: int | Column, seed: int = 42) -> DataFrame:
+    """Independent uniform activities, as many as ``length`` says, all within the JVM: the choice is a hash of seed, case and position."""
+    length = F.lit(length) if isinstance(length, int) else length
     names = F.array(*(F.lit(a) for a in activities))
-    pick = F.transform(F.sequence(F.lit(1), F.lit(length)), lambda i: F.get(names, F.pmod(F.xxhash64(F.lit(seed), F.col("case_id"), i), F.lit(len(activities))).cast("int")))
+    pick = F.transform(F.slice(F.sequence(F.lit(1), F.greatest(length, F.lit(1))), F.lit(1), length), lambda i: F.get(names, F.pmod(F.xxhash64(F.lit(seed), F.col("case_id"), i), F.lit(len(activities))).cast("int")))
     return cases.select("case_id", pick.alias("seq"))
 
 
