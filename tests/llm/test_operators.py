@@ -168,6 +168,7 @@ def test_decontamination(spark):
     assert sorted(r.doc_id for r in decontaminate.remove_contaminated(rows, bench).collect()) == [1, 3, 4, 5]
     assert decontaminate.decontaminate(rows, bench.limit(0)).where("contaminated").count() == 0
     assert decontaminate.remove_contaminated(odd(spark), bench).count() == 10
+    assert decontaminate.decontaminate(odd(spark), bench).count() == 10  # repeated rows have a result each
 
 
 def test_fingerprints(spark):
@@ -252,6 +253,15 @@ def test_repeated_runs_inside_articles(spark):
     assert got[20] == f"{own[0]}\n{offer}"  # runs count by host
 
 
+def test_long_and_repeated_pages(spark):
+    text = [" ".join(words(20, 3000 + i)) for i in range(300)]
+    page = "<html><body><nav>menu here</nav><article>" + "".join(f"<p>{t}</p>" for t in text) + "</article></body></html>"
+    huge = "<div>" * 2000 + "x" * 1_000_000 + "</div>" * 2000
+    rows = spark.createDataFrame([(1, "http://h/1", page), (1, "http://h/1", page), (2, None, huge), (3, "http://h/3", "<p>" * 5000)], "page_id long, url string, html string")
+    got = sorted((r.key, r.text) for r in html_main.main_text(rows).collect())
+    assert got == [(1, "\n".join(text)), (1, "\n".join(text)), (2, "x" * 1_000_000), (3, "")]
+
+
 def test_articles_in_marked_wrappers():
     main = lambda page: [t for z, t in html_main.page_blocks(page) if z == html_main.MAIN]
     assert main("<div class='layout with-sidebar'><div class='sidebar'>x</div><article><header>h</header><p>y</p></article></div>") == ["h", "y"]
@@ -404,3 +414,5 @@ def test_urls_without_a_rule_are_judged_by_the_tree(spark):
     rows = spark.createDataFrame([(i, f"http://h.org/{deep}/{'bad' if i % 2 else 'good'}/x", i % 2 == 1) for i in range(40)] * 2, "page_id long, url string, label boolean")
     got = url_filter.filter_urls(rows, label_col="label").collect()
     assert len(got) == 80 and all(r.verdict == ("block" if r.page_id % 2 else "allow") for r in got)
+    rows = spark.createDataFrame([(1, "http://h.org/" + "x/" * 3000), (1, "http://h.org/" + "x/" * 3000), (None, "http://h.org//")], "page_id long, url string")
+    assert sorted((r.verdict, len(r.template)) for r in url_filter.filter_urls(rows).collect()) == [("allow", 0), ("allow", 6000), ("allow", 6000)]

@@ -6,7 +6,7 @@ so that every reported hit is an equality of words. The benchmark is broadcast o
 that, the windows that pass the bitmap (of bounded size) are shuffled to it. DataFrame functions only.
 
 Defined cases: null or empty text has no words and no hits; a null item or one without words has no window; rows that repeat
-both key and text are one document; an empty benchmark leaves every document clean; other columns are ignored.
+key and text have a result each; an empty benchmark leaves every document clean; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -74,13 +74,15 @@ def window_hits(docs: DataFrame, windows: DataFrame, key_cols: list[str], text_c
             return F.array().cast("array<struct<start:int,len:int,gram:string>>")
         return let(F.transform(w, lambda x: F.xxhash64(x)), lambda h: F.concat(*(of_length(h, n) for n in lengths)))
 
-    found = docs.select(*key_cols, F.xxhash64(text).alias("text_hash"), let(words(F.col(text_col)), lambda w: F.struct(F.size(w).alias("n"), candidates(w).alias("c"))).alias("s"))
-    found = found.select(*key_cols, "text_hash", F.col("s.n").cast("long").alias("n_words"), F.explode_outer("s.c").alias("c"))
-    found = found.select(*key_cols, "text_hash", "n_words", "c.start", "c.len", "c.gram")
+    # rows are told apart by number, so that each keeps its own result
+    found = docs.select(*key_cols, F.monotonically_increasing_id().alias("_row"), F.xxhash64(text).alias("text_hash"), let(words(F.col(text_col)), lambda w: F.struct(F.size(w).alias("n"), candidates(w).alias("c"))).alias("s"))
+    found = found.select(*key_cols, "_row", "text_hash", F.col("s.n").cast("long").alias("n_words"), F.explode_outer("s.c").alias("c"))
+    found = found.select(*key_cols, "_row", "text_hash", "n_words", "c.start", "c.len", "c.gram")
     grams = windows.select("gram", "items")
     hits = found.join(F.broadcast(grams) if small else grams, "gram", "left")
-    hits = hits.select(*key_cols, "text_hash", "n_words", F.when(F.col("items").isNotNull(), F.struct("start", "len")).alias("at"), F.explode_outer("items").alias("item"))
-    return hits.groupBy(*key_cols, "text_hash", "n_words").agg(F.array_sort(F.collect_set("at")).alias("starts"), F.array_sort(F.collect_set("item")).alias("items"))
+    hits = hits.select(*key_cols, "_row", "text_hash", "n_words", F.when(F.col("items").isNotNull(), F.struct("start", "len")).alias("at"), F.explode_outer("items").alias("item"))
+    found = hits.groupBy(*key_cols, "_row", "text_hash", "n_words").agg(F.array_sort(F.collect_set("at")).alias("starts"), F.array_sort(F.collect_set("item")).alias("items"))
+    return found.drop("_row")
 
 
 def covered(starts: Column) -> Column:
