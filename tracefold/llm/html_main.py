@@ -344,6 +344,7 @@ def main_text(pages: DataFrame, key_col: str = "page_id", url_col: str = "url",
     prefixes = stored(pieces.mapInArrow(_packets(min_pages), "packet int, prefixes binary").groupBy("packet").applyInArrow(_frequent(min_pages), "prefix long"), "html-prefixes")
     cells, bits = _bitmap(prefixes)
     runs = pieces.mapInArrow(_intervals(cells, bits), "run long, pages long").groupBy("run").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= min_pages).select("run")
+    runs = stored(runs, "html-runs")  # a table of its own, so that Spark can split the windows of a run that is everywhere
     seen = keep.select("rid", "host", "zones", "texts").mapInArrow(_windows(cells, bits), "rid long, block int, at int, len int, size int, article int, run long").join(runs, "run")
     places = F.array_distinct(F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("len") - 1))))
     covered = seen.groupBy("rid", "block", "size", "article").agg(F.size(places).alias("n"))
