@@ -194,6 +194,39 @@ def test_fingerprint_query(spark, texts):
     assert all(len(v) == 1 for v in same.values())
 
 
+def test_fingerprints_against_plain_python(spark, texts):
+    """Pieces, lane sums and likeness of the query's rows, made anew from the texts."""
+    import struct
+
+    import xxhash
+
+    mask, ones = (1 << 60) - 1, sum(1 << (20 * i) for i in range(3))
+
+    def sums(text):
+        pieces = re.findall(fingerprint.PIECES, text)
+        hashes = [[xxhash.xxh64(struct.pack("<i", seed), seed=xxhash.xxh64(p.encode(), seed=42).intdigest()).intdigest() for p in pieces] for seed in fingerprint.SEEDS]
+        narrow = [sum((h >> i) & ones for h in hs) & mask for hs in hashes for i in range(20)]
+        return [len(pieces), *narrow, *(sum(h & mask for h in hs) & mask for hs in hashes)]
+
+    def near(a, b):
+        if a == b:
+            return 1.0
+        if not a[0] or not b[0]:
+            return 0.0
+        signs = lambda f: np.array([2 * ((x >> (20 * j)) & (2**20 - 1)) - f[0] for x in f[1:41] for j in range(3)], float)
+        p, q = signs(a), signs(b)
+        return min(max(p @ q / max(math.sqrt((p @ p) * (q @ q)), 1e-9), 0.0), 1.0)
+
+    got = {r.doc_id: r for r in QUERIES["op4_fingerprint"](spark, FOLDER).collect()}
+    order = sorted(texts, reverse=True)
+    for i, k in enumerate(order[:60]):
+        own, after = texts[k], texts[order[i + 1]]
+        third = len(own) // 3
+        a, b, c = sums(own), sums(own[: len(own) - third] + after[:third]), sums(after)
+        assert got[k].fingerprint == ".".join(f"{x:x}" for x in a) and got[k].edited_fingerprint == ".".join(f"{x:x}" for x in b)
+        assert got[k].near_edited == pytest.approx(near(a, b), abs=1e-6) and got[k].near_next == pytest.approx(near(a, c), abs=1e-6)
+
+
 def test_next_rows(spark):
     """Nulls, repeated keys, ties, one row and none; and blocks that are cut in steps, which change nothing."""
     def pairs(rows, **more):
