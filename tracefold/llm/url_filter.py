@@ -72,7 +72,8 @@ def path_templates(paths: DataFrame, max_children: int = 32, min_share: float =
         sums = counts.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("seg_n").alias("all_n"))
         often = (F.col("children") <= max_children) & (F.col("seg_n") >= min_share * F.col("all_n"))
         kept = counts.join(sums, ["host", "template"]).where(often).select("host", "template", "seg", F.lit(True).alias("keep"))
-        df = df.join(kept, ["host", "template", "seg"], "left")
+        # a table of its own, so that Spark can split the paths of one branch
+        df = df.join(stored(kept, "url-kept"), ["host", "template", "seg"], "left")
         df = df.withColumn("template", F.concat("template", F.array(F.when(F.col("keep"), F.col("seg")).otherwise("*")))).drop("keep", "seg")
         df = stored(df, "url-paths")  # each level's counts read the last one's rows twice
     rest = df.withColumn("template", F.concat("template", F.slice("segments", F.size("template") + 1, F.greatest(F.size("segments"), F.lit(1))))).drop("segments")
