@@ -38,37 +38,60 @@ GROUP_BYTES, BUCKET_BYTES = 2_000_000, 8_000_000
 LAST = np.iinfo(np.int64).max
 
 
+#: Windows whose minimisers are found together, so that their arrays stay in the processor's cache.
+PART = 1 << 15
+
+
+def minimisers(raw: np.ndarray, width: int = WIDTH, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """For each run of ``width`` bytes where its minimiser begins, and the seeds' hashes; the same for equal runs wherever they lie."""
+    n, span = len(raw), width - seed + 1
+    at, seeds = np.empty(n - width + 1, dtype=np.int64), np.empty(n - seed + 1, dtype=U64)
+    up, down = B.powers(PART + width)
+    bits = U64((PART + width).bit_length())
+    for b in range(0, n - width + 1, PART):
+        piece = raw[b : b + PART + width - 1]
+        m = len(piece)
+        with np.errstate(over="ignore"):
+            sums = np.empty(m + 1, dtype=U64)
+            sums[0] = 0
+            np.cumsum(B._BYTE[piece] * up[:m], out=sums[1:])
+            hashed = (sums[seed:] - sums[:-seed]) * down[: m - seed + 1]
+            hashed ^= hashed >> U64(32)
+            hashed *= U64(0xD6E8FEB86659FD93)
+        low = (hashed >> bits << bits) | np.arange(len(hashed), dtype=U64)
+        # least over ``span`` successive seeds, by doubling
+        have = 1
+        while have * 2 <= span:
+            low = np.minimum(low[:-have], low[have:])
+            have *= 2
+        if have < span:
+            low = np.minimum(low[: m - width + 1], low[span - have : span - have + m - width + 1])
+        at[b : b + len(low)] = (low & ((U64(1) << bits) - U64(1))).astype(np.int64) + b
+        seeds[b : b + len(hashed)] = hashed
+    return at, seeds
+
+
 def stretches(raw: np.ndarray, offs: np.ndarray, width: int = WIDTH, seed: int = SEED):
     """Start, number of windows, minimiser hash and its offset in the stretch, in text order."""
     none = np.empty(0, np.int64)
     n = len(raw)
     if n < width:
         return none, none, np.empty(0, U64), none
-    up, down = B.powers(n + 1)
-    with np.errstate(over="ignore"):
-        sums = np.empty(n + 1, dtype=U64)
-        sums[0] = 0
-        np.cumsum(B._BYTE[raw] * up[:n], out=sums[1:])
-        seeds = B.mix((sums[seed:] - sums[:-seed]) * down[: n - seed + 1])
-    bits = U64(max(int(n).bit_length(), 1))
-    rank = (seeds >> bits << bits) | np.arange(len(seeds), dtype=U64)
-    # least over width - seed + 1 successive seeds, by doubling
-    span, have = width - seed + 1, 1
-    low = rank
-    while have * 2 <= span:
-        low = np.minimum(low[:-have], low[have:])
-        have *= 2
-    if have < span:
-        low = np.minimum(low[: n - width + 1], low[span - have : span - have + n - width + 1])
-    at = (low & ((U64(1) << bits) - U64(1))).astype(np.int64)
-    starts = np.arange(n - width + 1)
-    row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-    whole = row[: n - width + 1] == row[width - 1 :]
-    starts, at, row = starts[whole], at[whole], row[: n - width + 1][whole]
+    at, seeds = minimisers(raw, width, seed)
+    # windows inside one text: from its start to ``width`` bytes before its end
+    edge = np.zeros(n - width + 2, dtype=np.int32)
+    long = np.flatnonzero(np.diff(offs) >= width)
+    np.add.at(edge, offs[long], 1)
+    np.add.at(edge, offs[long + 1] - width + 1, -1)
+    whole = np.cumsum(edge[:-1]) > 0
+    new = whole.copy()
+    new[1:] &= ~whole[:-1] | (at[1:] != at[:-1])
+    new[offs[long]] = True  # texts that follow one another without a gap between their windows
+    starts = np.flatnonzero(new)
     if not len(starts):
         return none, none, np.empty(0, U64), none
-    first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (row[1:] != row[:-1])])
-    return starts[first], np.diff(np.r_[first, len(starts)]), seeds[at[first]], at[first] - starts[first]
+    last = offs[np.searchsorted(offs, starts, "right")] - width + 1
+    return starts, np.minimum(np.r_[starts[1:], n], last) - starts, seeds[at[starts]], at[starts] - starts
 
 
 class Group:
@@ -274,7 +297,7 @@ def _answer_strings(t: pa.Table) -> pa.Table:
         edges.append(end)
     for lo, hi in zip(edges[:-1], edges[1:], strict=True):
         h = head[lo:hi]
-        matrix = np.zeros((hi - lo, columns), dtype=np.uint16)
+        matrix = np.zeros((hi - lo, columns), dtype=np.uint16, order="F")  # columns are read one by one
         left = WIDTH - SEED - shape[h, 1]
         at = np.repeat(np.arange(hi - lo), size[h])
         inner = np.arange(size[h].sum()) - np.repeat(np.r_[0, np.cumsum(size[h])[:-1]], size[h])
