@@ -402,6 +402,21 @@ def test_jaccard_components(spark, width, threshold):
     assert got == brute_components(rows, width, threshold)
 
 
+def test_jaccard_tiles_cut_into_blocks(spark, monkeypatch):
+    """Tiles of many rows of different components, cut into small blocks, lose no link."""
+    monkeypatch.setattr(jaccard_join, "TILE_ROWS", 4)
+    rng = np.random.default_rng(21)
+    common, rows = words(60, 22), {}
+    for i in range(90):  # all share rare passages, few are alike
+        own = words(40, 500 + i // 3)
+        text = own[: 20 + i % 5] + common[: 12 + i % 7] + own[20:]
+        text[int(rng.integers(len(text)))] = f"e{i}"
+        rows[i] = " ".join(text)
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {r.key: (r.n_shingles, r.component) for r in jaccard_join.jaccard_components(df).collect()}
+    assert got == brute_components(rows, 4, 85)
+
+
 def test_one_of_each(spark):
     out = jaccard_join.one_of_each(odd(spark))
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect()) == [*((False, k) for k in (1, 2, 3, 4, 5, 6, 7)), (True, 0)]
