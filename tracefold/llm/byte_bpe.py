@@ -19,6 +19,7 @@ gives no rows; an id outside of the vocabulary is an error. Texts are streamed p
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,7 +32,9 @@ from tracefold.llm import bytes as B
 from tracefold.llm.common import table
 
 #: States and transitions of a transducer, and pieces whose tokens are remembered (of so many characters at most), before they are made anew.
-STATES, TRANSITIONS, PIECES, PIECE_CHARS = 60_000, 300_000, 150_000, 32
+STATES, TRANSITIONS, PIECES, PIECE_CHARS = 300_000, 700_000, 100_000, 32
+#: Pairs of tokens whose answer is remembered.
+BESIDE = 250_000
 #: Ids that are turned to text at once.
 DECODED = 4096
 NEVER = 1 << 40
@@ -51,12 +54,15 @@ class Merges:
     def _split(self, token: bytes) -> tuple[int, int]:
         if len(token) == 1:
             return -1, -1
-        parts, own = [token[i : i + 1] for i in range(len(token))], self.rank[token]
+        parts, own, late = [token[i : i + 1] for i in range(len(token))], self.rank[token], False
         while len(parts) > 2:
             best, i = min((self.rank.get(a + b, NEVER), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if best >= own:
+            if best == NEVER:
                 return -2, -2
+            late |= best > own
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        if late:
+            raise ValueError(f"token {own} is made of tokens of higher rank")
         return self.rank[parts[0]], self.rank[parts[1]]
 
     def made(self, token: int) -> bool:
@@ -107,34 +113,40 @@ def read_ranks(path: str) -> Merges:
 
 
 class Transducer:
-    """Bytes to tokens; state 0 is the start of a piece."""
+    """Bytes to tokens; state 0 is the start of a piece.
+
+    A state is kept as the packed integers of its configurations: last token (-1: none), trie node, number of tokens not emitted yet, these tokens. A
+    transition is the next state, doubled; it is odd if tokens are emitted, which ``emitted`` then has.
+    """
 
     def __init__(self, merges: Merges, states: int = STATES, transitions: int = TRANSITIONS):
         self.merges, self.bounds = merges, (states, transitions)
         self.child: dict[int, int] = {}  # (node, byte) to node; node 0 is the root
-        self.at: list[int] = [-1]  # the token that ends at a node
-        self.inner: list[bool] = [True]
+        self.at, self.inner = array("i", [-1]), bytearray([1])  # the token that ends at a node; whether tokens go on from it
         for i, token in enumerate(merges.tokens):
             node = 0
             for b in token:
-                self.inner[node] = True
+                self.inner[node] = 1
                 key = node << 8 | b
                 node = self.child.get(key, 0)
                 if not node:
                     node = self.child[key] = len(self.at)
                     self.at.append(-1)
-                    self.inner.append(False)
+                    self.inner.append(0)
             self.at[node] = i
         self.beside: dict[int, bool] = {}
-        self.memo: dict[str, list[int]] = {}  # of frequent pieces
+        self.memo: dict[str, list[int]] = {}  # of pieces seen lately
+        self.states: list[bytes] = []
+        self.number: dict[bytes, int] = {}
+        self.step: dict[int, int] = {}
+        self.emitted: dict[int, tuple] = {}
+        self.last: dict[int, tuple] = {}
         self._reset()
 
     def _reset(self) -> None:
-        start = ((-1, 0, ()),)
-        self.states: list[tuple] = [start]
-        self.number: dict[tuple, int] = {start: 0}
-        self.step: dict[int, tuple[int, tuple]] = {}
-        self.last: dict[int, tuple] = {}
+        for kept in (self.states, self.number, self.step, self.emitted, self.last):
+            kept.clear()
+        self._state(array("i", [-1, 0, 0]).tobytes())
 
     def _may_follow(self, a: int, b: int) -> bool:
         if a < 0:
@@ -142,15 +154,35 @@ class Transducer:
         key = a << 32 | b
         out = self.beside.get(key)
         if out is None:
-            if len(self.beside) >= 4 * self.bounds[1]:
+            if len(self.beside) >= BESIDE:
                 self.beside.clear()
             out = self.beside[key] = self.merges.made(b) and self.merges.side_by_side(a, b)
         return out
 
-    def _enter(self, state: int, byte: int) -> tuple[int, tuple]:
-        """The transition that is used for the first time."""
+    def _configurations(self, state: int) -> Iterator[tuple[int, int, tuple]]:
+        flat = array("i")
+        flat.frombytes(self.states[state])
+        i = 0
+        while i < len(flat):
+            end = i + 3 + flat[i + 2]
+            yield flat[i], flat[i + 1], tuple(flat[i + 3 : end])
+            i = end
+
+    def _state(self, packed: bytes) -> int:
+        number = self.number.get(packed)
+        if number is None:
+            number = self.number[packed] = len(self.states)
+            self.states.append(packed)
+        return number
+
+    def _first(self, state: int, byte: int) -> tuple[int, tuple]:
+        """A transition that is used for the first time, and what it emits; beyond the bounds all are made anew, from the current state on."""
+        if len(self.states) > self.bounds[0] or len(self.step) > self.bounds[1]:
+            here = self.states[state]
+            self._reset()
+            state = self._state(here)
         after = []
-        for last, node, out in self.states[state]:
+        for last, node, out in self._configurations(state):
             child = self.child.get(node << 8 | byte)
             if child is None:
                 continue
@@ -161,62 +193,55 @@ class Transducer:
             if token >= 0 and self._may_follow(last, token):
                 after.append((token, 0, (*out, token)))
         shared = 0
-        if len(after) == 1:
-            shared = len(after[0][2])
-        else:
-            for same in zip(*(out for _, _, out in after), strict=False):
-                if same.count(same[0]) < len(same):
-                    break
-                shared += 1
-        emitted = after[0][2][:shared]
-        key = tuple((last, node, out[shared:]) for last, node, out in after)
-        number = self.number.get(key)
-        if number is None:
-            number = self.number[key] = len(self.states)
-            self.states.append(key)
-        self.step[state << 8 | byte] = number, emitted
-        return number, emitted
+        for same in zip(*(out for _, _, out in after), strict=False):
+            if same.count(same[0]) < len(same):
+                break
+            shared += 1
+        flat = array("i")
+        for last, node, out in after:
+            flat.extend((last, node, len(out) - shared, *out[shared:]))
+        key, out = state << 8 | byte, after[0][2][:shared]
+        found = self.step[key] = self._state(flat.tobytes()) << 1 | bool(out)
+        if out:
+            self.emitted[key] = out
+        return found, out
 
     def _end(self, state: int) -> tuple:
         """What is emitted where a piece ends."""
-        own = self.states[state]
-        whole = [self.at[node] for last, node, _ in own if last < 0 and self.at[node] >= 0]
-        out = self.last[state] = (whole[0],) if whole else next((out for _, node, out in own if node == 0), ())
+        out = self.last.get(state)
+        if out is None:
+            own = list(self._configurations(state))
+            whole = [self.at[node] for last, node, _ in own if last < 0 and self.at[node] >= 0]
+            out = self.last[state] = (whole[0],) if whole else next((out for _, node, out in own if node == 0), ())
         return out
 
-    def _first(self, state: int, byte: int) -> tuple[int, tuple]:
-        """A transition that isn't there yet; beyond the bounds all are made anew, from the current state on."""
-        if len(self.states) > self.bounds[0] or len(self.step) > self.bounds[1]:
-            here = self.states[state]
-            self._reset()
-            state = self.number.setdefault(here, len(self.states))
-            if state == len(self.states):
-                self.states.append(here)
-        return self._enter(state, byte)
-
     def stream(self, data: Iterable[int]) -> Iterator[tuple]:
         """Tokens of one piece whose bytes come one by one, in groups as they become certain."""
         state = 0
         for byte in data:
-            state, emitted = self.step.get(state << 8 | byte) or self._first(state, byte)
-            if emitted:
-                yield emitted
-        last = self.last.get(state)
-        yield self._end(state) if last is None else last
+            found = self.step.get(state << 8 | byte)
+            if found is None:
+                found, out = self._first(state, byte)
+            else:
+                out = self.emitted[state << 8 | byte] if found & 1 else ()
+            state = found >> 1
+            if out:
+                yield out
+        yield self._end(state)
 
     def encode(self, piece: bytes) -> list[int]:
         """Tokens of a whole piece."""
-        state, out, step = 0, [], self.step
+        state, out, step, emitted = 0, [], self.step.get, self.emitted
         for byte in piece:
-            found = step.get(state << 8 | byte)
+            key = state << 8 | byte
+            found = step(key)
             if found is None:
-                found = self._first(state, byte)
-                step = self.step
-            state, emitted = found
-            if emitted:
-                out += emitted
-        last = self.last.get(state)
-        out += self._end(state) if last is None else last
+                found, group = self._first(state, byte)
+                out += group
+            elif found & 1:
+                out += emitted[key]
+            state = found >> 1
+        out += self._end(state)
         return out
 
 
