@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 from tracefold.llm import bytes as B
 from tracefold.llm.common import table
 
-#: States and transitions of a transducer, and pieces whose tokens are remembered (of so many characters at most), before they are made anew.
-STATES, TRANSITIONS, PIECES, PIECE_CHARS = 300_000, 700_000, 100_000, 32
+#: States and transitions of a transducer before they are made anew; pieces whose tokens are remembered in each of two generations, of so many characters at most.
+STATES, TRANSITIONS, PIECES, PIECE_CHARS = 300_000, 700_000, 200_000, 32
 #: Pairs of tokens whose answer is remembered.
-BESIDE = 250_000
+BESIDE = 150_000
 #: Ids that are turned to text at once.
 DECODED = 4096
 NEVER = 1 << 40
@@ -135,7 +135,8 @@ class Transducer:
                     self.inner.append(0)
             self.at[node] = i
         self.beside: dict[int, bool] = {}
-        self.memo: dict[str, list[int]] = {}  # of pieces seen lately
+        self.recent: dict[str, bytes] = {}  # packed tokens of pieces seen lately, and of those seen before these
+        self.before: dict[str, bytes] = {}
         self.states: list[bytes] = []
         self.number: dict[bytes, int] = {}
         self.step: dict[int, int] = {}
@@ -244,6 +245,17 @@ class Transducer:
         out += self._end(state)
         return out
 
+    def packed(self, piece: str) -> bytes:
+        """Tokens of a piece as 32-bit numbers; short pieces are remembered."""
+        out = self.before.get(piece) or array("i", self.encode(piece.encode())).tobytes()
+        if len(piece) <= PIECE_CHARS:
+            if len(self.recent) >= PIECES:
+                self.before.clear()
+                self.before.update(self.recent)
+                self.recent.clear()
+            self.recent[piece] = out
+        return out
+
 
 #: UTF-8 as a state machine: (state, first byte, last byte, next state). 0: between characters; 1 to 3: so many bytes to come; 4 to 7: the second byte is bound.
 _RULES = (
@@ -293,25 +305,16 @@ def encode(df: DataFrame, merges: Merges, pattern: str, key: str = "doc_id", tex
 
     def run(batches):
         machine, pieces = shared.value.transducer(), regex.compile(pattern).findall
-        memo, kind = machine.memo, pa.list_(pa.int32())
-
-        def tokens(piece):
-            out = machine.encode(piece.encode())
-            if len(piece) <= PIECE_CHARS:
-                if len(memo) >= PIECES:
-                    memo.clear()
-                memo[piece] = out
-            return out
-
+        known, packed = machine.recent.get, machine.packed
         for batch, raw, offs in B.chunks(batches, text):
-            flat, ends = [], [0]
+            flat, ends = bytearray(), [0]
             blob = raw.tobytes()
             for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
                 for piece in pieces(blob[a:b].decode()):
-                    flat += memo.get(piece) or tokens(piece)
-                ends.append(len(flat))
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.fromiter(flat, np.int32, len(flat))))
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(key)), ids.cast(kind)], names=[key, "ids"])
+                    flat += known(piece) or packed(piece)
+                ends.append(len(flat) // 4)
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(key)), ids], names=[key, "ids"])
 
     return df.select(key, text).mapInArrow(run, _typed(df, key, "ids array<int>"))
 
