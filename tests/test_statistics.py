@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracefold.operators import attributes, decision, paired, powerlaw, sensitivity
+from tracefold.functions import zeta
+from tracefold.operators import attributes, decision, paired, powerlaw, sensitivity, xmin_scan
 
 # Newcombe 1998, table III, method 10: both, first, second, neither, lower, upper.
 TABLE_III = [
@@ -99,7 +100,7 @@ def test_power_sums():
 
 def test_bootstrap_is_independent_of_blocks(spark):
     freqs = spark.createDataFrame([("l", int(f)) for f in np.random.default_rng(1).zipf(2.2, 300)], "log string, freq long")
-    fits = powerlaw.fits(freqs, ["log"], ("lower_bounded_power_law",))
+    fits = xmin_scan.fits(freqs, ["log"], ("lower_bounded_power_law",))
     a, b = (powerlaw.goodness_of_fit(freqs, fits, ["log"], 12, block).first() for block in (3, 12))
     assert (a.gof_p, a.n_success, a.n_failed) == (b.gof_p, b.n_success, b.n_failed)
 
@@ -130,6 +131,62 @@ def test_fits_together_are_fits_alone():
             assert got == powerlaw.fit(v.astype(float), n, model)
 
 
+@pytest.mark.parametrize("args", [{}, {"fixed_xmin": 2}, {"first": 2, "at_once": 1}])
+def test_scan_over_tasks_is_the_fit(spark, args):
+    """All units at once, over chunks and rounds of pruned candidates, against the kernel that sees a whole unit; one value, one type and two types too."""
+    rng, samples = np.random.default_rng(9), {"one": [5] * 9, "single": [7], "pair": [3, 9], "even": [398, 399, 400]}
+    for name, (a, size) in {"small": (2.1, 50), "steep": (2.6, 4000), "wide": (1.7, 4000)}.items():
+        f = rng.zipf(a, size)
+        samples[name] = f[f < 10**9].tolist()
+    df = spark.createDataFrame([(u, int(v)) for u, f in samples.items() for v in f], "log string, freq long")
+    got = {(r.log, r.model): r.asDict() for r in xmin_scan.fits(df, ["log"], **args).collect()}
+    assert len(got) == len(samples) * len(powerlaw.MODELS)
+    for (u, m), r in got.items():
+        v, n = np.unique(samples[u], return_counts=True)
+        want = powerlaw.fit(v.astype(float), n, m, args.get("fixed_xmin")) or {"fit_valid": False, "alpha": None}
+        assert {k: r[k] for k in want} == {k: pytest.approx(w, abs=1e-5 if k == "alpha" else 1e-7) if isinstance(w, float) else w for k, w in want.items()}, (u, m)
+
+
+def test_many_chunks_and_few_pairs(spark):
+    """20,000 distinct frequencies in many chunks: the winner is that of all pairs, though most candidates are never measured."""
+    x = np.arange(1, 20_001)
+    n = np.maximum(1, (3e6 * (x + 3.0) ** -2.3)).astype(int)
+    df = spark.createDataFrame([("u", int(a), int(b)) for a, b in zip(x, n, strict=True)], "log string, freq long, n long")
+    rows = df.select("log", F.explode(F.sequence(F.lit(1), F.least("n", F.lit(3)))).alias("i"), "freq").drop("i")
+    sums = xmin_scan.tail_sums(rows, ["log"])
+    found, chunks = xmin_scan.candidates(sums, ["log"], ("lower_bounded_power_law",), None)
+    assert chunks.count() == 10
+    scanned = xmin_scan.scanned(found, chunks, ["log"])
+    best, measured = scanned.agg(F.min("ks")).first()[0], scanned.where("ks is not null").count()
+    counts = np.minimum(n, 3)
+    alpha, ks = powerlaw.fit_alpha(x[19_000:].astype(float), counts[19_000:], x[19_000:-1].astype(float), None)
+    assert 0 < measured < 15_000 and scanned.where(F.col("ks").isNull() & (F.col("bound") < best - 1e-9)).isEmpty() and best <= ks.min() + 1e-9
+
+
+def test_native_power_sums(spark):
+    cases = [(2.0, 1.0, None), (3.7, 5.0, None), (0.7, 3.0, 500.0), (1.0, 2.0, 9.0), (1.0, 2.0, 90.0), (0.0, 4.0, 7.0), (2.5, 6.0, 6.0), (1.2, 40.0, 1e6)]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, a double, low double, high double")
+    got = {r.i: r for r in df.select("i", zeta.power_sum(F.col("a"), F.col("low"), F.col("high")).alias("s"), F.when(F.col("a") > 1, zeta.power_sum(F.col("a"), F.col("low"))).alias("endless")).collect()}
+    for i, (a, low, high) in enumerate(cases):
+        assert got[i].s == pytest.approx(float(powerlaw.power_sum(a, low, high)), rel=1e-11)
+        assert a <= 1 or got[i].endless == pytest.approx(float(powerlaw.power_sum(a, low)), rel=1e-11)
+
+
+def test_curve_of_a_saved_fit(spark):
+    """The largest gap is the fit's distance, with and without an upper bound; a fit without data from its xmin on has no curve."""
+    f = np.random.default_rng(4).zipf(2.0, 900)
+    df = spark.createDataFrame([("u", int(v)) for v in f if v < 10**8] + [("low", 1), ("low", 2)], "log string, freq long")
+    fits = xmin_scan.fits(df.where("log = 'u'"), ["log"])
+    saved = fits.select("log", "model", "alpha", "xmin", "xmax").unionByName(spark.createDataFrame([("low", "m", 2.0, 5.0, None), ("low", "none", None, 1.0, None)], "log string, model string, alpha double, xmin double, xmax double"))
+    rows = xmin_scan.saved_fit_curve(df, saved, ["log"]).collect()
+    assert {r.log for r in rows} == {"u"}
+    for fit in fits.where("fit_valid").collect():
+        own = [r for r in rows if r.model == fit.model]
+        top = [r for r in own if r.largest]
+        assert len(top) == 1 and abs(top[0].gap) == pytest.approx(fit.ks, abs=1e-9) == max(abs(r.gap) for r in own)
+        assert min(r.x for r in own) >= fit.xmin and (fit.xmax is None or max(r.x for r in own) == fit.xmax)
+
+
 def test_attribute_types(spark):
     rows = [(str(i), "v", a, v) for i in range(40) for a, v in (("flag", str(i % 2)), ("amount", f"{1000 + i * 7919 % 97 * 3}"), ("price", f"{i // 2 * 10 + 3}.5"), ("half", f"{i % 2}.0"), ("order_id", f"X{i}"), ("day", f"2020-01-{i % 28 + 1:02d}"), ("kind", "abc"[i % 3]), ("none", ""), ("same", "x"))]
     df = spark.createDataFrame(rows, "case_id string, variant string, attribute string, value string")

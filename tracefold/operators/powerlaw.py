@@ -1,6 +1,6 @@
-"""Discrete power-law fits, goodness of fit and model comparison, one unit (``by``) a Spark group.
+"""Discrete power laws: kernels of the fit, goodness of fit and model comparison, one unit (``by``) a Spark group. ``xmin_scan`` fits the units themselves.
 
-A unit is its histogram of frequencies (``freq``, ``types``): the fit needs no more, and it is as small as the number of distinct frequencies.
+A sample is its histogram of frequencies (``freq``, ``types``), which is as small as the number of distinct frequencies.
 Bootstrap replicates are rows of their own, dealt in blocks with a seed for each replicate, so results don't depend on partitions.
 """
 
@@ -63,6 +63,22 @@ def _golden(cost, low: np.ndarray, high: np.ndarray, rounds: int = 50) -> np.nda
     return (low + high) / 2
 
 
+#: Digits of a KS distance that count where fits are compared, and the distance below which a fit is perfect: beyond them lies the noise of sums and searches.
+DIGITS, PERFECT = 11, 1e-6
+
+
+def comparable(ks: np.ndarray) -> np.ndarray:
+    return np.where(ks < PERFECT, 0.0, np.round(ks, DIGITS))
+
+
+def exponents(count, total, xmin, top) -> np.ndarray:
+    """Maximum-likelihood exponents of samples of ``count`` values from ``xmin`` to ``top`` (infinite: no bound) whose logarithms sum to ``total``."""
+    cost = lambda a: a * total + count * np.log(power_sum(a, xmin, top))
+    bounded = np.isfinite(np.broadcast_to(top, np.shape(xmin)))
+    alpha = _golden(cost, np.where(bounded, 0.0, 1.0 + 1e-9), np.full(len(xmin), ALPHA_MAX))
+    return np.where(ALPHA_MAX - alpha < BOUNDARY, ALPHA_MAX, np.where(bounded & (alpha < BOUNDARY), 0.0, alpha))
+
+
 #: Pairs of a candidate and a value whose model probabilities are held at once.
 PAIRS = 1 << 18
 
@@ -99,15 +115,14 @@ def fit_problems(problems: list[tuple[np.ndarray, np.ndarray, np.ndarray, float
     many = [len(p[2]) for p in problems]
     of = np.repeat(np.arange(len(problems)), many)
     xmin = np.concatenate([p[2] for p in problems]).astype(float)
-    bounded = np.array([p[3] is not None for p in problems])[of]
     top = np.array([np.inf if p[3] is None else p[3] for p in problems])[of]
     at = np.concatenate([b + np.searchsorted(v, p[2]) for b, v, p in zip(base, xs, problems, strict=False)])
     end = base[1:][of]
-    cum, logs = np.r_[0, np.cumsum(n)], np.r_[0, np.cumsum(n * np.log(x))]
-    count, total = cum[end] - cum[at], logs[end] - logs[at]
-    cost = lambda a: a * total + count * np.log(power_sum(a, xmin, top))
-    alpha = _golden(cost, np.where(bounded, 0.0, 1.0 + 1e-9), np.full(len(xmin), ALPHA_MAX))
-    alpha = np.where(ALPHA_MAX - alpha < 1e-6, ALPHA_MAX, alpha)
+    cum = np.r_[0, np.cumsum(n)]
+    # sums of logarithms run from the end of each problem, so that a fit doesn't depend on what lies beside it
+    logs = np.concatenate([np.cumsum((k * np.log(v))[::-1])[::-1] for v, k in zip(xs, ns, strict=True)])
+    count, total = cum[end] - cum[at], logs[at]
+    alpha = exponents(count, total, xmin, top)
     ks = 1 - 1 / np.maximum(count, 1)
     use = np.flatnonzero(ALPHA_MAX - alpha > BOUNDARY)
     if len(use):
@@ -157,9 +172,9 @@ def fit_many(samples: list[tuple[np.ndarray, np.ndarray]], model: str, fixed_xmi
                 owner.append((i, k))
     out: list[dict | None] = [None] * len(samples)
     # a head of 0 sorts last among equal distances, then more fitted types win
-    rank_of = lambda f: (f["ks"], (f["exclude_k"] or 10**9), -f["n_fitted"])
+    rank_of = lambda f: (float(comparable(f["ks"])), (f["exclude_k"] or 10**9), -f["n_fitted"])
     for (x, n, lows, xmax), (s, k), (alpha, ks) in zip(problems, owner, fit_problems(problems), strict=True):
-        i = int(np.argmin(ks))
+        i = int(np.argmin(comparable(ks)))
         tail = (x >= lows[i]) & (x <= (xmax or np.inf))
         found = {"xmin": float(lows[i]), "xmax": xmax, "exclude_k": k, "alpha": float(alpha[i]), "ks": float(ks[i]), "n_fitted": int(n[tail].sum()), "excluded": int(n[x > xmax].sum()) if xmax else 0, "top": float(x[tail].max())}
         if np.isfinite(found["ks"]) and (out[s] is None or rank_of(found) < rank_of(out[s])):
@@ -326,15 +341,17 @@ def compare(x: np.ndarray, n: np.ndarray, best: dict) -> list[dict]:
     return rows
 
 
-FIT_COLUMNS = "xmin double, xmax double, exclude_k int, alpha double, ks double, n_fitted long, excluded long, top double, type_share double, occurrence_share double, log_range double, fit_valid boolean"
-
-
-def histograms(freqs: DataFrame, by: list[str]) -> DataFrame:
-    """``by, values, counts``: a unit's distinct frequencies, ascending, as arrays. Missing, infinite, fractional and non-positive frequencies raise."""
+def frequency_counts(freqs: DataFrame, by: list[str]) -> DataFrame:
+    """``by, freq, types``: how many types have each frequency. Missing, infinite, fractional and non-positive frequencies raise."""
     number = F.col("freq").cast("double")
     ok = number.isNotNull() & ~F.isnan(number) & (number > 0) & (number < float("inf")) & (F.abs(number - F.rint(number)) <= 1e-8 + 1e-5 * number)
     checked = freqs.withColumn("freq", F.when(ok, F.rint(number).cast("long")).otherwise(F.raise_error(F.lit("frequencies must be positive whole numbers"))))
-    counts = checked.groupBy(*by, "freq").agg(F.count("*").alias("types"))
+    return checked.groupBy(*by, "freq").agg(F.count("*").alias("types"))
+
+
+def histograms(freqs: DataFrame, by: list[str]) -> DataFrame:
+    """``by, values, counts``: a unit's distinct frequencies, ascending, as arrays."""
+    counts = frequency_counts(freqs, by)
     cells = F.array_sort(F.collect_list(F.struct("freq", "types")))
     return counts.groupBy(*by).agg(cells.alias("c")).select(*by, F.col("c.freq").cast("array<double>").alias("values"), F.col("c.types").alias("counts"))
 
@@ -343,22 +360,6 @@ def _schema_of(df: DataFrame, by: list[str]) -> str:
     return ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in by)
 
 
-def fits(freqs: DataFrame, by: list[str], models: tuple[str, ...] = MODELS, fixed_xmin: int | None = None) -> DataFrame:
-    """A row for each unit and model; units that can't be fitted have nulls and ``fit_valid`` false."""
-    units = histograms(freqs, by).withColumn("model", F.explode(F.array(*(F.lit(m) for m in models))))
-    names = [p.split()[0] for p in FIT_COLUMNS.split(", ")]
-
-    def run(batches):
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                got = fit(np.asarray(r.values, float), np.asarray(r.counts, np.int64), r.model, fixed_xmin) or {"fit_valid": False}
-                rows.append([*(getattr(r, c) for c in by), r.model, *(got.get(c) for c in names)])
-            yield pd.DataFrame(rows, columns=[*by, "model", *names]).astype({"exclude_k": "Int32", "n_fitted": "Int64", "excluded": "Int64"})
-
-    return units.select(*by, "model", F.col("values"), F.col("counts")).repartition(*by, "model").mapInPandas(run, f"{_schema_of(freqs, by)}, model string, {FIT_COLUMNS}")
-
-
 def goodness_of_fit(freqs: DataFrame, fitted: DataFrame, by: list[str], replicates: int = 1000, block: int = 25, seed: int = 42, fixed_xmin: int | None = None) -> DataFrame:
     """``by, model, gof_p, n_success, n_failed``: the share of replicates whose distance is at least the fit's; failed ones don't count."""
     units = fitted.where("fit_valid AND n_fitted >= 2").join(histograms(freqs, by), by)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracefold.functions.storage import stored
 from tracefold.functions.text import error_class
-from tracefold.operators import decision, frequency, powerlaw
+from tracefold.operators import decision, frequency, powerlaw, xmin_scan
 
 # How a unit's goodness of fit came about.
 REFITTED, SKIPPED = "refit_all_parameters", "skipped_invalid_fit"
@@ -51,7 +51,7 @@ def checked(freqs: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
 def run(freqs: DataFrame, by: list[str], models: tuple[str, ...] = powerlaw.MODELS, replicates: int = 1000, min_types: int = 50, significance: float = 0.1, fixed_xmin: int | None = None) -> dict[str, DataFrame]:
     """``gof``, ``comparisons`` and ``summary`` of all units and models. A unit that can't be worked on has a summary row with an error class and nothing else."""
     good, bad = checked(freqs, by)
-    fits = stored(powerlaw.fits(good, by, models, fixed_xmin), "run-fits")
+    fits = stored(xmin_scan.fits(good, by, models, fixed_xmin), "run-fits")
     gof = stored(powerlaw.goodness_of_fit(good, fits, by, replicates, fixed_xmin=fixed_xmin), "run-gof")
     comparisons = stored(powerlaw.comparisons(good, fits, by, significance), "run-comparisons")
     rows = gof_rows(fits, gof, by)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.operators import decision, paired, powerlaw, sensitivity
+from tracefold.functions.storage import stored
+from tracefold.operators import decision, paired, powerlaw, sensitivity, xmin_scan
 from tracefold.operators import traces as tr
 from tracefold.plans.core import LOGS as ALL_LOGS
 from tracefold.plans.core import _BASE, _nodes_sql, log_traces
@@ -154,7 +155,7 @@ def sensitivity_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 7) for c in ("difference_min", "difference_max")})
 
 
-def _log_frequencies(spark: SparkSession, sf_dir: str, concepts=("variants", "n3"), logs=("events_by_day", "lineitem")) -> DataFrame:
+def _log_frequencies(spark: SparkSession, sf_dir: str, concepts=("variants", "n3"), logs=ALL_LOGS) -> DataFrame:
     out = None
     for log in logs:
         rows = log_traces(spark, sf_dir, log)
@@ -165,7 +166,10 @@ def _log_frequencies(spark: SparkSession, sf_dir: str, concepts=("variants", "n3
 
 
 def powerlaw_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return powerlaw.fits(_log_frequencies(spark, sf_dir), ["log", "concept"])
+    """The three models' fits of all logs' variants and triples, over all xmins and heads that may be left out."""
+    out = xmin_scan.fits(_log_frequencies(spark, sf_dir), ["log", "concept"])
+    digits = {"alpha": 4, "ks": 5, "type_share": 9, "occurrence_share": 9, "log_range": 9}
+    return out.where("alpha is not null").withColumns({c: F.round(c, d) for c, d in digits.items()})
 
 
 FIXED_XMIN = 2
@@ -173,7 +177,7 @@ FIXED_XMIN = 2
 
 def powerlaw_fixed_xmin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maximum-likelihood fits of all logs' variants and triples from a fixed xmin, which have SQL."""
-    out = powerlaw.fits(_log_frequencies(spark, sf_dir, ("variants", "n3"), ALL_LOGS), ["log", "concept"], ("lower_bounded_power_law",), FIXED_XMIN)
+    out = xmin_scan.fits(_log_frequencies(spark, sf_dir, ("variants", "n3"), ALL_LOGS), ["log", "concept"], ("lower_bounded_power_law",), FIXED_XMIN)
     return out.where("n_fitted >= 2").select("log", "concept", "n_fitted", F.round("alpha", 4).alias("alpha"), F.round("ks", 4).alias("ks"), "fit_valid")
 
 
@@ -187,11 +191,16 @@ def _zeta_sql(alpha: str, low: str) -> str:
     return f"({terms} + {rest} - {third} + {fifth})"
 
 
-def _fixed_fit_sql() -> str:
-    """Ternary search of alpha over the likelihood, then the distance of the two distribution functions."""
+def _fixed_fit_sql(then: str = "") -> str:
+    """Ternary search of alpha over the likelihood, then the distance of the two distribution functions; ``then`` goes on from these fits (``fitted``, with their size)."""
     logs = " UNION ALL ".join(f"SELECT '{k}' AS log, seq FROM ({_BASE[k]})" for k in ALL_LOGS)
     cost = lambda a: f"({a}) * total + n * ln({_zeta_sql(a, str(FIXED_XMIN) + '.0')})"
     left, right = "lo + (hi - lo) / 3", "hi - (hi - lo) / 3"
+    last = f"""SELECT log, concept, CAST(n AS BIGINT) AS n_fitted, round(alpha, 4) AS alpha, round(CASE WHEN alpha >= 4 THEN 1 - 1 / n ELSE max(apart) END, 4) AS ks, alpha < 4 AS fit_valid
+FROM d WHERE n >= 2 GROUP BY log, concept, n, alpha"""
+    last = f""",
+fitted AS ({last}),
+{then}""" if then else f"\n{last}"
     return f"""WITH RECURSIVE t AS ({logs}),
 o AS (SELECT log, 'variants' AS concept, seq AS node FROM t WHERE len(seq) > 0 UNION ALL SELECT log, 'n3' AS concept, unnest({_nodes_sql("n3")}) AS node FROM t WHERE len(seq) > 0),
 f AS (SELECT log, concept, count(*) AS freq FROM o GROUP BY log, concept, array_to_string(node, '|')),
@@ -201,35 +210,89 @@ b AS (SELECT log, concept, n, total, 1.0::DOUBLE + 1e-9 AS lo, 4.0::DOUBLE AS hi
  UNION ALL SELECT log, concept, n, total, CASE WHEN {cost(left)} < {cost(right)} THEN lo ELSE {left} END, CASE WHEN {cost(left)} < {cost(right)} THEN {right} ELSE hi END, i + 1 FROM b WHERE i < 50),
 a AS (SELECT log, concept, n, CASE WHEN 4 - (lo + hi) / 2 < 1e-5 THEN 4.0 ELSE (lo + hi) / 2 END AS alpha FROM b WHERE i = 50),
 d AS (SELECT log, concept, n, alpha, abs(coalesce(sum(c) OVER (PARTITION BY log, concept ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / n
- - (1 - {_zeta_sql("alpha", "x")} / {_zeta_sql("alpha", str(FIXED_XMIN) + ".0")})) AS apart FROM v JOIN a USING (log, concept))
-SELECT log, concept, CAST(n AS BIGINT) AS n_fitted, round(alpha, 4) AS alpha, round(CASE WHEN alpha >= 4 THEN 1 - 1 / n ELSE max(apart) END, 4) AS ks, alpha < 4 AS fit_valid
-FROM d WHERE n >= 2 GROUP BY log, concept, n, alpha"""
+ - (1 - {_zeta_sql("alpha", "x")} / {_zeta_sql("alpha", str(FIXED_XMIN) + ".0")})) AS apart FROM v JOIN a USING (log, concept)){last}"""
+
+
+def _sum_sql(alpha: str, low: str, top: str) -> str:
+    """The sum of x^-alpha from ``low`` to ``top``, to infinity where that is null."""
+    fixes = lambda x: f"({alpha}) * pow({x}, -({alpha}) - 1) / 12 - ({alpha}) * (({alpha}) + 1) * (({alpha}) + 2) * pow({x}, -({alpha}) - 3) / 720 + ({alpha}) * (({alpha}) + 1) * (({alpha}) + 2) * (({alpha}) + 3) * (({alpha}) + 4) * pow({x}, -({alpha}) - 5) / 30240"
+    terms = " + ".join(f"CASE WHEN {low} + {i} > {top} THEN 0 ELSE pow({low} + {i}, -({alpha})) END" for i in range(12))
+    a = f"({low} + 12)"
+    between = f"CASE WHEN abs(({alpha}) - 1) < 1e-9 THEN ln({top}) - ln({a}) ELSE (pow({top}, 1 - ({alpha})) - pow({a}, 1 - ({alpha}))) / (1 - ({alpha})) END"
+    return f"""({terms} + CASE WHEN {top} IS NULL THEN pow({a}, 1 - ({alpha})) / (({alpha}) - 1) + pow({a}, -({alpha})) / 2 + {fixes(a)}
+ WHEN {a} <= {top} THEN {between} + pow({a}, -({alpha})) / 2 + pow({top}, -({alpha})) / 2 + {fixes(a)} - ({fixes(top)}) ELSE 0 END)"""
+
+
+def _free_fit_sql() -> str:
+    """All candidates of the three models: ternary search of alpha, distances at all values, the least of them."""
+    logs = " UNION ALL ".join(f"SELECT '{k}' AS log, seq FROM ({_BASE[k]})" for k in ALL_LOGS)
+    cost = lambda a: f"{a} * total + n * ln({_sum_sql(a, 'xmin', 'xmax')})"
+    heads = ", ".join(map(str, powerlaw.EXCLUDE_HEAD))
+    return f"""WITH RECURSIVE t AS ({logs}),
+o AS (SELECT log, 'variants' AS concept, seq AS node FROM t WHERE len(seq) > 0 UNION ALL SELECT log, 'n3' AS concept, unnest({_nodes_sql("n3")}) AS node FROM t WHERE len(seq) > 0),
+f AS (SELECT log, concept, count(*) AS freq FROM o GROUP BY log, concept, array_to_string(node, '|')),
+v AS (SELECT log, concept, CAST(freq AS DOUBLE) AS x, CAST(count(*) AS DOUBLE) AS c FROM f GROUP BY 1, 2, 3),
+w AS (SELECT *, sum(c) OVER (PARTITION BY log, concept ORDER BY x DESC) AS rank_to, sum(c) OVER (PARTITION BY log, concept) AS types, max(x) OVER (PARTITION BY log, concept) AS largest FROM v),
+problems AS (
+ SELECT DISTINCT log, concept, 'full_range_power_law' AS model, NULL::DOUBLE AS xmax, NULL::INTEGER AS exclude_k, largest, types FROM w WHERE types >= 2
+ UNION ALL SELECT DISTINCT log, concept, 'lower_bounded_power_law', NULL, NULL, largest, types FROM w WHERE types >= 2
+ UNION ALL SELECT log, concept, 'doubly_bounded_power_law', x, min(k), x, types FROM w, (SELECT unnest([{heads}]) AS k) WHERE types >= 2 AND k + 1 > rank_to - c AND k + 1 <= rank_to GROUP BY log, concept, x, types),
+posed AS (SELECT *, 1.0::DOUBLE AS xmin FROM problems WHERE model = 'full_range_power_law' UNION ALL SELECT p.*, v.x FROM problems p JOIN v USING (log, concept) WHERE model <> 'full_range_power_law' AND v.x < p.largest),
+candidates AS (SELECT row_number() OVER () AS id, p.*, s.n, s.total FROM posed p, LATERAL (SELECT sum(c) AS n, sum(c * ln(x)) AS total FROM v WHERE v.log = p.log AND v.concept = p.concept AND v.x >= p.xmin AND v.x <= p.largest) s),
+b AS (SELECT id, xmin, xmax, n, total, CASE WHEN xmax IS NULL THEN 1.0 + 1e-9 ELSE 0.0 END::DOUBLE AS lo, 4.0::DOUBLE AS hi, 0 AS i FROM candidates
+ UNION ALL SELECT id, xmin, xmax, n, total, CASE WHEN f1 < f2 THEN lo ELSE a1 END, CASE WHEN f1 < f2 THEN a2 ELSE hi END, i + 1
+ FROM (SELECT *, {cost("a1")} AS f1, {cost("a2")} AS f2 FROM (SELECT *, lo + (hi - lo) / 3 AS a1, hi - (hi - lo) / 3 AS a2 FROM b WHERE i < 60))),
+a AS (SELECT c.*, CASE WHEN 4 - (lo + hi) / 2 < 1e-6 THEN 4.0 WHEN c.xmax IS NOT NULL AND (lo + hi) / 2 < 1e-6 THEN 0.0 ELSE (lo + hi) / 2 END AS alpha FROM b JOIN candidates c USING (id) WHERE i = 60),
+d AS (SELECT a.id, max(abs((SELECT coalesce(sum(c), 0) FROM v u WHERE u.log = a.log AND u.concept = a.concept AND u.x >= a.xmin AND u.x < v.x) / a.n
+ - (1 - {_sum_sql("a.alpha", "v.x", "a.xmax")} / {_sum_sql("a.alpha", "a.xmin", "a.xmax")}))) AS apart
+ FROM a JOIN v ON v.log = a.log AND v.concept = a.concept AND v.x >= a.xmin AND v.x <= a.largest GROUP BY a.id),
+scored AS (SELECT a.*, CASE WHEN alpha >= 4 THEN 1 - 1 / n ELSE apart END AS ks FROM a JOIN d USING (id)),
+best AS (SELECT *, row_number() OVER (PARTITION BY log, concept, model ORDER BY CASE WHEN ks < 1e-6 THEN 0 ELSE round(ks, 11) END, CASE WHEN coalesce(exclude_k, 0) = 0 THEN 1000000000 ELSE exclude_k END, n DESC) AS place FROM scored),
+sizes AS (SELECT b.id, sum(v.c) FILTER (v.x > b.xmax) AS above, max(v.x) FILTER (v.x >= b.xmin AND v.x <= b.largest) AS top, sum(v.x * v.c) FILTER (v.x >= b.xmin AND v.x <= b.largest) / sum(v.x * v.c) AS share
+ FROM best b JOIN v ON v.log = b.log AND v.concept = b.concept WHERE place = 1 GROUP BY b.id)
+SELECT log, concept, model, xmin, xmax, exclude_k, round(alpha, 4) AS alpha, round(ks, 5) AS ks, CAST(n AS BIGINT) AS n_fitted, CAST(coalesce(above, 0) AS BIGINT) AS excluded, top,
+ round(n / types, 9) AS type_share, round(share, 9) AS occurrence_share, round(log10(top / xmin), 9) AS log_range, alpha < 4 AS fit_valid FROM best JOIN sizes USING (id) WHERE place = 1"""
+
+
+def saved_fit_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The saved fits (exponents as printed, four digits) of all logs against the data, with the place of the largest gap."""
+    freqs = _log_frequencies(spark, sf_dir)
+    fitted = xmin_scan.fits(freqs, ["log", "concept"], ("lower_bounded_power_law",), FIXED_XMIN).where("fit_valid AND n_fitted >= 2").withColumn("alpha", F.round("alpha", 4))
+    out = xmin_scan.saved_fit_curve(freqs, fitted, ["log", "concept"])
+    return out.select("log", "concept", "x", *(F.round(c, 9).alias(c) for c in ("p_data", "p_fit", "gap")), "largest")
+
+
+_CURVE = f"""points AS (SELECT v.log, v.concept, v.x, coalesce(sum(v.c) OVER (PARTITION BY v.log, v.concept ORDER BY v.x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / n_fitted AS p_data,
+ 1 - {_zeta_sql("fitted.alpha", "v.x")} / {_zeta_sql("fitted.alpha", str(FIXED_XMIN) + ".0")} AS p_fit FROM v JOIN fitted USING (log, concept) WHERE fit_valid)
+SELECT log, concept, x, round(p_data, 9) AS p_data, round(p_fit, 9) AS p_fit, round(p_data - p_fit, 9) AS gap, row_number() OVER (PARTITION BY log, concept ORDER BY abs(p_data - p_fit) DESC, x) = 1 AS largest FROM points"""
 
 
 def powerlaw_gof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    freqs = _log_frequencies(spark, sf_dir, ("variants",), ALL_LOGS)
-    fits = powerlaw.fits(freqs, ["log", "concept"], ("lower_bounded_power_law",))
+    freqs = stored(_log_frequencies(spark, sf_dir, ("variants",)), "frequencies")
+    fits = stored(xmin_scan.fits(freqs, ["log", "concept"], ("lower_bounded_power_law",)), "fits")
     return powerlaw.goodness_of_fit(freqs, fits, ["log", "concept"])
 
 
 def powerlaw_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    freqs = _log_frequencies(spark, sf_dir)
-    return powerlaw.comparisons(freqs, powerlaw.fits(freqs, ["log", "concept"], ("lower_bounded_power_law",)), ["log", "concept"])
+    freqs = stored(_log_frequencies(spark, sf_dir), "frequencies")
+    return powerlaw.comparisons(freqs, xmin_scan.fits(freqs, ["log", "concept"], ("lower_bounded_power_law",)), ["log", "concept"])
 
 
 def powerlaw_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole chain on the logs: fit, bootstrap, comparison, code."""
-    freqs = _log_frequencies(spark, sf_dir, ("variants",), ALL_LOGS)
+    freqs = stored(_log_frequencies(spark, sf_dir, ("variants",)), "frequencies")
     by = ["log", "concept"]
-    fits = powerlaw.fits(freqs, by, ("lower_bounded_power_law",))
+    fits = stored(xmin_scan.fits(freqs, by, ("lower_bounded_power_law",)), "fits")
     gof = powerlaw.goodness_of_fit(freqs, fits, by)
     return decision.classified(fits.join(gof.drop("model"), by, "left"), powerlaw.comparisons(freqs, fits, by)).select(*by, "n_fitted", "gof_p", "code")
 
 
-QUERIES = {f.__name__: f for f in (outcome_codes, scaling_table, outcome_counts, best_distributions, comparison_counts, paired_cells, paired_effects, paired_audit, paired_grid, paper_table, reason_tally, sensitivity_categories, sensitivity_changes, sensitivity_paired, powerlaw_fits, powerlaw_fixed_xmin, powerlaw_gof, powerlaw_comparisons, powerlaw_outcomes)}
+QUERIES = {f.__name__: f for f in (outcome_codes, scaling_table, outcome_counts, best_distributions, comparison_counts, paired_cells, paired_effects, paired_audit, paired_grid, paper_table, reason_tally, sensitivity_categories, sensitivity_changes, sensitivity_paired, powerlaw_fits, powerlaw_fixed_xmin, saved_fit_curve, powerlaw_gof, powerlaw_comparisons, powerlaw_outcomes)}
 _V = _coded_sql(_SETTINGS) + ", v AS (SELECT k.setting, k.log, k.code, b.code AS base FROM k JOIN (SELECT log, code FROM k WHERE setting = 'baseline' AND concept = 'variants') b ON b.log = k.log WHERE concept = 'variants')"
 SQL = {
     "powerlaw_fixed_xmin": _fixed_fit_sql(),
+    "powerlaw_fits": _free_fit_sql(),
+    "saved_fit_curve": _fixed_fit_sql(_CURVE),
     "outcome_codes": _coded_sql(_BASE_SETTING) + " SELECT log, concept, code FROM k",
     "scaling_table": _coded_sql(_BASE_SETTING) + " SELECT log, " + ", ".join(f"coalesce(max(code) FILTER (concept = '{s}'), '?') AS {s}" for s in decision.SCALES) + " FROM k GROUP BY log",
     "outcome_counts": _coded_sql(_BASE_SETTING) + " SELECT concept, " + ", ".join(f"count(*) FILTER (code = '{c}') AS {c}" for c in "ABCDE") + ", count(*) AS total FROM k GROUP BY concept",
