@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,6 +95,10 @@ def word_spans(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(starts, offs)
 
 
+#: Spans of more bytes get a hash of another kind: sums of powers modulo 2^64 have pairs of long spans (of 1,024 bytes and more) that meet for any base.
+LONG = 256
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
     """A 64-bit hash of the bytes of each span."""
     if not len(starts):
@@ -103,7 +108,11 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
         sums = np.empty(len(raw) + 1, dtype=U64)
         sums[0] = 0
         np.cumsum(_BYTE[_LOWER[raw] if lower else raw] * up[: len(raw)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+        out = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+    for i in np.flatnonzero(ends - starts > LONG):
+        span = raw[starts[i] : ends[i]]
+        out[i] = int.from_bytes(hashlib.blake2b((_LOWER[span] if lower else span).tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def order_within(group: np.ndarray, values: np.ndarray, groups: int, score: np.ndarray | None = None, score_bits: int = 0) -> np.ndarray:

@@ -487,14 +487,22 @@ def jaccard_components(docs: DataFrame, key_col: str = "doc_id", text_col: str =
 
 
 def one_of_each(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = 80) -> DataFrame:
-    """``docs`` without near duplicates: the smallest key of each component stays. Rows without a key stay; of rows that share a key, one."""
-    groups = jaccard_components(docs, key_col, text_col, width, threshold)
-    later = groups.where("key <> component").select(F.col("key").alias("_later_key")).distinct()
-    rows, keys = groups.agg(F.count("key"), F.count_distinct("key")).first()
-    out = docs.join(later, docs[key_col] == later["_later_key"], "left_anti")
-    if rows > keys:
-        out = out.where(F.col(key_col).isNotNull()).dropDuplicates([key_col]).unionByName(out.where(F.col(key_col).isNull()))
-    return out
+    """``docs`` without near duplicates: the smallest key of each component stays.
+
+    A document is a key with its text: rows that share a key are judged each by their text; of rows equal in both, one stays. Rows without a key stay.
+    """
+    one = F.when(F.col(key_col).isNotNull(), F.xxhash64(key_col, F.coalesce(text_col, F.lit(""))))
+    marked = docs.withColumn("_one", one)
+    rows = marked.where("_one is not null").select(F.col("_one"), F.col(text_col).alias("text"), F.col(key_col).alias("_key"))
+    groups = stored(jaccard_components(rows, "_one", "text", width, threshold).select(F.col("key").alias("_one"), "component"), "jaccard-groups")
+    members = groups.distinct().join(rows.select("_one", "_key").distinct(), "_one")
+    first = members.groupBy("component").agg(F.min(F.struct("_key", "_one"))["_one"].alias("first"))
+    later = members.join(first, "component").where("_one <> first").select("_one").distinct()
+    out = marked.join(later, "_one", "left_anti")
+    many, distinct = groups.agg(F.count("*"), F.count_distinct("_one")).first()
+    if many > distinct:
+        out = out.where("_one is not null").dropDuplicates(["_one"]).unionByName(out.where("_one is null"))
+    return out.select(docs.columns)
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

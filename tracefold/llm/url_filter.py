@@ -1,14 +1,15 @@
 """URL filters: explicit host and path rules, then a tree of path templates judged by labelled purity.
 
 Per host, path segments that vary are generalised into ``*``: by their shape (digits, long hexadecimal, long text) and by statistics (more
-than ``max_children`` siblings, or a share under ``min_share`` of them). The tree goes as deep as the paths; statistics are taken for the first
-``LEVELS`` segments, later ones are generalised by their shape alone. Sibling branches whose labelled rates do not differ significantly from
-their pooled rate are merged and share their figures.
-
-Labels are given as a column, or come from the rules' own verdicts. A template's purity (the share of blocked labels) is smoothed along its
-way down the tree: from the host's domain over its sibling hosts, to the host, to each branch, every node pulls the estimate towards its own labels,
-so a template with few labels or none takes the purity of its nearest ancestors. It is rejected if that reaches ``threshold`` and some node on
-the way has ``min_labels`` labels. Every step is a grouped count, so a host with a third of all rows is summed before it is shuffled.
+than ``max_children`` siblings, or a share under ``min_share`` of them). The tree goes as deep as the paths; stretches that all paths of a branch share are
+passed in one round. Sibling branches of ``TOLD`` labels or more whose rates do not differ
+significantly from their pooled rate are merged and share their figures.
+
+Labels are given as a column, or come from the rules' own verdicts. Rules say what is bad on two paths, not that the rest of a host is, so a url that no
+rule fits is a weak negative then: ``weak`` of a label. A template's purity (the share of blocked labels) is smoothed along its way down the tree: from the
+host's domain over its sibling hosts, to the host, to each branch, every node pulls the estimate towards its own labels, and all that lies above counts as
+``STRENGTH`` labels, so a path's own labels come first and one with few takes the purity of its nearest ancestors. It is rejected if that
+reaches ``threshold`` and some node on the way has ``min_labels`` labels. Every step is a grouped count, so a host with a third of all rows is summed before it is shuffled.
 DataFrame functions only.
 
 Defined cases: a null url or one without ``://`` has an empty host and path and matches no rule; repeated rows are each judged alike; without
@@ -21,9 +22,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracefold.llm.common import ascii_lower, stored, table
+from tracefold.llm.conversation_trie import common_prefix
 
-#: Path segments whose siblings are counted; deeper ones are generalised by shape.
-LEVELS = 16
 # Fixed values, the given rules: host, path, verdict.
 RULES = [
     ("com", "/", "allow"),
@@ -34,7 +34,11 @@ RULES = [
 ]
 VARIABLE = r"^(?:.*[0-9].*|[0-9a-fA-F-]{12,}|.{40,})$"
 #: Weight of what lies above a node, in labels; the purity without any label; the significance bound of merging.
-STRENGTH, PRIOR, Z = 2.0, 0.5, 1.96
+STRENGTH, PRIOR, Z = 1.0, 0.5, 1.96
+#: Labels from which on a branch can be told to be like its siblings.
+TOLD = 5
+#: The label, in parts of one, that a url without a rule is: a negative.
+WEAK = 0.25
 #: Marks of a domain's node, and of what lies above a host's root.
 DOMAIN, ABOVE = "domain:", "^"
 
@@ -56,28 +60,33 @@ def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return name, verdict
 
 
-def path_templates(paths: DataFrame, max_children: int = 32, min_share: float = 0.01, levels: int = LEVELS) -> DataFrame:
-    """Distinct paths (``host, path, n, labelled, blocked``) with their ``template``, an array of segments."""
+def path_templates(paths: DataFrame, max_children: int = 32, min_share: float = 0.01) -> DataFrame:
+    """Distinct paths (``host, path, n, labelled, blocked``) with their ``template``, an array of segments.
+
+    A round passes, in every branch at once, the segments that all of its paths share (an only child is kept) and then decides about one segment where they part.
+    """
     parts = F.array_remove(F.split("path", "/"), "")
     shaped = F.transform(parts, lambda s: F.when(s.rlike(VARIABLE), "*").otherwise(s))
-    df = stored(paths.withColumn("segments", shaped).withColumn("template", F.array().cast("array<string>")), "url-paths")
-    done = None
-    deepest = df.agg(F.coalesce(F.max(F.size("segments")), F.lit(0))).first()[0]
-    for level in range(min(deepest, levels)):
+    df = paths.withColumn("segments", shaped).withColumn("template", F.array().cast("array<string>"))
+    at, many, done = F.size("template"), F.size("segments"), None
+    while True:
+        rest = F.slice("segments", at + 1, F.greatest(many - at, F.lit(0)))
+        spans = df.groupBy("host", "template").agg(F.min(rest).alias("first"), F.max(rest).alias("last"))
+        spans = stored(spans.select("host", "template", common_prefix(F.col("first"), F.col("last")).cast("int").alias("shared")), "url-shared")
+        df = stored(df.join(spans, ["host", "template"]).withColumn("template", F.concat("template", F.slice("segments", at + 1, F.col("shared")))).drop("shared"), "url-paths")
         # paths that end here are finished; only deeper ones go on
-        ended = df.where(F.size("segments") <= level).drop("segments")
+        ended = df.where(at >= many).drop("segments")
         done = ended if done is None else done.unionByName(ended)
-        df = df.where(F.size("segments") > level).withColumn("seg", F.get("segments", F.lit(level)))
+        df = df.where(at < many).withColumn("seg", F.get("segments", at))
+        if df.isEmpty():
+            return done
         counts = df.where(F.col("seg") != "*").groupBy("host", "template", "seg").agg(F.sum("n").alias("seg_n"))
         sums = counts.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("seg_n").alias("all_n"))
         often = (F.col("children") <= max_children) & (F.col("seg_n") >= min_share * F.col("all_n"))
         kept = counts.join(sums, ["host", "template"]).where(often).select("host", "template", "seg", F.lit(True).alias("keep"))
         # a table of its own, so that Spark can split the paths of one branch
         df = df.join(stored(kept, "url-kept"), ["host", "template", "seg"], "left")
-        df = df.withColumn("template", F.concat("template", F.array(F.when(F.col("keep"), F.col("seg")).otherwise("*")))).drop("keep", "seg")
-        df = stored(df, "url-paths")  # each level's counts read the last one's rows twice
-    rest = df.withColumn("template", F.concat("template", F.slice("segments", F.size("template") + 1, F.greatest(F.size("segments"), F.lit(1))))).drop("segments")
-    return rest if done is None else done.unionByName(rest)
+        df = stored(df.withColumn("template", F.concat("template", F.array(F.when(F.col("keep"), F.col("seg")).otherwise("*")))).drop("keep", "seg"), "url-paths")
 
 
 def _name(segments: Column) -> Column:
@@ -99,7 +108,7 @@ def tree_nodes(leaves: DataFrame) -> DataFrame:
     nodes = rows.groupBy("host", "p.node", "p.parent").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
     pooled = nodes.where(F.col("parent") != ABOVE).groupBy("host", "parent").agg(F.sum("labelled").alias("pool_n"), F.sum("blocked").alias("pool_b"))
     rate = (F.col("pool_b") + 0.5) / (F.col("pool_n") + 1.0)
-    similar = F.abs(F.col("blocked") / F.col("labelled") - rate) <= Z * F.sqrt(rate * (1 - rate) / F.col("labelled"))
+    similar = (F.col("labelled") >= TOLD) & (F.abs(F.col("blocked") / F.col("labelled") - rate) <= Z * F.sqrt(rate * (1 - rate) / F.col("labelled")))
     marked = nodes.join(pooled, ["host", "parent"], "left").withColumn("branch", F.when(F.coalesce(similar, F.lit(False)), "~").otherwise(F.col("node")))
     branches = marked.groupBy("host", "parent", "branch").agg(F.sum("labelled").alias("b_labelled"), F.sum("blocked").alias("b_blocked"))
     figures = [F.col("b_labelled").alias("labelled"), F.col("b_blocked").alias("blocked")]
@@ -124,15 +133,20 @@ def template_purity(templates: DataFrame, min_labels: int) -> DataFrame:
     return met.select("host", "template", F.col("own").alias("labelled"), evidence.alias("evidence"), down.alias("purity"))
 
 
-def filter_urls(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", rules=RULES, label_col: str | None = None, threshold: float = 0.75, min_labels: int = 5) -> DataFrame:
-    """Per row: ``host, path, rule, verdict, template, labelled, evidence, purity``. ``label_col``: true for blocked; null, unlabelled."""
+def filter_urls(pages: DataFrame, key_col: str = "page_id", url_col: str = "url", rules=RULES, label_col: str | None = None, threshold: float = 0.75, min_labels: int = 5, weak: float | None = None) -> DataFrame:
+    """Per row: ``host, path, rule, verdict, template, labelled, evidence, purity``. ``label_col``: true for blocked; null, unlabelled.
+
+    ``weak``: the part of a negative label that a row without one stands for; by default ``WEAK`` for the rules' labels, none beside given ones.
+    """
     host, path = split_url(F.col(url_col))
     label = F.col(label_col).cast("boolean") if label_col else F.lit(None).cast("boolean")
     rows = pages.select(F.col(key_col), host.alias("host"), path.alias("path"), label.alias("label"))
     name, ruled = rule_columns(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": name, "ruled": ruled})
     label = F.col("label") if label_col else F.col("ruled") == "block"
-    paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.count(label).alias("labelled"), F.count_if(label).alias("blocked"))
+    weak = (0.0 if label_col else WEAK) if weak is None else weak
+    labelled = F.count(label) + weak * F.count_if(label.isNull())
+    paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), labelled.cast("double").alias("labelled"), F.count_if(label).cast("double").alias("blocked"))
     tree = path_templates(paths)
     purity = template_purity(tree, min_labels)
     judged = stored(tree.select("host", "path", "template").join(purity, ["host", "template"]).withColumn("template", _name(F.col("template"))), "url-judged")
