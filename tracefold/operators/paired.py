@@ -138,6 +138,20 @@ def paired_grid(audit: DataFrame) -> DataFrame:
     return holm(paired_effects(cells), "p_value", ["min_types", "gof"], "k")
 
 
+# The published table's rows, orders and least number of fitted types.
+PAPER_ROWS = (
+    "paired_N",
+    "difference_pp",
+    "ci95_lower_pp",
+    "ci95_upper_pp",
+    "mcnemar_p_raw",
+    "mcnemar_p_holm_k_le_20",
+    "mcnemar_p_holm_k_le_10",
+    "mcnemar_p_holm_k_le_3",
+)
+PAPER_KS, PAPER_MIN_TYPES = range(1, 21), 30
+
+
 def _tallied(reason: str) -> Column:
     """``reason=count`` of the rows' reasons by priority, or ``none``."""
     shown = [F.when(F.count_if(F.col(reason) == r) > 0, F.concat(F.lit(f"{r}="), F.count_if(F.col(reason) == r).cast("string"))) for r in REASONS]
@@ -153,14 +167,18 @@ def paired_effects(cells: DataFrame) -> DataFrame:
     return cells.withColumns({"n": n, "p_k": some((F.col("n10") + F.col("n11")) / n), "p_variants": some((F.col("n01") + F.col("n11")) / n), "difference": some((F.col("n01") - F.col("n10")) / n), "lower": some(lower), "upper": some(upper), "p_value": some(mcnemar(F.col("n01"), F.col("n10"))), "status": status})
 
 
-def paper_table(effects: DataFrame, families: tuple[int, ...] = (20, 10, 3)) -> DataFrame:
-    """``statistic`` x k, with Holm's adjustment over the first 20, 10 and 3 orders as three families."""
-    base = effects.select("k", F.col("n").cast("double").alias("paired_n"), "p_k", "p_variants", "difference", "lower", "upper", "p_value")
-    for size in families:
-        part = holm(base.where(F.col("k") <= size).select("k", "p_value").withColumn("family", F.lit(size)), "p_value", ["family"], "k", f"holm_{size}").select("k", f"holm_{size}")
-        base = base.join(part, "k", "left")
-    long = base.unpivot(["k"], [c for c in base.columns if c != "k"], "statistic", "value")
-    return long.groupBy("statistic").pivot("k", list(range(1, 21))).agg(F.first("value"))
+def paper_table(effects: DataFrame) -> DataFrame:
+    """The published table of the orders 1 to 20 against variants: a row a statistic, a column an order, in percentage points where it says so.
+
+    Each of Holm's rows is a family of its own, made anew from the raw p of its orders; an order without pairs counts in it with p = 1 and stays blank.
+    """
+    base = effects.select("k", F.col("n").cast("double").alias("paired_N"), *((100 * F.col(c)).alias(name) for c, name in zip(("difference", "lower", "upper"), PAPER_ROWS[1:4], strict=True)), F.col("p_value").alias("mcnemar_p_raw"))
+    for name in PAPER_ROWS[5:]:
+        family = base.where(F.col("k") <= int(name.rpartition("_")[2])).select("k", "mcnemar_p_raw", F.lit(0).alias("family"))
+        base = base.join(holm(family, "mcnemar_p_raw", ["family"], "k", name).select("k", name), "k", "left")
+    rows = base.select("k", F.posexplode(F.array(*(F.struct(F.lit(c).alias("statistic"), F.col(c).alias("value")) for c in PAPER_ROWS))).alias("place", "r")).select("k", "place", "r.*")
+    wide = rows.groupBy("place", "statistic").pivot("k", list(PAPER_KS)).agg(F.first("value")).orderBy("place")
+    return wide.select("statistic", *(F.col(f"`{k}`").alias(f"k={k}") for k in PAPER_KS))
 
 
 def violations(grid: DataFrame, audit: DataFrame) -> DataFrame:

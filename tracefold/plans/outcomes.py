@@ -102,6 +102,47 @@ h2 AS (SELECT k, CASE WHEN p_value IS NOT NULL THEN least(1.0, max((size - i + 1
 SELECT mc.k, mc.n, round(p_k, 7) AS p_k, round(p_variants, 7) AS p_variants, round(difference, 7) AS difference, round(lower, 7) AS lower, round(upper, 7) AS upper, round(p_value, 7) AS p_value, round(holm_p, 7) AS holm_p, CASE WHEN mc.n = 0 THEN 'unavailable' WHEN d = 0 THEN 'no_discordance' ELSE 'ok' END AS status FROM mc LEFT JOIN r USING (k) JOIN h2 USING (k)"""
 
 
+def _settings_effects(settings: str) -> str:
+    """The paired effects of each setting and order (``fx``), with exact p (``mc``), from ``_FITS`` on."""
+    return _FITS + f""", s AS ({settings}),
+e AS (SELECT setting, log, concept, CASE WHEN gof_p >= p_gof THEN 1 ELSE 0 END AS y FROM f, s WHERE fit_valid AND n_fitted >= min_types),
+pc AS (SELECT a.setting, CAST(substr(a.concept, 2) AS INTEGER) AS k, {", ".join(f"count(*) FILTER (a.y = {x} AND v.y = {y}) AS n{x}{y}" for x in (0, 1) for y in (0, 1))} FROM e a JOIN e v ON v.setting = a.setting AND v.log = a.log AND v.concept = 'variants' WHERE a.concept <> 'variants' GROUP BY 1, 2),
+cells AS (SELECT s.setting, o.k, {", ".join(f"coalesce(n{x}{y}, 0) AS n{x}{y}" for x in (0, 1) for y in (0, 1))} FROM s CROSS JOIN (SELECT CAST(unnest(range(1, 21)) AS INTEGER) AS k) o LEFT JOIN pc ON pc.setting = s.setting AND pc.k = o.k),
+n AS (SELECT *, n00 + n01 + n10 + n11 AS n, CAST(n11 AS DOUBLE) AS e, CAST(n01 AS DOUBLE) AS f, CAST(n10 AS DOUBLE) AS g, CAST(n00 AS DOUBLE) AS h, 1.959963984540054::DOUBLE AS z FROM cells),
+w0 AS (SELECT *, (e + f) / n AS p1, (e + g) / n AS p2, (e + f) * (g + h) * (e + g) * (f + h) AS m, e * h - f * g AS x FROM n WHERE n > 0),
+w AS (SELECT *, ((p1 + z * z / (2 * n)) - z * sqrt(p1 * (1 - p1) / n + z * z / (4.0 * n * n))) / (1 + z * z / n) AS l1, ((p1 + z * z / (2 * n)) + z * sqrt(p1 * (1 - p1) / n + z * z / (4.0 * n * n))) / (1 + z * z / n) AS u1,
+ ((p2 + z * z / (2 * n)) - z * sqrt(p2 * (1 - p2) / n + z * z / (4.0 * n * n))) / (1 + z * z / n) AS l2, ((p2 + z * z / (2 * n)) + z * sqrt(p2 * (1 - p2) / n + z * z / (4.0 * n * n))) / (1 + z * z / n) AS u2,
+ CASE WHEN m = 0 THEN 0 ELSE (CASE WHEN x > 0 THEN greatest(x - n / 2, 0) ELSE x END) / sqrt(greatest(m, 1e-300)) END AS phi FROM w0),
+mc AS (SELECT setting, k, n, n01 + n10 AS d, CASE WHEN n = 0 THEN NULL WHEN n01 + n10 = 0 THEN 1.0 ELSE least(1.0, 2 * (SELECT sum(CAST(factorial(CAST(n01 + n10 AS INTEGER)) AS DOUBLE) / CAST(factorial(CAST(i AS INTEGER)) AS DOUBLE) / CAST(factorial(CAST(n01 + n10 - i AS INTEGER)) AS DOUBLE)) FROM (SELECT unnest(range(0, least(n01, n10) + 1)) AS i)) / pow(2, n01 + n10)) END AS p FROM n),
+fx AS (SELECT mc.setting, mc.k, mc.n, mc.p, p1 - p2 AS difference, greatest(-1, p1 - p2 - sqrt(greatest(0, pow(p1 - l1, 2) - 2 * phi * (p1 - l1) * (u2 - p2) + pow(u2 - p2, 2)))) AS lower,
+ least(1, p1 - p2 + sqrt(greatest(0, pow(u1 - p1, 2) - 2 * phi * (u1 - p1) * (p2 - l2) + pow(p2 - l2, 2)))) AS upper FROM mc LEFT JOIN w ON w.setting = mc.setting AND w.k = mc.k)"""
+
+
+def _holm_sql(name: str, most: int) -> str:
+    """Holm's p of each setting's orders up to ``most``: p = 1 stands in for a missing one, which stays missing."""
+    return f"""{name} AS (SELECT setting, k, CASE WHEN p IS NOT NULL THEN least(1.0, max((size - i + 1) * coalesce(p, 1)) OVER (PARTITION BY setting ORDER BY i)) END AS holm
+ FROM (SELECT *, row_number() OVER (PARTITION BY setting ORDER BY coalesce(p, 1), k) AS i, count(*) OVER (PARTITION BY setting) AS size FROM mc WHERE k <= {most}))"""
+
+
+def _paper_sql() -> str:
+    parts = {"paired_N": "n::DOUBLE", "difference_pp": "100 * difference", "ci95_lower_pp": "100 * lower", "ci95_upper_pp": "100 * upper", "mcnemar_p_raw": "fx.p"} | {f"mcnemar_p_holm_k_le_{m}": f"h{m}.holm" for m in (20, 10, 3)}
+    rows = " UNION ALL ".join(f"SELECT '{name}' AS statistic, k, {value} AS value FROM all_" for name, value in ((n, n) for n in parts))
+    columns = ", ".join(f"round(max(value) FILTER (k = {k}), 7) AS \"k={k}\"" for k in paired.PAPER_KS)
+    return _settings_effects(f"SELECT 'paper' AS setting, {paired.PAPER_MIN_TYPES} AS min_types, 0.10::DOUBLE AS p_gof") + f""",
+{", ".join(_holm_sql(f"h{m}", m) for m in (20, 10, 3))},
+all_ AS (SELECT fx.k, {", ".join(f"{v} AS {n}" for n, v in parts.items())} FROM fx LEFT JOIN h20 ON h20.k = fx.k LEFT JOIN h10 ON h10.k = fx.k LEFT JOIN h3 ON h3.k = fx.k)
+SELECT statistic, {columns} FROM ({rows}) GROUP BY statistic"""
+
+
+def _sensitivity_paired_sql() -> str:
+    sign = lambda c: f"CASE WHEN abs({c}) <= 1e-11 THEN 0 ELSE sign({c}) END"
+    return _settings_effects(_SETTINGS) + f""",
+{_holm_sql("adjusted", 20)},
+j AS (SELECT fx.*, adjusted.holm, b.difference AS base FROM fx JOIN adjusted ON adjusted.setting = fx.setting AND adjusted.k = fx.k LEFT JOIN fx b ON b.setting = 'baseline' AND b.k = fx.k)
+SELECT setting, min(n) FILTER (n > 0) AS paired_min, max(n) FILTER (n > 0) AS paired_max, round(100 * min(difference), 7) AS difference_min, round(100 * max(difference), 7) AS difference_max,
+ coalesce(string_agg(k::VARCHAR, ', ' ORDER BY k) FILTER (holm < 0.05), '') AS holm_orders, coalesce(string_agg(k::VARCHAR, ', ' ORDER BY k) FILTER ({sign("difference")} * {sign("base")} < 0), '') AS reversed_orders FROM j GROUP BY setting"""
+
+
 _REASON = "CASE WHEN NOT fit_valid THEN 'invalid_fit' WHEN n_fitted < 50 THEN 'below_min_fitted_types' END"
 
 
@@ -133,7 +174,10 @@ def paired_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def paper_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paired.paper_table(paired.paired_effects(paired_cells(spark, sf_dir)))
+    fits = derived_fits(spark, sf_dir).withColumn("xmin", F.lit(None).cast("double"))
+    effects = paired.paired_effects(paired.paired_cells(paired.endpoints(fits, paired.PAPER_MIN_TYPES), []))
+    out = paired.paper_table(effects)
+    return out.select("statistic", *(F.round(f"`{c}`", 7).alias(c) for c in out.columns[1:]))
 
 
 def reason_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,6 +344,8 @@ SQL = {
     "comparison_counts": _coded_sql(_BASE_SETTING) + " SELECT model_2, count(*) FILTER (p < 0.1 AND R < 0) AS other, count(*) FILTER (p >= 0.1 OR R = 0) AS inconclusive, count(*) FILTER (p < 0.1 AND R > 0) AS power_law FROM u JOIN k USING (log, concept) WHERE concept = 'variants' AND code NOT IN ('A', 'B') GROUP BY 1",
     "paired_cells": _CELLS + " SELECT * FROM cells",
     "paired_effects": _EFFECTS,
+    "paper_table": _paper_sql(),
+    "sensitivity_paired": _sensitivity_paired_sql(),
     "reason_tally": _FITS + f", r AS (SELECT concept, {_REASON} AS reason FROM f) SELECT concept, {_tally_sql('reason')} AS tally FROM r GROUP BY 1",
     "paired_audit": _AUDIT + " SELECT min_types, gof, log, k, n_fitted_k, round(gof_p_k, 9) AS gof_p_k, reasons_k, outcome_k, n_fitted_variants, round(gof_p_variants, 9) AS gof_p_variants, reasons_variants, outcome_variants, outcome_k IS NOT NULL AND outcome_variants IS NOT NULL AS included FROM a",
     "paired_grid": _AUDIT + ", gr AS (SELECT min_types, gof, k, count(*) AS n_logs, count(outcome_k) AS n_eligible_k, count(outcome_variants) AS n_eligible_variants, " + ", ".join(f"count(*) FILTER (outcome_k = {x} AND outcome_variants = {y}) AS n{x}{y}" for x in (0, 1) for y in (0, 1)) + f", {_tally_sql('primary_k')} AS excluded_k, {_tally_sql('primary_variants')} AS excluded_variants FROM a GROUP BY 1, 2, 3) SELECT *, CASE WHEN n00 + n01 + n10 + n11 = 0 THEN 'unavailable' WHEN n01 + n10 = 0 THEN 'no_discordance' ELSE 'ok' END AS status FROM gr",
