@@ -188,7 +188,7 @@ def test_curve_of_a_saved_fit(spark):
 
 
 def test_attribute_types(spark):
-    rows = [(str(i), "v", a, v) for i in range(40) for a, v in (("flag", str(i % 2)), ("amount", f"{1000 + i * 7919 % 97 * 3}"), ("price", f"{i // 2 * 10 + 3}.5"), ("half", f"{i % 2}.0"), ("order_id", f"X{i}"), ("day", f"2020-01-{i % 28 + 1:02d}"), ("kind", "abc"[i % 3]), ("none", ""), ("same", "x"))]
+    rows = [(str(i), "v", a, v) for i in range(40) for a, v in (("flag", str(i % 2)), ("amount", f"{1000 + i * 7919 % 97 * 3}"), ("price", f"{i // 2 * 10 + 3}.5"), ("half", f"{i % 2}.0"), ("order_id", f"X{i}"), ("day", f"2020-01-{i % 28 + 1:02d}"), ("kind", "abc"[i % 3]), ("none", None), ("same", "x"))]
     df = spark.createDataFrame(rows, "case_id string, variant string, attribute string, value string")
     got = {r.attribute: (r.inferred_type, r.reason_suggested) for r in attributes.recommend(attributes.inventory(df)).collect()}
     assert {k: v[0] for k, v in got.items()} == {"flag": "boolean", "amount": "identifier-like", "price": "continuous", "half": "categorical", "order_id": "identifier-like", "day": "datetime", "kind": "categorical", "none": "unsupported", "same": "categorical"}

@@ -19,14 +19,17 @@ EVENT_AGGREGATE = "__first"
 EXCLUDED_SUFFIXES = ("__constant", "__last", "__mode", "__n_unique")
 
 
-def case_table(traces: DataFrame, variant: Column | None = None) -> DataFrame:
-    """XES traces as long rows ``log, case_id, variant, attribute, level, value``: case attributes, and each event attribute's first value that isn't missing (``__first``)."""
+def case_table(traces: DataFrame, variant: Column | None = None, classifier: Sequence[str] = ()) -> DataFrame:
+    """XES traces as long rows ``log, case_id, variant, attribute, level, value``: case attributes, and each event attribute's first value that isn't missing (``__first``).
+
+    The fields of the activity ``classifier`` are what variants are made of, and no attributes.
+    """
     rows = traces.where(F.size("events") > 0)
     named = F.array_join(F.transform("events", lambda e: F.coalesce(e["attrs"]["concept:name"], F.lit(""))), "|") if variant is None else variant
     base = rows.select("log", "case_id", named.alias("variant"), "case_attrs", "events")
     case = base.select("log", "case_id", "variant", F.explode("case_attrs").alias("attribute", "value")).where(F.col("attribute") != "concept:name").withColumn("level", F.lit("case"))
     event = base.select("log", "case_id", "variant", F.explode("events").alias("e")).select("log", "case_id", "variant", "e.pos", "e.ts", F.explode("e.attrs").alias("attribute", "value"))
-    event = event.where(~F.col("attribute").isin(*NOISE_EVENT_KEYS) & (F.trim("value") != "")).groupBy("log", "case_id", "variant", "attribute").agg(F.min_by("value", F.struct("ts", "pos")).alias("value"))
+    event = event.where(~F.col("attribute").isin(*NOISE_EVENT_KEYS, *classifier) & ~is_missing(F.col("value"))).groupBy("log", "case_id", "variant", "attribute").agg(F.min_by("value", F.struct("ts", "pos")).alias("value"))
     event = event.withColumns({"attribute": F.concat("attribute", F.lit("__first")), "level": F.lit("event")})
     return case.unionByName(event)
 
@@ -34,12 +37,15 @@ def case_table(traces: DataFrame, variant: Column | None = None) -> DataFrame:
 def long_form(cases: DataFrame, key: str, attributes: Sequence[str], variant: str | None = None) -> DataFrame:
     """A wide case table as rows ``case_id, variant, attribute, value`` (text)."""
     ids = [F.col(key).cast("string").alias("case_id"), (F.col(variant) if variant else F.lit(None).cast("string")).alias("variant")]
-    wide = cases.select(*ids, *(F.col(a).cast("string").alias(a) for a in attributes))
+    kinds = dict(cases.dtypes)
+    real = lambda a: F.nanvl(F.col(a), F.lit(None)) if kinds[a] in ("double", "float") else F.col(a)
+    wide = cases.select(*ids, *(real(a).cast("string").alias(a) for a in attributes))
     return wide.unpivot(["case_id", "variant"], list(attributes), "attribute", "value")
 
 
 def is_missing(value: Column) -> Column:
-    return value.isNull() | (F.trim(value) == "") | F.lower(value).isin("nan")
+    """Null. Texts are values, ``nan`` and blanks too; not-a-number becomes null where numbers turn to text."""
+    return value.isNull()
 
 
 def number(value: Column) -> Column:
