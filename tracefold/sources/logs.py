@@ -35,10 +35,14 @@ def read_xes(spark: SparkSession, path: str, log: str) -> DataFrame:
     raw = spark.read.format("xml").option("rowTag", "trace").schema(XES_TRACE).load(path)
     events = F.transform(F.coalesce("event", F.array().cast(XES_TRACE["event"].dataType)), lambda e, i: F.struct(i.cast("long").alias("pos"), _attributes(element=e).alias("attrs")))
     rows = raw.select(F.lit(log).alias("log"), F.monotonically_increasing_id().alias("case_pos"), _attributes().alias("case_attrs"), events.alias("events"))
-    timed = F.transform("events", lambda e: F.struct(F.try_to_timestamp(e["attrs"]["time:timestamp"]).alias("ts"), e["pos"].alias("pos"), e["attrs"].alias("attrs")))
-    in_order = F.array_sort(timed, lambda a, b: F.when(a["ts"] < b["ts"], -1).when(a["ts"] > b["ts"], 1).when(a["ts"].isNull() & b["ts"].isNotNull(), 1).when(a["ts"].isNotNull() & b["ts"].isNull(), -1).when(a["pos"] < b["pos"], -1).otherwise(1))
     named = F.nullif(F.trim(F.col("case_attrs")["concept:name"]), F.lit(""))
-    return rows.withColumn("events", in_order).withColumn("case_id", F.coalesce(named, F.concat(F.lit("case_"), F.col("case_pos").cast("string"))))
+    return rows.withColumn("events", in_time_order(F.col("events"))).withColumn("case_id", F.coalesce(named, F.concat(F.lit("case_"), F.col("case_pos").cast("string"))))
+
+
+def in_time_order(events: Column) -> Column:
+    """Events (``pos, attrs``) with their ``ts``, ordered by it and then by place; without a time they come last."""
+    timed = F.transform(events, lambda e: F.struct(F.try_to_timestamp(e["attrs"]["time:timestamp"]).alias("ts"), e["pos"].alias("pos"), e["attrs"].alias("attrs")))
+    return F.array_sort(timed, lambda a, b: F.when(a["ts"] < b["ts"], -1).when(a["ts"] > b["ts"], 1).when(a["ts"].isNull() & b["ts"].isNotNull(), 1).when(a["ts"].isNotNull() & b["ts"].isNull(), -1).when(a["pos"] < b["pos"], -1).otherwise(1))
 
 
 def classifier_keys(spark: SparkSession, path: str, name: str = "Activity classifier") -> list[str] | None:
