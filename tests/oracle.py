@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 import duckdb
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -21,7 +22,7 @@ def canonical(pdf):
     cols = sorted(pdf.columns)
     out = pdf[cols].copy()
     for c in cols:
-        out[c] = out[c].map(lambda v: "null" if v is None or v != v else f"{v:.9g}" if isinstance(v, float) else str(v))
+        out[c] = out[c].map(lambda v: "null" if v is None or v is pd.NA or v != v else f"{v:.9g}" if isinstance(v, float) else str(v))
     return cols, sorted(map(tuple, out.to_numpy().tolist()))
 
 

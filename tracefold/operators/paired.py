@@ -24,6 +24,9 @@ REASONS = (
 COMPARISON_KS = (1, 2, 3, 4, 20)
 PAPER_KS = tuple(range(1, 21))
 MIN_TYPES_GRID = (15, 30, 50)
+# The xmin settings of the study (None: adaptive), and the kinds of saved results that have no bootstrap.
+XMIN_SETTINGS = (1, 2, None)
+SKIPPED_KINDS = ("skipped_invalid_fit", "skipped")
 GOF_GRID = (0.05, 0.10)
 
 
@@ -75,8 +78,8 @@ def planned(fits: DataFrame, by: list[str], ks: Sequence[int] = PAPER_KS) -> Dat
     return wanted.join(found, [*by, "log", "concept"], "left").withColumn("missing", F.col("_found").isNull()).drop("_found")
 
 
-def endpoints(fits: DataFrame, min_types: Column | int = 50, gof: Column | float = 0.1, fixed_xmin: float | None = None) -> DataFrame:
-    """``reasons, eligible, outcome`` (1: not rejected) of each ``log, concept`` row; optional columns ``disagrees, repeated, missing``."""
+def endpoints(fits: DataFrame, min_types: Column | int = 50, gof: Column | float = 0.1, fixed_xmin: Column | float | None = None) -> DataFrame:
+    """``reasons, eligible, outcome`` (1: not rejected) of each ``log, concept`` row; optional columns ``disagrees, repeated, missing, gof_kind``."""
     has = fits.columns
     no = F.lit(False)
     disagrees = F.coalesce("disagrees", no) if "disagrees" in has else no
@@ -87,13 +90,43 @@ def endpoints(fits: DataFrame, min_types: Column | int = 50, gof: Column | float
     flags = {
         "duplicate_results": repeated, "incompatible_run_configuration": disagrees, "missing_result": missing & ~disagrees & ~repeated,
         "incompatible_xmin_configuration": no if fixed_xmin is None else ~clash & ((F.abs(F.col("xmin") - fixed_xmin) > 1e-6) | (F.coalesce("fit_valid", no) & F.col("xmin").isNull())),
-        "invalid_fit": ~clash & ~F.coalesce("fit_valid", no), "n_fitted_types_missing": ~clash & F.col("n_fitted").isNull(), "below_min_fitted_types": ~clash & (F.col("n_fitted") < min_types),
+        "invalid_fit": ~clash & (~F.coalesce("fit_valid", no) | (F.coalesce(F.col("gof_kind").isin(*SKIPPED_KINDS), no) if "gof_kind" in has else no)), "n_fitted_types_missing": ~clash & F.col("n_fitted").isNull(), "below_min_fitted_types": ~clash & (F.col("n_fitted") < min_types),
         "gof_p_out_of_range": ~clash & ((p < 0) | (p > 1)), "gof_p_unavailable": ~clash & (p.isNull() | F.isnan(p))}
     reasons = F.array_compact(F.array(*(F.when(F.coalesce(flags[r], no), r) for r in REASONS if r in flags)))
     out = fits.withColumn("reasons", reasons).withColumn("eligible", F.size("reasons") == 0)
     return out.withColumn("outcome", F.when(F.col("eligible"), (p >= gof).cast("int")))
 
 
+def settings_audit(results: DataFrame, logs: DataFrame, settings: Sequence[int | None] = XMIN_SETTINGS, ks: Sequence[int] = COMPARISON_KS, min_types: Sequence[int] = MIN_TYPES_GRID, gofs: Sequence[float] = GOF_GRID) -> DataFrame:
+    """The audit over all xmin settings: a row for each setting, grid cell, planned k and log of the study, also where no result is saved.
+
+    ``results``: one row for each ``xmin_setting`` (text, ``None`` for the adaptive one), ``log`` and ``concept``, as ``runs.reconciled`` gives it; the folder of a setting says how it
+    was run, whatever xmin came out of it. ``logs``: the study's logs.
+    """
+    names = F.array(*(F.lit("None" if s is None else str(s)) for s in settings))
+    grid = F.array(*(F.struct(F.lit(m).alias("min_types"), F.lit(g).alias("gof")) for m in min_types for g in gofs))
+    concepts = F.array(*(F.lit(f"n{k}") for k in ks), F.lit("variants"))
+    wanted = logs.select("log").distinct().withColumn("xmin_setting", F.explode(names)).withColumn("concept", F.explode(concepts))
+    rows = wanted.join(results.withColumn("_found", F.lit(True)), ["xmin_setting", "log", "concept"], "left")
+    rows = rows.withColumn("missing", F.col("_found").isNull()).drop("_found").withColumn("s", F.explode(grid)).select("*", "s.*").drop("s")
+    locked = F.col("xmin_setting").try_cast("double")
+    rows = endpoints(rows, F.col("min_types"), F.col("gof"), locked)
+    setting = ["xmin_setting", "min_types", "gof", "log"]
+    clash = F.coalesce("disagrees", F.lit(False)) | F.coalesce("repeated", F.lit(False))
+    shown = {"xmin": "fitted_xmin", "n_fitted": "n_fitted", "gof_p": "gof_p", "fit_valid": "fit_valid", "gof_kind": "gof_kind", "input_path": "input_path"}
+
+    def side(df: DataFrame, suffix: str, *more: str) -> DataFrame:
+        figures = [F.when(~clash, F.col(c)).alias(f"{name}_{suffix}") for c, name in shown.items() if c in df.columns]
+        first = F.when(F.size("reasons") > 0, F.element_at("reasons", 1))
+        return df.select(*setting, *more, *figures, F.col("eligible").alias(f"eligible_{suffix}"), F.col("outcome").alias(f"outcome_{suffix}"), F.array_join("reasons", ";").alias(f"reasons_{suffix}"), first.alias(f"primary_{suffix}"))
+
+    orders = rows.where(F.col("concept") != "variants").withColumn("k", F.substring("concept", 2, 9).cast("int"))
+    both = side(orders, "k", "k").join(side(rows.where(F.col("concept") == "variants"), "variants"), setting)
+    policy = F.when(F.col("xmin_setting") == "None", "adaptive").otherwise("fixed")
+    folder = F.when(F.col("xmin_setting") == "None", "xmin-adaptive").otherwise(F.concat(F.lit("xmin"), F.lpad("xmin_setting", 2, "0")))
+    return both.withColumns({"included": F.col("eligible_k") & F.col("eligible_variants"), "xmin_policy": policy, "source_experiment": folder})
+
+
 def paired_cells(assessed: DataFrame, by: list[str], ks: Sequence[int] = PAPER_KS) -> DataFrame:
     """``by, k, n00, n01, n10, n11``: logs eligible at both ends; the first digit is the outcome at k, the second at variants.
 
@@ -127,18 +160,18 @@ def paired_audit(fits: DataFrame, ks: Sequence[int] = COMPARISON_KS, min_types:
     return both.withColumn("included", F.col("eligible_k") & F.col("eligible_variants"))
 
 
-def paired_grid(audit: DataFrame) -> DataFrame:
-    """The summary of ``paired_audit``: per setting and k the eligible logs, cells, effects, Holm's p within the setting, and tallies of primary reasons."""
-    by = ["min_types", "gof", "k"]
+def paired_grid(audit: DataFrame, axes: Sequence[str] = ()) -> DataFrame:
+    """The summary of an audit: per setting (``axes``, least types, threshold) and k the eligible logs, cells, effects, Holm's p within the setting, and tallies of primary reasons."""
+    by = [*axes, "min_types", "gof", "k"]
     cell = lambda a, b: F.count_if(F.col("included") & (F.col("outcome_k") == a) & (F.col("outcome_variants") == b)).alias(f"n{a}{b}")
     cells = audit.groupBy(*by).agg(
         F.count("*").alias("n_logs"), F.count_if("eligible_k").alias("n_eligible_k"), F.count_if("eligible_variants").alias("n_eligible_variants"),
         cell(0, 0), cell(0, 1), cell(1, 0), cell(1, 1),
         _tallied("primary_k").alias("excluded_k"), _tallied("primary_variants").alias("excluded_variants"))
-    return holm(paired_effects(cells), "p_value", ["min_types", "gof"], "k")
+    return holm(paired_effects(cells), "p_value", [*axes, "min_types", "gof"], "k")
 
 
-# The published table's rows, orders and least number of fitted types.
+# The published table's rows and its least number of fitted types.
 PAPER_ROWS = (
     "paired_N",
     "difference_pp",
@@ -149,7 +182,7 @@ PAPER_ROWS = (
     "mcnemar_p_holm_k_le_10",
     "mcnemar_p_holm_k_le_3",
 )
-PAPER_KS, PAPER_MIN_TYPES = range(1, 21), 30
+PAPER_MIN_TYPES = 30
 
 
 def _tallied(reason: str) -> Column:

@@ -173,6 +173,54 @@ def paired_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("min_types", "gof", "k", "n_logs", "n_eligible_k", "n_eligible_variants", "n00", "n01", "n10", "n11", "excluded_k", "excluded_variants", "status")
 
 
+def derived_results(fits: DataFrame) -> DataFrame:
+    """Saved results of three xmin settings with clashes, repeats, gaps and foreign xmins, arithmetic on the derived fits."""
+    rows = fits.withColumn("x", F.explode(F.array(*(F.struct(F.lit(j).alias("j"), F.lit(s).alias("s")) for j, s in enumerate(("1", "2", "None"))))))
+    o, j = F.col("o"), F.col("x.j")
+    xmin = F.when(j == 2, 1 + o % 5).when(o % 17 == 0, 3).otherwise(j + 1).cast("double")
+    return rows.where((o + j) % 19 != 0).select(
+        F.col("x.s").alias("xmin_setting"), "log", "concept", xmin.alias("xmin"), ((F.col("n_fitted") + 13 * j) % 120).alias("n_fitted"), (((o + 7 * j) % 97) / 97.0).alias("gof_p"), "fit_valid",
+        F.when(o % 31 == 0, "skipped").otherwise("refit_all_parameters").alias("gof_kind"), ((o + j) % 23 == 0).alias("disagrees"), ((o + j) % 29 == 0).alias("repeated"))
+
+
+def _settings_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fits = derived_fits(spark, sf_dir)
+    return paired.settings_audit(derived_results(fits), fits.select("log"))
+
+
+def paired_settings_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every log, order, grid cell and xmin setting with both endpoints' figures and reasons."""
+    out = _settings_audit(spark, sf_dir).withColumns({c: F.round(c, 9) for c in ("gof_p_k", "gof_p_variants")} | {c: F.col(c).cast("int") for c in ("fit_valid_k", "fit_valid_variants")})
+    return out.select("xmin_setting", "xmin_policy", "source_experiment", "min_types", "gof", "k", "log", *(f"{c}_{s}" for s in ("k", "variants") for c in ("fitted_xmin", "n_fitted", "gof_p", "fit_valid", "gof_kind", "reasons", "outcome")), "included")
+
+
+def paired_settings_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary of each xmin setting, grid cell and order; Holm's family is a cell's orders."""
+    out = paired.paired_grid(_settings_audit(spark, sf_dir), ["xmin_setting"])
+    return out.select("xmin_setting", "min_types", "gof", "k", "n_logs", "n_eligible_k", "n_eligible_variants", "n00", "n01", "n10", "n11", F.round("difference", 9).alias("difference"), F.round("p_value", 9).alias("p_value"), F.round("holm_p", 9).alias("holm_p"), "excluded_k", "excluded_variants", "status")
+
+
+_SETTINGS_AUDIT = _FITS + """, rs AS (SELECT CASE j WHEN 0 THEN '1' WHEN 1 THEN '2' ELSE 'None' END AS xmin_setting, log, concept, CASE WHEN j = 2 THEN 1 + o % 5 WHEN o % 17 = 0 THEN 3 ELSE j + 1 END::DOUBLE AS xmin,
+ (n_fitted + 13 * j) % 120 AS n_fitted, ((o + 7 * j) % 97)::DOUBLE / 97 AS gof_p, fit_valid, CASE WHEN o % 31 = 0 THEN 'skipped' ELSE 'refit_all_parameters' END AS gof_kind, (o + j) % 23 = 0 AS disagrees, (o + j) % 29 = 0 AS repeated
+ FROM f, (SELECT unnest([0, 1, 2]) AS j) WHERE (o + j) % 19 <> 0),
+pl AS (SELECT log, concept, xmin_setting, min_types, gof FROM (SELECT DISTINCT log FROM f), (SELECT unnest(['n1', 'n2', 'n3', 'n4', 'n20', 'variants']) AS concept), (SELECT unnest(['1', '2', 'None']) AS xmin_setting), (SELECT unnest([15, 30, 50]) AS min_types), (SELECT unnest([0.05::DOUBLE, 0.10::DOUBLE]) AS gof)),
+q0 AS (SELECT pl.*, rs.* EXCLUDE (log, concept, xmin_setting), rs.log IS NULL AS missing, coalesce(disagrees, false) OR coalesce(repeated, false) AS clash FROM pl LEFT JOIN rs ON rs.log = pl.log AND rs.concept = pl.concept AND rs.xmin_setting = pl.xmin_setting),
+q AS (SELECT *, array_to_string(list_filter([CASE WHEN repeated THEN 'duplicate_results' END, CASE WHEN disagrees THEN 'incompatible_run_configuration' END,
+ CASE WHEN NOT clash AND NOT missing AND xmin_setting <> 'None' AND abs(xmin - TRY_CAST(xmin_setting AS DOUBLE)) > 1e-6 THEN 'incompatible_xmin_configuration' END, CASE WHEN missing THEN 'missing_result' END,
+ CASE WHEN NOT clash AND NOT missing AND (NOT fit_valid OR gof_kind = 'skipped') THEN 'invalid_fit' END, CASE WHEN NOT clash AND NOT missing AND n_fitted < min_types THEN 'below_min_fitted_types' END], lambda x: x IS NOT NULL), ';') AS reasons FROM q0),
+e AS (SELECT *, CASE WHEN reasons = '' THEN CASE WHEN gof_p >= gof THEN 1 ELSE 0 END END AS outcome, nullif(split_part(reasons, ';', 1), '') AS prime FROM q),
+a AS (SELECT x.xmin_setting, CASE WHEN x.xmin_setting = 'None' THEN 'adaptive' ELSE 'fixed' END AS xmin_policy, CASE WHEN x.xmin_setting = 'None' THEN 'xmin-adaptive' ELSE concat('xmin', lpad(x.xmin_setting, 2, '0')) END AS source_experiment, x.min_types, x.gof, CAST(substr(x.concept, 2) AS INTEGER) AS k, x.log,
+""" + ", ".join(f"CASE WHEN NOT {t}.clash THEN {t}.{c} END AS {n}_{s}" for t, s in (("x", "k"), ("v", "variants")) for c, n in (("xmin", "fitted_xmin"), ("n_fitted", "n_fitted"), ("gof_p", "gof_p"), ("fit_valid", "fit_valid"), ("gof_kind", "gof_kind"))) + """,
+ x.reasons AS reasons_k, x.outcome AS outcome_k, x.prime AS primary_k, v.reasons AS reasons_variants, v.outcome AS outcome_variants, v.prime AS primary_variants, x.outcome IS NOT NULL AND v.outcome IS NOT NULL AS included
+ FROM e x JOIN e v ON v.log = x.log AND v.xmin_setting = x.xmin_setting AND v.min_types = x.min_types AND v.gof = x.gof AND v.concept = 'variants' WHERE x.concept <> 'variants')"""
+_SETTINGS_GRID = _SETTINGS_AUDIT + ", gr AS (SELECT xmin_setting, min_types, gof, k, count(*) AS n_logs, count(outcome_k) AS n_eligible_k, count(outcome_variants) AS n_eligible_variants, " + ", ".join(f"count(*) FILTER (outcome_k = {x} AND outcome_variants = {y}) AS n{x}{y}" for x in (0, 1) for y in (0, 1)) + f", {_tally_sql('primary_k')} AS excluded_k, {_tally_sql('primary_variants')} AS excluded_variants FROM a GROUP BY 1, 2, 3, 4)" + """,
+mp AS (SELECT *, n00 + n01 + n10 + n11 AS n, CASE WHEN n00 + n01 + n10 + n11 = 0 THEN NULL WHEN n01 + n10 = 0 THEN 1.0 ELSE least(1.0, 2 * (SELECT sum(CAST(factorial(CAST(n01 + n10 AS INTEGER)) AS DOUBLE) / CAST(factorial(CAST(i AS INTEGER)) AS DOUBLE) / CAST(factorial(CAST(n01 + n10 - i AS INTEGER)) AS DOUBLE)) FROM (SELECT unnest(range(0, least(n01, n10) + 1)) AS i)) / pow(2, n01 + n10)) END AS p FROM gr),
+ho AS (SELECT *, row_number() OVER (PARTITION BY xmin_setting, min_types, gof ORDER BY coalesce(p, 1), k) AS i, count(*) OVER (PARTITION BY xmin_setting, min_types, gof) AS size FROM mp)
+SELECT xmin_setting, min_types, gof, k, n_logs, n_eligible_k, n_eligible_variants, n00, n01, n10, n11, round(CASE WHEN n > 0 THEN (n01 - n10) / n END, 9) AS difference, round(p, 9) AS p_value,
+ round(CASE WHEN p IS NOT NULL THEN least(1.0, max((size - i + 1) * coalesce(p, 1)) OVER (PARTITION BY xmin_setting, min_types, gof ORDER BY i)) END, 9) AS holm_p, excluded_k, excluded_variants,
+ CASE WHEN n = 0 THEN 'unavailable' WHEN n01 + n10 = 0 THEN 'no_discordance' ELSE 'ok' END AS status FROM ho"""
+
+
 def paper_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     fits = derived_fits(spark, sf_dir).withColumn("xmin", F.lit(None).cast("double"))
     effects = paired.paired_effects(paired.paired_cells(paired.endpoints(fits, paired.PAPER_MIN_TYPES), []))
@@ -331,7 +379,7 @@ def powerlaw_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decision.classified(fits.join(gof.drop("model"), by, "left"), powerlaw.comparisons(freqs, fits, by)).select(*by, "n_fitted", "gof_p", "code")
 
 
-QUERIES = {f.__name__: f for f in (outcome_codes, scaling_table, outcome_counts, best_distributions, comparison_counts, paired_cells, paired_effects, paired_audit, paired_grid, paper_table, reason_tally, sensitivity_categories, sensitivity_changes, sensitivity_paired, powerlaw_fits, powerlaw_fixed_xmin, saved_fit_curve, powerlaw_gof, powerlaw_comparisons, powerlaw_outcomes)}
+QUERIES = {f.__name__: f for f in (outcome_codes, scaling_table, outcome_counts, best_distributions, comparison_counts, paired_cells, paired_effects, paired_audit, paired_grid, paired_settings_audit, paired_settings_grid, paper_table, reason_tally, sensitivity_categories, sensitivity_changes, sensitivity_paired, powerlaw_fits, powerlaw_fixed_xmin, saved_fit_curve, powerlaw_gof, powerlaw_comparisons, powerlaw_outcomes)}
 _V = _coded_sql(_SETTINGS) + ", v AS (SELECT k.setting, k.log, k.code, b.code AS base FROM k JOIN (SELECT log, code FROM k WHERE setting = 'baseline' AND concept = 'variants') b ON b.log = k.log WHERE concept = 'variants')"
 SQL = {
     "powerlaw_fixed_xmin": _fixed_fit_sql(),
@@ -345,6 +393,8 @@ SQL = {
     "paired_cells": _CELLS + " SELECT * FROM cells",
     "paired_effects": _EFFECTS,
     "paper_table": _paper_sql(),
+    "paired_settings_audit": _SETTINGS_AUDIT + " SELECT * EXCLUDE (primary_k, primary_variants) REPLACE (round(gof_p_k, 9) AS gof_p_k, round(gof_p_variants, 9) AS gof_p_variants, CAST(fit_valid_k AS INTEGER) AS fit_valid_k, CAST(fit_valid_variants AS INTEGER) AS fit_valid_variants) FROM a",
+    "paired_settings_grid": _SETTINGS_GRID,
     "sensitivity_paired": _sensitivity_paired_sql(),
     "reason_tally": _FITS + f", r AS (SELECT concept, {_REASON} AS reason FROM f) SELECT concept, {_tally_sql('reason')} AS tally FROM r GROUP BY 1",
     "paired_audit": _AUDIT + " SELECT min_types, gof, log, k, n_fitted_k, round(gof_p_k, 9) AS gof_p_k, reasons_k, outcome_k, n_fitted_variants, round(gof_p_variants, 9) AS gof_p_variants, reasons_variants, outcome_variants, outcome_k IS NOT NULL AND outcome_variants IS NOT NULL AS included FROM a",
