@@ -9,10 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracefold.operators import dates
+
 MISSING, NONPOSITIVE = "__MISSING__", "__NONPOSITIVE__"
 RESERVED = frozenset(("case_id", "variant"))
 NOISE_EVENT_KEYS = frozenset(("concept:name", "time:timestamp", "lifecycle:transition"))
-DATE_FORMATS = ("yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "yyyy/MM/dd", "dd.MM.yyyy", "dd.MM.yyyy HH:mm")
 # Names that suggest identifiers, and suffixes of event aggregates that are left out unless asked for.
 ID_NAME = r"(?i)((^|[_:])id($|[_:])|uuid|case|concept:name|\bkey\b)"
 EVENT_AGGREGATE = "__first"
@@ -53,11 +54,6 @@ def number(value: Column) -> Column:
     return F.try_cast(F.replace(F.trim(value), F.lit(","), F.lit("")), "double") if hasattr(F, "try_cast") else F.replace(F.trim(value), F.lit(","), F.lit("")).try_cast("double")
 
 
-def moment(value: Column) -> Column:
-    """A timestamp by one of the listed formats; plain numbers are no dates."""
-    return F.coalesce(*(F.try_to_timestamp(value, F.lit(f)) for f in DATE_FORMATS))
-
-
 def candidates(rows: DataFrame) -> DataFrame:
     """The attributes' names, without the reserved columns, in order."""
     return rows.select("attribute").where(~F.col("attribute").isin(*RESERVED)).distinct().orderBy("attribute")
@@ -108,6 +104,7 @@ def inventory(rows: DataFrame) -> DataFrame:
     value = F.when(~is_missing(F.col("value")), F.col("value"))
     by = ["attribute", *(["level"] if "level" in rows.columns else [])]
     counts = rows.where(~F.col("attribute").isin(*RESERVED)).select(*by, value.alias("value")).groupBy(*by, "value").agg(F.count("*").alias("n"))
+    counts = dates.with_moments(counts, dates.date_layouts(rows.where(~F.col("attribute").isin(*RESERVED)))).withColumnRenamed("moment", "_moment")
     num = number(F.col("value"))
     here = F.col("value").isNotNull()
     truth = F.lower(F.trim("value")).isin("true", "false", "0", "1")
@@ -116,7 +113,7 @@ def inventory(rows: DataFrame) -> DataFrame:
         F.sum("n").alias("n_cases"), weigh(~here).alias("n_missing"), F.count("value").alias("n_distinct"),
         F.max(F.when(here, F.col("n"))).alias("largest"), F.max_by(F.col("value"), F.when(here, F.struct(F.col("n"), F.col("value")))).alias("mode"),
         weigh(here & truth).alias("n_bool"), weigh(here & num.isNotNull()).alias("n_numeric"),
-        weigh(here & num.isNull() & moment(F.col("value")).isNotNull()).alias("n_dates"), whole_valued(num).alias("whole_numbers"),
+        weigh(here & num.isNull() & F.col("_moment").isNotNull()).alias("n_dates"), whole_valued(num).alias("whole_numbers"),
         F.min(num).alias("minimum"), F.max(num).alias("maximum"), (F.sum(num * F.col("n")) / F.sum(F.when(num.isNotNull(), F.col("n")))).alias("average"), F.percentile(num, 0.5, F.col("n")).alias("median"))
     present = F.col("n_cases") - F.col("n_missing")
     share = F.col("n_distinct") / present

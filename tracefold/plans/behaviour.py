@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracefold.functions.storage import stored
 from tracefold.operators import attributes as at
+from tracefold.operators import dates
 from tracefold.operators import saturation as sa
 from tracefold.operators import traces as tr
 from tracefold.operators import transitions as tn
@@ -72,6 +73,11 @@ def overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tn.overview(log_traces(spark, sf_dir, "events_by_day"), [1, 2, 3])
 
 
+def _overview_sql(ks: tuple[int, ...] = (1, 2, 3)) -> str:
+    long = " UNION ALL ".join(f"SELECT {k} AS k, metric, value FROM (UNPIVOT (SELECT COLUMNS(*)::BIGINT FROM ({transition(k)[1]})) ON COLUMNS(*) INTO NAME metric VALUE value)" for k in ks)
+    return "SELECT 'events_by_day' AS log, metric, " + ", ".join(f'max(value) FILTER (k = {k}) AS "{k}"' for k in ks) + f" FROM ({long}) GROUP BY metric"
+
+
 def _orders_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attributes of orders, with the customer's segment-like status as variant."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
@@ -88,6 +94,37 @@ def attribute_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("attribute", "inferred_type", "include_suggested", "binning_suggested", "reason_suggested")
 
 
+#: Ways to write the orders' dates: attribute, Spark's layout, the same in SQL, and what the layout found must be.
+_WRITTEN = (
+    ("iso", "yyyy-MM-dd", "%Y-%m-%d", "yyyy-M-d"),
+    ("dotted", "dd.MM.yyyy", "%d.%m.%Y", "d.M.yyyy"),
+    ("slashed", "MM/dd/yyyy hh:mm a", "%m/%d/%Y %I:%M %p", "M/d/yyyy h:m a"),
+    ("dashed", "d-M-yyyy", "%-d-%-m-%Y", "d-M-yyyy"),
+    ("named", "dd MMM yyyy", "%d %b %Y", "d MMM yyyy"),
+    ("spelled", "MMMM d, yyyy", "%B %-d, %Y", "MMM d, yyyy | MMMM d, yyyy"),  # May is its own short form
+)
+
+
+def date_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders' dates written in six ways, and with offsets: the layout that each attribute turns out to have, and the days that come out of it."""
+    day = F.col("o_orderdate").cast("timestamp")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    texts = [F.struct(F.lit(a).alias("attribute"), F.date_format(day, p).alias("value")) for a, p, _, _ in _WRITTEN]
+    texts.append(F.struct(F.lit("offset").alias("attribute"), F.concat(F.date_format(day, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")).alias("value")))
+    texts.append(F.struct(F.lit("key").alias("attribute"), F.concat(F.col("o_orderkey").cast("string"), F.lit("-1-2")).alias("value")))
+    rows = orders.select(F.explode(F.array(*texts)).alias("t")).select("t.*")
+    layouts = dates.date_layouts(rows)
+    found = spark.createDataFrame([(a, p) for a, _, p, _ in layouts], "attribute string, layout string").groupBy("attribute").agg(F.array_join(F.array_sort(F.collect_set("layout")), " | ").alias("layout"))
+    out = dates.with_moments(rows, layouts).groupBy("attribute").agg(F.count("*").alias("n"), F.count("moment").alias("n_dates"), F.min("moment").cast("string").alias("first"), F.max("moment").cast("string").alias("last"), F.count_distinct("moment").alias("days"))
+    return out.where("n_dates >= 0.8 * n").join(found, "attribute", "left")
+
+
+def _date_layouts_sql() -> str:
+    each = " UNION ALL ".join(f"SELECT '{a}' AS attribute, '{p}' AS layout, strptime(strftime(CAST(o_orderdate AS TIMESTAMP), '{f}'), '{f}') AS t FROM orders" for a, _, f, p in _WRITTEN)
+    zoned = """SELECT 'offset' AS attribute, 'yyyy-M-d''T''H:m:sxxx' AS layout, CAST(o_orderdate AS TIMESTAMP) - INTERVAL 2 HOUR AS t FROM orders"""
+    return f"SELECT attribute, count(*) AS n, count(t) AS n_dates, strftime(min(t), '%Y-%m-%d %H:%M:%S') AS first, strftime(max(t), '%Y-%m-%d %H:%M:%S') AS last, count(DISTINCT t) AS days, layout FROM ({each} UNION ALL {zoned}) GROUP BY attribute, layout"
+
+
 def _props_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The case table of a user's days: first values of whatever the events' ``props`` hold, and of their ``value``; the day's event types are its variant."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
@@ -201,7 +238,7 @@ def relabelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def build() -> tuple[dict, dict]:
-    q = {"saturation": saturation, "saturation_cross_log": cross_log, "saturation_violations": violations, "saturation_extracted": extracted, "transition_overview": overview, "attribute_inventory": attribute_inventory, "attribute_types": attribute_types, "props_inventory": props_inventory, "props_association": props_association, "attribute_association": attribute_association, "attribute_permutation": attribute_permutation, "boundary_collisions": collisions, "relabelled_cases": relabelled}
+    q = {"saturation": saturation, "saturation_cross_log": cross_log, "saturation_violations": violations, "saturation_extracted": extracted, "transition_overview": overview, "attribute_inventory": attribute_inventory, "attribute_types": attribute_types, "date_layouts": date_layouts, "props_inventory": props_inventory, "props_association": props_association, "attribute_association": attribute_association, "attribute_permutation": attribute_permutation, "boundary_collisions": collisions, "relabelled_cases": relabelled}
     s = {
         "saturation": _DIAGNOSED + " SELECT *, round(complete_cases / n_cases, 9) AS complete_case_share, round(complete_variants / n_variants, 9) AS complete_variant_share, round(complete_cases / n_occurrences, 9) AS complete_occurrence_share, n_occurrences - n_cases AS excess, round((n_occurrences - n_cases) / n_cases, 9) AS excess_per_case FROM d",
         "saturation_cross_log": _DIAGNOSED + ", s AS (SELECT k, complete_cases / n_cases AS h, CAST(printf('%.1f', 100 * complete_cases / n_cases) AS DOUBLE) AS p FROM d) SELECT k, count(*) AS logs, round(median(h), 9) AS median_share, " + ", ".join(f"count(*) FILTER (p >= {t}) AS logs_{t}" for t in sa.THRESHOLDS) + " FROM s GROUP BY k",
@@ -211,6 +248,8 @@ def build() -> tuple[dict, dict]:
 c AS (SELECT attribute, v, count(*) AS n, TRY_CAST(v AS DOUBLE) AS x FROM r GROUP BY 1, 2) SELECT attribute, CAST(sum(n) AS BIGINT) AS n_cases, CAST(0 AS BIGINT) AS n_missing, count(*) AS n_distinct, CAST(coalesce(sum(n) FILTER (x IS NOT NULL), 0) AS BIGINT) AS n_numeric, round(min(x), 6) AS minimum, round(max(x), 6) AS maximum,
  round((SELECT median(TRY_CAST(v AS DOUBLE)) FROM r WHERE r.attribute = c.attribute), 6) AS median, round(max(n) / sum(n), 9) AS largest_share FROM c GROUP BY attribute""",
         "attribute_types": _typed_sql(_ORDER_ROWS) + " SELECT attribute, inferred_type, include_suggested, binning_suggested, reason_suggested FROM typed",
+        "date_layouts": _date_layouts_sql(),
+        "transition_overview": _overview_sql(),
         "props_inventory": _typed_sql(_PROPS_ROWS, True) + " SELECT attribute, level, n_cases, n_missing, n_distinct, n_numeric, round(minimum, 6) AS minimum, round(maximum, 6) AS maximum, round(average, 6) AS average, round(median, 6) AS median, round(largest_share, 9) AS largest_share, inferred_type, include_suggested, binning_suggested, reason_suggested FROM typed",
         "props_association": _typed_sql(_PROPS_ROWS, True) + _PROPS_BINS,
         "attribute_association": _ASSOCIATION,

@@ -28,7 +28,7 @@ def read_shards(spark: SparkSession, path: str, glob: str = "*.csv") -> DataFram
     groups = headers.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).collect()  # a row a distinct header
     parts = []
     for g in sorted(groups, key=lambda g: g["header"]):
-        rows = spark.read.option("header", True).option("inferSchema", False).csv(g["files"])
+        rows = spark.read.option("header", True).option("inferSchema", False).option("escape", "\"").csv(g["files"])
         parts.append(rows.select("*", F.col("_metadata.file_path").alias(FILE)))
     if not parts:
         return spark.createDataFrame([], f"{FILE} string")
