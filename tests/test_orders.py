@@ -7,7 +7,9 @@ from collections import defaultdict
 
 import pytest
 
+from tracefold.functions import sql
 from tracefold.operators import orders
+from tracefold.operators import traces as tr
 
 
 def traces(spark, logs):
@@ -64,3 +66,26 @@ def test_all_orders_are_the_orders(spark, parts):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert orders.all_orders(traces(spark, logs).limit(0), 6).count() == 0
+
+
+def test_totals_of_grouping_sets(spark):
+    """A type of two logs counts once where logs are taken together."""
+    logs = {"x": [["a", "b"]] * 3 + [["a"]], "y": [["a", "b"], ["c"]]}
+    got = {(r.log, r.n): (r.level, r.types, r.occurrences, r.median_freq) for r in orders.totals(traces(spark, logs), 2).collect()}
+    assert got["x", 1] == ("log_order", 2, 7, 3.5) and got["y", 1] == ("log_order", 3, 3, 1.0) and got[None, 1] == ("order", 3, 10, 1.0)
+    assert got["x", None][:3] == ("log", 6, 18) and got[None, None][0] == "all" and got[None, None][2] == got["x", None][2] + got["y", None][2]
+    assert got[None, None][1] == got[None, 1][1] + got[None, 2][1] == 3 + 6 and len(got) == 9
+
+
+def test_sql_functions_are_their_twins(spark):
+    """Lateral table functions give what the DataFrame operators give, with no Python in the plan."""
+    df = traces(spark, {"x": [["a", "b", "c", "a"], ["a"], []], "y": [["b", "c"]]})
+    sql.register(spark)
+    for n in (1, 2, 3, 4, 20):
+        asked = spark.sql("SELECT log, case_id, pos, node, is_complete FROM {t}, LATERAL trace_ngrams(seq, " + str(n) + ")", t=df)
+        twin = tr.occurrences(df, f"n{n}").select("log", "case_id", "pos", "node", "is_complete")
+        assert sorted(map(str, map(tuple, asked.collect()))) == sorted(map(str, map(tuple, twin.collect())))
+        assert "Python" not in asked._jdf.queryExecution().executedPlan().toString()
+    pairs = spark.sql("SELECT log, src, dst FROM {t}, LATERAL trace_links(seq)", t=df).collect()
+    assert sorted(map(tuple, pairs)) == [("x", "a", "b"), ("x", "b", "c"), ("x", "c", "a"), ("y", "b", "c")]
+    assert spark.sql("SELECT * FROM {t}, LATERAL trace_attachments(seq, completion, 2)", t=df).count() == 0

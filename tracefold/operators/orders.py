@@ -107,3 +107,19 @@ def order_profile(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("log", "n").agg(
         F.count("*").alias("types"), F.sum("freq").alias("occurrences"), F.count_if(F.col("freq") == 1).alias("singletons"), F.count_if("is_complete").alias("complete_types"),
         F.count_if(open_ & (F.col("children") > 1)).alias("branching_types"), F.count_if(open_ & (F.col("children") == 1)).alias("single_types"), F.count_if(open_ & (F.col("children") == 0)).alias("exhausted_types"))
+
+
+def order_totals(nodes: DataFrame) -> DataFrame:
+    """``log, n, level, types, occurrences, median_freq``: totals by log and order, by log, by order over all logs, and of all, in one pass of grouping sets.
+
+    ``level``: ``log_order``, ``log``, ``order`` or ``all``; a type of several logs counts once where logs are taken together. The median is that of the frequencies
+    of the types of one log and order.
+    """
+    sets = nodes.groupingSets([["log", "n"], ["log"], ["n"], []], "log", "n")
+    level = F.when(F.grouping_id() == 0, "log_order").when(F.grouping_id() == 1, "log").when(F.grouping_id() == 2, "order").otherwise("all")
+    return sets.agg(level.alias("level"), F.count_distinct("order_node").alias("types"), F.sum("freq").alias("occurrences"), F.median("freq").alias("median_freq"))
+
+
+def totals(traces: DataFrame, most: int = ORDERS[-1]) -> DataFrame:
+    nodes = all_orders(traces, most)
+    return order_totals(nodes.withColumn("order_node", F.struct("n", "node")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracefold.functions import sql
 from tracefold.operators import orders
 from tracefold.operators.traces import ORDERS
 from tracefold.plans.core import _BASE, LOGS, _nodes_sql, log_traces
@@ -28,14 +29,36 @@ def order_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.order_profile(orders.all_orders(_all_traces(spark, sf_dir))).where(F.col("n").between(2, ORDERS[-1] - 1)).withColumn("n", F.col("n").cast("int"))
 
 
-_TRACES = "t AS (" + " UNION ALL ".join(f"SELECT '{k}' AS log, seq FROM ({_BASE[k]})" for k in LOGS) + ")"
+def order_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types, occurrences and median frequencies by log and order, by log, by order, and of all."""
+    return orders.totals(_all_traces(spark, sf_dir)).withColumn("n", F.col("n").cast("int"))
+
+
+def sql_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triples of all logs and what follows directly, asked for in SQL text by lateral table functions."""
+    sql.register(spark)
+    return spark.sql(
+        """SELECT log, 'n3' AS kind, array_join(node, '|') AS node, count(*) AS freq FROM {t}, LATERAL trace_ngrams(seq, 3) GROUP BY ALL
+        UNION ALL SELECT log, 'dfrs', concat(src, '|', dst), count(*) FROM {t}, LATERAL trace_links(seq) GROUP BY ALL
+        UNION ALL SELECT log, 'attached', CAST(count(DISTINCT node) AS STRING), count(*) FROM {t}, LATERAL trace_attachments(seq, CAST(completion AS TIMESTAMP), 20) GROUP BY log""",
+        t=_all_traces(spark, sf_dir),
+    )
+
+
+_TRACES = "t AS (" + " UNION ALL ".join(f"SELECT '{k}' AS log, CAST(completion AS TIMESTAMP) AS completion, seq FROM ({_BASE[k]})" for k in LOGS) + ")"
 _EACH = " UNION ALL ".join(f"SELECT log, {n} AS n, array_to_string(node, '|') AS node FROM (SELECT log, unnest({_nodes_sql(f'n{n}')}) AS node FROM t WHERE len(seq) > 0)" for n in ORDERS)
 _PLACED = f"""w AS (SELECT log, list_concat(['START'], seq, ['END']) AS s FROM t WHERE len(seq) > 0),
 g AS (SELECT log, n, CASE WHEN len(s) <= n THEN s ELSE s[i:i + n - 1] END AS node, len(s) <= n AS whole, CASE WHEN len(s) > n AND i + n <= len(s) THEN s[i + n] END AS next
  FROM w, (SELECT unnest(range(2, {ORDERS[-1]})) AS n), LATERAL (SELECT unnest(range(1, greatest(len(s) - n + 1, 1) + 1)) AS i)),
 k AS (SELECT log, n, array_to_string(node, '|') AS node, bool_or(whole) AS whole, count(*) AS freq, count(DISTINCT next) AS children FROM g GROUP BY ALL)"""
-QUERIES = {f.__name__: f for f in (frequency_all_orders, order_profile)}
+QUERIES = {f.__name__: f for f in (frequency_all_orders, order_profile, order_totals, sql_ngrams)}
 SQL = {
+    "order_totals": f"""WITH {_TRACES}, f AS (SELECT log, n, node, count(*) AS freq FROM ({_EACH}) GROUP BY ALL)
+SELECT log, n, CASE WHEN log IS NOT NULL AND n IS NOT NULL THEN 'log_order' WHEN log IS NOT NULL THEN 'log' WHEN n IS NOT NULL THEN 'order' ELSE 'all' END AS level, count(DISTINCT concat(n, ':', node)) AS types, CAST(sum(freq) AS BIGINT) AS occurrences, median(freq) AS median_freq
+FROM (SELECT *, log AS l, n AS o FROM f) GROUP BY GROUPING SETS ((log, n), (log), (n), ())""",
+    "sql_ngrams": f"""WITH {_TRACES} SELECT log, 'n3' AS kind, node, count(*) AS freq FROM (SELECT log, array_to_string(unnest({_nodes_sql("n3")}), '|') AS node FROM t WHERE len(seq) > 0) GROUP BY ALL
+ UNION ALL SELECT log, 'dfrs', node, count(*) FROM (SELECT log, array_to_string(unnest({_nodes_sql("dfrs")}), '|') AS node FROM t WHERE len(seq) > 1) GROUP BY ALL
+ UNION ALL SELECT log, 'attached', CAST(count(DISTINCT node) AS VARCHAR), count(*) FROM (SELECT log, unnest({_nodes_sql("n20")}) AS node FROM t WHERE len(seq) > 0 AND completion IS NOT NULL) GROUP BY log""",
     "frequency_all_orders": f"WITH {_TRACES} SELECT log, n, node, count(*) AS freq FROM ({_EACH}) GROUP BY ALL",
     "order_profile": f"""WITH {_TRACES}, {_PLACED} SELECT log, CAST(n AS INTEGER) AS n, count(*) AS types, CAST(sum(freq) AS BIGINT) AS occurrences, count(*) FILTER (freq = 1) AS singletons, count(*) FILTER (whole) AS complete_types,
  count(*) FILTER (NOT whole AND children > 1) AS branching_types, count(*) FILTER (NOT whole AND children = 1) AS single_types, count(*) FILTER (NOT whole AND children = 0) AS exhausted_types FROM k GROUP BY log, n""",
