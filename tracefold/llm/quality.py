@@ -155,11 +155,23 @@ def train(docs: DataFrame, labels: DataFrame, key_col: str = "doc_id", text_col:
     graded = labels.select(F.col("doc_id").alias("key"), grade.alias("grade")).where(F.col("grade").isNotNull() & F.col("key").isNotNull()).groupBy("key").agg(F.min("grade").alias("grade"))
     chosen = graded.orderBy(F.xxhash64("key"), "key").limit(max_labelled)
     rows = docs.select(F.col(key_col).alias("key"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "key").select("grade", "text")
-    # a document's features are a fraction of its text; at most max_labelled keys, ordered so that reruns fit alike
-    got = rows.mapInArrow(_extract(), "grade int, ids binary").orderBy(F.xxhash64("ids", "grade")).limit(max_labelled).toPandas()
-    ids = [np.frombuffer(x, dtype=np.int32) for x in got["ids"]]
-    bounds = np.cumsum([0, *map(len, ids)])
-    return fit(np.concatenate(ids) if ids else np.empty(0, np.int32), bounds, got["grade"].to_numpy(dtype=np.int64))
+    # a document's features are a fraction of its text; at most max_labelled rows, ordered so that reruns fit alike, are fitted in one task
+    sample = rows.mapInArrow(_extract(), "grade int, ids binary").orderBy(F.xxhash64("ids", "grade")).limit(max_labelled)
+    fitted = sample.mapInArrow(_fitted, "weights binary, thresholds binary").collect()
+    if not fitted:
+        return fit(np.empty(0, np.int32), np.zeros(1, np.int64), np.empty(0, np.int64))
+    return Model(*(np.frombuffer(x, dtype=np.float64) for x in fitted[0]))
+
+
+def _fitted(batches):
+    """The model of all rows of the task, as bytes."""
+    grades, ids = [np.empty(0, np.int64)], []
+    for batch in batches:
+        names = batch.schema.get_field_index
+        grades.append(batch.column(names("grade")).to_numpy(zero_copy_only=False).astype(np.int64))
+        ids += [np.frombuffer(x, dtype=np.int32) for x in batch.column(names("ids")).to_pylist()]
+    model = fit(np.concatenate(ids) if ids else np.empty(0, np.int32), np.cumsum([0, *map(len, ids)]), np.concatenate(grades))
+    yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float64).tobytes()], pa.binary()) for x in (model.weights, model.thresholds)], names=["weights", "thresholds"])
 
 
 def classify(docs: DataFrame, labels: DataFrame, key_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, max_labelled: int = MAX_LABELLED) -> DataFrame:
@@ -177,11 +189,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, key_col: str = "doc_id", text_
 
     def run(batches):
         for batch in batches:
-            at = batch.schema.get_field_index(text_col)
             kept = [np.empty(0, bool)]
             for _, raw, offs in B.chunks([batch], text_col):
                 kept.append(Model(*shown.value).tails(*features(raw, offs))[:, -1] >= 0.5)
-            assert at >= 0
             yield batch.filter(pa.array(np.concatenate(kept)))
 
     return docs.mapInArrow(run, docs.schema)
