@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracefold.functions import sql
-from tracefold.operators import orders
+from tracefold.functions.storage import stored
+from tracefold.operators import orders, sketches
 from tracefold.operators.traces import ORDERS
 from tracefold.plans.core import _BASE, LOGS, _nodes_sql, log_traces
 
@@ -45,17 +46,51 @@ def sql_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Ranges of days that sketches are merged over.
+_RANGES = (("all", None, None), ("until_1997", None, "1997-12-31"), ("from_2024", "2024-01-05", None))
+
+
+def sketch_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate statistics of ranges of days beside the exact ones, and whether each is within its stated error."""
+    rows = _all_traces(spark, sf_dir)
+    kept = stored(sketches.daily(rows), "sketches")
+    done = stored(rows.where((F.size("seq") > 0) & F.col("completion").isNotNull()).select("log", F.to_date("completion").alias("day"), "seq", F.size("seq").cast("long").alias("length")), "completed")
+    out = None
+    for name, first, last in _RANGES:
+        inside = done.where((F.lit(first is None) | (F.col("day") >= F.lit(first or "1970-01-01").cast("date"))) & (F.lit(last is None) | (F.col("day") <= F.lit(last or "1970-01-01").cast("date"))))
+        guess = sketches.over_days(kept, first, last)
+        labels = inside.select("log", F.explode("seq").alias("a")).groupBy("log", "a").agg(F.count("*").alias("n")).groupBy("log").agg(F.count("*").alias("activities"), F.max("n").alias("top"))
+        exact = inside.groupBy("log").agg(F.count("*").alias("cases"), F.sum("length").alias("events"), F.count_distinct("seq").alias("variants")).join(labels, "log")
+        ranks = inside.join(guess.select("log", F.col("length_quantiles")[1].alias("q")), "log").groupBy("log").agg(F.avg((F.col("length") < F.col("q")).cast("double")).alias("under"), F.avg((F.col("length") <= F.col("q")).cast("double")).alias("upto"))
+        part = exact.join(guess, "log").join(ranks, "log").select(
+            F.lit(name).alias("range"), "log", F.col("cases").alias("n_cases"), F.col("events").alias("n_events"), F.col("variants").alias("exact_variants"), F.col("activities").alias("exact_activities"), F.col("top").alias("exact_top"),
+            ((F.col("n_cases") == F.col("cases")) & (F.col("n_events") == F.col("events"))).alias("sums_same"), sketches.near(F.col("n_variants"), F.col("variants")).alias("variants_near"),
+            sketches.near(F.col("n_activities"), F.col("activities")).alias("activities_near"), ((F.col("under") <= 0.5 + sketches.RANK_ERROR) & (F.col("upto") >= 0.5 - sketches.RANK_ERROR)).alias("median_near"),
+            sketches.near(F.col("top_activities")[0]["count"], F.col("top")).alias("top_near"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _ranges_sql() -> str:
+    within = lambda first, last: " AND ".join(["completion IS NOT NULL", "len(seq) > 0", *([f"CAST(completion AS DATE) >= DATE '{first}'"] if first else []), *([f"CAST(completion AS DATE) <= DATE '{last}'"] if last else [])])
+    parts = " UNION ALL ".join(f"SELECT '{n}' AS range, log, seq FROM t WHERE {within(a, b)}" for n, a, b in _RANGES)
+    return f"""WITH {_TRACES}, r AS ({parts}), l AS (SELECT range, log, count(*) AS activities, max(n) AS top FROM (SELECT range, log, a, count(*) AS n FROM (SELECT range, log, unnest(seq) AS a FROM r) GROUP BY ALL) GROUP BY ALL)
+SELECT range, log, count(*) AS n_cases, CAST(sum(len(seq)) AS BIGINT) AS n_events, count(DISTINCT seq) AS exact_variants, any_value(activities) AS exact_activities, any_value(top) AS exact_top, true AS sums_same, true AS variants_near, true AS activities_near, true AS median_near, true AS top_near
+FROM r JOIN l USING (range, log) GROUP BY range, log"""
+
+
 _TRACES = "t AS (" + " UNION ALL ".join(f"SELECT '{k}' AS log, CAST(completion AS TIMESTAMP) AS completion, seq FROM ({_BASE[k]})" for k in LOGS) + ")"
 _EACH = " UNION ALL ".join(f"SELECT log, {n} AS n, array_to_string(node, '|') AS node FROM (SELECT log, unnest({_nodes_sql(f'n{n}')}) AS node FROM t WHERE len(seq) > 0)" for n in ORDERS)
 _PLACED = f"""w AS (SELECT log, list_concat(['START'], seq, ['END']) AS s FROM t WHERE len(seq) > 0),
 g AS (SELECT log, n, CASE WHEN len(s) <= n THEN s ELSE s[i:i + n - 1] END AS node, len(s) <= n AS whole, CASE WHEN len(s) > n AND i + n <= len(s) THEN s[i + n] END AS next
  FROM w, (SELECT unnest(range(2, {ORDERS[-1]})) AS n), LATERAL (SELECT unnest(range(1, greatest(len(s) - n + 1, 1) + 1)) AS i)),
 k AS (SELECT log, n, array_to_string(node, '|') AS node, bool_or(whole) AS whole, count(*) AS freq, count(DISTINCT next) AS children FROM g GROUP BY ALL)"""
-QUERIES = {f.__name__: f for f in (frequency_all_orders, order_profile, order_totals, sql_ngrams)}
+QUERIES = {f.__name__: f for f in (frequency_all_orders, order_profile, order_totals, sql_ngrams, sketch_ranges)}
 SQL = {
     "order_totals": f"""WITH {_TRACES}, f AS (SELECT log, n, node, count(*) AS freq FROM ({_EACH}) GROUP BY ALL)
 SELECT log, n, CASE WHEN log IS NOT NULL AND n IS NOT NULL THEN 'log_order' WHEN log IS NOT NULL THEN 'log' WHEN n IS NOT NULL THEN 'order' ELSE 'all' END AS level, count(DISTINCT concat(n, ':', node)) AS types, CAST(sum(freq) AS BIGINT) AS occurrences, median(freq) AS median_freq
 FROM (SELECT *, log AS l, n AS o FROM f) GROUP BY GROUPING SETS ((log, n), (log), (n), ())""",
+    "sketch_ranges": _ranges_sql(),
     "sql_ngrams": f"""WITH {_TRACES} SELECT log, 'n3' AS kind, node, count(*) AS freq FROM (SELECT log, array_to_string(unnest({_nodes_sql("n3")}), '|') AS node FROM t WHERE len(seq) > 0) GROUP BY ALL
  UNION ALL SELECT log, 'dfrs', node, count(*) FROM (SELECT log, array_to_string(unnest({_nodes_sql("dfrs")}), '|') AS node FROM t WHERE len(seq) > 1) GROUP BY ALL
  UNION ALL SELECT log, 'attached', CAST(count(DISTINCT node) AS VARCHAR), count(*) FROM (SELECT log, unnest({_nodes_sql("n20")}) AS node FROM t WHERE len(seq) > 0 AND completion IS NOT NULL) GROUP BY log""",
