@@ -49,7 +49,7 @@ NEAREST = 2
 #: Rows of a block of a tile, and pairs that are looked at together.
 TILE_ROWS, TOGETHER = 512, 1 << 20
 #: Rows of a list of common shingles, and pairs of one set, that one task takes at most, about.
-SPREAD = 4_096
+SPREAD = 512
 #: Longs of the broadcast bitmap of wanted sets, at least and at most.
 WANTED_LONGS = (1 << 10, 1 << 20)
 #: Bits of a shingle's place in the order: commonness, then the frequency of its words.
