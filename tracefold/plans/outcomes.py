@@ -114,8 +114,8 @@ w AS (SELECT *, ((p1 + z * z / (2 * n)) - z * sqrt(p1 * (1 - p1) / n + z * z / (
  ((p2 + z * z / (2 * n)) - z * sqrt(p2 * (1 - p2) / n + z * z / (4.0 * n * n))) / (1 + z * z / n) AS l2, ((p2 + z * z / (2 * n)) + z * sqrt(p2 * (1 - p2) / n + z * z / (4.0 * n * n))) / (1 + z * z / n) AS u2,
  CASE WHEN m = 0 THEN 0 ELSE (CASE WHEN x > 0 THEN greatest(x - n / 2, 0) ELSE x END) / sqrt(greatest(m, 1e-300)) END AS phi FROM w0),
 mc AS (SELECT setting, k, n, n01 + n10 AS d, CASE WHEN n = 0 THEN NULL WHEN n01 + n10 = 0 THEN 1.0 ELSE least(1.0, 2 * (SELECT sum(CAST(factorial(CAST(n01 + n10 AS INTEGER)) AS DOUBLE) / CAST(factorial(CAST(i AS INTEGER)) AS DOUBLE) / CAST(factorial(CAST(n01 + n10 - i AS INTEGER)) AS DOUBLE)) FROM (SELECT unnest(range(0, least(n01, n10) + 1)) AS i)) / pow(2, n01 + n10)) END AS p FROM n),
-fx AS (SELECT mc.setting, mc.k, mc.n, mc.p, p1 - p2 AS difference, greatest(-1, p1 - p2 - sqrt(greatest(0, pow(p1 - l1, 2) - 2 * phi * (p1 - l1) * (u2 - p2) + pow(u2 - p2, 2)))) AS lower,
- least(1, p1 - p2 + sqrt(greatest(0, pow(u1 - p1, 2) - 2 * phi * (u1 - p1) * (p2 - l2) + pow(p2 - l2, 2)))) AS upper FROM mc LEFT JOIN w ON w.setting = mc.setting AND w.k = mc.k)"""
+fx AS (SELECT mc.setting, mc.k, mc.n, mc.p, p1 - p2 AS difference, CASE WHEN mc.n > 0 THEN greatest(-1, p1 - p2 - sqrt(greatest(0, pow(p1 - l1, 2) - 2 * phi * (p1 - l1) * (u2 - p2) + pow(u2 - p2, 2)))) END AS lower,
+ CASE WHEN mc.n > 0 THEN least(1, p1 - p2 + sqrt(greatest(0, pow(u1 - p1, 2) - 2 * phi * (u1 - p1) * (p2 - l2) + pow(p2 - l2, 2)))) END AS upper FROM mc LEFT JOIN w ON w.setting = mc.setting AND w.k = mc.k)"""
 
 
 def _holm_sql(name: str, most: int) -> str:
