@@ -302,7 +302,7 @@ def test_records_of_a_run(spark):
 
 
 def test_inventory_rows(spark):
-    rows = spark.createDataFrame([(f"{i:02d}", "v", "kind", "case" if i else "event", "cabd"[i % 4]) for i in range(9)] + [("00", "v", "cost", "event", "")], "case_id string, variant string, attribute string, level string, value string")
+    rows = spark.createDataFrame([(f"{i:02d}", "v", "kind", "case" if i else "event", "cabd"[i % 4]) for i in range(9)] + [("00", "v", "cost", "event", None)], "case_id string, variant string, attribute string, level string, value string")
     flat = {r.attribute: r for r in attributes.flat_inventory(attributes.inventory(rows.drop("level")), attributes.examples(rows)).collect()}
     assert flat["kind"].example_values == "c|a|b|d" and flat["cost"].example_values is None
     keys = spark.createDataFrame([("org:role",)], "attribute string")
