@@ -89,3 +89,20 @@ def test_sql_functions_are_their_twins(spark):
     pairs = spark.sql("SELECT log, src, dst FROM {t}, LATERAL trace_links(seq)", t=df).collect()
     assert sorted(map(tuple, pairs)) == [("x", "a", "b"), ("x", "b", "c"), ("x", "c", "a"), ("y", "b", "c")]
     assert spark.sql("SELECT * FROM {t}, LATERAL trace_attachments(seq, completion, 2)", t=df).count() == 0
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_all_orders_build_traces_once(spark):
+    """Suffixes and short traces come from one table of different traces; events are put in order without a comparator called row by row."""
+    events = spark.createDataFrame([("l", str(i % 9), i, "ab"[i % 2], None) for i in range(50)], "log string, case_id string, o long, activity string, ts timestamp")
+    rows = tr.traces(events)
+    assert "lambda" not in plan(rows)
+    assert {r.case_id: r.seq for r in rows.collect()} == {str(c): ["ab"[i % 2] for i in range(c, 50, 9)] for c in range(9)}
+    assert "collect_list" not in plan(orders.all_orders(rows, 4))
+    one = tr.counted(rows).collect()
+    assert sorted((tuple(r.seq), r.w) for r in one) == sorted({s: [tuple(x.seq) for x in rows.collect()].count(s) for s in {tuple(x.seq) for x in rows.collect()}}.items())
+    for c in ("variants", "activities", "n3"):
+        assert sorted(map(str, tr.counted_frequencies(tr.counted(rows), c).collect())) == sorted(map(str, tr.frequencies(rows, c).collect()))

@@ -13,16 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracefold.functions.storage import stored
-from tracefold.operators.traces import ORDERS, padded
+from tracefold.operators.traces import ORDERS, counted, padded
 
 BATCH = 8192
 RUN = "log string, n int, node array<string>, freq long, real long, children long, open boolean"
 
 
-def suffixes(traces: DataFrame, most: int) -> DataFrame:
-    """``log, gram, w, real``: up to ``most`` tokens from each place of the distinct padded traces, with the traces' number; real: the place holds an activity."""
-    distinct = traces.where(F.size("seq") > 0).groupBy("log", "seq").agg(F.count("*").alias("w"))
-    rows = distinct.select("log", "w", padded(F.col("seq"), 2).alias("whole"))
+def suffixes(variants: DataFrame, most: int) -> DataFrame:
+    """``log, gram, w, real``: up to ``most`` tokens from each place of the padded ``counted`` traces, with the traces' number; real: the place holds an activity."""
+    rows = variants.select("log", "w", padded(F.col("seq"), 2).alias("whole"))
     places = F.explode(F.sequence(F.lit(1), F.size("whole") - 1)).alias("at")  # the end alone is no n-gram
     rows = rows.select("log", "w", "whole", places)
     return rows.select("log", F.slice("whole", F.col("at"), most).alias("gram"), "w", (F.col("at") > 1).alias("real"))
@@ -79,7 +78,8 @@ def all_orders(traces: DataFrame, most: int = ORDERS[-1]) -> DataFrame:
     As for single orders: activities stand alone, longer n-grams are padded, and a padded trace no longer than n is one node, complete. ``children`` of the
     greatest order and of complete nodes are 0; those of activities count what follows them.
     """
-    deep = suffixes(traces, most + 1)
+    variants = stored(counted(traces), "variants")
+    deep = suffixes(variants, most + 1)
     runs = stored(deep.repartitionByRange("log", "gram").sortWithinPartitions("log", "gram").mapInArrow(_runs(most), RUN), "runs")
     loose = runs.where("open").groupBy("log", "n", "node").agg(*(F.sum(c).alias(c) for c in ("freq", "real", "children")))
     # children that lie open themselves are counted once each
@@ -90,8 +90,7 @@ def all_orders(traces: DataFrame, most: int = ORDERS[-1]) -> DataFrame:
     nodes = nodes.withColumn("freq", F.when(F.col("n") == 1, F.col("real")).otherwise(F.col("freq"))).where((F.col("n") <= most) & (F.col("freq") > 0))
     whole = padded(F.col("seq"), 2)
     size = F.size("seq") + 2
-    short = traces.where((F.size("seq") > 0) & (size <= most)).groupBy("log", "seq").agg(F.count("*").alias("freq"))
-    short = short.select("log", F.col("freq"), whole.alias("node"), F.explode(F.sequence(size, F.lit(most))).alias("n"))
+    short = variants.where(size <= most).select("log", F.col("w").alias("freq"), whole.alias("node"), F.explode(F.sequence(size, F.lit(most))).alias("n"))
     ended = short.where(F.col("n") == F.size("node")).select("log", "n", "node", F.lit(True).alias("_complete"))
     nodes = nodes.join(ended, ["log", "n", "node"], "left")
     complete = F.coalesce("_complete", F.lit(False))

@@ -13,7 +13,7 @@ ORDERS = range(1, 21)
 
 def traces(events: DataFrame, order: str = "o") -> DataFrame:
     """``log, case_id, completion, seq``: a case's activities in order. A trace is as long as its case, no longer group is gathered."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("activity"), F.col("ts"))))
+    ordered = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("activity"), F.col("ts"))))  # no element is null; array_sort would call its comparator row by row
     rows = events.groupBy("log", "case_id").agg(ordered.alias("e"))
     return rows.select("log", "case_id", F.element_at("e.ts", -1).alias("completion"), F.col("e.activity").alias("seq"))
 
@@ -60,6 +60,17 @@ def occurrences(df: DataFrame, concept: str, add_start_end: bool = True) -> Data
     return rows.select("log", "case_id", F.col("pos").cast("long"), "node", complete.alias("is_complete"))
 
 
+def counted(df: DataFrame) -> DataFrame:
+    """``log, seq, w``: the different traces with events, and how many are equal."""
+    return df.where(F.size("seq") > 0).groupBy("log", "seq").agg(F.count("*").alias("w"))
+
+
+def counted_frequencies(variants: DataFrame, concept: str, add_start_end: bool = True) -> DataFrame:
+    """``log, concept, node, freq`` as ``frequencies``, from ``counted`` traces."""
+    rows = variants.select("log", "w", F.explode(concept_nodes(F.col("seq"), concept, add_start_end)).alias("node"))
+    return rows.groupBy("log", "node").agg(F.sum("w").alias("freq")).select("log", F.lit(concept).alias("concept"), "node", "freq")
+
+
 def frequencies(df: DataFrame, concept: str, add_start_end: bool = True) -> DataFrame:
     """``log, concept, node, freq``."""
     rows = df.where(F.size("seq") > 0).select("log", F.explode(concept_nodes(F.col("seq"), concept, add_start_end)).alias("node"))
