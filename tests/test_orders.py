@@ -95,6 +95,18 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_totals_expand_the_histogram(spark):
+    """Grouping sets copy rows of distinct frequencies, not types, and nothing counts distinct types in them; a type of three logs counts once."""
+    logs = {"x": [["a", "b"]] * 3, "y": [["a", "b"], ["c"]], "z": [["a"], ["a", "b"]]}
+    out = orders.totals(traces(spark, logs), 3)
+    assert "distinct" not in plan(out) and "order_node" not in plan(out)
+    nodes = {k: f for k, (f, _, _) in brute(logs, 3).items()}
+    for r in out.collect():
+        mine = {k: f for k, f in nodes.items() if r.log in (None, k[0]) and r.n in (None, k[1])}
+        assert (r.types, r.occurrences) == (len({k[1:] for k in mine}), sum(mine.values()))
+    assert orders.totals(traces(spark, logs).limit(0), 3).count() == 0
+
+
 def test_all_orders_build_traces_once(spark):
     """Suffixes and short traces come from one table of different traces; events are put in order without a comparator called row by row."""
     events = spark.createDataFrame([("l", str(i % 9), i, "ab"[i % 2], None) for i in range(50)], "log string, case_id string, o long, activity string, ts timestamp")

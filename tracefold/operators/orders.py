@@ -109,16 +109,25 @@ def order_profile(nodes: DataFrame) -> DataFrame:
 
 
 def order_totals(nodes: DataFrame) -> DataFrame:
-    """``log, n, level, types, occurrences, median_freq``: totals by log and order, by log, by order over all logs, and of all, in one pass of grouping sets.
+    """``log, n, level, types, occurrences, median_freq``: totals by log and order, by log, by order over all logs, and of all, by grouping sets.
 
     ``level``: ``log_order``, ``log``, ``order`` or ``all``; a type of several logs counts once where logs are taken together. The median is that of the frequencies
     of the types of one log and order.
+
+    ``nodes`` has a row for each type of a log and order, so the sets are made over the histogram of frequencies, a row for each distinct one; only the types that
+    several logs share are looked for among the types themselves.
     """
-    sets = nodes.groupingSets([["log", "n"], ["log"], ["n"], []], "log", "n")
+    nodes = stored(nodes.select("log", "n", "node", "freq"), "types")
+    values = nodes.groupBy("log", "n", "freq").agg(F.count("*").alias("types"))
+    sets = values.groupingSets([["log", "n"], ["log"], ["n"], []], "log", "n")
     level = F.when(F.grouping_id() == 0, "log_order").when(F.grouping_id() == 1, "log").when(F.grouping_id() == 2, "order").otherwise("all")
-    return sets.agg(level.alias("level"), F.count_distinct("order_node").alias("types"), F.sum("freq").alias("occurrences"), F.median("freq").alias("median_freq"))
+    totals = sets.agg(level.alias("level"), F.sum("types").alias("rows"), F.sum(F.col("freq") * F.col("types")).alias("occurrences"), F.percentile("freq", 0.5, F.col("types")).alias("median_freq"))
+    # rows beyond a type's first, by order and of all
+    again = nodes.groupBy("n", "node").agg((F.count("*") - 1).alias("again")).where("again > 0").rollup("n").agg(F.sum("again").alias("again"), F.when(F.grouping_id() == 0, "order").otherwise("all").alias("_level"))
+    again = again.select(F.col("n").alias("_n"), "_level", "again")
+    joined = totals.join(F.broadcast(again), (F.col("level") == F.col("_level")) & F.col("n").eqNullSafe(F.col("_n")), "left")
+    return joined.select("log", "n", "level", (F.col("rows") - F.coalesce("again", F.lit(0))).alias("types"), "occurrences", "median_freq")
 
 
 def totals(traces: DataFrame, most: int = ORDERS[-1]) -> DataFrame:
-    nodes = all_orders(traces, most)
-    return order_totals(nodes.withColumn("order_node", F.struct("n", "node")))
+    return order_totals(all_orders(traces, most))
