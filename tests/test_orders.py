@@ -118,3 +118,11 @@ def test_all_orders_build_traces_once(spark):
     assert sorted((tuple(r.seq), r.w) for r in one) == sorted({s: [tuple(x.seq) for x in rows.collect()].count(s) for s in {tuple(x.seq) for x in rows.collect()}}.items())
     for c in ("variants", "activities", "n3"):
         assert sorted(map(str, tr.counted_frequencies(tr.counted(rows), c).collect())) == sorted(map(str, tr.frequencies(rows, c).collect()))
+
+
+def test_queries_build_traces_once(spark):
+    """The plans that are left when traces have been built don't gather events again."""
+    from tracefold.plans import orders as queries
+
+    for name in ("sql_ngrams",):
+        assert "collect_list" not in plan(queries.QUERIES[name](spark, "/root/testdata/sf0.001"))

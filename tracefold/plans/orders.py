@@ -38,11 +38,13 @@ def order_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sql_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Triples of all logs and what follows directly, asked for in SQL text by lateral table functions."""
     sql.register(spark)
+    # equal traces are one weighted row; completion is null or not, its value doesn't count here
+    kept = _all_traces(spark, sf_dir).where(F.size("seq") > 0).groupBy("log", "seq", F.col("completion").isNull().alias("open"))
     return spark.sql(
-        """SELECT log, 'n3' AS kind, array_join(node, '|') AS node, count(*) AS freq FROM {t}, LATERAL trace_ngrams(seq, 3) GROUP BY ALL
-        UNION ALL SELECT log, 'dfrs', concat(src, '|', dst), count(*) FROM {t}, LATERAL trace_links(seq) GROUP BY ALL
-        UNION ALL SELECT log, 'attached', CAST(count(DISTINCT node) AS STRING), count(*) FROM {t}, LATERAL trace_attachments(seq, CAST(completion AS TIMESTAMP), 20) GROUP BY log""",
-        t=_all_traces(spark, sf_dir),
+        """SELECT log, 'n3' AS kind, array_join(node, '|') AS node, sum(w) AS freq FROM {t}, LATERAL trace_ngrams(seq, 3) GROUP BY ALL
+        UNION ALL SELECT log, 'dfrs', concat(src, '|', dst), sum(w) FROM {t}, LATERAL trace_links(seq) GROUP BY ALL
+        UNION ALL SELECT log, 'attached', CAST(count(DISTINCT node) AS STRING), sum(w) FROM {t}, LATERAL trace_attachments(seq, completion, 20) GROUP BY log""",
+        t=stored(kept.agg(F.max("completion").cast("timestamp").alias("completion"), F.count("*").alias("w")), "weighted"),
     )
 
 
