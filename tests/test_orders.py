@@ -124,5 +124,5 @@ def test_queries_build_traces_once(spark):
     """The plans that are left when traces have been built don't gather events again."""
     from tracefold.plans import orders as queries
 
-    for name in ("sql_ngrams",):
+    for name in ("sql_ngrams", "sketch_ranges"):
         assert "collect_list" not in plan(queries.QUERIES[name](spark, "/root/testdata/sf0.001"))

@@ -54,16 +54,18 @@ _RANGES = (("all", None, None), ("until_1997", None, "1997-12-31"), ("from_2024"
 
 def sketch_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Approximate statistics of ranges of days beside the exact ones, and whether each is within its stated error."""
-    rows = _all_traces(spark, sf_dir)
+    rows = stored(_all_traces(spark, sf_dir).where((F.size("seq") > 0) & F.col("completion").isNotNull()), "completed")
     kept = stored(sketches.daily(rows), "sketches")
-    done = stored(rows.where((F.size("seq") > 0) & F.col("completion").isNotNull()).select("log", F.to_date("completion").alias("day"), "seq", F.size("seq").cast("long").alias("length")), "completed")
+    # the exact side: equal traces of a day are one weighted row
+    done = stored(rows.groupBy("log", F.to_date("completion").alias("day"), "seq").agg(F.count("*").alias("w")).withColumn("length", F.size("seq").cast("long")), "counted")
+    share = lambda c: F.sum(F.when(c, F.col("w")).otherwise(0)) / F.sum("w")
     out = None
     for name, first, last in _RANGES:
         inside = done.where((F.lit(first is None) | (F.col("day") >= F.lit(first or "1970-01-01").cast("date"))) & (F.lit(last is None) | (F.col("day") <= F.lit(last or "1970-01-01").cast("date"))))
         guess = sketches.over_days(kept, first, last)
-        labels = inside.select("log", F.explode("seq").alias("a")).groupBy("log", "a").agg(F.count("*").alias("n")).groupBy("log").agg(F.count("*").alias("activities"), F.max("n").alias("top"))
-        exact = inside.groupBy("log").agg(F.count("*").alias("cases"), F.sum("length").alias("events"), F.count_distinct("seq").alias("variants")).join(labels, "log")
-        ranks = inside.join(guess.select("log", F.col("length_quantiles")[1].alias("q")), "log").groupBy("log").agg(F.avg((F.col("length") < F.col("q")).cast("double")).alias("under"), F.avg((F.col("length") <= F.col("q")).cast("double")).alias("upto"))
+        labels = inside.select("log", "w", F.explode("seq").alias("a")).groupBy("log", "a").agg(F.sum("w").alias("n")).groupBy("log").agg(F.count("*").alias("activities"), F.max("n").alias("top"))
+        exact = inside.groupBy("log").agg(F.sum("w").alias("cases"), F.sum(F.col("w") * F.col("length")).alias("events"), F.count_distinct("seq").alias("variants")).join(labels, "log")
+        ranks = inside.join(guess.select("log", F.col("length_quantiles")[1].alias("q")), "log").groupBy("log").agg(share(F.col("length") < F.col("q")).alias("under"), share(F.col("length") <= F.col("q")).alias("upto"))
         part = exact.join(guess, "log").join(ranks, "log").select(
             F.lit(name).alias("range"), "log", F.col("cases").alias("n_cases"), F.col("events").alias("n_events"), F.col("variants").alias("exact_variants"), F.col("activities").alias("exact_activities"), F.col("top").alias("exact_top"),
             ((F.col("n_cases") == F.col("cases")) & (F.col("n_events") == F.col("events"))).alias("sums_same"), sketches.near(F.col("n_variants"), F.col("variants")).alias("variants_near"),
