@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -248,13 +250,10 @@ def sensitivity_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _log_frequencies(spark: SparkSession, sf_dir: str, concepts=("variants", "n3"), logs=ALL_LOGS) -> DataFrame:
-    out = None
-    for log in logs:
-        rows = log_traces(spark, sf_dir, log)
-        for c in concepts:
-            part = tr.frequencies(rows, c)
-            out = part if out is None else out.unionByName(part)
-    return out
+    """The frequencies of several concepts and logs; each log's traces are built once, and equal ones are one weighted row from then on."""
+    variants = stored(reduce(DataFrame.unionByName, [tr.counted(log_traces(spark, sf_dir, log)) for log in logs]), "variants")
+    parts = [variants.select("log", F.lit(c).alias("concept"), F.col("seq").alias("node"), F.col("w").alias("freq")) if c == "variants" else tr.counted_frequencies(variants, c) for c in concepts]
+    return stored(reduce(DataFrame.unionByName, parts), "frequencies")
 
 
 def powerlaw_fits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -360,19 +359,19 @@ SELECT log, concept, x, round(p_data, 9) AS p_data, round(p_fit, 9) AS p_fit, ro
 
 
 def powerlaw_gof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    freqs = stored(_log_frequencies(spark, sf_dir, ("variants",)), "frequencies")
+    freqs = _log_frequencies(spark, sf_dir, ("variants",))
     fits = stored(xmin_scan.fits(freqs, ["log", "concept"], ("lower_bounded_power_law",)), "fits")
     return powerlaw.goodness_of_fit(freqs, fits, ["log", "concept"])
 
 
 def powerlaw_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    freqs = stored(_log_frequencies(spark, sf_dir), "frequencies")
+    freqs = _log_frequencies(spark, sf_dir)
     return powerlaw.comparisons(freqs, xmin_scan.fits(freqs, ["log", "concept"], ("lower_bounded_power_law",)), ["log", "concept"])
 
 
 def powerlaw_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole chain on the logs: fit, bootstrap, comparison, code."""
-    freqs = stored(_log_frequencies(spark, sf_dir, ("variants",)), "frequencies")
+    freqs = _log_frequencies(spark, sf_dir, ("variants",))
     by = ["log", "concept"]
     fits = stored(xmin_scan.fits(freqs, by, ("lower_bounded_power_law",)), "fits")
     gof = powerlaw.goodness_of_fit(freqs, fits, by)
