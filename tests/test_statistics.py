@@ -342,3 +342,25 @@ def test_registered_bootstraps_are_whole(spark, monkeypatch):
     outcomes.powerlaw_outcomes(spark, "/root/testdata/sf0.001")
     behaviour.attribute_permutation(spark, "/root/testdata/sf0.001")
     assert seen == [(1000, sorted(core.LOGS))] * 2 + [200]
+
+
+def test_replicates_measure_few_pairs(monkeypatch):
+    """A sample of many distinct values is fitted without looking at all pairs of a candidate and a value, and the fit is that of all pairs."""
+    rng = np.random.default_rng(5)
+    x, n = np.unique(np.floor(30 * rng.lognormal(2, 1.2, 1500)) + 1, return_counts=True)
+    alpha, ks = powerlaw.fit_alpha(x, n, x[:-1], None)
+    pairs, whole = [], powerlaw._distances
+    monkeypatch.setattr(powerlaw, "_distances", lambda *a: pairs.append(int((a[-1] - a[-2]).sum())) or whole(*a))
+    got = powerlaw.fit(x, n, "lower_bounded_power_law")
+    i = int(np.argmin(powerlaw.comparable(ks)))
+    assert (got["xmin"], got["alpha"], got["ks"]) == (x[i], alpha[i], ks[i])
+    assert sum(pairs) < len(x) ** 2 / 8
+
+
+def test_replicates_are_many_tasks(spark):
+    """Blocks of replicates are dealt to tasks of their own, though they are few bytes."""
+    freqs = spark.createDataFrame([("l", 1 + i % 40) for i in range(300)], "log string, freq long")
+    fitted = spark.createDataFrame([("l", "lower_bounded_power_law", 1.0, None, 1.6, 0.05, 300, True)], "log string, model string, xmin double, xmax double, alpha double, ks double, n_fitted long, fit_valid boolean")
+    out = powerlaw.goodness_of_fit(freqs, fitted, ["log"], replicates=40, block=10)
+    assert out.collect()[0].n_success + out.collect()[0].n_failed == 40
+    assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()

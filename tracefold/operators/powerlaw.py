@@ -83,8 +83,8 @@ def exponents(count, total, xmin, top) -> np.ndarray:
 PAIRS = 1 << 18
 
 
-def _distances(x, cum, alpha, xmin, top, count, z, at, end) -> np.ndarray:
-    """KS distance of each candidate: its values are ``x[at:end]``, ``cum`` the counts before each value. A bounded number of pairs at a time."""
+def _distances(x, cum, alpha, top, count, z, before, at, end) -> np.ndarray:
+    """KS distance of each candidate: its values are ``x[at:end]``, ``cum`` the counts before each value, ``before`` those before the candidate's first. A bounded number of pairs at a time."""
     size = end - at
     upto = np.r_[0, np.cumsum(size)]
     out = np.empty(len(at))
@@ -94,17 +94,46 @@ def _distances(x, cum, alpha, xmin, top, count, z, at, end) -> np.ndarray:
         who = np.repeat(np.arange(lo, hi), size[lo:hi])
         j = np.arange(len(who)) - np.repeat(upto[lo:hi] - upto[lo], size[lo:hi]) + at[who]
         survive = power_sum(alpha[who], x[j], top[who], head=6) / z[who]
-        apart = np.abs((cum[j] - cum[at[who]]) / count[who] - (1 - survive))
+        apart = np.abs((cum[j] - before[who]) / count[who] - (1 - survive))
         out[lo:hi] = np.maximum.reduceat(apart, upto[lo:hi] - upto[lo])
         lo = hi
     return out
 
 
-def fit_problems(problems: list[tuple[np.ndarray, np.ndarray, np.ndarray, float | None]]) -> list[tuple[np.ndarray, np.ndarray]]:
+#: Values of a problem that bound its candidates' distances, and candidates of least bound that are measured first.
+EDGES, FIRST = 64, 8
+
+
+def _least(x, cum, alpha, top, count, z, at, end, of, base, known) -> np.ndarray:
+    """Distances of the candidates that can be their problem's best; infinite for the others, whose gap at some of the values is already larger than a distance found.
+
+    ``base`` are the problems' first values, ``known`` the least distance of each problem that is given without a look at values.
+    """
+    picks = [np.unique(np.r_[np.linspace(i, j - 1, EDGES // 2).astype(np.int64), np.minimum(np.searchsorted(cum[i:j], np.linspace(cum[i], cum[j], EDGES // 2)) + i, j - 1)]) for i, j in zip(base[:-1], base[1:], strict=True) if j > i]
+    pick = np.concatenate(picks)
+    # the last value of each problem is one of them, so no candidate is without
+    from_, upto = np.searchsorted(pick, at), np.searchsorted(pick, end)
+    bound = _distances(x[pick], cum[pick], alpha, top, count, z, cum[at], from_, upto)
+    out, best = np.full(len(at), np.inf), known.copy()
+    order = np.lexsort((bound, of))
+    place = np.empty(len(at), np.int64)
+    place[order] = np.arange(len(at)) - np.searchsorted(of[order], of[order])
+    taken, take = np.zeros(len(at), bool), FIRST
+    while True:
+        live = ~taken & (bound <= np.maximum(best[of] + 2 * 10.0**-DIGITS, PERFECT))
+        if not live.any():
+            return out
+        now = np.flatnonzero(live & (place < take))
+        out[now] = _distances(x, cum, alpha[now], top[now], count[now], z[now], cum[at[now]], at[now], end[now])
+        np.minimum.at(best, of[now], out[now])
+        taken[now], take = True, 4 * take
+
+
+def fit_problems(problems: list[tuple[np.ndarray, np.ndarray, np.ndarray, float | None]], least: bool = False) -> list[tuple[np.ndarray, np.ndarray]]:
     """Maximum-likelihood alpha and KS distance for each candidate xmin of each problem: values ``x`` (ascending), their counts, candidates, xmax.
 
     All candidates of all problems are solved together. A problem with d distinct values has at most d * d / 2 pairs to look at, and d distinct frequencies
-    stand for at least d * d / 2 occurrences.
+    stand for at least d * d / 2 occurrences. ``least``: distances are only found for candidates that can be the best of their problem, others are infinite.
     """
     if not problems:
         return []
@@ -127,7 +156,12 @@ def fit_problems(problems: list[tuple[np.ndarray, np.ndarray, np.ndarray, float
     use = np.flatnonzero(ALPHA_MAX - alpha > BOUNDARY)
     if len(use):
         z = power_sum(alpha[use], xmin[use], top[use])
-        ks[use] = _distances(x, cum, alpha[use], xmin[use], top[use], count[use], z, at[use], end[use])
+        if least:
+            known = np.full(len(problems), np.inf)
+            np.minimum.at(known, np.delete(of, use), np.delete(ks, use))
+            ks[use] = _least(x, cum, alpha[use], top[use], count[use], z, at[use], end[use], of[use], base, known)
+        else:
+            ks[use] = _distances(x, cum, alpha[use], top[use], count[use], z, cum[at[use]], at[use], end[use])
     edges = np.r_[0, np.cumsum(many)]
     return [(alpha[i:j], ks[i:j]) for i, j in zip(edges[:-1], edges[1:], strict=True)]
 
@@ -173,7 +207,7 @@ def fit_many(samples: list[tuple[np.ndarray, np.ndarray]], model: str, fixed_xmi
     out: list[dict | None] = [None] * len(samples)
     # a head of 0 sorts last among equal distances, then more fitted types win
     rank_of = lambda f: (float(comparable(f["ks"])), (f["exclude_k"] or 10**9), -f["n_fitted"])
-    for (x, n, lows, xmax), (s, k), (alpha, ks) in zip(problems, owner, fit_problems(problems), strict=True):
+    for (x, n, lows, xmax), (s, k), (alpha, ks) in zip(problems, owner, fit_problems(problems, least=True), strict=True):
         i = int(np.argmin(comparable(ks)))
         tail = (x >= lows[i]) & (x <= (xmax or np.inf))
         found = {"xmin": float(lows[i]), "xmax": xmax, "exclude_k": k, "alpha": float(alpha[i]), "ks": float(ks[i]), "n_fitted": int(n[tail].sum()), "excluded": int(n[x > xmax].sum()) if xmax else 0, "top": float(x[tail].max())}
@@ -364,7 +398,8 @@ def goodness_of_fit(freqs: DataFrame, fitted: DataFrame, by: list[str], replicat
     """``by, model, gof_p, n_success, n_failed``: the share of replicates whose distance is at least the fit's; failed ones don't count."""
     units = fitted.where("fit_valid AND n_fitted >= 2").join(histograms(freqs, by), by)
     blocks = -(-replicates // block)
-    dealt = units.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(*by, "model", "block")
+    # a number of partitions is given, since blocks are few bytes and long work: without one they would be put together in one task
+    dealt = units.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(4 * blocks, *by, "model", "block")
     name = F.concat_ws("\u0001", *(F.col(c).cast("string") for c in by), F.col("model"))
     dealt = dealt.withColumn("unit", F.xxhash64(name))
 
