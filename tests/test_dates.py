@@ -40,3 +40,15 @@ def test_dates_in_the_inventory(spark):
     data = [(str(i), "v", a, v) for a, values in {"most": ["31.12.2020", "1.2.2020", "3.4.2020", "30.1.2021", "soon"], "some": ["2020-01-01", "2020-01-02", "2020-01-03", "a", "b"]}.items() for i, v in enumerate(values)]
     inv = {r.attribute: r.inferred_type for r in attributes.inventory(spark.createDataFrame(data, "case_id string, variant string, attribute string, value string")).collect()}
     assert inv["most"] == "datetime" and inv["some"] != "datetime"
+
+
+def test_repeated_values_are_shaped_once(spark, monkeypatch):
+    """The inventory asks for layouts of different values with their numbers, which decide as all rows would."""
+    from tracefold.operators import attributes
+
+    rows = spark.createDataFrame([("1", "v", "d", t) for t in ["13/01/2024"] * 5 + ["01/14/2024", "01/15/2024", "01/16/2024"]] + [("1", "v", "d", None)], "case_id string, variant string, attribute string, value string")
+    asked, whole = [], dates.date_layouts
+    monkeypatch.setattr(dates, "date_layouts", lambda r, *a: asked.append(r.count()) or whole(r, *a))
+    out = attributes.inventory(rows).collect()[0]
+    assert asked == [5] and out.n_missing == 1 and out.n_distinct == 4
+    assert whole(rows.groupBy("attribute", "value").count(), "count") == whole(rows) and whole(rows)[0][2] == "d/M/yyyy"

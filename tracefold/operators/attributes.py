@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracefold.functions.storage import stored
 from tracefold.operators import dates
 
 MISSING, NONPOSITIVE = "__MISSING__", "__NONPOSITIVE__"
@@ -104,7 +105,8 @@ def inventory(rows: DataFrame) -> DataFrame:
     value = F.when(~is_missing(F.col("value")), F.col("value"))
     by = ["attribute", *(["level"] if "level" in rows.columns else [])]
     counts = rows.where(~F.col("attribute").isin(*RESERVED)).select(*by, value.alias("value")).groupBy(*by, "value").agg(F.count("*").alias("n"))
-    counts = dates.with_moments(counts, dates.date_layouts(rows.where(~F.col("attribute").isin(*RESERVED)))).withColumnRenamed("moment", "_moment")
+    counts = stored(counts, "values")  # shapes and dates are looked for in different values
+    counts = dates.with_moments(counts, dates.date_layouts(counts, "n")).withColumnRenamed("moment", "_moment")
     num = number(F.col("value"))
     here = F.col("value").isNotNull()
     truth = F.lower(F.trim("value")).isin("true", "false", "0", "1")

@@ -80,16 +80,17 @@ def layouts_of(shape: str) -> list[str]:
     return out
 
 
-def date_layouts(rows: DataFrame) -> list[tuple[str, str, str, int]]:
-    """``attribute, shape, layout, values`` of all shapes that can be dates; as many as attributes and shapes of the grammar.
+def date_layouts(rows: DataFrame, times: str | None = None) -> list[tuple[str, str, str, int]]:
+    """``attribute, shape, layout, values`` of all shapes that can be dates; as many as attributes and shapes of the grammar. ``times``: the column that says how often a row's value occurs.
 
     Day and month: more values whose first number is above 12 than whose second is mean day first, fewer mean month first. Attributes without a majority
     go by their separator: day first for dots, else month first. Shapes with one separator decide together.
     """
     text = stripped(F.col("value"))
-    shaped = rows.select("attribute", text.alias("text")).where("text is not null").select("attribute", "text", shape_of(F.col("text")).alias("shape")).where(F.col("shape").rlike(GRAMMAR))
+    times_of = F.col(times) if times else F.lit(1)
+    shaped = rows.select("attribute", text.alias("text"), times_of.cast("long").alias("times")).where("text is not null").select("attribute", "text", "times", shape_of(F.col("text")).alias("shape")).where(F.col("shape").rlike(GRAMMAR))
     at = lambda i: F.regexp_extract("text", r"^([0-9]{1,2})[-/.]([0-9]{1,2})[-/.][0-9]{4}", i).try_cast("int") > 12
-    counts = shaped.groupBy("attribute", "shape").agg(F.count("*").alias("n"), F.count_if(at(1)).alias("first"), F.count_if(at(2)).alias("second")).collect()
+    counts = shaped.groupBy("attribute", "shape").agg(F.sum("times").alias("n"), *(F.sum(F.when(at(i), F.col("times")).otherwise(0)).alias(c) for i, c in ((1, "first"), (2, "second")))).collect()
     votes: dict[tuple[str, str], int] = {}
     separator = lambda shape: re.sub("N[0-9]", "", shape)[:1]
     for r in counts:
