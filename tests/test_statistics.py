@@ -364,3 +364,16 @@ def test_replicates_are_many_tasks(spark):
     out = powerlaw.goodness_of_fit(freqs, fitted, ["log"], replicates=40, block=10)
     assert out.collect()[0].n_success + out.collect()[0].n_failed == 40
     assert "REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_log_frequencies_are_built_once(spark):
+    """Frequencies of several concepts are a table before they are used, so nothing gathers events again; they are those of each concept alone."""
+    from tracefold.operators import traces as tr
+    from tracefold.plans import outcomes
+    from tracefold.plans.core import log_traces
+
+    got = outcomes._log_frequencies(spark, "/root/testdata/sf0.001", logs=("orders",))
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+    rows = log_traces(spark, "/root/testdata/sf0.001", "orders")
+    want = tr.frequencies(rows, "variants").unionByName(tr.frequencies(rows, "n3"))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
